@@ -110,9 +110,27 @@ SELECT doc_id, c.source, rank AS source_rank, block, (block // p.w) * p.d + p.sl
 FROM c JOIN plan p ON p.source = c.source AND p.turn = c.block % p.w
 """
 
+LINE_DEDUP = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, unnest(range(0, len(l))) AS ln, unnest(l) AS line FROM d),
+w AS (SELECT doc_id, ln, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS w FROM x),
+s AS (SELECT w, min((doc_id, ln)) AS first, row_number() OVER () AS sid FROM w WHERE len(w) > 0 GROUP BY w),
+t AS (SELECT sid, unnest(w) AS t, len(w) AS n, first FROM s),
+o AS (SELECT a.sid AS a, b.sid AS b, a.n AS na, b.n AS nb, count(*) AS o FROM t a JOIN t b
+      ON a.t = b.t AND a.first < b.first AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY ALL),
+g AS (SELECT DISTINCT b AS sid FROM o WHERE 100 * o >= 80 * (na + nb - o)),
+m AS (SELECT s.w, s.first, g.sid IS NOT NULL AS dup FROM s LEFT JOIN g ON g.sid = s.sid),
+r AS (SELECT w.doc_id, w.ln FROM w JOIN m ON m.w = w.w WHERE m.dup OR (w.doc_id, w.ln) != m.first),
+p AS (SELECT doc_id, list(CAST(ln AS INTEGER) ORDER BY ln) AS removed FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(coalesce(removed, [])) AS BIGINT) AS n_removed,
+       coalesce(removed, []) AS removed
+FROM d LEFT JOIN p ON p.doc_id = d.doc_id
+"""
+
 SQL = {
     "op1_ngram_jaccard_join": ngram_join(),
     "op2_exact_dedup": EXACT_DEDUP,
+    "op6_line_dedup": LINE_DEDUP,
     "op9_source_mixing": MIXING,
     "op10_quality_rules": quality(),
 }

@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, quality_rules, sentencepiece_codec, token_counts
+from . import (
+    exact_dedup,
+    line_dedup,
+    mixing,
+    ngram_join,
+    quality_rules,
+    sentencepiece_codec,
+    token_counts,
+    toxicity,
+)
 from .runtime import read_table
 
 MODEL = "piece_bpe_32k.model"
@@ -33,10 +42,20 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), model_path())
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removed_lines(documents(spark, sf_dir))
+
+
 def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.checked(documents(spark, sf_dir), model_path())
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read_table(spark, sf_dir, "labels")
+    chain = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+    return toxicity.scored(documents(spark, sf_dir), labels, chain)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.scheduled(documents(spark, sf_dir))
 
@@ -54,7 +73,9 @@ QUERIES = {
         op1_ngram_jaccard_join,
         op2_exact_dedup,
         op3_token_counts,
+        op6_line_dedup,
         op7_sentencepiece_codec,
+        op8_toxicity,
         op9_source_mixing,
         op10_quality_rules,
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +21,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     A folder of our own is set only where the session names none (tests, local runs).
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """A fresh name in the shared folder for tables that stages hand on."""
+    return f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
 
 
 def private_names(df: DataFrame, *names: str) -> None:

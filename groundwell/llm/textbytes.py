@@ -77,10 +77,17 @@ def span_hash(cs: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((cs[end] - cs[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and per-text counts of the words of texts that lie back to back in ``data``."""
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
+
+
+def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and per-text counts of the words of texts that lie back to back in ``data``.
+
+    Words are runs of the bytes in ``member``; by default, of all but white space.
+    """
     n = len(data)
-    solid = ~_WS[data]
+    solid = ~_WS[data] if member is None else member[data]
     before = np.ones(n + 1, dtype=bool)
     before[1:] = ~solid
     before[offsets] = True
