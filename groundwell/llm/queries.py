@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from . import (
     line_dedup,
     mixing,
     ngram_join,
+    pii,
     quality_rules,
     sentencepiece_codec,
     token_counts,
@@ -42,6 +45,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), model_path())
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.anonymised(documents(spark, sf_dir), key=os.environ.get("GROUNDWELL_PII_KEY", "demonstration key"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed_lines(documents(spark, sf_dir))
 
@@ -73,6 +80,7 @@ QUERIES = {
         op1_ngram_jaccard_join,
         op2_exact_dedup,
         op3_token_counts,
+        op4_pii_surrogates,
         op6_line_dedup,
         op7_sentencepiece_codec,
         op8_toxicity,
