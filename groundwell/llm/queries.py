@@ -15,6 +15,7 @@ from . import (
     pii,
     quality_rules,
     sentencepiece_codec,
+    substring_dedup,
     token_counts,
     toxicity,
 )
@@ -49,6 +50,10 @@ def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.anonymised(documents(spark, sf_dir), key=os.environ.get("GROUNDWELL_PII_KEY", "demonstration key"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_substrings(documents(spark, sf_dir)).drop("spans")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed_lines(documents(spark, sf_dir))
 
@@ -81,6 +86,7 @@ QUERIES = {
         op2_exact_dedup,
         op3_token_counts,
         op4_pii_surrogates,
+        op5_suffix_array_dedup,
         op6_line_dedup,
         op7_sentencepiece_codec,
         op8_toxicity,
