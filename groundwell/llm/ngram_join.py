@@ -23,6 +23,9 @@ SKETCH_ROWS = 2
 SKETCH_CHUNKS = 32
 #: Ids of texts to verify are broadcast up to this many, else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Heads of lists that a set is compared with in a round, and rounds before the join.
+HEADS = 2
+ROUNDS = 2
 #: Texts holding one n-gram are dealt to one task up to about this many, then salted.
 LIST_SIZE = 20_000
 
@@ -144,18 +147,38 @@ def _postings(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
     return docs.select("_text").mapInArrow(run, "sh long, salt int, fp binary, size int, pos int")
 
 
-def _may_match(a: str, b: str, percent: int) -> Column:
-    """Length, prefix and positional filters for a the smaller set. Sizes and positions by name suffix."""
-    sa, sb = F.col(f"size{a}").cast("long"), F.col(f"size{b}").cast("long")
-    pa_, pb = F.col(f"pos{a}"), F.col(f"pos{b}")
-    need = _least_overlap(sa, sb, percent)
+def _may_match(percent: int) -> Column:
+    """Length, prefix and positional filters for postings with the suffixes _a and _b."""
+    sa, sb = F.col("size_a").cast("long"), F.col("size_b").cast("long")
+    small, large = F.least(sa, sb), F.greatest(sa, sb)
+    at = F.when(sa <= sb, F.col("pos_a")).otherwise(F.col("pos_b"))
     # Against sets at least as large, the smaller set needs the shorter prefix.
-    short = sa - _least_overlap(sa, sa, percent) + 1
+    short = small - _least_overlap(small, small, percent) + 1
     return (
-        (100 * sa >= percent * sb)
-        & (pa_ < short)
-        & (1 + F.least(sa - pa_ - 1, sb - pb - 1) >= need)
+        (100 * small >= percent * large)
+        & (at < short)
+        & (1 + F.least(sa - F.col("pos_a") - 1, sb - F.col("pos_b") - 1) >= _least_overlap(sa, sb, percent))
+    )
+
+
+def _stars(posts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each set with the head of its lists, where their components differ.
+
+    The head is the set with the most postings that others share: in a group of edited copies, the
+    one that they are copies of. A set is paired with the few heads it meets most often; what this
+    leaves open is settled by the join that follows.
+    """
+    by = Window.partitionBy("sh", "salt").orderBy(F.desc("weight"), "fp")
+    head = F.first(F.struct("fp", "size", "pos", "root")).over(by)
+    p = posts.withColumn("_h", head).where("_h.fp != fp AND _h.root != root")
+    p = p.select(
+        F.col("_h.fp").alias("a"), F.col("fp").alias("b"), F.col("_h.size").alias("size_a"), F.col("_h.pos").alias("pos_a"),
+        F.col("size").alias("size_b"), F.col("pos").alias("pos_b"),
     )
+    met = p.where(_may_match(percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"))
+    nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("_n"), "a"))
+    met = met.withColumn("_nth", nth).where(F.col("_nth") <= HEADS)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def overlap_possible(a: np.ndarray, b: np.ndarray, need: int, depth: int = 3) -> bool:
@@ -214,8 +237,8 @@ def near_duplicates(
     100 * intersection >= percent * union; component_id is the smallest id that links reach.
 
     1. Texts with equal sets share a fingerprint and go on as one.
-    2. Each set emits its rarest shingles; within a shingle's list, ordered by size, neighbours that
-       pass the filters are verified and their links contracted. This takes one pair per posting.
+    2. Each set emits its rarest shingles; sets are compared with the heads of their shingles' lists
+       and links are contracted, in a fixed number of rounds of a few pairs a set.
     3. Lists that still hold several components are joined on the shingle, across components only,
        under the same filters. So no link between different texts is lost, while the members of one
        group are not paired with each other.
@@ -237,44 +260,47 @@ def near_duplicates(
     posts = _postings(docs.where("_id IS NOT NULL"), n, percent, sketch).repartition("sh", "salt")
     by = Window.partitionBy("sh", "salt").orderBy("size", "fp")
     fresh = posts.withColumn("_last", F.lag("fp").over(by)).where("_last IS NULL OR _last != fp").drop("_last")
-    live = fresh.select(
-        "*",
-        *[F.lag(c).over(by).alias(f"{c}_a") for c in ("fp", "size", "pos")],
-        F.lead("fp").over(by).isNotNull().alias("_more"),
-    )
+    neighbours = F.lag("fp").over(by).isNotNull() | F.lead("fp").over(by).isNotNull()
     # A salted list has members in other tasks too.
-    live = checkpointed(live.where("fp_a IS NOT NULL OR _more OR salt > 0"))
-    first = (
-        live.where("fp_a IS NOT NULL")
-        .withColumnsRenamed({"size": "size_b", "pos": "pos_b"})
-        .where(_may_match("_a", "_b", percent))
-        .select(F.col("fp_a").alias("a"), F.col("fp").alias("b"))
-        .distinct()
-    )
-    first = checkpointed(first)
-    links = checkpointed(_verified(first, docs, nodes, n, percent))
-    roots = connected(links)
-
-    post = live.select("sh", "fp", "size", "pos").join(
-        roots.select(F.col("node").alias("fp"), "root"), "fp", "left"
-    ).withColumn("root", F.coalesce("root", "fp"))
-    mixed = post.groupBy("sh").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo != _hi")
-    post = checkpointed(post.join(mixed.select("sh"), "sh", "left_semi"))
+    live = checkpointed(fresh.withColumn("_shared", neighbours | (F.col("salt") > 0)).where("_shared").drop("_shared"))
+    weights = live.groupBy("fp").agg(F.count(F.lit(1)).alias("weight"))
+    live = live.join(weights, "fp")
+    post, roots, links, tested = live.withColumn("root", F.col("fp")), None, None, None
+
+    def verified(pairs: DataFrame) -> bool:
+        """Takes the pairs not yet tested; true if they bring new links."""
+        nonlocal tested, links, roots
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = checkpointed(pairs)
+        if pairs.isEmpty():
+            return False
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        found = checkpointed(_verified(pairs, docs, nodes, n, percent))
+        if found.isEmpty():
+            return False
+        links = found if links is None else links.unionByName(found)
+        roots = connected(links)
+        return True
+
+    def mixed() -> DataFrame:
+        """Postings of the lists that hold several components."""
+        if roots is None:
+            return post
+        p = live.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        several = p.groupBy("sh").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo != _hi")
+        return checkpointed(p.join(several.select("sh"), "sh", "left_semi"))
+
+    for _ in range(ROUNDS):
+        if not verified(_stars(post, percent)):
+            break
+        post = mixed()
     x = post.select("sh", *[F.col(c).alias(f"{c}_a") for c in ("fp", "size", "pos", "root")])
     y = post.select("sh", *[F.col(c).alias(f"{c}_b") for c in ("fp", "size", "pos", "root")])
-    smaller = (F.col("size_a") < F.col("size_b")) | (F.col("size_a") == F.col("size_b")) & (F.col("fp_a") < F.col("fp_b"))
-    second = (
-        x.join(y, "sh")
-        .where((F.col("root_a") != F.col("root_b")) & smaller & _may_match("_a", "_b", percent))
-        .select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    second = checkpointed(second)
-    if not second.isEmpty():
-        more = checkpointed(_verified(second, docs, nodes, n, percent))
-        if not more.isEmpty():
-            roots = connected(links.unionByName(more))
+    across = x.join(y, "sh").where("root_a != root_b AND fp_a < fp_b")
+    verified(across.where(_may_match(percent)).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct())
+    if roots is None:
+        roots = nodes.limit(0).select(F.col("fp").alias("node"), F.col("fp").alias("root"))
     label = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
