@@ -50,7 +50,7 @@ def _topk(chunks: DataFrame, names: list, vectors: np.ndarray, k: int, metric: s
 
     found = chunks.select("chunk_key", "embedding").mapInArrow(run, "_q long, chunk_key long, dist double")
     table = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (i, n)])
-    return found.select(table[F.col("_q").cast("int")].alias("query_id"), "chunk_key", "dist")
+    return found.select(table[F.col("_q").cast("int")].cast("long").alias("query_id"), "chunk_key", "dist")
 
 
 def knn(queries: DataFrame, chunks: DataFrame, k: int, source_type: str | None = None, metric: str = "cosine") -> DataFrame:  # J1
