@@ -22,6 +22,23 @@ class Shard:
     transform: np.ndarray
 
 
+def stable_order(symbols: np.ndarray) -> np.ndarray:
+    """Places in order of their symbols, equal ones as they come.
+
+    Symbols are sorted with their places in the low bits, which is quicker than sorting indices. Should
+    two different symbols agree in the bits that are left, they are sorted in full.
+    """
+    n = len(symbols)
+    bits = np.uint64(max(n - 1, 1).bit_length())
+    key = (symbols >> bits << bits) | np.arange(n, dtype=np.uint64)
+    key.sort()
+    order = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    s = symbols[order]
+    if (((s[1:] ^ s[:-1]) >> bits == 0) & (s[1:] != s[:-1])).any():
+        return np.argsort(symbols, kind="stable")
+    return order
+
+
 def shard(data: np.ndarray, ends: np.ndarray, block: int, depth: int, seed: int) -> Shard:
     """``data`` holds strings end to end. Suffixes are sorted by their first ``depth`` blocks.
 
@@ -40,7 +57,7 @@ def shard(data: np.ndarray, ends: np.ndarray, block: int, depth: int, seed: int)
     order = place
     for _ in range(depth):
         order = before[order]
-        order = order[np.argsort(symbol[order], kind="stable")]
+        order = order[stable_order(symbol[order])]
     return Shard(order, symbol[before[order]])
 
 
@@ -58,7 +75,7 @@ def interleave(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]
     c = np.empty_like(symbols)
     for _ in range(depth):
         c[np.argsort(z, kind="stable")] = symbols
-        step = np.argsort(c, kind="stable")
+        step = stable_order(c)
         z, s, old = z[step], c[step], interval[step]
         together = np.zeros(len(z), dtype=bool)
         together[1:] = (s[1:] == s[:-1]) & (old[1:] == old[:-1])

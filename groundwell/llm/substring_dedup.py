@@ -11,18 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bwt_merge
-from .runtime import checkpointed, private_names
+from .runtime import checkpointed, private_names, stored
 from .textbytes import buffers, mix, prefix_hash, slices, span_hash
 
 LENGTH = 200
 #: Anchors are the least hashes of GRAM-byte strings among those of each window of LENGTH bytes.
 GRAM = 64
 REACH = LENGTH - GRAM  # windows that hold an anchor begin at most this far before it
-BLOCK = 40
+BLOCK = 50
 #: Snippets of one anchor merged by one task; more of them go by window digests instead.
 GROUP = 1000
-SHARD_BYTES = 1 << 18
-CHUNK_BYTES = 1 << 22
+SHARD_BYTES = 1 << 17
+CHUNK_BYTES = 1 << 20
 BROADCAST_IDS = 1_000_000
 
 
@@ -254,12 +254,12 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ).withColumn("_k", F.xxhash64("_real", "_text"))
     occ = _occurrences(rows)
     often = occ.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h")
-    occ = checkpointed(occ.join(often, "h"))
+    occ = stored(occ.join(often, "h"))
     same = occ.groupBy("h", "fp").agg(F.count(F.lit(1)).alias("_c"), F.min("_k").alias("_rep"))
     same = checkpointed(same)
     kinds = same.groupBy("h").agg(F.count(F.lit(1)).alias("_kinds"))
     occ = occ.join(same, ["h", "fp"]).join(kinds, "h")
-    occ = checkpointed(
+    occ = stored(
         occ.select(
             "_id", "_k", "pos", "h",
             (F.col("_c") > 1).alias("known"),
@@ -276,7 +276,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keys = asked.select("_id", "_k")
     few = keys.count() <= BROADCAST_IDS
     texts = rows.join(F.broadcast(keys) if few else keys, ["_id", "_k"], "left_semi")
-    parts = checkpointed(_snippets(texts, asked))
+    parts = stored(_snippets(texts, asked))
     decided = _decided(parts)
     windows = parts.where("w IS NOT NULL")
     place = F.xxhash64("_id", "_k", "pos")
