@@ -32,7 +32,7 @@ def exact_groups(
     salts: int = SALTS,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, digest (and the ``carry`` columns).
+    """One row per input row: id, keep_id, group_size, kept, digest (and ``row``, a struct of ``carry``).
 
     Three stages, each comparing whole normalised texts and never digests alone: map-side combining
     removes local copies, the second stage merges the rows of one (digest, salt), the third combines
@@ -44,9 +44,8 @@ def exact_groups(
     Other columns are ignored, so clashing names do no harm. An empty table gives no rows.
     """
     private_names(docs, id_col, text_col)
-    rows = docs.select(
-        F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_text"), *[F.col(c).alias(f"_c_{c}") for c in carry]
-    )
+    row = [F.struct(*[F.col(c) for c in carry]).alias("_row")] if carry else []
+    rows = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_text"), *row)
     rows = rows.withColumn("_digest", digest(F.col("_text"))).withColumn(
         "_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int")
     )
@@ -91,11 +90,10 @@ def exact_groups(
         F.col("_size").alias("group_size"),
         (F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_nth") == 1)).alias("kept"),
         F.col("_digest").alias("text_sha256"),
-        *[F.col(f"_c_{c}").alias(c) for c in carry],
+        *([F.col("_row").alias("row")] if carry else []),
     )
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged."""
-    others = tuple(c for c in docs.columns if c != id_col)
-    return exact_groups(docs, id_col, text_col, carry=others).where("kept").select(*docs.columns)
+    return exact_groups(docs, id_col, text_col, carry=tuple(docs.columns)).where("kept").select("row.*")

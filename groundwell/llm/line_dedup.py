@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import checkpointed, private_names
+from .runtime import checkpointed, free_name, private_names
 
 PERCENT = 80
 #: Token frequencies are counted in this many buckets, whatever the corpus. They only order tokens.
@@ -179,9 +179,10 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
 
 def without_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the later lines taken out of its texts; all columns and rows stay."""
-    found = removed_lines(docs, percent, id_col, text_col).select(F.col(id_col).alias("_rid"), F.col("removed").alias("_removed"))
+    rid, gone = free_name(docs, "_rid"), free_name(docs, "_gone")
+    found = removed_lines(docs, percent, id_col, text_col).select(F.col(id_col).alias(rid), F.col("removed").alias(gone))
     kept = F.array_join(
-        F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("_removed"), i)), "\n"
+        F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n"
     )
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("_rid")), "left")
+    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col(rid)), "left")
     return joined.withColumn(text_col, kept).select(*docs.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected
-from .runtime import checkpointed, private_names
+from .runtime import checkpointed, free_name, private_names
 from .textbytes import buffers, shingles, slices
 
 #: Two rows of counters estimate how many texts hold an n-gram; the least of its counters counts.
@@ -321,7 +321,9 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     exact deduplication.
     """
     found = near_duplicates(docs, n, percent, id_col, text_col)
-    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
+    name = free_name(docs, "_gone")
+    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(name)).distinct()
+    gone = checkpointed(gone)
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

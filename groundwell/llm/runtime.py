@@ -51,6 +51,13 @@ def private_names(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once for ``body``: lambda variables are evaluated a single time per row."""
     return F.element_at(F.transform(F.array(value), body), 1)
