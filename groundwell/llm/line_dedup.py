@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import checkpointed, free_name, private_names
+from .runtime import checkpointed, free_name, private_names, stored
 
 PERCENT = 80
 #: Token frequencies are counted in this many buckets, whatever the corpus. They only order tokens.
@@ -55,7 +55,10 @@ def _need(a: Column, b: Column, percent: int) -> Column:
 
 
 def _may_match(percent: int) -> Column:
-    """Length, prefix and positional filters, for postings with the suffixes _a and _b."""
+    """Length, prefix, positional and bitmap filters, for postings with the suffixes _a and _b.
+
+    Every bit in which two sets' bitmaps differ stands for a token that one of them lacks.
+    """
     sa, sb = F.col("size_a"), F.col("size_b")
     small, large = F.least(sa, sb), F.greatest(sa, sb)
     at = F.when(sa <= sb, F.col("pos_a")).otherwise(F.col("pos_b"))
@@ -63,6 +66,7 @@ def _may_match(percent: int) -> Column:
         (100 * small >= percent * large)
         & (at < small - _need(small, small, percent) + 1)
         & (1 + F.least(sa - F.col("pos_a") - 1, sb - F.col("pos_b") - 1) >= _need(sa, sb, percent))
+        & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= sa + sb - 2 * _need(sa, sb, percent))
     )
 
 
@@ -72,14 +76,17 @@ def _postings(lines: DataFrame, frequencies: bytes, percent: int) -> DataFrame:
     length = size - F.ceil(percent * size / 100).cast("int") + 1
     level = lambda w: F.substring(F.lit(frequencies), _bucket(w) + 1, 1)
     ranked = F.sort_array(F.transform("tokens", lambda w: F.struct(level(w).alias("c"), F.xxhash64(w).alias("t"))))
-    p = lines.select("_id", "ln", "sid", size.alias("size"), F.slice(ranked, F.lit(1), length).alias("_r"))
-    p = p.select("_id", "ln", "sid", "size", F.posexplode("_r").alias("pos", "_r"))
+    bits = F.aggregate(
+        "tokens", F.lit(0).cast("long"), lambda b, w: b.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int")))
+    )
+    p = lines.select("_id", "ln", "sid", bits.alias("bits"), size.alias("size"), F.slice(ranked, F.lit(1), length).alias("_r"))
+    p = p.select("_id", "ln", "sid", "bits", "size", F.posexplode("_r").alias("pos", "_r"))
     count = F.pow(F.lit(2.0), F.conv(F.hex(F.col("_r")["c"]), 16, 10).cast("int") / STEPS)
     salts = F.floor(count / LIST_SIZE) + 1
     return p.select(
         F.col("_r")["t"].alias("t"),
         F.when(salts > 1, F.pmod(F.xxhash64("_id"), salts) + 1).otherwise(F.lit(0)).cast("int").alias("salt"),
-        "_id", "ln", "sid", "size", "pos",
+        "_id", "ln", "sid", "bits", "size", "pos",
     )
 
 
@@ -132,28 +139,28 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     posts = posts.withColumn("_nth", F.row_number().over(own)).where("_nth = 1").drop("_nth")
     live = posts.select(
         "*",
-        F.lag(F.struct("sid", "size", "pos")).over(by).alias("_near"),
-        F.first(F.struct("sid", "size", "pos")).over(by).alias("_head"),
+        F.lag(F.struct("sid", "bits", "size", "pos")).over(by).alias("_near"),
+        F.first(F.struct("sid", "bits", "size", "pos")).over(by).alias("_head"),
         F.lead("ln").over(by).isNotNull().alias("_more"),
     )
-    live = checkpointed(
-        live.where("_near IS NOT NULL OR _more OR salt > 0").select("t", "sid", "size", "pos", "_near", "_head", "_more")
+    live = stored(
+        live.where("_near IS NOT NULL OR _more OR salt > 0").select("t", "sid", "bits", "size", "pos", "_near", "_head")
     )
 
     def partners(column: str) -> DataFrame:
         p = live.where("_near IS NOT NULL").select(
-            F.col("sid").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"), F.col(column).alias("p")
+            F.col("sid").alias("b"), F.col("bits").alias("bits_b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"), F.col(column).alias("p")
         )
-        p = p.select("*", F.col("p.sid").alias("a"), F.col("p.size").alias("size_a"), F.col("p.pos").alias("pos_a"))
+        p = p.select("*", F.col("p.sid").alias("a"), F.col("p.bits").alias("bits_a"), F.col("p.size").alias("size_a"), F.col("p.pos").alias("pos_a"))
         return p.where(_may_match(percent) & (F.col("a") != F.col("b"))).select("a", "b")
 
     first = checkpointed(partners("_near").unionByName(partners("_head")).distinct())
     gone = checkpointed(_later(_verified(first, docs, percent), firsts))
-    posts = live.select("t", "sid", "size", "pos").distinct()
-    posts = checkpointed(posts.join(firsts, "sid"))
+    posts = live.select("t", "sid", "bits", "size", "pos").distinct()
+    posts = stored(posts.join(firsts, "sid"))
     rest = posts.join(gone, "sid", "left_anti")
-    x = posts.select("t", *[F.col(c).alias(f"{c}_a") for c in ("sid", "size", "pos", "first")])
-    y = rest.select("t", *[F.col(c).alias(f"{c}_b") for c in ("sid", "size", "pos", "first")])
+    x = posts.select("t", *[F.col(c).alias(f"{c}_a") for c in ("sid", "bits", "size", "pos", "first")])
+    y = rest.select("t", *[F.col(c).alias(f"{c}_b") for c in ("sid", "bits", "size", "pos", "first")])
     second = (
         y.join(x, "t")
         .where((F.col("first_a") < F.col("first_b")) & _may_match(percent))
