@@ -31,4 +31,5 @@ def token_f1(reference: Column, candidate: Column) -> Column:  # L2
 
 def judged(reply: Column) -> Column:  # P13
     number = F.regexp_extract(reply, r"(?U)[\d.]+", 0).try_cast("double")
-    return F.coalesce(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)), 4), F.lit(0.5))
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))  # both would pass over a null
+    return F.when(number.isNull(), F.lit(0.5)).otherwise(F.round(clamped, 4))

@@ -215,7 +215,7 @@ def _replies(spark, sf):
     return table(spark, sf, "events").select("event_id", F.pmod("event_id", F.lit(97)).alias("question_id"), F.col("event_id").alias("variant_idx"), body.alias("reply"))
 
 
-_JUDGED = f"j AS (SELECT event_id, coalesce(round(greatest(0, least(1, try_cast(regexp_extract(reply, '[0-9.]+') AS DOUBLE))), 4), 0.5)::DOUBLE AS judge FROM (SELECT event_id, {_REPLY} AS reply FROM (SELECT event_id, CAST(CAST((event_id % 37) / 25.0 AS DECIMAL(10,2)) AS VARCHAR) AS r FROM events)))"
+_JUDGED = f"j AS (SELECT event_id, (CASE WHEN x IS NULL THEN 0.5 ELSE round(greatest(0, least(1, x)), 4) END)::DOUBLE AS judge FROM (SELECT event_id, try_cast(regexp_extract(reply, '[0-9.]+') AS DOUBLE) AS x FROM (SELECT event_id, {_REPLY} AS reply FROM (SELECT event_id, CAST(CAST((event_id % 37) / 25.0 AS DECIMAL(10,2)) AS VARCHAR) AS r FROM events))))"
 
 
 @register(f"WITH {_JUDGED} SELECT event_id, judge FROM j")
