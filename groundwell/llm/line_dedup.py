@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,34 +15,36 @@ PERCENT = 80
 BUCKETS = 1 << 17
 #: Lines holding one token in their prefix are dealt to one task up to about this many, then salted.
 LIST_SIZE = 20_000
-#: Levels of frequency to a doubling.
-STEPS = 6
+#: Levels of frequency to a doubling; a level takes seven bits.
+STEPS = 4
 BROADCAST_IDS = 500_000
 
 
-def _tokens(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.regexp_replace(line, r"[\x09-\x0D]", " "), " "), ""))
+def _words(text: Column) -> Column:
+    """64-bit hashes of the words of a text, in order."""
+    return F.transform(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""), lambda w: F.xxhash64(w))
 
 
 def line_sets(docs: DataFrame) -> DataFrame:
-    """(_id, ln, tokens, sid) of every line that has a token; sid is a digest of the token set."""
+    """(_id, ln, tokens, sid) of every line that has a token; sid is a 128-bit digest of the token set."""
     lines = docs.select("_id", F.posexplode(F.split(F.coalesce("_text", F.lit("")), "\n")).alias("ln", "_line"))
-    lines = lines.select("_id", "ln", F.sort_array(_tokens(F.col("_line"))).alias("tokens")).where(F.size("tokens") > 0)
-    return lines.withColumn("sid", F.unhex(F.md5(F.array_join("tokens", " "))))
+    lines = lines.select("_id", "ln", F.sort_array(F.array_distinct(_words(F.col("_line")))).alias("tokens"))
+    half = lambda *salt: F.lpad(F.hex(F.xxhash64(*salt, "tokens")), 16, "0")
+    return lines.where(F.size("tokens") > 0).withColumn("sid", F.unhex(F.concat(half(), half(F.lit(1)))))
 
 
 def _bucket(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+    return token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def _frequencies(docs: DataFrame) -> bytes:
-    """How often the corpus has tokens of each bucket, a byte a bucket on a logarithmic scale.
+    """How often the corpus has words of each bucket, a byte a bucket on a logarithmic scale.
 
     The table has one size for any corpus, so it can travel as a literal of the plan.
     """
-    words = docs.select(F.explode(_tokens(F.coalesce("_text", F.lit("")))).alias("w"))
+    words = docs.select(F.explode(_words(F.coalesce("_text", F.lit("")))).alias("w"))
     counts = words.groupBy(_bucket(F.col("w")).alias("k")).agg(F.count(F.lit(1)).alias("c"))
-    level = F.least(F.lit(255), F.floor(STEPS * F.log2(F.col("c") + 1))).cast("int")
+    level = F.least(F.lit(127), F.floor(STEPS * F.log2(F.col("c") + 1))).cast("int")
     row = counts.agg(F.collect_list(F.struct("k", level.alias("v"))).alias("f")).first()
     table = bytearray(BUCKETS)
     for k, v in row["f"]:
@@ -54,37 +58,39 @@ def _need(a: Column, b: Column, percent: int) -> Column:
     return F.floor((total - F.pmod(total, F.lit(100 + percent))) / (100 + percent))
 
 
-def _may_match(percent: int) -> Column:
-    """Length, prefix, positional and bitmap filters, for postings with the suffixes _a and _b.
+def _may_match(percent: int, a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Length, prefix, positional and bitmap filters, for the columns of two postings.
 
     Every bit in which two sets' bitmaps differ stands for a token that one of them lacks.
     """
-    sa, sb = F.col("size_a"), F.col("size_b")
+    sa, sb = a("size"), b("size")
     small, large = F.least(sa, sb), F.greatest(sa, sb)
-    at = F.when(sa <= sb, F.col("pos_a")).otherwise(F.col("pos_b"))
+    at = F.when(sa <= sb, a("pos")).otherwise(b("pos"))
     return (
         (100 * small >= percent * large)
         & (at < small - _need(small, small, percent) + 1)
-        & (1 + F.least(sa - F.col("pos_a") - 1, sb - F.col("pos_b") - 1) >= _need(sa, sb, percent))
-        & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= sa + sb - 2 * _need(sa, sb, percent))
+        & (1 + F.least(sa - a("pos") - 1, sb - b("pos") - 1) >= _need(sa, sb, percent))
+        & (F.bit_count(a("bits").bitwiseXOR(b("bits"))) <= sa + sb - 2 * _need(sa, sb, percent))
     )
 
 
 def _postings(lines: DataFrame, frequencies: bytes, percent: int) -> DataFrame:
-    """The rarest tokens of every line, as many as prefix filtering needs."""
+    """The rarest tokens of every line, as many as prefix filtering needs.
+
+    A token's level and 55 bits of its hash make one number, so that lines sort plain numbers.
+    """
     size = F.size("tokens")
     length = size - F.ceil(percent * size / 100).cast("int") + 1
-    level = lambda w: F.substring(F.lit(frequencies), _bucket(w) + 1, 1)
-    ranked = F.sort_array(F.transform("tokens", lambda w: F.struct(level(w).alias("c"), F.xxhash64(w).alias("t"))))
+    level = lambda w: F.ascii(F.substring(F.lit(frequencies), _bucket(w) + 1, 1).cast("string")).cast("long")
+    ranked = F.sort_array(F.transform("tokens", lambda w: F.shiftleft(level(w), 55).bitwiseOR(F.shiftrightunsigned(w, 9))))
     bits = F.aggregate(
-        "tokens", F.lit(0).cast("long"), lambda b, w: b.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int")))
+        "tokens", F.lit(0).cast("long"), lambda b, w: b.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int")))
     )
     p = lines.select("_id", "ln", "sid", bits.alias("bits"), size.alias("size"), F.slice(ranked, F.lit(1), length).alias("_r"))
-    p = p.select("_id", "ln", "sid", "bits", "size", F.posexplode("_r").alias("pos", "_r"))
-    count = F.pow(F.lit(2.0), F.conv(F.hex(F.col("_r")["c"]), 16, 10).cast("int") / STEPS)
-    salts = F.floor(count / LIST_SIZE) + 1
+    p = p.select("_id", "ln", "sid", "bits", "size", F.posexplode("_r").alias("pos", "t"))
+    salts = F.floor(F.pow(F.lit(2.0), F.shiftright("t", 55) / STEPS) / LIST_SIZE) + 1
     return p.select(
-        F.col("_r")["t"].alias("t"),
+        "t",
         F.when(salts > 1, F.pmod(F.xxhash64("_id"), salts) + 1).otherwise(F.lit(0)).cast("int").alias("salt"),
         "_id", "ln", "sid", "bits", "size", "pos",
     )
@@ -118,7 +124,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     Lines are compared by their sets of words; a line goes if any line before it, in order of
     (id, line number), has a set whose Jaccard similarity with its own is at least ``percent``.
 
-    Lines with equal sets share a digest. Each line emits its rarest words; within a word's list, in
+    Words count by 64-bit hashes; lines with equal sets share a digest. Each line emits its rarest words; within a word's list, in
     corpus order, every set is checked against the list's first set and the one before it. Sets
     without a match by then are joined with all earlier sets on the word. So groups of alike lines
     are not paired among themselves, and no match is missed.
@@ -129,45 +135,32 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     """
     private_names(docs, id_col, text_col)
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    lines = line_sets(docs)
+    lines = stored(line_sets(docs).select("_id", "ln", "sid"))
     firsts = checkpointed(lines.groupBy("sid").agg(F.min(F.struct("_id", "ln")).alias("first")))
-    frequencies = _frequencies(docs)
-    by = Window.partitionBy("t", "salt").orderBy("_id", "ln", "sid")
-    posts = _postings(lines, frequencies, percent).repartition("t", "salt")
+    posts = _postings(line_sets(docs), _frequencies(docs), percent).repartition("t", "salt")
     # Of one set's rows in a list only the first counts.
     own = Window.partitionBy("t", "salt", "sid").orderBy("_id", "ln")
     posts = posts.withColumn("_nth", F.row_number().over(own)).where("_nth = 1").drop("_nth")
-    live = posts.select(
-        "*",
-        F.lag(F.struct("sid", "bits", "size", "pos")).over(by).alias("_near"),
-        F.first(F.struct("sid", "bits", "size", "pos")).over(by).alias("_head"),
-        F.lead("ln").over(by).isNotNull().alias("_more"),
-    )
-    live = stored(
-        live.where("_near IS NOT NULL OR _more OR salt > 0").select("t", "sid", "bits", "size", "pos", "_near", "_head")
-    )
+    by = Window.partitionBy("t", "salt").orderBy("_id", "ln", "sid")
+    member = F.struct("sid", "bits", "size", "pos")
+    posts = posts.select("*", F.lag(member).over(by).alias("_near"), F.first(member).over(by).alias("_head"), F.lead("ln").over(by).isNotNull().alias("_more"))
 
-    def partners(column: str) -> DataFrame:
-        p = live.where("_near IS NOT NULL").select(
-            F.col("sid").alias("b"), F.col("bits").alias("bits_b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"), F.col(column).alias("p")
-        )
-        p = p.select("*", F.col("p.sid").alias("a"), F.col("p.bits").alias("bits_a"), F.col("p.size").alias("size_a"), F.col("p.pos").alias("pos_a"))
-        return p.where(_may_match(percent) & (F.col("a") != F.col("b"))).select("a", "b")
+    def partner(m: str) -> Column:
+        fits = _may_match(percent, lambda c: F.col(f"{m}.{c}"), F.col) & (F.col(f"{m}.sid") != F.col("sid"))
+        return F.when(fits, F.col(f"{m}.sid"))
 
-    first = checkpointed(partners("_near").unionByName(partners("_head")).distinct())
+    live = posts.where("_near IS NOT NULL OR _more OR salt > 0")
+    live = stored(live.select("t", "sid", "bits", "size", "pos", "_id", "ln", partner("_near").alias("near"), partner("_head").alias("head")))
+    first = live.select(F.col("near").alias("a"), F.col("sid").alias("b")).unionByName(live.select(F.col("head").alias("a"), F.col("sid").alias("b")))
+    first = checkpointed(first.where("a IS NOT NULL").distinct())
     gone = checkpointed(_later(_verified(first, docs, percent), firsts))
-    posts = live.select("t", "sid", "bits", "size", "pos").distinct()
-    posts = stored(posts.join(firsts, "sid"))
-    rest = posts.join(gone, "sid", "left_anti")
-    x = posts.select("t", *[F.col(c).alias(f"{c}_a") for c in ("sid", "bits", "size", "pos", "first")])
-    y = rest.select("t", *[F.col(c).alias(f"{c}_b") for c in ("sid", "bits", "size", "pos", "first")])
-    second = (
-        y.join(x, "t")
-        .where((F.col("first_a") < F.col("first_b")) & _may_match(percent))
-        .select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
-        .distinct()
-    )
-    second = checkpointed(second)
+    rest = live.join(gone, "sid", "left_anti")
+    place = F.struct("_id", "ln").alias("place")
+    x = live.select("t", F.struct("sid", "bits", "size", "pos", place).alias("x"))
+    y = rest.select("t", F.struct("sid", "bits", "size", "pos", place).alias("y"))
+    fits = _may_match(percent, lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
+    second = y.join(x, "t").where((F.col("x.place") < F.col("y.place")) & fits)
+    second = checkpointed(second.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct())
     more = _later(_verified(second, docs, percent), firsts)
     marks = firsts.join(gone.unionByName(more).distinct().withColumn("_dup", F.lit(True)), "sid", "left")
     places = lines.select("_id", "ln", "sid").join(marks, "sid")
