@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected
-from .runtime import checkpointed, free_name, private_names
+from .runtime import checkpointed, free_name, private_names, stored
 from .textbytes import buffers, shingles, slices
 
 #: Two rows of counters estimate how many texts hold an n-gram; the least of its counters counts.
@@ -262,7 +262,7 @@ def near_duplicates(
     fresh = posts.withColumn("_last", F.lag("fp").over(by)).where("_last IS NULL OR _last != fp").drop("_last")
     neighbours = F.lag("fp").over(by).isNotNull() | F.lead("fp").over(by).isNotNull()
     # A salted list has members in other tasks too.
-    live = checkpointed(fresh.withColumn("_shared", neighbours | (F.col("salt") > 0)).where("_shared").drop("_shared"))
+    live = stored(fresh.withColumn("_shared", neighbours | (F.col("salt") > 0)).where("_shared").drop("_shared"))
     weights = live.groupBy("fp").agg(F.count(F.lit(1)).alias("weight"))
     live = live.join(weights, "fp")
     post, roots, links, tested = live.withColumn("root", F.col("fp")), None, None, None
@@ -289,7 +289,7 @@ def near_duplicates(
             return post
         p = live.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         several = p.groupBy("sh").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo != _hi")
-        return checkpointed(p.join(several.select("sh"), "sh", "left_semi"))
+        return stored(p.join(several.select("sh"), "sh", "left_semi"))
 
     for _ in range(ROUNDS):
         if not verified(_stars(post, percent)):
