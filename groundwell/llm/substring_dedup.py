@@ -18,7 +18,7 @@ LENGTH = 200
 #: Anchors are the least hashes of GRAM-byte strings among those of each window of LENGTH bytes.
 GRAM = 64
 REACH = LENGTH - GRAM  # windows that hold an anchor begin at most this far before it
-BLOCK = 50
+BLOCK = 100
 #: Snippets of one anchor merged by one task; more of them go by window digests instead.
 GROUP = 1000
 SHARD_BYTES = 1 << 17
