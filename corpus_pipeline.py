@@ -22,11 +22,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs)
+    return mixing.placed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.checked(docs, model_path())
+    return sentencepiece_codec.checked(docs, model_path(), carry=("slot", "place"))
 
 
 STAGES = [
@@ -42,7 +42,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written as Parquet to the shared folder and read again."""
+    """All stages over ``documents``; each is written as Parquet to the shared folder and read again.
+
+    Files do not keep the order of rows: ``slot`` and ``place`` of the result give the order of the mix.
+    """
     folder = stage_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):

@@ -132,8 +132,20 @@ def scheduled(
     )
 
 
+def placed(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """All rows of ``docs`` in the order of the mix, with ``slot`` and ``place``, which keep that order in files."""
+    if clash := {"slot", "place"} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs already has {sorted(clash)}")
+    out = _in_order(docs, weights, block_rows, id_col, source_col)
+    return out.select(*[F.col(c if c == id_col else f"_c_{c}").alias(c) for c in docs.columns], "slot", "place")
+
+
 def mixed(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """All rows of ``docs`` in the order of the mix, columns unchanged."""
-    others = tuple(c for c in docs.columns if c != id_col)
-    out = scheduled(docs, weights, block_rows, id_col, source_col, carry=others).orderBy("slot", "place")
+    out = _in_order(docs, weights, block_rows, id_col, source_col)
     return out.select(*[F.col(c if c == id_col else f"_c_{c}").alias(c) for c in docs.columns])
+
+
+def _in_order(docs: DataFrame, weights: dict[str, int] | None, block_rows: int, id_col: str, source_col: str) -> DataFrame:
+    others = tuple(c for c in docs.columns if c != id_col)
+    return scheduled(docs, weights, block_rows, id_col, source_col, carry=others).orderBy("slot", "place")

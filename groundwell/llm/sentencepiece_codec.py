@@ -410,8 +410,10 @@ def decoded(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: s
     return source.mapInArrow(run, f"_id {kind}, text string").withColumnRenamed("_id", id_col)
 
 
-def checked(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_ids, ids_sha256 and round_trip for every row.
+def checked(
+    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """id, n_bytes, n_ids, ids_sha256 and round_trip (and ``carry``) for every row.
 
     Encoding and decoding run over the same Arrow batches: the ids are decoded again where they are
     made, and only their digest leaves the task. ``ids_sha256`` is over the ids as little-endian
@@ -419,6 +421,7 @@ def checked(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     """
     private_names(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
+    kept = [f"_c_{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -435,14 +438,17 @@ def checked(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
                     digests.append(hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest())
                     same.append(decode_ids(v, ids) == t.replace(P.SPACE, " "))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(same)],
-                    ["_id", "n_bytes", "n_ids", "ids_sha256", "round_trip"],
+                    [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(same)]
+                    + [part.column(3 + i) for i in range(len(kept))],
+                    ["_id", "n_bytes", "n_ids", "ids_sha256", "round_trip", *kept],
                 )
 
     source = docs.select(
         F.col(id_col).alias("_id"),
         F.col(text_col).alias("_text"),
         F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"),
+        *[F.col(c).alias(k) for c, k in zip(carry, kept, strict=True)],
     )
-    out = source.mapInArrow(run, f"_id {kind}, n_bytes long, n_ids long, ids_sha256 string, round_trip boolean")
-    return out.withColumnRenamed("_id", id_col)
+    types = "".join(f", {k} {docs.schema[c].dataType.simpleString()}" for c, k in zip(carry, kept, strict=True))
+    out = source.mapInArrow(run, f"_id {kind}, n_bytes long, n_ids long, ids_sha256 string, round_trip boolean{types}")
+    return out.withColumnsRenamed({"_id": id_col} | dict(zip(kept, carry, strict=True)))

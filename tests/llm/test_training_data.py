@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -321,3 +322,23 @@ def test_pipeline_against_brute_force(spark):
     for i in ids:
         digest = hashlib.sha256(sentencepiece_codec.encode_text(v, texts[i]).astype("<i4").tobytes()).hexdigest()
         assert got[i]["round_trip"] and got[i]["ids_sha256"] == digest
+
+
+def test_pipeline_rows_keep_the_schedule(spark, monkeypatch):
+    import corpus_pipeline
+
+    got = {r["doc_id"]: (r["slot"], r["place"]) for r in corpus_pipeline.run(spark, SMALL).collect()}
+    con = duckdb.connect()
+    con.register("ids", pa.table({"doc_id": list(got)}))
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet' WHERE doc_id IN (SELECT doc_id FROM ids)")
+    assert got == {i: (s, p) for i, s, p in con.execute(f"SELECT doc_id, slot, place FROM ({oracles.MIXING})").fetchall()}
+
+    # Other target weights, another result.
+    monkeypatch.setattr(corpus_pipeline.mixing, "placed", lambda d, placed=mixing.placed: placed(d, {"src8": 50}))
+    again = {r["doc_id"]: (r["slot"], r["place"]) for r in corpus_pipeline.run(spark, SMALL).collect()}
+    assert again.keys() == got.keys() and again != got
+
+    # Without the mixing stage the rows have no schedule to carry.
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [s for s in corpus_pipeline.STAGES if s[0] != "source mixing"])
+    with pytest.raises(Exception, match="slot"):
+        corpus_pipeline.run(spark, SMALL)
