@@ -134,17 +134,8 @@ def _shares(counts: Column) -> Column:
     return F.transform(counts, lambda x: F.floor(x * F.lit(UNIT) / total))
 
 
-def _references(h: DataFrame) -> DataFrame:
-    """Mean histogram of each language over all texts that are long enough: at most five rows.
-
-    Every text weighs the same, whatever its length.
-    """
-    h = h.where((F.col("_chars") >= MIN_CHARS_FOR_CLASSES) & (F.col("_n") >= MIN_WORDS))
-    h = h.select("_lang", _shares(F.col("_classes")).alias("c"), _shares(F.col("_common")).alias("w"))
-    width = max(map(len, COMMON_WORDS.values())) + 1
-    sums = [F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(BINS)]
-    sums += [F.sum(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(width)]
-    r = h.groupBy("_lang").agg(F.count(F.lit(1)).alias("_ref_n"), *sums)
+def _as_shares(r: DataFrame, width: int) -> DataFrame:
+    """_lang, _ref_n and the histograms as arrays that sum to one, from a column for each bin."""
     as_array = lambda k, n: F.array_compact(F.array(*[F.col(f"{k}{i}") for i in range(n)]))
     share = lambda a: let(
         a,
@@ -160,6 +151,40 @@ def _references(h: DataFrame) -> DataFrame:
     )
 
 
+def _references(h: DataFrame) -> DataFrame:
+    """Mean histogram of each language over all texts that are long enough: at most five rows.
+
+    Every text weighs the same, whatever its length.
+    """
+    h = h.where((F.col("_chars") >= MIN_CHARS_FOR_CLASSES) & (F.col("_n") >= MIN_WORDS))
+    h = h.select("_lang", _shares(F.col("_classes")).alias("c"), _shares(F.col("_common")).alias("w"))
+    width = max(map(len, COMMON_WORDS.values())) + 1
+    sums = [F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(BINS)]
+    sums += [F.sum(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(width)]
+    r = h.groupBy("_lang").agg(F.count(F.lit(1)).alias("_ref_n"), *sums)
+    return _as_shares(r, width)
+
+
+def _robust_references(h: DataFrame) -> DataFrame:
+    """Median over sources of each source's mean histogram, of texts that pass the base rules.
+
+    Equal texts count once, for the first of their sources, and a source has one vote however many
+    rows it holds, so that one hot source cannot move the reference of a language. Only sources of
+    a language with three or more give that safety. Needs _source.
+    """
+    h = h.where((F.col("_chars") >= MIN_CHARS_FOR_CLASSES) & ~_base_failed())
+    width = max(map(len, COMMON_WORDS.values())) + 1
+    h = h.select("_lang", "_source", F.xxhash64("_text").alias("_copy"), _shares(F.col("_classes")).alias("c"), _shares(F.col("_common")).alias("w"))
+    bins = [f"{k}{i}" for k, n in (("c", BINS), ("w", width)) for i in range(n)]
+    h = h.select("_lang", "_source", "_copy", *[F.get(b[0], F.lit(int(b[1:]))).alias(b) for b in bins])
+    # Equal texts have equal shares: the greatest is any of them.
+    h = h.groupBy("_lang", "_copy").agg(F.min("_source").alias("_source"), *[F.max(b).alias(b) for b in bins])
+    h = h.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(b).alias(b) for b in bins])
+    h = h.select("_lang", "_n", *[(F.col(b).cast("double") / F.col("_n")).alias(b) for b in bins])
+    r = h.groupBy("_lang").agg(F.sum("_n").alias("_ref_n"), *[F.percentile(b, F.lit(0.5)).alias(b) for b in bins])
+    return _as_shares(r, width)
+
+
 def js_distance(counts: Column, reference: Column) -> Column:
     """Jensen-Shannon distance (base 2) of a histogram of counts from a histogram of shares."""
 
@@ -188,6 +213,10 @@ def _base(h: DataFrame) -> DataFrame:
     return h.withColumn("_repeats", _repeat_words(F.col("_words")))
 
 
+def _base_failed() -> Column:
+    return (F.col("_n") < MIN_WORDS) | (100 * F.col("_repeats") > 50 * F.col("_n"))
+
+
 def _verdicts(h: DataFrame, refs: DataFrame) -> DataFrame:
     # Five languages at most, so the references are a table of five rows at most.
     h = h.join(F.broadcast(refs), "_lang", "left")
@@ -198,7 +227,7 @@ def _verdicts(h: DataFrame, refs: DataFrame) -> DataFrame:
         F.get("_classes", F.lit(SYMBOLS)).alias("n_symbols"),
         F.col("_dups").alias("n_dup_lines"),
         F.col("_repeats").alias("n_repeat_words"),
-        ((F.col("_n") < MIN_WORDS) | (100 * F.col("_repeats") > 50 * F.col("_n"))).alias("base_failed"),
+        _base_failed().alias("base_failed"),
         F.when(
             (F.col("_chars") >= MIN_CHARS_FOR_CLASSES) & (F.col("_ref_n") >= MIN_REFERENCE_TEXTS),
             js_distance(F.col("_classes"), F.col("_ref_classes")),
@@ -232,7 +261,14 @@ def judged(
     return _verdicts(h, _references(h))
 
 
-def kept_rows(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged. Texts are read twice and never shuffled."""
-    h = _prepared(docs, text_col, lang_col)
-    return _verdicts(_base(h), _references(h)).where("kept").select("row.*")
+def kept_rows(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", source_col: str | None = "source") -> DataFrame:
+    """The rows of ``docs`` that stay, all columns unchanged. Texts are read twice and never shuffled.
+
+    Unlike ``judged``, whose SQL fixes plain means, rows are held against references that no single
+    source can move; without ``source_col`` all rows are one source.
+    """
+    private_names(docs, *([source_col] if source_col else []))
+    h = _base(_prepared(docs, text_col, lang_col))
+    source = F.col("row")[source_col].cast("string") if source_col else F.lit("")
+    refs = _robust_references(h.withColumn("_source", F.coalesce(source, F.lit(""))))
+    return _verdicts(h, refs).where("kept").select("row.*")

@@ -342,3 +342,18 @@ def test_pipeline_rows_keep_the_schedule(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", [s for s in corpus_pipeline.STAGES if s[0] != "source mixing"])
     with pytest.raises(Exception, match="slot"):
         corpus_pipeline.run(spark, SMALL)
+
+
+def prose(r, words, letters, n=150):
+    noise = lambda: "".join(r.choice(letters) for _ in range(r.randint(3, 9)))
+    return " ".join(r.choice(words) if words and r.random() < 0.4 else noise() for _ in range(n)) + "."
+
+
+def test_a_hot_source_of_junk_does_not_become_the_reference(spark):
+    r = random.Random(9)
+    letters = "abcdefghiklmnoprstuvw"
+    rows = [(i, prose(r, quality_rules.COMMON_WORDS[lang], letters), lang, f"s{i % 5}") for i, lang in enumerate(["en"] * 60 + ["de"] * 140)]
+    # A third of all rows, more than the rest of their language: symbols between words.
+    rows += [(1000 + i, prose(r, None, letters + "#*$%&|<>" * 3), "en", "hot") for i in range(100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert sorted(x["doc_id"] for x in quality_rules.kept_rows(d).collect()) == list(range(200))
