@@ -42,6 +42,25 @@ def _language(lang: Column) -> Column:
     return F.when(lang.isin(*COMMON_WORDS), lang).otherwise(F.lit("other"))
 
 
+#: Scripts that tell references of one language tag apart.
+SCRIPTS = ["Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Bengali", "Thai", "Hangul", "Hiragana", "Katakana", "Han"]
+
+
+def _script(text: Column) -> Column:
+    """The script with the most characters, '' where there is none of SCRIPTS. Kana and Han are one."""
+    size = lambda s: F.length(text) - F.length(F.regexp_replace(text, rf"\p{{Is{s}}}+", ""))
+    japanese = ("Hiragana", "Katakana", "Han")
+    counts = [F.struct(size(s).alias("n"), F.lit(s).alias("s")) for s in SCRIPTS if s not in japanese]
+    counts.append(F.struct(sum(map(size, japanese), F.lit(0)).alias("n"), F.lit("Han").alias("s")))
+    return let(F.array_max(F.array(*counts)), lambda m: F.when(m["n"] > 0, m["s"]).otherwise(F.lit("")))
+
+
+def _reference_key(lang: Column, text: Column) -> Column:
+    """The language itself; with its script where no word list makes it known; null where it is not told."""
+    tag = F.lower(F.trim(lang))
+    return F.when(lang.isin(*COMMON_WORDS), lang).when(tag != "", F.concat_ws("/", tag, _script(text)))
+
+
 def _word_list(key: Column) -> Column:
     out = F.array().cast("array<string>")
     for lang, words in COMMON_WORDS.items():
@@ -172,7 +191,7 @@ def _robust_references(h: DataFrame) -> DataFrame:
     rows it holds, so that one hot source cannot move the reference of a language. Only sources of
     a language with three or more give that safety. Needs _source.
     """
-    h = h.where((F.col("_chars") >= MIN_CHARS_FOR_CLASSES) & ~_base_failed())
+    h = h.where((F.col("_chars") >= MIN_CHARS_FOR_CLASSES) & ~_base_failed() & F.col("_lang").isNotNull())
     width = max(map(len, COMMON_WORDS.values())) + 1
     h = h.select("_lang", "_source", F.xxhash64("_text").alias("_copy"), _shares(F.col("_classes")).alias("c"), _shares(F.col("_common")).alias("w"))
     bins = [f"{k}{i}" for k, n in (("c", BINS), ("w", width)) for i in range(n)]
@@ -218,7 +237,7 @@ def _base_failed() -> Column:
 
 
 def _verdicts(h: DataFrame, refs: DataFrame) -> DataFrame:
-    # Five languages at most, so the references are a table of five rows at most.
+    # The references are a table of one short row a language (and script).
     h = h.join(F.broadcast(refs), "_lang", "left")
     h = h.select(
         "row",
@@ -265,10 +284,14 @@ def kept_rows(docs: DataFrame, text_col: str = "text", lang_col: str | None = "l
     """The rows of ``docs`` that stay, all columns unchanged. Texts are read twice and never shuffled.
 
     Unlike ``judged``, whose SQL fixes plain means, rows are held against references that no single
-    source can move; without ``source_col`` all rows are one source.
+    source can move; without ``source_col`` all rows are one source. Texts of other languages than those
+    with word lists are held against texts of their own language and script only; where there are too few,
+    or no language is given, the base rules alone decide.
     """
     private_names(docs, *([source_col] if source_col else []))
     h = _base(_prepared(docs, text_col, lang_col))
+    lang = F.col("row")[lang_col].cast("string") if lang_col else F.lit(None).cast("string")
+    h = h.withColumn("_lang", _reference_key(lang, F.col("_text")))
     source = F.col("row")[source_col].cast("string") if source_col else F.lit("")
-    refs = _robust_references(h.withColumn("_source", F.coalesce(source, F.lit(""))))
+    refs = _robust_references(h.withColumn("_source", F.coalesce(source, F.lit("")))).where(F.col("_ref_n") >= MIN_REFERENCE_TEXTS)
     return _verdicts(h, refs).where("kept").select("row.*")

@@ -357,3 +357,19 @@ def test_a_hot_source_of_junk_does_not_become_the_reference(spark):
     rows += [(1000 + i, prose(r, None, letters + "#*$%&|<>" * 3), "en", "hot") for i in range(100)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     assert sorted(x["doc_id"] for x in quality_rules.kept_rows(d).collect()) == list(range(200))
+
+
+def test_minority_scripts_are_held_against_their_own_language(spark):
+    r = random.Random(10)
+    latin, russian = "abcdefghiklmnoprstuvw", "абвгдежзиклмнопрстуя"
+    rows = [(i, prose(r, None, latin), "it", f"s{i % 5}") for i in range(100)]
+    rows += [(100 + i, prose(r, None, russian), "ru", f"s{i % 5}") for i in range(30)]
+    # One language in two scripts, none at all, and one with too few texts for a reference.
+    rows += [(200 + i, prose(r, None, (latin, russian)[i % 5 == 0]), "sr", f"s{i % 7}") for i in range(150)]
+    rows += [(400 + i, prose(r, None, russian), None, "s1") for i in range(5)]
+    rows += [(500 + i, prose(r, None, russian), "uk", "s1") for i in range(5)]
+    clean = [x[0] for x in rows]
+    # Junk of a language with a reference of its own still goes.
+    rows += [(1000 + i, prose(r, None, russian + "#*$%&|<>" * 3), "ru", "hot") for i in range(10)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert sorted(x["doc_id"] for x in quality_rules.kept_rows(d).collect()) == clean
