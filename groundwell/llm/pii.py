@@ -35,15 +35,21 @@ SYLLABLES = {
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
+# A capitalised word (no "'s" at its end) or an initial before another; and small words inside a name.
+# Possessive repeats of groups take no stack, so names and secrets need no upper bound.
+_WORD = r"\p{Lu}(?:(?:[\p{L}\p{M}]|['’](?=\p{L})(?![sS](?!\p{L})))++|\.(?= \p{Lu}))"
+_PARTICLES = r"(?:(?:van|von|der|den|de|del|della|di|da|du|la|le|los|las|zu|y) )*+"
 #: Tried in this order at every place; a card number must also pass its check digit.
 PATTERNS = {
-    "secret": r"""(?i:api[_ -]?key|access[_ -]?key|token|secret|password|passwd)\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9_+/\-]{8,256}""",
+    "secret": r"""(?i:api[_ -]?key|access[_ -]?key|token|secret|password|passwd)(?:\\?["'])?\s{0,3}[=:]\s{0,3}(?:"""
+    + r"""\\?"(?=[^"\s\p{L}\p{N}]*+[\p{L}\p{N}])[^"\s]{8,}+|\\?'(?=[^'\s\p{L}\p{N}]*+[\p{L}\p{N}])[^'\s]{8,}+"""
+    + r"""|["']?(?=[_+/=~.\-]*+[A-Za-z0-9])[A-Za-z0-9_+/=~.\-]{7,}[A-Za-z0-9_+/=~\-])""",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9_%+\-][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "phone": r"(?<![\d(])(?:\+\d{1,3}[ \-]?)?(?:\(\d{2,4}\)[ \-]?\d{3,4}[ \-]\d{3,4}|\d{3}[ \-]\d{3}[ \-]\d{4})(?!\d)|(?<!\d)\+\d{1,3}(?:[ \-]?\d{2,4}){3,5}(?!\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\d])(?<!\d[ \-])\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?!\d)|(?<!\d)\d{13,19}(?!\d)",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{Ll}}'’]+(?:[ \-]\p{{Lu}}[\p{{Ll}}'’]+){{0,2}}",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_WORD}(?:[ \-]{_PARTICLES}{_WORD})*+",
 }
 COMBINED = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must hold for any pattern to match: most texts end here.
@@ -90,7 +96,7 @@ def _kind(match: Column) -> Column:
 def _head(kind: Column, match: Column) -> Column:
     """The part of a match that stays: the words before a secret, the title before a name."""
     return (
-        F.when(kind == "secret", F.regexp_extract(match, r"""^([^=:]*[=:]\s*["']?)""", 1))
+        F.when(kind == "secret", F.regexp_extract(match, r"""^([^=:]*[=:]\s*(?:\\?["'])?)""", 1))
         .when(kind == "name", F.regexp_extract(match, rf"^((?:{_TITLE})\.? )", 1))
         .when(kind == "phone", F.regexp_extract(match, r"^(\+\d{1,3}(?=[ \-(])|)", 1))
         .otherwise(F.lit(""))
@@ -113,7 +119,7 @@ def _pick(words: list[str], n: Column) -> Column:
 
 
 def _same_shape(value: Column, stream: Column) -> Column:
-    """Digits become digits, small letters small letters, capitals capitals; all else stays."""
+    """Digits become digits, small letters small letters, capitals capitals; all but letters and digits stays."""
 
     def swap(c: Column, i: Column) -> Column:
         b = _byte(stream, i)
@@ -121,7 +127,8 @@ def _same_shape(value: Column, stream: Column) -> Column:
         return (
             F.when(c.rlike("[0-9]"), F.pmod(b, F.lit(10)).cast("string"))
             .when(c.rlike("[a-z]"), letter)
-            .when(c.rlike("[A-Z]"), F.upper(letter))
+            .when(c.rlike(r"\p{Lu}"), F.upper(letter))
+            .when(c.rlike(r"[\p{L}\p{N}]"), letter)
             .otherwise(c)
         )
 

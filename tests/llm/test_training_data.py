@@ -373,3 +373,27 @@ def test_minority_scripts_are_held_against_their_own_language(spark):
     rows += [(1000 + i, prose(r, None, russian + "#*$%&|<>" * 3), "ru", "hot") for i in range(10)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     assert sorted(x["doc_id"] for x in quality_rules.kept_rows(d).collect()) == clean
+
+
+def test_whole_entities_are_replaced(spark):
+    r = random.Random(11)
+    token = "".join(r.choice("abcdefghijklmnop0123456789") for _ in range(300))
+    huge = "".join(r.choice("abcdefghijklmnop0123456789") for _ in range(50_000))
+    cases = [
+        (f"token={token} end", [token[256:]]),
+        (f"secret: {huge} end", [huge[-40:]]),
+        ('token = "eyJhbGciOi.eyJzdWIiOj.SflKxwRJSM" end', ["eyJzdWIiOj", "SflKxwRJSM"]),
+        ("token = eyJhbGciOi.eyJzdWIiOj~.SflKxwRJSM==. end", ["eyJzdWIiOj", "SflKxwRJSM"]),
+        ('{"password": "hunter2hunter2!xyzzy"} end', ["hunter2", "xyzzy"]),
+        (r'{\"api_key\": \"hunter2hunter2\"} end', ["hunter2"]),
+        ("Mrs Ana Maria Garcia Lopez end", ["Ana", "Maria G", "Garcia", "Lopez"]),
+        ("Mr John F. McDonald's end", ["John", "Donald"]),
+        ("Herr Ludwig van der Beethoven-O'Neil end", ["Ludwig", "Beethoven", "Neil"]),
+        ("Mr " + "Zebedee " * 20_000 + "end", ["Zebedee"]),
+    ]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    for x in pii.anonymised(d, "k").orderBy("doc_id").collect():
+        assert x["n_entities"] == 1 and x["text"].endswith("end")
+        assert not [p for p in cases[x["doc_id"]][1] if p in x["text"]], x["text"][:200]
+    plain = spark.createDataFrame([(1, "token: ================ and password = short")], "doc_id long, text string")
+    assert pii.anonymised(plain, "k").first()["n_entities"] == 0
