@@ -173,24 +173,64 @@ def _family(syllables: list[str], stream: Column, attempt: Column) -> Column:
     return F.initcap(F.array_join(parts, ""))
 
 
-def _name(head: Column, value: Column, stream: Column, attempt: Column) -> Column:
+def _title_is(match: Column, what: int) -> Column:
+    """Gender (0) or script (1) of a name's title."""
+    title = F.regexp_extract(match, rf"^({_TITLE})\.? ", 1)
     out = F.lit(None).cast("string")
-    title = F.regexp_replace(head, r"\.? $", "")
-    for (gender, script), titles in TITLES.items():
-        family = _family(SYLLABLES[script], stream, attempt)
-        given = _pick(GIVEN[gender, script], _byte(stream, 0))
-        full = F.when(value.rlike(r"[ \-]"), F.concat_ws(" ", given, family)).otherwise(family)
-        out = F.when(title.isin(titles), full).otherwise(out)
+    for key, titles in TITLES.items():
+        out = F.when(title.isin(titles), F.lit(key[what])).otherwise(out)
     return out
 
 
-def surrogate(key: str, kind: Column, match: Column, attempt: Column) -> Column:
+def _family_part(value: Column) -> Column:
+    return F.regexp_extract(value, r"([^ ]+)$", 1)
+
+
+def _new_family(key: str, script: Column, family: Column, attempt: Column) -> Column:
+    """The family name that takes the place of one, whatever the title and the given names."""
+    out = F.lit(None).cast("string")
+
+    def build(stream: Column) -> Column:
+        made = out
+        for name, syllables in SYLLABLES.items():
+            made = F.when(script == name, _family(syllables, stream, attempt)).otherwise(made)
+        return made
+
+    return let(_stream(key, F.concat(F.lit("family "), script), family, attempt), build)
+
+
+def _new_name(key: str, script: Column, gender: Column, value: Column, attempt: Column, family_attempt: Column) -> Column:
+    """What takes the place of a name without its title. Later attempts have a second given name."""
+    family = _new_family(key, script, _family_part(value), family_attempt)
+
+    def build(stream: Column) -> Column:
+        made = F.lit(None).cast("string")
+        for (g, s), names in GIVEN.items():
+            first = _pick(names, _byte(stream, 0))
+            both = F.when(attempt > 0, F.concat_ws(" ", first, _family(SYLLABLES[s], stream, attempt))).otherwise(first)
+            made = F.when((gender == g) & (script == s), both).otherwise(made)
+        return made
+
+    given = let(_stream(key, F.concat_ws(" ", F.lit("given"), script, gender), value, attempt), build)
+    return F.when(value.contains(" "), F.concat_ws(" ", given, family)).otherwise(family)
+
+
+#: Overrides are one number: the attempt, a hundred times the family's, ten thousand times the gender told by other titles.
+GENDERS = ["", "f", "m"]
+
+
+def surrogate(key: str, kind: Column, match: Column, override: Column) -> Column:
     """What takes the place of a match of the given type."""
+    attempt = F.pmod(override, F.lit(100))
 
     def of(head: Column) -> Column:
         value = F.substring(match, F.length(head) + 1, F.length(match))
-        # Names that differ in their titles only are one person's.
-        seed = F.when(kind == "name", F.concat_ws("\x1f", value)).otherwise(match)
+        told = F.get(F.array(*[F.lit(g) for g in GENDERS]), F.floor(override / 10000).cast("int"))
+        gender = F.when(told == "", _title_is(match, 0)).otherwise(told)
+        name = let(
+            F.struct(_title_is(match, 1).alias("s"), gender.alias("g"), value.alias("v")),
+            lambda n: _new_name(key, n["s"], n["g"], n["v"], attempt, F.pmod(F.floor(override / 100), F.lit(100)).cast("int")),
+        )
 
         def build(s: Column) -> Column:
             octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: _byte(s, i).cast("string")), ".")
@@ -202,11 +242,11 @@ def surrogate(key: str, kind: Column, match: Column, attempt: Column) -> Column:
                 .when(kind == "email", email)
                 .when(kind == "ip", octets)
                 .when(kind == "card", _card(match, s))
-                .when(kind == "name", _name(head, value, s, attempt))
                 .otherwise(_same_shape(value, s))
             )
 
-        return F.concat(head, let(_stream(key, kind, seed, attempt), build))
+        new = F.when(kind == "name", name).otherwise(let(_stream(key, kind, match, attempt), build))
+        return F.concat(head, new)
 
     return let(_head(kind, match), of)
 
@@ -221,26 +261,68 @@ def _values(matches: DataFrame) -> DataFrame:
     return matches.withColumn("kind", _kind(F.col("match"))).where("kind IS NOT NULL")
 
 
-def collisions(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, match, attempt > 0) of the entities whose first surrogates would not do.
+def _settled(units: DataFrame, real: DataFrame, new) -> DataFrame:
+    """``units`` (space, unit and what ``new`` needs) with the first attempt that leaves no clash.
 
-    A surrogate must differ from every surrogate and every real value of its type. Entities that
-    fail take the next attempt, until none fails.
+    ``new(attempt)`` must differ from that of every other unit of its space, and from every value in
+    ``real`` (space, _s). Units that fail take the next attempt, until none fails.
     """
-    e = checkpointed(entities.select("kind", "match").distinct().withColumn("attempt", F.lit(0)))
-    real = e.select("kind", F.col("match").alias("_s")).withColumn("_real", F.lit(True))
+    columns = units.columns
+    e = checkpointed(units.withColumn("attempt", F.lit(0)))
+    real = real.distinct().withColumn("_real", F.lit(True))
     for _ in range(ROUNDS):
-        s = e.withColumn("_s", surrogate(key, F.col("kind"), F.col("match"), F.col("attempt")))
-        nth = F.row_number().over(Window.partitionBy("kind", "_s").orderBy("attempt", "match"))
-        s = s.withColumn("_bad", nth > 1).join(real, ["kind", "_s"], "left")
+        s = e.withColumn("_s", new(F.col("attempt")))
+        nth = F.row_number().over(Window.partitionBy("space", "_s").orderBy("attempt", "unit"))
+        s = s.withColumn("_bad", nth > 1).join(real, ["space", "_s"], "left")
         s = s.withColumn("_bad", F.col("_bad") | F.coalesce("_real", F.lit(False)))
-        s = checkpointed(s.select("kind", "match", (F.col("attempt") + F.col("_bad").cast("int")).alias("attempt"), "_bad"))
+        s = checkpointed(s.select(*columns, (F.col("attempt") + F.col("_bad").cast("int")).alias("attempt"), "_bad"))
         e = s.drop("_bad")
         if s.where("_bad").isEmpty():
-            return e.where("attempt > 0")
+            return e
     raise RuntimeError("surrogates still collide: the space of one type is too small for its entities")
 
 
+def collisions(entities: DataFrame, key: str) -> DataFrame:
+    """(match, override > 0) of the entities whose first surrogates would not do.
+
+    A surrogate must differ from every surrogate and every real value of its type. Names are settled
+    without their titles: first family names, apart in each script and from every word of a real name,
+    then names with given names, whose gender a title without one takes from the others of that name.
+    """
+    e = checkpointed(entities.select("kind", "match").distinct())
+    others = e.where("kind != 'name'").select(F.col("kind").alias("space"), F.col("match").alias("unit"))
+    moved = _settled(others, others.select("space", F.col("unit").alias("_s")), lambda a: surrogate(key, F.col("space"), F.col("unit"), a))
+
+    value = F.expr("substring(match, length(head) + 1)")
+    names = e.where("kind = 'name'").withColumn("head", _head(F.col("kind"), F.col("match")))
+    names = names.select("match", _title_is(F.col("match"), 0).alias("own"), _title_is(F.col("match"), 1).alias("space"), value.alias("value"))
+    names = names.withColumn("family", _family_part(F.col("value")))
+    told = names.groupBy("space", "value").agg(F.max(F.col("own") == "f").alias("f"), F.max(F.col("own") == "m").alias("m"))
+    names = names.join(told, ["space", "value"])
+    names = names.withColumn(
+        "gender", F.when((F.col("own") == "n") & (F.col("f") != F.col("m")), F.when(F.col("f"), "f").otherwise("m")).otherwise(F.col("own"))
+    )
+    names = checkpointed(names.select("match", "own", "gender", "space", "value", "family"))
+
+    words = names.select("space", F.explode(F.concat(F.array("family"), F.split("value", r"[ \-]"))).alias("_s"))
+    families = names.select("space", F.col("family").alias("unit")).distinct()
+    families = _settled(families, words, lambda a: _new_family(key, F.col("space"), F.col("unit"), a))
+    families = families.select("space", F.col("unit").alias("family"), F.col("attempt").alias("family_attempt"))
+    names = names.join(families, ["space", "family"])
+
+    full = names.where(F.col("value").contains(" "))
+    persons = full.select("space", "gender", "value", "family_attempt", F.concat_ws(" ", "value", "gender").alias("unit")).distinct()
+    persons = _settled(
+        persons, full.select("space", F.col("value").alias("_s")),
+        lambda a: _new_name(key, F.col("space"), F.col("gender"), F.col("value"), a, F.col("family_attempt")),
+    ).select("space", "gender", "value", "attempt")
+    names = names.join(persons, ["space", "gender", "value"], "left")
+    gender = F.when((F.col("own") == F.col("gender")) | ~F.col("value").contains(" "), 0).when(F.col("gender") == "f", 1).otherwise(2)
+    override = F.coalesce("attempt", F.lit(0)) + 100 * F.col("family_attempt") + 10000 * gender
+    out = moved.select(F.col("unit").alias("match"), F.col("attempt").alias("override"))
+    return out.unionByName(names.select("match", override.cast("int").alias("override"))).where("override > 0")
+
+
 def anonymised(
     docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", literal_overrides: int = LITERAL_OVERRIDES
 ) -> DataFrame:
@@ -248,7 +330,8 @@ def anonymised(
 
     One value has one surrogate in the whole corpus, different values have different ones, and no
     surrogate is another real value of the corpus. Surrogates depend on ``key`` and the value alone,
-    but for the rare ones that collide. Null text gives the null text and no entities. Rows are
+    but for those that collide, and given names after a title without gender. Names are one person's
+    when they differ in their titles only, and equal family names stay equal. Null text gives the null text and no entities. Rows are
     handled one by one: repeated rows get equal texts; other columns are ignored; an empty table
     gives no rows.
     """
@@ -259,13 +342,13 @@ def anonymised(
     entities = _values(rows.select(F.explode(F.array_distinct("_found")).alias("match")).distinct())
     bad = checkpointed(collisions(entities, key))
     if bad.count() <= literal_overrides:
-        pairs = [F.lit(x) for r in bad.collect() for x in (r["match"], r["attempt"])]
+        pairs = [F.lit(x) for r in bad.collect() for x in (r["match"], r["override"])]
         rows = rows.withColumn("_again", F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,int>"))
     else:
         hashed = rows.withColumn("_digest", F.sha2(F.coalesce("_text", F.lit("")), 256))
         own = hashed.select("_digest", F.explode(F.array_distinct("_found")).alias("match")).distinct()
-        own = own.join(bad.select("match", "attempt"), "match").groupBy("_digest").agg(
-            F.map_from_entries(F.collect_list(F.struct("match", "attempt"))).alias("_again")
+        own = own.join(bad.select("match", "override"), "match").groupBy("_digest").agg(
+            F.map_from_entries(F.collect_list(F.struct("match", "override"))).alias("_again")
         )
         rows = hashed.join(own, "_digest", "left")
     typed = F.transform("_found", lambda m: F.struct(_kind(m).alias("kind"), m.alias("match")))

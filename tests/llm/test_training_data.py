@@ -397,3 +397,26 @@ def test_whole_entities_are_replaced(spark):
         assert not [p for p in cases[x["doc_id"]][1] if p in x["text"]], x["text"][:200]
     plain = spark.createDataFrame([(1, "token: ================ and password = short")], "doc_id long, text string")
     assert pii.anonymised(plain, "k").first()["n_entities"] == 0
+
+
+@pytest.mark.parametrize("literal", [0, 100_000])
+def test_names_are_settled_without_their_titles(spark, literal):
+    r = random.Random(12)
+    made = lambda: "".join(r.choice(pii.SYLLABLES["latin"]) for _ in range(3)).capitalize()
+    families = sorted({made() for _ in range(1500)})  # many are possible surrogates of others
+    titles = ["Mr", "Mr.", "Dr", "Mrs", "Prof."]
+    rows = [f"{t} {f}" for f in families for t in titles]
+    rows += [f"{t} {g} {f}" for f in families[:40] for g in ("John", "Peter", "Otto", "Karl", "Franz", "Ernst") for t in ("Mr", "Mr.", "Dr")]
+    rows += [f"{t} Joan {f}" for f in families[:40] for t in ("Mrs", "Prof")]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {rows[x["doc_id"]]: x["text"] for x in pii.anonymised(d, "k", literal_overrides=literal).collect()}
+    new = {}
+    for old, text in got.items():
+        title, name = old.split(" ", 1)
+        assert text.split(" ", 1)[0] == title
+        new.setdefault(name, set()).add(text.split(" ", 1)[1])
+    assert all(len(x) == 1 for x in new.values())
+    new = {k: min(x) for k, x in new.items()}
+    assert len(set(new.values())) == len(new)
+    assert not set(new.values()) & set(families) and not {x.split()[-1] for x in new.values()} & set(families)
+    assert all(v.split()[-1] == new[k.split()[-1]] for k, v in new.items())
