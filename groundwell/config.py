@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Config:
+    # Limits and thresholds.
     hits_per_source: int = 3
     total_hits: int = 9
     extra_api_hits: int = 2
@@ -104,6 +105,7 @@ COMIC_WORDS = ["그림", "만화", "그려줘", "시각화"]
 IMAGE_WORDS = ["그림", "그려줘", "묘사", "이미지", "상황", "어떤 모습", "어떤 상황"]
 WAIT_COMIC = "AI가 상황을 분석하고 만화를 그리는 중입니다. 약 15초 정도 소요되니 잠시만 기다려주세요! 🎨"
 WAIT_TEXT = "⚖️ 법률 질문을 분석하고 있어요. 잠시만 기다려 주세요 😊"
+WAIT_ANSWER = "💬 답변을 생각하고 있습니다. 잠시만 기다려 주세요..."
 EMPTY_UTTERANCE = "상담 내용을 입력해 주세요."
 IMAGE_FAILED = "🎨 이미지 생성에 실패했습니다. 다시 시도해주세요."
 IMAGE_ALT = "법률 상황 네컷만화"

@@ -29,7 +29,11 @@ def token_f1(reference: Column, candidate: Column) -> Column:  # L2
     return F.round(2 * precision * recall / (precision + recall), 4)
 
 
+#: Digits of other scripts that a pattern for digits takes: each run stands for 0 to 9.
+DIGITS = ["".join(chr(zero + i) for i in range(10)) for zero in (0xFF10, 0x660, 0x6F0, 0x966, 0x9E6, 0xE50)]
+
+
 def judged(reply: Column) -> Column:  # P13
-    number = F.regexp_extract(reply, r"(?U)[\d.]+", 0).try_cast("double")
+    number = F.translate(F.regexp_extract(reply, r"(?U)[\d.]+", 0), "".join(DIGITS), "0123456789" * len(DIGITS)).try_cast("double")
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))  # both would pass over a null
     return F.when(number.isNull(), F.lit(0.5)).otherwise(F.round(clamped, 4))

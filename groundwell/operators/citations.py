@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import text
+from .retrieval import knn
+
+
+#: Answers that cite the same are spread over this many parts.
+SALTS = 8
+
+
+def nearest(citations: DataFrame, chunks: DataFrame) -> DataFrame:  # J5
+    """citation, dist, text: the nearest statute of each citation (citation, embedding), asked once."""
+    asked = citations.select("citation", "embedding").dropDuplicates(["citation"]).withColumn("query_id", F.xxhash64("citation"))
+    found = knn(asked, chunks, 1, "statute").select("query_id", "chunk_key", "dist")
+    texts = chunks.select("chunk_key", "text").join(F.broadcast(found), "chunk_key")  # a row a citation of a stated set
+    return asked.select("query_id", "citation").join(texts, "query_id").select("citation", "dist", "text")
 
 
 def verified(citations: DataFrame, hits: DataFrame, laws: DataFrame, config: Config = DEFAULT) -> DataFrame:  # J5
@@ -17,8 +30,11 @@ def verified(citations: DataFrame, hits: DataFrame, laws: DataFrame, config: Con
     citation found and drops its correction.
     """
     known = laws.select(F.col("law_name").alias("_law")).distinct().withColumn("_known", F.lit(True))
-    c = citations.join(hits.select("citation", "dist", F.col("text").alias("_hit")), "citation", "left")
-    c = c.withColumn("_law", text.law_name(F.col("citation"))).join(known, "_law", "left")
+    # Few citations are in many answers: each is decided once, and those who cite it are dealt out by salt.
+    own = citations.select("citation").distinct().join(hits.select("citation", "dist", F.col("text").alias("_hit")), "citation", "left")
+    own = own.withColumn("_law", text.law_name(F.col("citation"))).join(known, "_law", "left")
+    own = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    c = citations.withColumn("_salt", F.pmod(F.xxhash64("answer_id"), F.lit(SALTS)).cast("int")).join(own, ["citation", "_salt"])
     near = F.coalesce(F.round(1 - F.col("dist"), 4) >= config.citation_threshold, F.lit(False))
     c = c.withColumn("_found", near | F.coalesce("_known", F.lit(False)))
     right = F.when(~F.col("_found") & F.col("_hit").isNotNull(), F.left("_hit", F.lit(config.correction_chars)))

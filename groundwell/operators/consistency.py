@@ -20,8 +20,21 @@ def judge_scores(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:  # L4
     return p.select("question_id", "variant_idx", F.coalesce("_s", F.round(F.avg("_s").over(by), 4)).alias("judge"))
 
 
-def nonblank(answers: DataFrame) -> DataFrame:  # P28
-    return answers.where(F.col("answer").rlike(r"(?U)\S"))
+def pairs(answers: DataFrame) -> DataFrame:  # P28, L9
+    """question_id, variant_idx, reference, answer: each variant's answer beside the original's (variant 0).
+
+    Null and empty answers are left out, so a question may have fewer pairs, or none.
+    """
+    there = answers.where(F.coalesce("answer", F.lit("")) != "")
+    original = there.where("variant_idx = 0").select("question_id", F.col("answer").alias("reference"))
+    return there.where("variant_idx > 0").join(original, "question_id").select("question_id", "variant_idx", "reference", "answer")
+
+
+def judge_inputs(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:  # L4
+    """question_id, variant_idx, reference, answer of the pairs that are judged, cut to what the judge reads."""
+    nth = F.row_number().over(Window.partitionBy("question_id").orderBy("variant_idx"))
+    cut = lambda c: F.left(F.col(c), F.lit(config.judge_chars)).alias(c)
+    return pairs.withColumn("_nth", nth).where(F.col("_nth") <= config.judged_pairs).select("question_id", "variant_idx", cut("reference"), cut("answer"))
 
 
 def ensemble(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:  # A1, A3, A4, C5

@@ -65,12 +65,12 @@ def session_loop(checks: DataFrame, config: Config = DEFAULT) -> DataFrame:  # C
     """session_id, question, checks, partial_mode.
 
     checks: session_id, turn (0: the question itself), text (question or reply), score of the check
-    that follows it. The first sufficient check ends the loop; an empty reply, or the last re-ask,
-    ends it as partial.
+    that follows it. The first sufficient check ends the loop; no reply (null or ''), or the last
+    re-ask, ends it as partial. A reply of blanks is a reply.
     """
     w = Window.partitionBy("session_id").orderBy("turn")
     c = checks.where(F.col("turn") <= config.max_reasks)
-    c = c.withColumn("_empty", (F.col("turn") > 0) & (F.coalesce(text.strip(F.col("text")), F.lit("")) == ""))
+    c = c.withColumn("_empty", (F.col("turn") > 0) & (F.coalesce("text", F.lit("")) == ""))
     done = ((F.col("score") >= config.specificity_pass) | F.col("_empty")).cast("int")
     c = c.withColumn("_ended", F.coalesce(F.sum(done).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     c = c.where("_ended = 0")
@@ -89,6 +89,14 @@ def augmented(turns: DataFrame, config: Config = DEFAULT) -> DataFrame:  # C10,
     return turns.withColumn("augmented", F.concat_ws(" ", tail, "text"))
 
 
+def with_history(messages: Column, history: Column, config: Config = DEFAULT) -> Column:  # C10
+    """The last messages of a history between the system message and the question."""
+    n = config.history_prompt
+    tail = F.when(F.size(history) > n, F.slice(history, F.lit(-n), F.lit(n))).otherwise(history)
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    return F.concat(F.slice(messages, 1, 1), F.coalesce(tail, none), F.slice(messages, F.lit(2), F.size(messages)))
+
+
 def capped(turns: DataFrame, cap: int = DEFAULT.history_cap) -> DataFrame:  # W3
     nth = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
     return turns.withColumn("_nth", nth).where(F.col("_nth") <= cap).drop("_nth")

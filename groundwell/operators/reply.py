@@ -62,6 +62,17 @@ def card_reply(answer: Column, image: Column) -> Column:  # L8
     return F.when(image.isNotNull(), envelope(_outputs(basic_card(image), simple_text(answer)))).otherwise(envelope(_outputs(simple_text(answer))))
 
 
+def text_acknowledgement(callback: Column, answer: Column) -> Column:  # P21
+    """The acknowledgement whose text is under ``data``; without a callback the answer itself."""
+    ack = F.to_json(F.struct(F.lit("2.0").alias("version"), F.lit(True).alias("useCallback"), F.struct(F.lit(C.WAIT_ANSWER).alias("text")).alias("data")))
+    return F.when(F.coalesce(callback, F.lit("")) != "", ack).otherwise(envelope(_outputs(simple_text(answer))))
+
+
+def illustrated(utterance: Column, answer: Column, image: Column) -> Column:  # L8, P17
+    """The text with a card before it, where the utterance asks for a picture and there is one."""
+    return card_reply(answer, F.when(route(utterance, C.IMAGE_WORDS) == "image", image))
+
+
 def acknowledgement(utterance: Column, callback: Column) -> Column:
     ack = F.concat(
         F.lit('{"version":"2.0","useCallback":true,"template":{"outputs":['), F.to_json(simple_text(wait_message(utterance))), F.lit("]}}")

@@ -15,10 +15,24 @@ from ..functions import text
 
 #: Query vectors of one block are broadcast; more queries take more blocks over the same chunks.
 BLOCK_QUERIES = 4096
+#: Distances held at a time (8 MB and a few copies).
+TILE = 1 << 20
 FILTERED = ("statute", "manual")
 DEFAULT_SOURCES = ("verdict", "statute", "manual")
 
 
+def usable(name: str) -> Column:
+    """Whether there is a vector without nulls."""
+    return (F.size(name) > 0) & ~F.exists(name, lambda x: x.isNull())
+
+
+def _tiles(batch: pa.RecordBatch, queries: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose distances to all queries number about TILE."""
+    step = max(1, TILE // max(queries, 1))
+    for at in range(0, len(batch), step):
+        yield batch.slice(at, step)
+
+
 def _topk(chunks: DataFrame, names: list, vectors: np.ndarray, k: int, metric: str) -> DataFrame:
     shared = chunks.sparkSession.sparkContext.broadcast(vectors)
 
@@ -27,17 +41,15 @@ def _topk(chunks: DataFrame, names: list, vectors: np.ndarray, k: int, metric: s
         norm = np.sqrt((q * q).sum(axis=1))
         ids = np.zeros((len(q), 0), dtype=np.int64)
         dist = np.zeros((len(q), 0))
-        for batch in batches:
-            lists = batch.column(1)
-            if not len(lists):
-                continue
+        for part in (p for batch in batches for p in _tiles(batch, len(q))):
+            lists = part.column(1)
             c = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
             products = q @ c.T
             if metric == "cosine":
                 d = 1 - products / (norm[:, None] * np.sqrt((c * c).sum(axis=1)) + 1e-9)
             else:
                 d = (q * q).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * products
-            own = np.broadcast_to(batch.column(0).to_numpy(), d.shape)
+            own = np.broadcast_to(part.column(0).to_numpy(), d.shape)
             ids, dist = np.hstack([ids, own]), np.hstack([dist, d])
             if ids.shape[1] > k:
                 order = np.lexsort((ids, dist), axis=1)[:, :k]
@@ -49,8 +61,8 @@ def _topk(chunks: DataFrame, names: list, vectors: np.ndarray, k: int, metric: s
             )
 
     found = chunks.select("chunk_key", "embedding").mapInArrow(run, "_q long, chunk_key long, dist double")
-    table = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (i, n)])
-    return found.select(table[F.col("_q").cast("int")].cast("long").alias("query_id"), "chunk_key", "dist")
+    table = chunks.sparkSession.createDataFrame(list(enumerate(names)), "_q long, query_id long")
+    return found.join(F.broadcast(table), "_q").select("query_id", "chunk_key", "dist")  # a block of names
 
 
 def knn(queries: DataFrame, chunks: DataFrame, k: int, source_type: str | None = None, metric: str = "cosine") -> DataFrame:  # J1
@@ -58,8 +70,11 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, source_type: str | None =
 
     Every task keeps k candidates a query, so that little is shuffled however many chunks there are.
     Queries (query_id, embedding) are a stated set; they are taken in blocks of ``BLOCK_QUERIES``.
+    Null and empty vectors, and those that hold nulls, are nobody's neighbours and have none; vectors of
+    other lengths than a query's fail the job.
     """
     pool = chunks if source_type is None else chunks.where(F.col("source_type") == source_type)
+    pool, queries = pool.where(usable("embedding")), queries.where(usable("embedding"))
     rows = queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator()
     parts: list[DataFrame] = []
     names, vectors = [], []
@@ -175,8 +190,11 @@ def with_api(hits: DataFrame, api: DataFrame, config: Config = DEFAULT) -> DataF
     return ranked(both, config.total_hits + config.extra_api_hits)
 
 
-def search_only(queries: DataFrame, chunks: DataFrame, n: int = 5, config: Config = DEFAULT) -> DataFrame:  # C11
+def search_only(queries: DataFrame, chunks: DataFrame, n: int = 5, config: Config = DEFAULT, api: DataFrame | None = None) -> DataFrame:  # C11
+    """Labelled hits; ``api`` (of ``api_chunks``) adds statute rows. Queries are embedded from their expanded texts."""
     hits = retrieve(queries, chunks, config=config, n=n)
+    if api is not None:
+        hits = with_api(hits, api, config)
     label = short_label(F.col("source_type"), lambda k: F.col("metadata")[k])
     return hits.select(
         "query_id", F.col("position").alias("rank"), "score", "source_type", label.alias("label"), text.preview(F.col("text"), config.preview_chars).alias("preview")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions import text
 from ..operators import citations, consistency, context
 
 
@@ -22,20 +25,37 @@ def final_answer(state: Column, corrected: Column) -> Column:
     return F.when(state == "no_rag_result", C.NO_RESULT).when(state == "hallucination_detected", C.REFUSAL).otherwise(corrected)
 
 
-def prompts(questions: DataFrame, contexts: DataFrame, system: str) -> DataFrame:  # J7
-    """One prompt for each variant; all variants of a question share the context of the original.
+def prompts(questions: DataFrame, contexts: DataFrame, system: str, variant_system: str, apology: str = C.NO_HITS_PARALLEL) -> DataFrame:  # J7, L9
+    """question_id, variant_idx, query, messages, answer: one prompt for each variant.
 
-    questions: question_id, variant_idx (0: the original), query. A question without context gets the
-    apology as its answer and no prompt.
+    questions: question_id, variant_idx (0: the original), query. All variants of a question share the
+    context of the original; the original has the first system text and its variants the second. A
+    question without context has an apology for the original's answer and no prompts.
     """
-    j = questions.join(contexts.withColumnRenamed("query_id", "question_id"), "question_id", "left")
+    j = questions.join(contexts.select(F.col("query_id").alias("question_id"), "context"), "question_id", "left")
+    own = F.when(F.col("variant_idx") == 0, F.lit(system)).otherwise(F.lit(variant_system))
     return j.select(
         "question_id", "variant_idx", "query",
-        F.when(F.col("context").isNotNull(), context.messages(F.lit(system), F.col("context"), F.col("query"))).alias("messages"),
-        F.when(F.col("context").isNull() & (F.col("variant_idx") == 0), C.NO_HITS_PARALLEL).alias("answer"),
+        F.when(F.col("context").isNotNull(), context.messages(own, F.col("context"), F.col("query"))).alias("messages"),
+        F.when(F.col("context").isNull() & (F.col("variant_idx") == 0), apology).alias("answer"),
     )
 
 
+def single(questions: DataFrame, contexts: DataFrame, system: str) -> DataFrame:  # C9
+    """The path of one question without variants: its prompt, or the apology of this path."""
+    return prompts(questions.withColumn("variant_idx", F.lit(0)), contexts, system, system, C.NO_HITS_SINGLE).drop("variant_idx")
+
+
+def answered(prompts: DataFrame, replies: DataFrame) -> DataFrame:  # L1, C6
+    """question_id, variant_idx, answer: the model's replies, apologies where there was no prompt.
+
+    replies: question_id, variant_idx, answer. A variant that failed has no answer.
+    """
+    r = replies.select("question_id", "variant_idx", F.col("answer").alias("_reply"))
+    j = prompts.join(r, ["question_id", "variant_idx"], "left")
+    return j.select("question_id", "variant_idx", F.coalesce("answer", F.when(F.col("messages").isNotNull(), F.col("_reply"))).alias("answer"))
+
+
 def results(questions: DataFrame, answers: DataFrame, pairs: DataFrame, checked: DataFrame) -> DataFrame:  # C8
     """question_id, status, final_answer, median_f1, passed.
 
@@ -48,12 +68,53 @@ def results(questions: DataFrame, answers: DataFrame, pairs: DataFrame, checked:
     j = j.join(checked.withColumnRenamed("answer_id", "question_id"), "question_id", "left")
     state = status(F.col("answer"), F.col("passed"), F.col("partial_mode"))
     return j.select(
-        "question_id", state.alias("status"),
+        *[c for c in ("query",) if c in questions.columns], "question_id", state.alias("status"),
         final_answer(state, citations.corrected(F.col("answer"), F.col("corrections"))).alias("final_answer"),
-        "median_f1", "all_scores", "passed", "found", "missing", "corrections",
+        "answer", "median_f1", "all_scores", "passed", "found", "missing", "corrections",
     )
 
 
+def full(
+    sessions: DataFrame, variants: DataFrame, contexts: DataFrame, replies: Callable[[DataFrame], DataFrame], metrics: Callable[[DataFrame], DataFrame],
+    nearest: Callable[[DataFrame], DataFrame], laws: DataFrame, systems: tuple[str, str],
+) -> DataFrame:  # C8
+    """The whole chain: prompts, replies, consistency, citations, corrections, status.
+
+    sessions: question_id, query, partial_mode (of ``dialogue.session_loop``). variants: question_id,
+    questions (of ``dialogue.variants``). contexts: query_id, context. The three callables hold what
+    models do: prompts to replies, pairs to metric scores, distinct citations to their nearest statutes.
+    A question whose context is missing ends like any other, with the apology for its answer.
+    """
+    queries = sessions.select("question_id", F.lit(0).alias("variant_idx"), "query").unionByName(
+        variants.select("question_id", F.posexplode("questions").alias("_i", "query")).select("question_id", (F.col("_i") + 1).alias("variant_idx"), "query")
+    )
+    asked = prompts(queries, contexts, *systems)
+    answers = answered(asked, replies(asked.where("messages IS NOT NULL")))
+    original = answers.where("variant_idx = 0").where(F.coalesce("answer", F.lit("")) != "")
+    cited = original.select(F.col("question_id").alias("answer_id"), F.posexplode(text.citations(F.col("answer"))).alias("ord", "citation"))
+    checked = citations.verified(cited, nearest(cited.select("citation").distinct()), laws)
+    return results(sessions, answers, metrics(consistency.pairs(answers)), checked)
+
+
+def layout(r: DataFrame, specificity: Column, contexts: Column, messages: Column, chunks: Column) -> Column:  # P23
+    """The JSON of a result of ``full``: sections that its status did not reach are left out."""
+    reached = F.col("status") != "no_rag_result"
+    passed = F.col("status").isin("success", "partial_mode")
+    sections = {
+        "specificity": specificity,
+        "original_rag": F.when(reached, F.struct(
+            F.col("query"), F.col("answer").alias("initial_answer"), contexts.alias("context_text"), messages.alias("prompt_messages"), chunks.alias("retrieved_chunks"),
+        )),
+        "consistency": F.when(reached, F.struct("median_f1", "all_scores", "passed")),
+        "citation_check": F.when(passed, F.struct(
+            F.coalesce("found", F.array().cast("array<string>")).alias("found"), F.coalesce("missing", F.array().cast("array<string>")).alias("missing"),
+            F.map_from_entries(F.coalesce("corrections", F.array().cast("array<struct<wrong:string,right:string>>"))).alias("corrections"),
+        )),
+        "ner_check": F.when(passed, F.struct(citations.entity_check()["corrections"].alias("corrections"), citations.entity_check()["is_stub"].alias("is_stub"))),
+    }
+    return result_json(F.struct("query", "final_answer", "status"), sections)
+
+
 def result_json(top: Column, sections: dict[str, Column]) -> Column:  # P23
     """Nested JSON: fields of ``top``, then each section that is not null. Null leaves stay."""
     keep = {"ignoreNullFields": "false"}
