@@ -1,170 +1,264 @@
-"""Line deduplication by an exact set-similarity join over line tokens (native)."""
+"""Line deduplication by an exact set-similarity join over line tokens.
+
+Texts are split, hashed and sorted in numpy; grouping, joining and verifying are DataFrame operations.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from . import rarity
 from .runtime import checkpointed, free_name, private_names, stored
+from .textbytes import buffers, mix, prefix_hash, slices, span_hash, words
 
 PERCENT = 80
-#: Token frequencies are counted in this many buckets, whatever the corpus. They only order tokens.
-BUCKETS = 1 << 17
-#: Lines holding one token in their prefix are dealt to one task up to about this many, then salted.
+#: A posting meets this many before it in its list in one pass; longer lists are joined for the rest.
+NEIGHBOURS = 24
+#: Lines holding one word in their prefix are dealt to one task up to about this many, then salted.
 LIST_SIZE = 20_000
-#: Levels of frequency to a doubling; a level takes seven bits.
-STEPS = 4
-BROADCAST_IDS = 500_000
-
-
-def _words(text: Column) -> Column:
-    """64-bit hashes of the words of a text, in order."""
-    return F.transform(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""), lambda w: F.xxhash64(w))
-
-
-def line_sets(docs: DataFrame) -> DataFrame:
-    """(_id, ln, tokens, sid) of every line that has a token; sid is a 128-bit digest of the token set."""
-    lines = docs.select("_id", F.posexplode(F.split(F.coalesce("_text", F.lit("")), "\n")).alias("ln", "_line"))
-    lines = lines.select("_id", "ln", F.sort_array(F.array_distinct(_words(F.col("_line")))).alias("tokens"))
-    half = lambda *salt: F.lpad(F.hex(F.xxhash64(*salt, "tokens")), 16, "0")
-    return lines.where(F.size("tokens") > 0).withColumn("sid", F.unhex(F.concat(half(), half(F.lit(1)))))
-
-
-def _bucket(token: Column) -> Column:
-    return token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-
-
-def _frequencies(docs: DataFrame) -> bytes:
-    """How often the corpus has words of each bucket, a byte a bucket on a logarithmic scale.
-
-    The table has one size for any corpus, so it can travel as a literal of the plan.
+#: Rows of ids or lists that are broadcast at most.
+BROADCAST_ROWS = 500_000
+
+_SPACE = r"[\x20\x09-\x0D]+"
+_SECOND = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """A slice of texts at a time: first text, hashes of words, and their lines; and the lines' texts and numbers."""
+    raw, offsets = buffers(column)
+    for i, j in slices(offsets):
+        part = offsets[i : j + 1] - offsets[i]
+        data = raw[offsets[i] : offsets[j]]
+        starts, ends, _ = words(data, part)
+        breaks = np.flatnonzero(data == 10)
+        # The last line of a text may be empty and begin where the next text does: it comes before that.
+        text = np.concatenate([np.arange(j - i), np.searchsorted(part, breaks, side="right") - 1])
+        order = np.lexsort((text, np.concatenate([part[:-1], breaks + 1])))
+        begin, text = np.concatenate([part[:-1], breaks + 1])[order], text[order]
+        first = np.searchsorted(text, np.arange(j - i))
+        h = span_hash(prefix_hash(data), starts, ends) if len(starts) else np.zeros(0, dtype=np.uint64)
+        yield i, h, np.searchsorted(begin, starts, side="right") - 1, text, np.arange(len(text)) - first[text]
+
+
+def _counts(docs: DataFrame, bits: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, dtype=np.uint32)
+        for batch in batches:
+            for _, h, _, _, _ in _word_hashes(batch.column(0)):
+                np.add.at(counts, rarity.counter(h, bits), 1)
+        if counts.any():
+            numbers, blobs = rarity.chunks(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "counts"])
+
+    return docs.select("_text").mapInArrow(run, "chunk int, counts binary")
+
+
+def _described(docs: DataFrame, sketch, percent: int) -> DataFrame:
+    """(_id, ln, _k, s, s2, size, bits, prefix, salts) of every line with a word.
+
+    s and s2 are digests of its set. prefix holds its rarest words, as many as prefix filtering needs,
+    with nulls for words that the whole corpus has once, which are in no other line; bits is a bitmap of
+    all of them; salts are there for words with long lists.
     """
-    words = docs.select(F.explode(_words(F.coalesce("_text", F.lit("")))).alias("w"))
-    counts = words.groupBy(_bucket(F.col("w")).alias("k")).agg(F.count(F.lit(1)).alias("c"))
-    level = F.least(F.lit(127), F.floor(STEPS * F.log2(F.col("c") + 1))).cast("int")
-    row = counts.agg(F.collect_list(F.struct("k", level.alias("v"))).alias("f")).first()
-    table = bytearray(BUCKETS)
-    for k, v in row["f"]:
-        table[k] = v
-    return bytes(table)
-
-
-def _need(a: Column, b: Column, percent: int) -> Column:
-    """Smallest overlap of sets of sizes a and b whose Jaccard similarity reaches percent."""
-    total = percent * (a + b) + (99 + percent)
-    return F.floor((total - F.pmod(total, F.lit(100 + percent))) / (100 + percent))
-
-
-def _may_match(percent: int, a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-    """Length, prefix, positional and bitmap filters, for the columns of two postings.
-
-    Every bit in which two sets' bitmaps differ stands for a token that one of them lacks.
+    kind = docs.schema["_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = sketch.value
+        for batch in batches:
+            for i, h, line, text, number in _word_hashes(batch.column(1)):
+                if not len(h):
+                    continue
+                level = counted.common(h)
+                order = np.argsort(h)
+                order = order[np.argsort(level[order], kind="stable")]
+                order = order[np.argsort(line[order].astype(np.uint16) if len(text) < 65536 else line[order], kind="stable")]
+                h, line, level = h[order], line[order], level[order]
+                fresh = np.ones(len(h), dtype=bool)
+                fresh[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+                h, line, level = h[fresh], line[fresh], level[fresh]
+                at = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+                size = np.diff(np.append(at, len(h)))
+                s = mix(np.add.reduceat(mix(h), at) + size.astype(np.uint64))
+                s2 = np.add.reduceat(mix(h ^ _SECOND), at)
+                length = size - -(-percent * size // 100) + 1
+                ends = np.cumsum(length)
+                spot = np.repeat(at - ends + length, length) + np.arange(ends[-1])
+                word, lev = h[spot], level[spot]
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (word & np.uint64(63)), ends - length)
+                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                prefix = pa.ListArray.from_arrays(offsets, pa.array(word.view(np.int64), mask=lev == 0))
+                salt = np.ceil(counted.word_lists(lev) / LIST_SIZE).astype(np.int32)
+                several = np.maximum.reduceat(salt, ends - length) > 1
+                salts = pa.array([salt[e - n : e].tolist() if x else None for e, n, x in zip(ends, length, several, strict=True)], pa.list_(pa.int32()))
+                row = line[at]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(i + text[row])), pa.array(number[row].astype(np.int32)), batch.column(2).take(pa.array(i + text[row])), pa.array(s.view(np.int64)), pa.array(s2.view(np.int64)),
+                     pa.array(size.astype(np.int32)), pa.array(bits.view(np.int64)), prefix, salts],
+                    ["_id", "ln", "_k", "s", "s2", "size", "bits", "prefix", "salts"],
+                )
+
+    return docs.select("_id", "_text", "_k").mapInArrow(run, f"_id {kind}, ln int, _k long, s long, s2 long, size int, bits long, prefix array<long>, salts array<int>")
+
+
+def _postings(sets: DataFrame) -> DataFrame:
+    """(t, salt, salts, s, _id, ln, bits, size, pos) for the words of prefixes."""
+    # Not the plain explode: it would add a filter on the array that makes it once more.
+    p = sets.select("s", "_id", "ln", "bits", "size", "salts", F.posexplode_outer("prefix").alias("pos", "t")).where("t IS NOT NULL")
+    salts = F.coalesce(F.get("salts", F.col("pos")), F.lit(1))
+    p = p.withColumn("salts", salts)
+    salt = F.when(F.col("salts") > 1, F.pmod("s", F.col("salts")) + 1).otherwise(F.lit(0)).cast("int")
+    return p.select("t", salt.alias("salt"), "salts", "s", "_id", "ln", "bits", "size", "pos")
+
+
+def may_match(a: dict[str, np.ndarray], b: dict[str, np.ndarray], percent: int) -> np.ndarray:
+    """Length, positional, prefix and bitmap filters, for the columns of two postings of one list.
+
+    Beyond the prefix that ends first nothing is shared but what the other set still has, so prefixes
+    must share what is missing then. Every bit in which their bitmaps differ is a word not shared.
     """
-    sa, sb = a("size"), b("size")
-    small, large = F.least(sa, sb), F.greatest(sa, sb)
-    at = F.when(sa <= sb, a("pos")).otherwise(b("pos"))
-    return (
-        (100 * small >= percent * large)
-        & (at < small - _need(small, small, percent) + 1)
-        & (1 + F.least(sa - a("pos") - 1, sb - b("pos") - 1) >= _need(sa, sb, percent))
-        & (F.bit_count(a("bits").bitwiseXOR(b("bits"))) <= sa + sb - 2 * _need(sa, sb, percent))
-    )
-
-
-def _postings(lines: DataFrame, frequencies: bytes, percent: int) -> DataFrame:
-    """The rarest tokens of every line, as many as prefix filtering needs.
-
-    A token's level and 55 bits of its hash make one number, so that lines sort plain numbers.
+    sa, sb = a["size"], b["size"]
+    need = (percent * (sa + sb) + 99 + percent) // (100 + percent)
+    ok = 100 * np.minimum(sa, sb) >= percent * np.maximum(sa, sb)
+    ok &= 1 + np.minimum(sa - a["pos"] - 1, sb - b["pos"] - 1) >= need
+    at = np.flatnonzero(ok)
+    if len(at):
+        sa, sb, need = sa[at], sb[at], need[at]
+        ra, rb = -(-percent * sa // 100) - 1, -(-percent * sb // 100) - 1
+        apart = np.bitwise_count(a["bits"][at] ^ b["bits"][at]).astype(np.int64)
+        ok[at] = sa - ra + sb - rb - apart >= 2 * (need - np.maximum(ra, rb))
+    return ok
+
+
+def _met(posts: DataFrame, percent: int, neighbours: int) -> DataFrame:
+    """Pairs (a, b) of sets that are close in a list and may match; and (t) of lists that hold more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["t", "salt", "s", "size", "pos", "bits"]
+        held = {c: np.zeros(0, dtype=np.int64) for c in names}
+        for batch in batches:
+            new = {c: batch.column(c).to_numpy().astype(np.int64) for c in names}
+            old = len(held["t"])
+            x = {c: np.concatenate([held[c], new[c]]) for c in names}
+            a, b = [], []
+            n = len(x["t"])
+            for lag in range(1, neighbours + 1):
+                here = np.arange(max(lag, old), n)
+                here = here[(x["t"][here] == x["t"][here - lag]) & (x["salt"][here] == x["salt"][here - lag])]
+                if not len(here):
+                    break
+                p, q = here - lag, here
+                ok = may_match({c: x[c][p] for c in names[3:]}, {c: x[c][q] for c in names[3:]}, percent)
+                a.append(x["s"][p[ok]])
+                b.append(x["s"][q[ok]])
+            far = np.arange(max(neighbours + 1, old), n)
+            more = np.unique(np.concatenate([x["t"][far[x["t"][far] == x["t"][far - neighbours - 1]]], new["t"][new["salt"] > 0]]))
+            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0) if a else np.zeros((0, 2), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([pa.array(pairs[:, 0]), pa.nulls(len(more), pa.int64())]), pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(more), pa.int64())]),
+                 pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(more)])],
+                ["a", "b", "t"],
+            )
+            held = {c: x[c][max(0, n - neighbours - 1) :] for c in names}
+
+    lists = posts.repartition("t", "salt").sortWithinPartitions("t", "salt", "_id", "ln", "s").select("t", "salt", "s", "size", "pos", "bits")
+    return lists.mapInArrow(run, "a long, b long, t long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of sets, those whose words reach the similarity, as the digests of the later set.
+
+    Only the lines in question are read again, each at its set's first place; words are compared as text.
     """
-    size = F.size("tokens")
-    length = size - F.ceil(percent * size / 100).cast("int") + 1
-    level = lambda w: F.ascii(F.substring(F.lit(frequencies), _bucket(w) + 1, 1).cast("string")).cast("long")
-    ranked = F.sort_array(F.transform("tokens", lambda w: F.shiftleft(level(w), 55).bitwiseOR(F.shiftrightunsigned(w, 9))))
-    bits = F.aggregate(
-        "tokens", F.lit(0).cast("long"), lambda b, w: b.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int")))
-    )
-    p = lines.select("_id", "ln", "sid", bits.alias("bits"), size.alias("size"), F.slice(ranked, F.lit(1), length).alias("_r"))
-    p = p.select("_id", "ln", "sid", "bits", "size", F.posexplode("_r").alias("pos", "t"))
-    salts = F.floor(F.pow(F.lit(2.0), F.shiftright("t", 55) / STEPS) / LIST_SIZE) + 1
-    return p.select(
-        "t",
-        F.when(salts > 1, F.pmod(F.xxhash64("_id"), salts) + 1).otherwise(F.lit(0)).cast("int").alias("salt"),
-        "_id", "ln", "sid", "bits", "size", "pos",
-    )
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of set digests, those whose token sets reach the similarity."""
-    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    sets = line_sets(docs).select("sid", "tokens").join(ids, "sid", "left_semi").dropDuplicates(["sid"])
-    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), "a").join(
-        sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb")), "b"
+    ids = checkpointed(pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct())
+    few = ids.count() <= BROADCAST_ROWS
+    places = sets.join(F.broadcast(ids) if few else ids, "s").select("s", "s2", "_id", "ln", "_k")
+    wanted = places.groupBy(F.col("_id").alias("_wid"), F.col("_k").alias("_wk")).agg(F.collect_list(F.struct("ln", "s", "s2")).alias("_want"))
+    wanted = checkpointed(wanted)
+    found = docs.join(F.broadcast(wanted) if few else wanted, F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_k") == F.col("_wk")))
+    cut = found.select("_id", "_want", F.split(F.coalesce("_text", F.lit("")), "\n").alias("_l"))
+    cut = cut.select("_id", F.explode_outer(F.transform("_want", lambda w: F.struct(w["s"].alias("s"), w["s2"].alias("s2"), w["ln"].alias("ln"), F.get("_l", w["ln"]).alias("line")))).alias("w"))
+    line = F.array_distinct(F.array_remove(F.split(F.col("w.line"), _SPACE), ""))
+    cut = cut.select("w.s", "w.s2", F.struct("_id", "w.ln").alias("place"), line.alias("words"))
+    cut = stored(cut)
+    side = lambda k: cut.select(F.col("s").alias(k), F.struct("place", "s", "s2").alias(f"f{k}"), F.col("words").alias(f"w{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.col("fa.place") != F.col("fb.place"))
+    both = both.select("fa", "fb", F.size("wa").alias("na"), F.size("wb").alias("nb"), F.size(F.array_intersect("wa", "wb")).alias("o"))
+    both = both.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o")))
+    later = F.when(F.col("fa")["place"] > F.col("fb")["place"], F.col("fa")).otherwise(F.col("fb"))
+    return both.select(later.alias("l")).select("l.s", "l.s2").distinct()
+
+
+def _rest(sets: DataFrame, long: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the sets without an earlier match and all sets of their long lists that may match.
+
+    A set that still looks for a match goes to every salt of its list.
+    """
+    few = long.count() <= BROADCAST_ROWS
+    posts = stored(_postings(sets).join(F.broadcast(long) if few else long, "t", "left_semi"))
+    member = F.struct("s", "bits", "size", "pos", F.struct("_id", "ln").alias("place"))
+    x = posts.select("t", "salt", member.alias("x"))
+    y = posts.join(gone.select("s").distinct(), "s", "left_anti").select("t", "salts", member.alias("y"))
+    everywhere = F.when(F.col("salts") > 1, F.sequence(F.lit(1), F.col("salts"))).otherwise(F.array(F.lit(0)))
+    y = y.select("t", "y", F.explode(everywhere).alias("salt"))
+    pairs = y.join(x, ["t", "salt"]).where((F.col("x.place") < F.col("y.place")) & _may_match(percent, "x", "y"))
+    return checkpointed(pairs.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct())
+
+
+def _may_match(percent: int, a: str, b: str) -> Column:
+    """``may_match`` for two structs of a row."""
+    sa, sb = F.col(f"{a}.size"), F.col(f"{b}.size")
+    total = percent * (sa + sb) + (99 + percent)
+    need = F.floor((total - F.pmod(total, F.lit(100 + percent))) / (100 + percent))
+    after = lambda size: F.ceil(percent * size / 100).cast("int") - 1
+    shared = sa - after(sa) + sb - after(sb) - F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    return (
+        (100 * F.least(sa, sb) >= percent * F.greatest(sa, sb))
+        & (1 + F.least(sa - F.col(f"{a}.pos") - 1, sb - F.col(f"{b}.pos") - 1) >= need)
+        & (shared >= 2 * (need - F.greatest(after(sa), after(sb))))
     )
-    overlap = F.size(F.array_intersect("ta", "tb"))
-    both = both.withColumn("_o", overlap).where(100 * F.col("_o") >= percent * (F.size("ta") + F.size("tb") - F.col("_o")))
-    return both.select("a", "b")
-
 
-def _later(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The set of each pair that comes first later in the corpus."""
-    x = firsts.select(F.col("sid").alias("a"), F.col("first").alias("fa"))
-    y = firsts.select(F.col("sid").alias("b"), F.col("first").alias("fb"))
-    p = pairs.join(x, "a").join(y, "b")
-    return p.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("sid")).distinct()
 
-
-def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", neighbours: int = NEIGHBOURS) -> DataFrame:
     """id, n_lines, n_removed, removed (line numbers from 0) for every id.
 
     Lines are compared by their sets of words; a line goes if any line before it, in order of
     (id, line number), has a set whose Jaccard similarity with its own is at least ``percent``.
 
-    Words count by 64-bit hashes; lines with equal sets share a digest. Each line emits its rarest words; within a word's list, in
-    corpus order, every set is checked against the list's first set and the one before it. Sets
-    without a match by then are joined with all earlier sets on the word. So groups of alike lines
-    are not paired among themselves, and no match is missed.
+    Lines with equal sets go on as one, by 128-bit digests. Each set posts its rarest words; within a
+    word's list, in corpus order, a set is held against the ``neighbours`` before it. Of longer (or
+    salted) lists, the sets without an earlier match by then are joined with all others, salt by salt.
+    So groups of alike lines are not paired among themselves, and no match is missed. What passes the
+    filters is verified as text.
 
     Lines without words stay. Null text is the empty text, with one line. Rows with a null id come
     before all others; rows that repeat an id are one text's lines at equal places, and lines with
-    equal sets at one place all stay. Other columns are ignored; an empty table gives no rows.
+    equal or alike sets at one place all stay. Other columns are ignored; an empty table gives no rows.
     """
     private_names(docs, id_col, text_col)
-    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    lines = stored(line_sets(docs).select("_id", "ln", "sid"))
-    firsts = checkpointed(lines.groupBy("sid").agg(F.min(F.struct("_id", "ln")).alias("first")))
-    posts = _postings(line_sets(docs), _frequencies(docs), percent).repartition("t", "salt")
-    # Of one set's rows in a list only the first counts.
-    own = Window.partitionBy("t", "salt", "sid").orderBy("_id", "ln")
-    posts = posts.withColumn("_nth", F.row_number().over(own)).where("_nth = 1").drop("_nth")
-    by = Window.partitionBy("t", "salt").orderBy("_id", "ln", "sid")
-    member = F.struct("sid", "bits", "size", "pos")
-    posts = posts.select("*", F.lag(member).over(by).alias("_near"), F.first(member).over(by).alias("_head"), F.lead("ln").over(by).isNotNull().alias("_more"))
-
-    def partner(m: str) -> Column:
-        fits = _may_match(percent, lambda c: F.col(f"{m}.{c}"), F.col) & (F.col(f"{m}.sid") != F.col("sid"))
-        return F.when(fits, F.col(f"{m}.sid"))
-
-    live = posts.where("_near IS NOT NULL OR _more OR salt > 0")
-    live = stored(live.select("t", "sid", "bits", "size", "pos", "_id", "ln", partner("_near").alias("near"), partner("_head").alias("head")))
-    first = live.select(F.col("near").alias("a"), F.col("sid").alias("b")).unionByName(live.select(F.col("head").alias("a"), F.col("sid").alias("b")))
-    first = checkpointed(first.where("a IS NOT NULL").distinct())
-    gone = checkpointed(_later(_verified(first, docs, percent), firsts))
-    rest = live.join(gone, "sid", "left_anti")
-    place = F.struct("_id", "ln").alias("place")
-    x = live.select("t", F.struct("sid", "bits", "size", "pos", place).alias("x"))
-    y = rest.select("t", F.struct("sid", "bits", "size", "pos", place).alias("y"))
-    fits = _may_match(percent, lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
-    second = y.join(x, "t").where((F.col("x.place") < F.col("y.place")) & fits)
-    second = checkpointed(second.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct())
-    more = _later(_verified(second, docs, percent), firsts)
-    marks = firsts.join(gone.unionByName(more).distinct().withColumn("_dup", F.lit(True)), "sid", "left")
-    places = lines.select("_id", "ln", "sid").join(marks, "sid")
-    is_first = F.struct("_id", "ln").eqNullSafe(F.col("first"))
+    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_k", F.xxhash64("_text"))
+    bits = rarity.sketch_bits(docs)
+    sketch = docs.sparkSession.sparkContext.broadcast(rarity.summed(_counts(docs, bits), bits))
+    lines = stored(_described(docs, sketch, percent))
+    place = F.min(F.struct("_id", "ln", "_k")).alias("first")
+    firsts = stored(lines.groupBy("s", "s2").agg(place, F.count(F.lit(1)).alias("n")).select("s", "s2", "first.*", "n"))
+    rest = [F.first(c).alias(c) for c in ("size", "bits", "prefix", "salts")]
+    sets = lines.groupBy("s", "s2").agg(place, *rest).select("s", "s2", "first.*", "size", "bits", "prefix", "salts")
+    met = stored(_met(_postings(sets), percent, neighbours).distinct())
+    gone = checkpointed(_verified(met.where("t IS NULL").select("a", "b"), firsts, docs, percent))
+    long = checkpointed(met.where("t IS NOT NULL").select("t").distinct())
+    if not long.isEmpty():
+        more = _verified(_rest(sets, long, gone, percent), firsts, docs, percent)
+        gone = checkpointed(gone.unionByName(more).distinct())
+    # A line goes with its set, or as a repeat of its set's first line.
+    marks = firsts.join(gone.withColumn("_dup", F.lit(True)), ["s", "s2"], "left").where("_dup OR n > 1")
+    marks = marks.select("s", "s2", "_dup", F.col("_id").alias("_fid"), F.col("ln").alias("_fln"))
+    places = lines.select("_id", "ln", "s", "s2").join(marks, ["s", "s2"])
+    is_first = F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("ln") == F.col("_fln"))
     places = places.where(F.coalesce("_dup", F.lit(False)) | ~is_first)
     per_text = places.groupBy(F.col("_id").alias("_pid")).agg(F.array_sort(F.collect_set("ln")).alias("removed"))
     sizes = docs.groupBy("_id").agg(
@@ -178,7 +272,10 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
 
 
 def without_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the later lines taken out of its texts; all columns and rows stay."""
+    """``docs`` with the later lines taken out of its texts; all columns and rows stay.
+
+    Null texts and texts without such lines are unchanged; null and repeated ids are as in ``removed_lines``.
+    """
     rid, gone = free_name(docs, "_rid"), free_name(docs, "_gone")
     found = removed_lines(docs, percent, id_col, text_col).select(F.col(id_col).alias(rid), F.col("removed").alias(gone))
     kept = F.array_join(

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import rarity
 from .components import connected
 from .runtime import checkpointed, free_name, private_names, stored
 from .textbytes import buffers, shingles, slices
 
-#: Two rows of counters estimate how many texts hold an n-gram; the least of its counters counts.
-#: The sketch has this size whatever the corpus; it only orders n-grams, so errors cost time alone.
-SKETCH_BITS = 18
-SKETCH_ROWS = 2
-SKETCH_CHUNKS = 32
 #: Ids of texts to verify are broadcast up to this many, else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Heads of lists that a set is compared with in a round, and rounds before the join.
@@ -30,80 +25,57 @@ ROUNDS = 2
 LIST_SIZE = 20_000
 
 
-def _counters(h: np.ndarray) -> list[np.ndarray]:
-    mask = np.uint64((1 << SKETCH_BITS) - 1)
-    return [((h >> np.uint64(shift)) & mask).astype(np.int64) for shift in (3, 3 + SKETCH_BITS)]
-
-
 def _fingerprint(h: np.ndarray) -> bytes:
     return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
 
-def _sets(batch_column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, its set) of an Arrow column of texts, a slice of about a megabyte at a time."""
+def _sets(batch_column: pa.Array, n: int, level: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, its set, with ``level`` the least of its n-grams' words) of an Arrow column, a slice of about a megabyte at a time."""
     raw, offsets = buffers(batch_column)
     for i, j in slices(offsets):
         part = offsets[i : j + 1]
-        h, at = shingles(raw[part[0] : part[-1]], part - part[0], n)
+        h, at, least = shingles(raw[part[0] : part[-1]], part - part[0], n, level)
         for k in range(j - i):
-            yield i + k, h[at[k] : at[k + 1]]
+            yield i + k, h[at[k] : at[k + 1]], least[at[k] : at[k + 1]] if level else least
 
 
-def _describe(docs: DataFrame, n: int) -> DataFrame:
+def _describe(docs: DataFrame, n: int, bits: int) -> DataFrame:
     """One row per text: _id, n, fp; and rows of sketch counters (chunk, counts) per task."""
     kind = docs.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), dtype=np.uint32)
+        words, grams = np.zeros(1 << bits, dtype=np.uint32), np.zeros(1 << rarity.GRAM_BITS, dtype=np.uint32)
         seen: set[bytes] = set()
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
             sizes, prints = [], []
-            for _, h in _sets(batch.column(1), n):
+            last = None
+            for _, h, w in _sets(batch.column(1), n):
+                if w is not last:  # all words of a slice, copies included
+                    np.add.at(words, rarity.counter(w, bits), 1)
+                    last = w
                 sizes.append(len(h))
                 prints.append(_fingerprint(h) if len(h) else None)
                 if len(h) and prints[-1] not in seen:
                     seen.add(prints[-1])
-                    for row, at in zip(sketch, _counters(h), strict=True):
-                        np.add.at(row, at, 1)
+                    np.add.at(grams, rarity.counter(h, rarity.GRAM_BITS), 1)
             empty = len(batch)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.nulls(empty, pa.int32()), pa.nulls(empty, pa.binary())],
                 ["_id", "n", "fp", "chunk", "counts"],
             )
         if seen:
-            chunks = [zlib.compress(c.tobytes(), 1) for c in np.split(sketch.ravel(), SKETCH_CHUNKS)]
+            numbers, blobs = rarity.chunks(words, grams)
+            k = len(numbers)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(SKETCH_CHUNKS, id_type), pa.nulls(SKETCH_CHUNKS, pa.int64()), pa.nulls(SKETCH_CHUNKS, pa.binary()), pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array(chunks, pa.binary())],
+                [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())],
                 ["_id", "n", "fp", "chunk", "counts"],
             )
 
     return docs.mapInArrow(run, f"_id {kind}, n long, fp binary, chunk int, counts binary")
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up counters chunk by chunk; holds one array for each chunk, however many tasks wrote them."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts = np.frombuffer(zlib.decompress(c), dtype=np.uint32)
-            total[k] = np.minimum(total.get(k, 0) + counts.astype(np.uint64), 2**32 - 1)
-    keys = sorted(total)
-    blobs = [zlib.compress(total[k].astype(np.uint32).tobytes(), 1) for k in keys]
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "counts"])
-
-
-def _sketch(described: DataFrame) -> np.ndarray:
-    parts = described.where("chunk IS NOT NULL").select("chunk", "counts")
-    spread = parts.repartition(SKETCH_CHUNKS * 4).mapInArrow(_added, "chunk int, counts binary")
-    rows = spread.repartition(SKETCH_CHUNKS, "chunk").mapInArrow(_added, "chunk int, counts binary").collect()
-    out = np.zeros((SKETCH_CHUNKS, SKETCH_ROWS * (1 << SKETCH_BITS) // SKETCH_CHUNKS), dtype=np.uint32)
-    for r in rows:  # a fixed two megabytes
-        out[r["chunk"]] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint32)
-    return out.reshape(SKETCH_ROWS, -1)
-
-
 def _least_overlap(a: Column, b: Column, percent: int) -> Column:
     """Smallest overlap of sets of sizes a and b whose Jaccard similarity reaches percent."""
     total = percent * (a + b) + (99 + percent)
@@ -111,27 +83,25 @@ def _least_overlap(a: Column, b: Column, percent: int) -> Column:
 
 
 def _postings(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
-    """(sh, salt, fp, size, pos): the rarest n-grams of each distinct set, as many as prefix filtering needs."""
+    """(sh, salt, salts, fp, size, pos): the rarest n-grams of each distinct set, as many as prefix filtering needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
+        counted = sketch.value
         seen: set[bytes] = set()
         for batch in batches:
             out: list[tuple[np.ndarray, ...]] = []
             prints: list[bytes] = []
-            for _, h in _sets(batch.column(0), n):
+            for _, h, common in _sets(batch.column(0), n, counted.common):
                 size = len(h)
                 if not size or (fp := _fingerprint(h)) in seen:
                     continue
                 seen.add(fp)
-                common = np.minimum(*(row[at] for row, at in zip(counts, _counters(h), strict=True)))
                 length = size - -(-percent * size // 100) + 1
                 order = np.argsort(common, kind="stable")[:length]  # ties by id: h is ascending
                 # 0 for a list that one task takes whole, else one of the salts of a long list
-                salts = (common[order] + np.uint32(LIST_SIZE - 1)) // np.uint32(LIST_SIZE)
-                salt = np.uint64(int.from_bytes(fp[:8], "little")) % np.maximum(salts, 1).astype(np.uint64)
-                salt = np.where(salts > 1, salt + np.uint64(1), np.uint64(0))
-                out.append((h[order].view(np.int64), salt.astype(np.int32), np.full(length, size, dtype=np.int32)))
+                salts = np.ceil(np.minimum(counted.gram_lists(h[order]), counted.word_lists(common[order])) / LIST_SIZE).astype(np.int64)
+                salt = np.where(salts > 1, int.from_bytes(fp[:4], "little") % salts + 1, 0)
+                out.append((h[order].view(np.int64), salt.astype(np.int32), np.full(length, size, dtype=np.int32), salts.astype(np.int32)))
                 prints.append(fp)
             if not out:
                 continue
@@ -140,11 +110,11 @@ def _postings(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
             pos = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
             fps = pa.array(prints, pa.binary()).take(pa.array(np.repeat(np.arange(len(prints)), lengths)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out])), fps, pa.array(np.concatenate([x[2] for x in out])), pa.array(pos.astype(np.int32))],
-                ["sh", "salt", "fp", "size", "pos"],
+                [pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([x[3] for x in out])), fps, pa.array(np.concatenate([x[2] for x in out])), pa.array(pos.astype(np.int32))],
+                ["sh", "salt", "salts", "fp", "size", "pos"],
             )
 
-    return docs.select("_text").mapInArrow(run, "sh long, salt int, fp binary, size int, pos int")
+    return docs.select("_text").mapInArrow(run, "sh long, salt int, salts int, fp binary, size int, pos int")
 
 
 def _may_match(percent: int) -> Column:
@@ -214,7 +184,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, perce
             for start in range(0, len(batch), 128):
                 part = batch.slice(start, 128)
                 fa, fb = part.column(0).to_pylist(), part.column(1).to_pylist()
-                for (i, x), (_, y) in zip(_sets(part.column(2), n), _sets(part.column(3), n), strict=True):
+                for (i, x, _), (_, y, _) in zip(_sets(part.column(2), n), _sets(part.column(3), n), strict=True):
                     # ids shared by different texts bring in texts that are not meant
                     ok = _fingerprint(x) == fa[i] and _fingerprint(y) == fb[i]
                     need = (percent * (len(x) + len(y)) + 99 + percent) // (100 + percent)
@@ -237,7 +207,7 @@ def near_duplicates(
     100 * intersection >= percent * union; component_id is the smallest id that links reach.
 
     1. Texts with equal sets share a fingerprint and go on as one.
-    2. Each set emits its rarest shingles; sets are compared with the heads of their shingles' lists
+    2. Each set emits its rarest shingles, a shingle being as rare as its rarest word; sets are compared with the heads of their shingles' lists
        and links are contracted, in a fixed number of rounds of a few pairs a set.
     3. Lists that still hold several components are joined on the shingle, across components only,
        under the same filters. So no link between different texts is lost, while the members of one
@@ -251,12 +221,13 @@ def near_duplicates(
     private_names(docs, id_col, text_col)
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    described = checkpointed(_describe(docs, n))
+    bits = rarity.sketch_bits(docs)
+    described = checkpointed(_describe(docs, n, bits))
     info = described.where("chunk IS NULL").select("_id", "n", "fp")
     nodes = checkpointed(
         info.where("fp IS NOT NULL AND _id IS NOT NULL").groupBy("fp").agg(F.min("_id").alias("rep"))
     )
-    sketch = spark.sparkContext.broadcast(_sketch(described))
+    sketch = spark.sparkContext.broadcast(rarity.summed(described.where("chunk IS NOT NULL"), bits))
     posts = _postings(docs.where("_id IS NOT NULL"), n, percent, sketch).repartition("sh", "salt")
     by = Window.partitionBy("sh", "salt").orderBy("size", "fp")
     fresh = posts.withColumn("_last", F.lag("fp").over(by)).where("_last IS NULL OR _last != fp").drop("_last")
@@ -295,9 +266,11 @@ def near_duplicates(
         if not verified(_stars(post, percent)):
             break
         post = mixed()
-    x = post.select("sh", *[F.col(c).alias(f"{c}_a") for c in ("fp", "size", "pos", "root")])
-    y = post.select("sh", *[F.col(c).alias(f"{c}_b") for c in ("fp", "size", "pos", "root")])
-    across = x.join(y, "sh").where("root_a != root_b AND fp_a < fp_b")
+    # One side of a salted list goes to all of its salts, so that no task has the whole list.
+    everywhere = F.when(F.col("salts") > 1, F.sequence(F.lit(1), F.col("salts"))).otherwise(F.array(F.lit(0)))
+    x = post.select("sh", F.explode(everywhere).alias("salt"), *[F.col(c).alias(f"{c}_a") for c in ("fp", "size", "pos", "root")])
+    y = post.select("sh", "salt", *[F.col(c).alias(f"{c}_b") for c in ("fp", "size", "pos", "root")])
+    across = x.join(y, ["sh", "salt"]).where("root_a != root_b AND fp_a < fp_b")
     verified(across.where(_may_match(percent)).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct())
     if roots is None:
         roots = nodes.limit(0).select(F.col("fp").alias("node"), F.col("fp").alias("root"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,27 +104,40 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-word shingle ids of each text, ascending, with row pointers.
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in small ASCII letters, and how many each text has."""
+    data = lower_ascii(data)
+    starts, ends, counts = words(data, offsets)
+    return (span_hash(prefix_hash(data), starts, ends) if len(starts) else np.zeros(0, dtype=np.uint64)), counts
+
 
+def shingles(
+    data: np.ndarray, offsets: np.ndarray, n: int, level: Callable[[np.ndarray], np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-word shingle ids of each text, ascending, row pointers, and the words' hashes.
+
+    With ``level``, a number for each word hash, the last are the least levels of the shingles' words.
     A text of fewer words has its whole sequence as its one shingle; without words it has none.
     """
-    data = lower_ascii(data)
-    starts, ends, counts = words(data, offsets)
+    wh, counts = word_hashes(data, offsets)
     rows = len(offsets) - 1
     pointers = np.zeros(rows + 1, dtype=np.int64)
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64), pointers
-    wh = span_hash(prefix_hash(data), starts, ends)
+    if not len(wh):
+        return wh, pointers, wh
+    levels = None if level is None else level(wh)
     first = np.zeros(rows + 1, dtype=np.int64)
     np.cumsum(counts, out=first[1:])
     doc = np.repeat(np.arange(rows), counts)
     acc = np.zeros(len(wh), dtype=np.uint64)
     left = first[doc + 1] - np.arange(len(wh))  # words from here to the end of the text
+    least = levels
     for k in range(n):
         part = np.zeros(len(wh), dtype=np.uint64)
-        inside = left > k
-        part[inside] = wh[np.flatnonzero(inside) + k]
+        inside = np.flatnonzero(left > k)
+        part[inside] = wh[inside + k]
+        if levels is not None and k:
+            least = least.copy() if k == 1 else least
+            least[inside] = np.minimum(least[inside], levels[inside + k])
         acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + part + np.uint64(k + 1))
     keep = (left >= n) | ((counts[doc] < n) & (left == counts[doc]))
     h, d = acc[keep], doc[keep]
@@ -135,7 +148,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     fresh[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
     h, d = h[fresh], d[fresh]
     pointers[1:] = np.cumsum(np.bincount(d, minlength=rows))
-    return h, pointers
+    return h, pointers, wh if levels is None else least[keep][order][fresh]
 
 
 def byte_ranges(sizes: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
