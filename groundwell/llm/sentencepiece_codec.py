@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import pieces as P
@@ -18,6 +18,10 @@ from .textbytes import byte_ranges
 REMEMBERED = 300_000
 #: Without a boundary that no piece crosses, survivors are traced for a common one this often.
 TRACE_EVERY = 64
+#: Texts read side by side; fewer than FEW are streamed one after the other.
+ROWS, FEW = 4096, 16
+#: Symbols after the last common boundary that are kept side by side: bits of a bitmap.
+WINDOW = 64
 #: Scores at or below this are sentinels in model files; they become one less than the lowest other score.
 SENTINEL = -1e8
 UNKNOWN_PENALTY = 10.0
@@ -45,6 +49,7 @@ class Viterbi:
         for b, i in enumerate(model.byte_ids):
             self.raw[i] = bytes((b,))
         self.dummy_prefix = model.dummy_prefix
+        self.streamed = 0  # texts that went through windows so far
 
     def _tables(self, model: P.PieceModel, normal: list[tuple[str, float, int]]) -> None:
         """The beginnings of pieces as a trie in an open-addressed table: (node, symbol) -> node."""
@@ -97,7 +102,7 @@ class Viterbi:
         return np.where(hit, self.nodes[at], 0)
 
     def words(self, cells: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``word`` for many short texts at once, one column of boundaries after the other.
+        """Many texts at once, each streamed through a window of its own.
 
         Returns the order in which the texts were done, the number of ids of each, and all ids.
         """
@@ -106,67 +111,99 @@ class Viterbi:
         order = order[lengths[order] > 0]
         at, sizes, flats = 0, [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
         while at < len(order):
-            rows = max(64, min(4096, 40_000 // int(lengths[order[min(at + 4095, len(order) - 1)]])))
-            part = order[at : at + rows]
-            at += rows
-            size, flat = self._columns([cells[i] for i in part], lengths[part])
+            part = order[at : at + ROWS]
+            # A window each costs the same however many there are: a few long texts go one by one.
+            part = part[lengths[part] <= max(64, 4 * lengths[part[0]])]
+            at += len(part)
+            size, flat = self._windows([cells[i] for i in part], lengths[part]) if len(part) >= FEW else self._singly([cells[i] for i in part])
             sizes.append(size)
             flats.append(flat)
         return order, np.concatenate(sizes), np.concatenate(flats)
 
-    def _columns(self, cells: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows, n = len(cells), int(size.max())
+    def _singly(self, cells: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(self.encode(c), dtype=np.int32) for c in cells]
+        return np.array([len(x) for x in ids], dtype=np.int64), np.concatenate(ids)
+
+    def _windows(self, cells: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in ascending order of length, all read one symbol at a time.
+
+        Column k of the window stands for the boundary k symbols back: its score, the trie node of the
+        piece that is open since then, and a bitmap of the boundaries on its best path. Boundaries
+        with open pieces survive; the latest one that is on the paths of all survivors is common, and
+        ids up to it are given out. Only what lies after it is kept, 63 symbols at most; a text whose
+        paths stay apart for longer is streamed singly.
+        """
+        rows, n, reach = len(cells), int(size.max()), self.longest
         code = np.frombuffer("".join(cells).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         inside = np.arange(n) < size[:, None]
         codes = np.zeros((rows, n), dtype=np.uint32)
         codes[inside] = code
-        grid = np.full((rows, n), -1, dtype=np.int32)
-        grid[inside] = self.symbol[code]
-        reach = min(self.longest, n)
-        edge = np.full((rows, n, reach), -np.inf)
-        piece = np.full((rows, n, reach), -1, dtype=np.int32)
-        r, i = np.nonzero(inside)
-        node = np.zeros(len(r), dtype=np.int32)
-        for k in range(reach):
-            ok = i + k < n
-            r, i, node = r[ok], i[ok], node[ok]
-            node = self._step(node, grid[r, i + k])
-            ok = node > 0
-            r, i, node = r[ok], i[ok], node[ok]
-            if not len(r):
-                break
-            edge[r, i, k], piece[r, i, k] = self.node_score[node], self.node_piece[node]
-        alone = inside & (piece[:, :, 0] < 0)
-        edge[:, :, 0][alone] = self.unknown
-        odd = (alone & (codes >= 128)).any(axis=1)  # several byte pieces for one symbol: done singly
-        single = alone & (codes < 128)
-        piece[:, :, 0][single] = np.array(self.byte_ids, dtype=np.int32)[codes[single]]
-        score = np.full((rows, n + 1), -np.inf)
+        score = np.full((rows, reach + 1), -np.inf)
         score[:, 0] = 0
-        begin = np.zeros((rows, n + 1), dtype=np.int64)
-        every = np.arange(rows)
+        node = np.full((rows, reach + 1), -1, dtype=np.int32)
+        path = np.zeros((rows, reach + 1), dtype=np.uint64)
+        path[:, 0] = 1
+        step, piece = np.zeros((rows, WINDOW), dtype=np.int64), np.zeros((rows, WINDOW), dtype=np.int64)
+        base = np.zeros(rows, dtype=np.int64)
+        ids = np.zeros((rows, n), dtype=np.int64)
+        used = np.zeros((rows, n), dtype=bool)
+        apart = np.zeros(rows, dtype=bool)
+        one = np.uint64(1)
         for j in range(1, n + 1):
-            starts = np.arange(max(0, j - reach), j)
-            options = score[:, starts] + edge[:, starts, j - starts - 1]
-            best = options.argmax(axis=1)  # the first is the one that begins earliest
-            score[:, j], begin[:, j] = options[every, best], starts[best]
-        ids = np.zeros((rows, n), dtype=np.int32)
-        used = np.zeros(rows, dtype=np.int64)
-        live, end = every, size.copy()
-        while len(live):
-            j = end[live]
-            i = begin[live, j]
-            used[live] += 1
-            ids[live, n - used[live]] = piece[live, i, j - i - 1]
-            end[live] = i
-            live = live[i > 0]
-        flat = ids[np.arange(n) >= (n - used)[:, None]]
-        if odd.any():
-            parts = np.split(flat, np.cumsum(used)[:-1])
-            for x in np.flatnonzero(odd).tolist():
-                parts[x] = np.array(self.word(cells[x]), dtype=np.int32)
-            return np.array([len(x) for x in parts], dtype=np.int64), np.concatenate(parts)
-        return used, flat
+            lo = int(np.searchsorted(size, j))  # shorter texts are done
+            for x in (score, node, path):
+                x[lo:, 1:] = x[lo:, :-1]
+            path[lo:, 1:] <<= one
+            node[lo:, 1] = 0  # a piece may begin at every boundary
+            here = codes[lo:, j - 1]
+            symbol = self.symbol[here]
+            r, k = np.nonzero(node[lo:] >= 0)
+            k_live = k > 0
+            r, k = r[k_live], k[k_live]
+            after = self._step(node[lo + r, k], symbol[r])
+            node[lo + r, k] = np.where(after > 0, after, -1)
+            node[lo:, 0] = -1
+            option = np.full((rows - lo, reach + 1), -np.inf)
+            value = np.where(after > 0, self.node_score[after], -np.inf)
+            option[r, k] = score[lo + r, k] + value
+            single = np.zeros(rows - lo, dtype=bool)
+            first = k == 1
+            single[r[first]] = value[first] > -np.inf
+            option[~single, 1] = score[lo:, 1][~single] + self.unknown
+            best = reach - option[:, ::-1].argmax(axis=1)  # of equal scores the piece that begins earliest
+            every = np.arange(rows - lo)
+            score[lo:, 0] = option[every, best]
+            path[lo:, 0] = path[lo + every, best] | one
+            found = self.node_piece[np.maximum(node[lo + every, best], 0)].astype(np.int64)
+            step[lo:, j % WINDOW] = best
+            piece[lo:, j % WINDOW] = np.where((best == 1) & ~single, -1 - here.astype(np.int64), found)
+            open_ = node[lo:] >= 0
+            open_[:, 0] = False
+            common = np.bitwise_and.reduce(np.where(open_, path[lo:], ~np.uint64(0)), axis=1) & path[lo:, 0]
+            ended = size[lo:] == j
+            common[ended] = one  # nothing is open at the end of the text
+            back = np.bitwise_count((common & -common) - one).astype(np.int64)
+            apart[lo:] |= j - base[lo:] >= WINDOW
+            go = lo + np.flatnonzero((common > 0) & (j - back > base[lo:]) & ~apart[lo:])
+            end = j - back[go - lo]
+            live, e = go, end
+            while len(live):
+                begin = e - step[live, e % WINDOW]
+                ids[live, begin], used[live, begin] = piece[live, e % WINDOW], True
+                keep = begin > base[live]
+                live, e = live[keep], begin[keep]
+            base[go] = end
+        sizes, flat = used.sum(axis=1), ids[used]
+        if (flat < 0).any() or apart.any():
+            parts = np.split(flat, np.cumsum(sizes)[:-1])
+            for x in np.flatnonzero(apart):
+                parts[x] = np.array(self.encode(cells[x]), dtype=np.int64)
+            for x, p in enumerate(parts):
+                if (p < 0).any():
+                    parts[x] = np.array([i for q in p.tolist() for i in ([q] if q >= 0 else [self.byte_ids[b] for b in chr(-1 - q).encode()])])
+            sizes, flat = np.array([len(p) for p in parts], dtype=np.int64), np.concatenate(parts)
+        self.streamed += rows
+        return sizes, flat.astype(np.int32)
 
     def stream(self, symbols: Iterable[str]) -> Iterator[list[int]]:
         """Ids in order, in chunks, each given out once no later symbol can change it.
@@ -289,7 +326,6 @@ def viterbi(path: str) -> Viterbi:
     return Viterbi(P.load(path))
 
 
-LONG_WORD = 256
 _RUNS = re.compile(r" *[^ ]+| +")
 
 
@@ -315,23 +351,14 @@ class Known:
 
 def encode_texts(v: Viterbi, texts: list[str], known: Known) -> tuple[np.ndarray, np.ndarray]:
     """Number of ids of each text, and all ids. No piece crosses from a word into the next, so every
-    word boundary is one on which all paths converge: words are encoded by themselves, many at once,
-    and remembered. Long ones are streamed."""
+    word boundary is one on which all paths converge: words are streamed by themselves, many at once,
+    and remembered."""
     cut = [_cells(v, t) for t in texts]
     if len(known.slot) > REMEMBERED:
         known.clear()
     missing = list(set().union(*cut) - known.slot.keys())
-    cells = [P.SPACE + w.replace(" ", P.SPACE) for w in missing]
-    short = [i for i, c in enumerate(cells) if len(c) <= LONG_WORD]
-    order, sizes, ids = v.words([cells[i] for i in short])
-    known.add([missing[short[i]] for i in order], sizes, ids)
-    long = [(missing[i], v.encode(c)) for i, c in enumerate(cells) if len(c) > LONG_WORD]
-    if long:
-        known.add(
-            [w for w, _ in long],
-            np.array([len(x) for _, x in long], dtype=np.int64),
-            np.array([i for _, x in long for i in x], dtype=np.int32),
-        )
+    order, sizes, ids = v.words([P.SPACE + w.replace(" ", P.SPACE) for w in missing])
+    known.add([missing[i] for i in order], sizes, ids)
     slots = np.fromiter(
         (s for c in cut for s in map(known.slot.__getitem__, c)), dtype=np.int64, count=sum(map(len, cut))
     )
@@ -360,8 +387,21 @@ def decode_ids(v: Viterbi, ids: np.ndarray) -> str:
     return text[1:] if v.dummy_prefix and text.startswith(" ") else text
 
 
-def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids (array<int>) for every row.
+def _carried(docs: DataFrame, carry: tuple[str, ...]) -> tuple[list[Column], str, dict[str, str]]:
+    """Columns to carry under names of our own, their types, and the way back."""
+    kept = [f"_c_{i}" for i in range(len(carry))]
+    types = "".join(f", {k} {docs.schema[c].dataType.simpleString()}" for c, k in zip(carry, kept, strict=True))
+    return [F.col(c).alias(k) for c, k in zip(carry, kept, strict=True)], types, dict(zip(kept, carry, strict=True))
+
+
+def _id_lists(sizes: np.ndarray, flat: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat, pa.int32()))
+
+
+def encoded(
+    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """id, ids (array<int>) and ``carry`` for every row.
 
     Null and empty texts have no ids. Rows are encoded by themselves: repeated rows, ties and null
     ids pass through, other columns are ignored, an empty table gives no rows. Ties between
@@ -369,8 +409,9 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     without a piece become byte pieces, so decoding restores every text but for the space symbol
     U+2581 itself, which the model cannot tell from a space.
     """
-    private_names(docs, id_col, text_col)
+    private_names(docs, id_col, text_col, *carry)
     kind = docs.schema[id_col].dataType.simpleString()
+    columns, types, back = _carried(docs, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = viterbi(model_path)
@@ -379,16 +420,17 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
             for start, end in byte_ranges(batch.column(2)):
                 part = batch.slice(start, end - start)
                 sizes, flat = encode_texts(v, [t or "" for t in part.column(1).to_pylist()], known)
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), column], ["_id", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), _id_lists(sizes, flat)] + [part.column(3 + i) for i in range(len(back))], ["_id", "ids", *back]
+                )
 
     source = docs.select(
         F.col(id_col).alias("_id"),
         F.col(text_col).alias("_text"),
         F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).alias("_bytes"),
+        *columns,
     )
-    return source.mapInArrow(run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
+    return source.mapInArrow(run, f"_id {kind}, ids array<int>{types}").withColumnsRenamed({"_id": id_col} | back)
 
 
 def decoded(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -410,18 +452,15 @@ def decoded(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: s
     return source.mapInArrow(run, f"_id {kind}, text string").withColumnRenamed("_id", id_col)
 
 
-def checked(
-    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
-) -> DataFrame:
-    """id, n_bytes, n_ids, ids_sha256 and round_trip (and ``carry``) for every row.
+def checked(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_bytes, n_ids, ids, ids_sha256 and round_trip for every row, as ``encoded`` gives the ids.
 
-    Encoding and decoding run over the same Arrow batches: the ids are decoded again where they are
-    made, and only their digest leaves the task. ``ids_sha256`` is over the ids as little-endian
-    32-bit integers.
+    The ids are decoded again in the batches where they are made. ``ids_sha256`` is over the ids as
+    little-endian 32-bit integers; round_trip says that decoding gives the text back (with U+2581 as a
+    space; null as the empty text).
     """
     private_names(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    kept = [f"_c_{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -438,17 +477,14 @@ def checked(
                     digests.append(hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest())
                     same.append(decode_ids(v, ids) == t.replace(P.SPACE, " "))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(same)]
-                    + [part.column(3 + i) for i in range(len(kept))],
-                    ["_id", "n_bytes", "n_ids", "ids_sha256", "round_trip", *kept],
+                    [part.column(0), part.column(2), pa.array(sizes, pa.int64()), _id_lists(sizes, flat), pa.array(digests), pa.array(same)],
+                    ["_id", "n_bytes", "n_ids", "ids", "ids_sha256", "round_trip"],
                 )
 
     source = docs.select(
         F.col(id_col).alias("_id"),
         F.col(text_col).alias("_text"),
         F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"),
-        *[F.col(c).alias(k) for c, k in zip(carry, kept, strict=True)],
     )
-    types = "".join(f", {k} {docs.schema[c].dataType.simpleString()}" for c, k in zip(carry, kept, strict=True))
-    out = source.mapInArrow(run, f"_id {kind}, n_bytes long, n_ids long, ids_sha256 string, round_trip boolean{types}")
-    return out.withColumnsRenamed({"_id": id_col} | dict(zip(kept, carry, strict=True)))
+    out = source.mapInArrow(run, f"_id {kind}, n_bytes long, n_ids long, ids array<int>, ids_sha256 string, round_trip boolean")
+    return out.withColumnRenamed("_id", id_col)
