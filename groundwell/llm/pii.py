@@ -135,6 +135,19 @@ def _same_shape(value: Column, stream: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), swap), "")
 
 
+def _digits_from_right(value: Column, stream: Column) -> Column:
+    """Digits become digits by their number from the right, so that separators and prefixes change none."""
+    swap = lambda c, i: F.when(
+        c.rlike("[0-9]"), F.pmod(_byte(stream, F.length(_digits(F.substring(value, i + 1, F.length(value))))), F.lit(10)).cast("string")
+    ).otherwise(c)
+    return F.array_join(F.transform(F.split(value, ""), swap), "")
+
+
+def unit(kind: Column, value: Column) -> Column:
+    """What all spellings of one value (a match without its head) have in common."""
+    return F.when(kind.isin("card", "phone", "ssn"), _digits(value)).when(kind == "email", F.lower(value)).otherwise(value)
+
+
 def _hex_shape(value: Column, stream: Column) -> Column:
     out = F.array_join(
         F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.substring(stream, F.pmod(i, F.lit(128)) + 1, F.lit(1))), ""
@@ -219,6 +232,26 @@ def _new_name(key: str, script: Column, gender: Column, value: Column, attempt:
 GENDERS = ["", "f", "m"]
 
 
+def _replaced(key: str, kind: Column, value: Column, unit: Column, attempt: Column) -> Column:
+    """What takes the place of a value that is no name: seeded by its unit, in the form of this spelling."""
+
+    def build(s: Column) -> Column:
+        octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: _byte(s, i).cast("string")), ".")
+        email = F.concat(
+            _same_shape(F.regexp_extract(value, r"^(.*)\.[^.]*$", 1), s), F.regexp_extract(value, r"(\.[^.]*)$", 1)
+        )
+        hexadecimal = value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+        return (
+            F.when(kind == "secret", F.when(hexadecimal, _hex_shape(value, s)).otherwise(_same_shape(value, s)))
+            .when(kind == "email", email)
+            .when(kind == "ip", octets)
+            .when(kind == "card", _card(value, s))
+            .otherwise(_digits_from_right(value, s))
+        )
+
+    return let(_stream(key, kind, unit, attempt), build)
+
+
 def surrogate(key: str, kind: Column, match: Column, override: Column) -> Column:
     """What takes the place of a match of the given type."""
     attempt = F.pmod(override, F.lit(100))
@@ -231,22 +264,7 @@ def surrogate(key: str, kind: Column, match: Column, override: Column) -> Column
             F.struct(_title_is(match, 1).alias("s"), gender.alias("g"), value.alias("v")),
             lambda n: _new_name(key, n["s"], n["g"], n["v"], attempt, F.pmod(F.floor(override / 100), F.lit(100)).cast("int")),
         )
-
-        def build(s: Column) -> Column:
-            octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: _byte(s, i).cast("string")), ".")
-            email = F.concat(
-                _same_shape(F.regexp_extract(match, r"^(.*)\.[^.]*$", 1), s), F.regexp_extract(match, r"(\.[^.]*)$", 1)
-            )
-            return (
-                F.when(kind == "secret", F.when(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _hex_shape(value, s)).otherwise(_same_shape(value, s)))
-                .when(kind == "email", email)
-                .when(kind == "ip", octets)
-                .when(kind == "card", _card(match, s))
-                .otherwise(_same_shape(value, s))
-            )
-
-        new = F.when(kind == "name", name).otherwise(let(_stream(key, kind, match, attempt), build))
-        return F.concat(head, new)
+        return F.concat(head, F.when(kind == "name", name).otherwise(_replaced(key, kind, value, unit(kind, value), attempt)))
 
     return let(_head(kind, match), of)
 
@@ -285,16 +303,22 @@ def _settled(units: DataFrame, real: DataFrame, new) -> DataFrame:
 def collisions(entities: DataFrame, key: str) -> DataFrame:
     """(match, override > 0) of the entities whose first surrogates would not do.
 
-    A surrogate must differ from every surrogate and every real value of its type. Names are settled
+    A surrogate must differ from every surrogate and every real value of its type, whatever the spelling
+    (separators of numbers, case of addresses, labels of secrets). Names are settled
     without their titles: first family names, apart in each script and from every word of a real name,
     then names with given names, whose gender a title without one takes from the others of that name.
     """
     e = checkpointed(entities.select("kind", "match").distinct())
-    others = e.where("kind != 'name'").select(F.col("kind").alias("space"), F.col("match").alias("unit"))
-    moved = _settled(others, others.select("space", F.col("unit").alias("_s")), lambda a: surrogate(key, F.col("space"), F.col("unit"), a))
-
+    e = e.withColumn("head", _head(F.col("kind"), F.col("match")))
     value = F.expr("substring(match, length(head) + 1)")
-    names = e.where("kind = 'name'").withColumn("head", _head(F.col("kind"), F.col("match")))
+    others = e.where("kind != 'name'").select("match", F.col("kind").alias("space"), unit(F.col("kind"), value).alias("unit"))
+    units = others.select("space", "unit").distinct()
+    moved = _settled(
+        units, units.select("space", F.col("unit").alias("_s")), lambda a: _replaced(key, F.col("space"), F.col("unit"), F.col("unit"), a)
+    ).where("attempt > 0")
+    moved = others.join(moved, ["space", "unit"])
+
+    names = e.where("kind = 'name'")
     names = names.select("match", _title_is(F.col("match"), 0).alias("own"), _title_is(F.col("match"), 1).alias("space"), value.alias("value"))
     names = names.withColumn("family", _family_part(F.col("value")))
     told = names.groupBy("space", "value").agg(F.max(F.col("own") == "f").alias("f"), F.max(F.col("own") == "m").alias("m"))
@@ -319,7 +343,7 @@ def collisions(entities: DataFrame, key: str) -> DataFrame:
     names = names.join(persons, ["space", "gender", "value"], "left")
     gender = F.when((F.col("own") == F.col("gender")) | ~F.col("value").contains(" "), 0).when(F.col("gender") == "f", 1).otherwise(2)
     override = F.coalesce("attempt", F.lit(0)) + 100 * F.col("family_attempt") + 10000 * gender
-    out = moved.select(F.col("unit").alias("match"), F.col("attempt").alias("override"))
+    out = moved.select("match", F.col("attempt").alias("override"))
     return out.unionByName(names.select("match", override.cast("int").alias("override"))).where("override > 0")
 
 
@@ -328,8 +352,8 @@ def anonymised(
 ) -> DataFrame:
     """id, n_entities, kinds (sorted) and the text with surrogates, for every row of ``docs``.
 
-    One value has one surrogate in the whole corpus, different values have different ones, and no
-    surrogate is another real value of the corpus. Surrogates depend on ``key`` and the value alone,
+    One value has one surrogate in the whole corpus, in the form of each of its spellings; different
+    values have different ones, and no surrogate is another real value of the corpus. Surrogates depend on ``key`` and the value alone,
     but for those that collide, and given names after a title without gender. Names are one person's
     when they differ in their titles only, and equal family names stay equal. Null text gives the null text and no entities. Rows are
     handled one by one: repeated rows get equal texts; other columns are ignored; an empty table
