@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import private_names
+from .runtime import checkpointed, private_names
 
 #: Rows of a block.
 BLOCK_ROWS = 32
 #: Slots of one period of the schedule, about: weights are rounded to multiples of one slot.
 PERIOD = 1000
+#: Slots of a plan that is broadcast.
+BROADCAST_SLOTS = 100_000
 
 
 def _source(col: Column) -> Column:
@@ -100,7 +102,8 @@ def scheduled(
     """Every row with its place in the mix: id, source, source_rank, block, slot, place (and ``carry``).
 
     ``weights`` maps sources to whole target weights (others get 1); by default sources weigh as the
-    square root of their size. Rows are mixed in order of (slot, place). All rows stay: once a source
+    square root of their size, rounded to slots of the period: shares are kept to about 1 / PERIOD, and
+    a source below that has one slot. Rows are mixed in order of (slot, place). All rows stay: once a source
     has run out its slots stay empty, and the others keep their proportions.
 
     A null source is the source ''. Rows with equal ids are told apart by order alone, null ids rank
@@ -115,11 +118,12 @@ def scheduled(
         for name, value in weights.items():
             given = F.when(F.col("_source") == name, F.lit(value)).otherwise(given)
         w = sizes.select("_source", given.cast("long").alias("_w"))
-    plan = slots(w)
+    plan = checkpointed(slots(w))
     rows = ranked(docs, id_col, source_col, carry).withColumn("_block", F.floor(F.col("_rank") / block_rows))
-    turns = w.select("_source", "_w")
-    rows = rows.join(F.broadcast(turns), "_source").withColumn("_turn", F.pmod("_block", "_w").cast("int"))
-    rows = rows.join(F.broadcast(plan.select("_source", "_turn", "_slot", "_period")), ["_source", "_turn"])
+    # The plan has a row for each slot of the period; beyond a checked size both joins are shuffles.
+    small = F.broadcast if plan.count() <= BROADCAST_SLOTS else (lambda df: df)
+    rows = rows.join(small(w.select("_source", "_w")), "_source").withColumn("_turn", F.pmod("_block", "_w").cast("int"))
+    rows = rows.join(small(plan.select("_source", "_turn", "_slot", "_period")), ["_source", "_turn"])
     slot = F.floor(F.col("_block") / F.col("_w")) * F.col("_period") + F.col("_slot")
     return rows.select(
         F.col("_id").alias(id_col),
