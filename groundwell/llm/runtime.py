@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,7 +20,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage into the shared folder named by ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none (tests, local runs).
+    A folder of our own is set only where the session names none and runs on one machine (tests).
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -35,7 +36,10 @@ def stored(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
     return sc.getCheckpointDir()
 
 
