@@ -18,7 +18,9 @@ from .textbytes import byte_ranges
 
 _NONE = np.int32(2**31 - 1)
 #: Longer pre-tokens are merged one by one through a priority queue: same result, n log n steps.
-LONG = 64
+LONG = 256
+#: Symbols merged side by side.
+BATCH = 1 << 16
 #: Pre-tokens remembered by a task before it starts afresh.
 REMEMBERED = 400_000
 _RUNS = re.compile(r" *[^ ]+| +")
@@ -77,9 +79,8 @@ class Merger:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and resulting symbol of adjacent symbols; padding (-1) merges with nothing."""
+        """Rank and resulting symbol of adjacent symbols."""
         keys = a.astype(np.int64) * (self.size + 5) + b
-        keys[(a < 0) | (b < 0)] = -2
         at = self._slot(keys)
         hit = self.keys[at] == keys
         for _ in range(self.probes - 1):
@@ -98,50 +99,54 @@ class Merger:
             out[i] = self._queue(self.symbols(tokens[i]))
         order = np.argsort(lengths, kind="stable")
         order = order[(lengths[order] > 0) & (lengths[order] <= LONG)]
-        for start in range(0, len(order), 8192):
-            part = order[start : start + 8192]
-            size = lengths[part]
-            flat = self.symbols("".join([tokens[i] for i in part]))
-            grid = np.full((len(part), int(size[-1])), -1, dtype=np.int32)
-            grid[np.arange(grid.shape[1]) < size[:, None]] = flat
-            out[part] = self._merge(grid)
+        ends = np.cumsum(lengths[order])
+        at = 0
+        while at < len(order):
+            upto = max(at + 1, int(np.searchsorted(ends, ends[at] + BATCH)))
+            part = order[at:upto]
+            out[part] = self._merge(self.symbols("".join([tokens[i] for i in part])), lengths[part])
+            at = upto
         return out
 
     def symbols(self, text: str) -> np.ndarray:
         code = np.frombuffer(text.replace(" ", P.SPACE).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         return self.char_ids[code]
 
-    def _merge(self, grid: np.ndarray) -> np.ndarray:
-        """Every row merges its lowest-ranked, leftmost pair; rows without one are counted and leave."""
-        out = np.zeros(len(grid), dtype=np.int64)
-        alive = np.arange(len(grid))
-        rank, made = self.pairs(grid[:, :-1], grid[:, 1:]) if grid.shape[1] > 1 else (None, None)
-        while grid.shape[1] > 1:
-            at = rank.argmin(axis=1)
-            rows = np.arange(len(grid))
-            best = rank[rows, at]
-            done = best == _NONE
-            if done.any():
-                g = grid[done]
-                out[alive[done]] = np.where(g >= 0, self.weights[g], 0).sum(axis=1)
-                go = ~done
-                grid, rank, made, alive, at = grid[go], rank[go], made[go], alive[go], at[go]
-                if not len(grid):
-                    return out
-                rows = np.arange(len(grid))
-            symbol = made[rows, at]
-            cols = np.arange(grid.shape[1] - 1)
-            grid = np.take_along_axis(grid, cols + (cols > at[:, None]), axis=1)
-            grid[rows, at] = symbol
-            if grid.shape[1] == 1:
-                break
-            shift = cols[:-1] + (cols[:-1] >= at[:, None])
-            rank, made = np.take_along_axis(rank, shift, axis=1), np.take_along_axis(made, shift, axis=1)
-            for ok, j in ((at > 0, at - 1), (at < grid.shape[1] - 1, at)):
-                r, j = rows[ok], j[ok]
-                rank[r, j], made[r, j] = self.pairs(grid[r, j], grid[r, j + 1])
-        if len(grid):
-            out[alive] = np.where(grid >= 0, self.weights[grid], 0).sum(axis=1)
+    def _merge(self, symbol: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Sequences end to end in one array, ``size`` symbols each: in every step each of them merges its
+        lowest-ranked, leftmost pair. Those without one are counted and leave."""
+        out = np.zeros(len(size), dtype=np.int64)
+        symbol, alive = symbol.copy(), np.arange(len(size))
+        rank = np.full(len(symbol), _NONE, dtype=np.int32)  # of each symbol with the next of its sequence
+        made = np.full(len(symbol), -1, dtype=np.int32)
+        inner = np.ones(len(symbol), dtype=bool)
+        inner[np.cumsum(size) - 1] = False
+        k = np.flatnonzero(inner)
+        rank[k], made[k] = self.pairs(symbol[k], symbol[k + 1])
+        while len(alive):
+            starts = np.cumsum(size) - size
+            best = np.minimum.reduceat((rank.astype(np.int64) << 32) | np.arange(len(rank)), starts)
+            at, go = best & 0xFFFFFFFF, best >> 32 != _NONE
+            if not go.all():
+                done = ~go
+                out[alive[done]] = np.add.reduceat(self.weights[symbol], starts)[done]
+                if not go.any():
+                    break
+                stay = np.repeat(go, size)
+                shift = np.cumsum(~stay)
+                at = (at - shift[at])[go]
+                symbol, rank, made, size, alive = symbol[stay], rank[stay], made[stay], size[go], alive[go]
+                starts = np.cumsum(size) - size
+            symbol[at] = made[at]
+            stay = np.ones(len(symbol), dtype=bool)
+            stay[at + 1] = False
+            # The merged pair's second symbol goes, and one place less in all sequences after it.
+            at, first = at - np.arange(len(at)), starts - np.arange(len(at))
+            symbol, rank, made, size = symbol[stay], rank[stay], made[stay], size - 1
+            last = first + size - 1
+            rank[at[at == last]] = _NONE
+            for k in (at[at < last], at[at > first] - 1):
+                rank[k], made[k] = self.pairs(symbol[k], symbol[k + 1])
         return out
 
     def _queue(self, symbols: np.ndarray) -> int:
