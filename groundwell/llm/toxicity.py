@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import private_names
-from .textbytes import LETTERS, buffers, lower_ascii, prefix_hash, slices, span_hash, words
+from .textbytes import LETTERS, buffers, lower_ascii, mix, prefix_hash, slices, span_hash, words
 
 #: Labelled texts used for fitting, at most: those whose ids have the smallest digests.
 SAMPLE = 8000
@@ -25,16 +25,26 @@ RIDGE = 0.3
 BUCKETS = 1 << BUCKET_BITS
 
 
+#: Beginnings of longer words (in bytes) that are features beside whole words: forms of one word share them.
+BEGINNINGS = (5, 8)
+
+
 def bucket_sets(column: pa.Array) -> Iterator[np.ndarray]:
-    """Distinct word buckets of each text, ascending. Words are runs of letters, in small ASCII."""
+    """Distinct buckets of each text's words and of their beginnings, ascending. Words are runs of letters, in small ASCII."""
     raw, offsets = buffers(column)
     for i, j in slices(offsets):
         part = offsets[i : j + 1] - offsets[i]
         data = lower_ascii(raw[offsets[i] : offsets[j]])
         starts, ends, counts = words(data, part, LETTERS)
-        bucket = (span_hash(prefix_hash(data), starts, ends) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-        rows = np.repeat(np.arange(j - i), counts)
-        pairs = np.unique(rows * BUCKETS + bucket)
+        sums, rows = prefix_hash(data), np.repeat(np.arange(j - i), counts)
+        hashes, owners = [span_hash(sums, starts, ends)], [rows]
+        for n in BEGINNINGS:
+            long = ends - starts > n
+            hashes.append(span_hash(sums, starts[long], starts[long] + n) ^ np.uint64(n << 32))
+            owners.append(rows[long])
+        # Only the high bits make the bucket: the lengths of beginnings are mixed into them.
+        bucket = (mix(np.concatenate(hashes)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        pairs = np.unique(np.concatenate(owners) * BUCKETS + bucket)
         at = np.searchsorted(pairs, np.arange(j - i + 1) * BUCKETS)
         for k in range(j - i):
             yield pairs[at[k] : at[k + 1]] % BUCKETS
@@ -154,13 +164,14 @@ def scored(
     categories: dict[str, Column],
     id_col: str = "doc_id",
     text_col: str = "text",
-    threshold: float = 0.5,
+    threshold: float | dict[str, float] = 0.5,
 ) -> DataFrame:
     """id, p_<category> and is_<category> for every row of ``docs``, in the order of the chain.
 
     Null text counts as empty. Rows are scored one by one: repeated rows get equal scores. Labels
     that are null are left out of their category; labels of one class only, or none, give the
-    constant 0 or 1 of that class (0 for none). Of the labelled rows at most ``SAMPLE`` are used for
+    constant 0 or 1 of that class (0 for none). ``threshold`` is one for all categories, or by category
+    (0.5 for those not given). Of the labelled rows at most ``SAMPLE`` are used for
     fitting; every row of ``docs`` is scored on its whole text. Empty tables give no rows.
     """
     private_names(docs, id_col, text_col)
@@ -198,5 +209,5 @@ def scored(
     kind = docs.schema[id_col].dataType.simpleString()
     result = texts.mapInArrow(run, f"_id {kind}, {', '.join(f'{n} double' for n in names)}")
     return result.select(
-        F.col("_id").alias(id_col), *names, *[(F.col(f"p_{c}") >= threshold).alias(f"is_{c}") for c in categories]
+        F.col("_id").alias(id_col), *names, *[(F.col(f"p_{c}") >= (threshold.get(c, 0.5) if isinstance(threshold, dict) else threshold)).alias(f"is_{c}") for c in categories]
     )
