@@ -145,12 +145,14 @@ def expand_query(spark, sf):
 
 
 _KOREAN = ["직장내 성희롱 신고방법", "딥페이크 피해", "임금 체불과 수당", "해당 없음 ", "카메라 불법촬영 증거 확보"]
-_VALUES = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_KOREAN)) + ") v(id, text)"
+_ASKS = f"(SELECT conv_id, turn, text || ' ' || [{', '.join(repr(t) for t in _KOREAN)}][(conv_id + turn) % 5 + 1] AS text FROM conversations)"
 
 
-@register("SELECT id::INT AS id, CASE WHEN len(e) > 0 THEN trim(text || ' ' || array_to_string(e, ' ')) ELSE text END AS query FROM (SELECT id, text, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{e}' END" for p, e in C.EXPANSIONS) + f"], lambda x: x IS NOT NULL) AS e FROM {_VALUES})")
+@register("SELECT conv_id, turn, CASE WHEN len(e) > 0 THEN trim(text || ' ' || array_to_string(e, ' ')) ELSE text END AS query FROM (SELECT conv_id, turn, text, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{e}' END" for p, e in C.EXPANSIONS) + f"], lambda x: x IS NOT NULL) AS e FROM {_ASKS})")
 def expand_query_rules(spark, sf):
-    return spark.createDataFrame(list(enumerate(_KOREAN)), "id int, text string").select("id", text.expand_query(F.col("text")).alias("query"))
+    said = F.get(F.array(*[F.lit(t) for t in _KOREAN]), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5)).cast("int"))
+    t = table(spark, sf, "conversations").withColumn("q", F.concat("text", F.lit(" "), said))
+    return t.select("conv_id", "turn", text.expand_query(F.col("q")).alias("query"))
 
 
 @register("WITH " + _BRANCHES.replace("{n}", "3") + f""",
@@ -170,12 +172,16 @@ def prompt_messages(spark, sf):
     return t.select("conv_id", "turn", *[F.get("m", F.lit(i))[k].alias(f"{k}_{i + 1}") for i in (0, 1) for k in ("role", "content")])
 
 
-_CORE = ["(1) 쟁점\n본문 하나\n(2) 판단\n본문 둘\n본 답변은 참고용입니다", "① 결론\n처벌된다. \n\n대처 방안: 신고", "결론 (4) 끝\n다음", "그대로"]
+#: What is put before and after the texts of conversations, by turn.
+_CORE = [("(1) 쟁점\n", "\n(2) 판단\n본문 둘\n본 답변은 참고용입니다"), ("① 결론\n", " \n\n대처 방안: 신고"), ("", " (4) 끝\n다음"), ("", "")]
+_AROUND = lambda k: "[" + ", ".join("'" + c[k].replace("\n", "' || chr(10) || '") + "'" for c in _CORE) + "][turn % 4 + 1]"
 
 
-@register(r"SELECT id::INT AS id, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(t, '\([1-5]\)\s*[^\n]+\n?', '', 'g'), '[①-⑤]\s*', '', 'g'), '(?s)(\(4\)|\(5\)|대처 방안|유의사항|본 답변은 참고용).*$', ''), chr(10)), lambda x: trim(x)), lambda x: x != ''), ' ') AS core FROM (VALUES " + ", ".join(f"({i}, '{t}')".replace("\n", "' || chr(10) || '") for i, t in enumerate(_CORE)) + ") v(id, t)")
+@register(rf"SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(t, '\([1-5]\)\s*[^\n]+\n?', '', 'g'), '[①-⑤]\s*', '', 'g'), '(?s)(\(4\)|\(5\)|대처 방안|유의사항|본 답변은 참고용).*$', ''), chr(10)), lambda x: trim(x)), lambda x: x != ''), ' ') AS core FROM (SELECT conv_id, turn, {_AROUND(0)} || text || {_AROUND(1)} AS t FROM conversations)")
 def core_extract(spark, sf):
-    return spark.createDataFrame(list(enumerate(_CORE)), "id int, t string").select("id", text.core_text(F.col("t")).alias("core"))
+    around = lambda k: F.get(F.array(*[F.lit(c[k]) for c in _CORE]), F.pmod("turn", F.lit(4)).cast("int"))
+    t = table(spark, sf, "conversations").withColumn("t", F.concat(around(0), "text", around(1)))
+    return t.select("conv_id", "turn", text.core_text(F.col("t")).alias("core"))
 
 
 def _pairs(spark, sf):
@@ -318,13 +324,16 @@ def reask_choice(spark, sf):
     return _specific(spark, sf).select("event_id", dialogue.reask_text(raw, F.col("s.legal_category"), F.pmod("event_id", F.lit(4))).alias("ask"))
 
 
-_VARIANTS = ['{"questions": [" one ", "", "two"]}', '["a", "b", "c"]', '{"list": ["x"]}', '{"n": 3}', "nothing"]
-
-
-@register("SELECT * FROM (VALUES (0, 'one|two'), (1, 'a|b|c'), (2, 'x'), (3, ''), (4, '')) t(id, questions)")
+@register("SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN role || '|q ' || conv_id WHEN 1 THEN 'a|' || role WHEN 2 THEN 'q ' || turn ELSE '' END AS questions FROM conversations")
 def variant_parse(spark, sf):
-    v = spark.createDataFrame(list(enumerate(_VARIANTS)), "id int, t string")
-    return v.select("id", F.array_join(dialogue.variants(F.col("t")), "|").alias("questions"))
+    """Replies of a model: an object with the list, the list itself, an object with another key, and two without a list."""
+    t, k = table(spark, sf, "conversations"), F.pmod("turn", F.lit(5))
+    q = F.array(F.concat(F.lit(" "), "role", F.lit(" ")), F.lit(""), F.concat(F.lit("q "), F.col("conv_id").cast("string")))
+    body = (
+        F.when(k == 0, F.to_json(F.struct(q.alias("questions")))).when(k == 1, F.to_json(F.array(F.lit("a"), F.col("role"))))
+        .when(k == 2, F.to_json(F.struct(F.array(F.concat(F.lit("q "), F.col("turn").cast("string"))).alias("list")))).when(k == 3, '{"n": 3}').otherwise("nothing")
+    )
+    return t.select("conv_id", "turn", F.array_join(dialogue.variants(body), "|").alias("questions"))
 
 
 _LOOP = """WITH t AS (SELECT conv_id, turn, CASE WHEN turn > 0 AND (conv_id + turn) % 5 = 0 THEN '' ELSE text END AS text, (conv_id * 3 + turn) % 6 AS score FROM conversations WHERE turn <= 5),

@@ -38,7 +38,7 @@ def test_core(spark, given, expected):
 
 
 @pytest.mark.parametrize(
-    ("given", "expected"), [("0.8", 0.8), ("점수: 0.85", 0.85), ("8", 1.0), ("-0.5", 0.5), (".", 0.5), ("0.8.1", 0.5), ("없음", 0.5)]
+    ("given", "expected"), [("0.8", 0.8), ("점수: 0.85", 0.85), ("8", 1.0), ("-0.5", 0.5), (".", 0.5), ("0.8.1", 0.5), ("없음", 0.5), ("０.９", 0.9), ("점수 ٠.٧", 0.7)]
 )
 def test_judged(spark, given, expected):
     assert one(spark, scores.judged(F.lit(given))) == expected
@@ -148,6 +148,51 @@ def test_lone_law_is_a_list():
     assert http.articles_of('{"법령": {"조문": {"조문단위": {"조번호": "1"}}}}') == [{"조번호": "1"}]
 
 
+def test_vectors_that_cannot_be_compared_are_left_out(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, []), (4, [0.0, None]), (5, [0.0, 1.0])]
+    c = spark.createDataFrame(rows, "chunk_key long, embedding array<double>").withColumn("source_type", F.lit("statute"))
+    q = c.select(F.col("chunk_key").alias("query_id"), "embedding")
+    got = [(r["query_id"], r["chunk_key"]) for r in retrieval.knn(q, c, 3).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1), (1, 5), (5, 5), (5, 1)]
+
+
+def test_tiles_do_not_change_neighbours(spark, monkeypatch):
+    c = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(90)], "chunk_key long, embedding array<double>")
+    q = c.where("chunk_key < 5").select(F.col("chunk_key").alias("query_id"), "embedding")
+    whole = retrieval.knn(q, c, 4).orderBy("query_id", "rank").collect()
+    batch = retrieval.pa.RecordBatch.from_arrays([retrieval.pa.array(range(90))], ["x"])
+    monkeypatch.setattr(retrieval, "TILE", 40)
+    assert [len(t) for t in retrieval._tiles(batch, 5)] == [8] * 11 + [2] and len(whole) == 20
+
+
+def test_history_stands_between_rules_and_question(spark):
+    message = lambda r, c: F.struct(F.lit(r).alias("role"), F.lit(c).alias("content"))
+    own = F.array(message("system", "s"), message("user", "q"))
+    past = F.array(*[message("user", str(i)) for i in range(8)])
+    assert [m["content"] for m in one(spark, dialogue.with_history(own, past))] == ["s", "2", "3", "4", "5", "6", "7", "q"]
+    none = F.lit(None).cast("array<struct<role:string,content:string>>")
+    assert [m["content"] for m in one(spark, dialogue.with_history(own, none))] == ["s", "q"]
+
+
+def test_a_blank_reply_is_a_reply(spark):
+    rows = [(1, 0, "ask", 1), (1, 1, "  ", 2), (1, 2, "more", 4), (2, 0, "ask", 1), (2, 1, "", 1), (2, 2, "late", 5)]
+    got = {r["session_id"]: r for r in dialogue.session_loop(spark.createDataFrame(rows, "session_id long, turn long, text string, score int")).collect()}
+    assert got[1]["question"] == "ask    more" and not got[1]["partial_mode"]
+    assert got[2]["question"] == "ask" and got[2]["partial_mode"]
+
+
+def test_empty_answers_make_no_pair(spark):
+    rows = [(1, 0, "a"), (1, 1, ""), (1, 2, "b"), (1, 3, None), (2, 0, ""), (2, 1, "c"), (3, 1, "d")]
+    got = consistency.pairs(spark.createDataFrame(rows, "question_id long, variant_idx int, answer string")).collect()
+    assert [(r["question_id"], r["variant_idx"], r["reference"], r["answer"]) for r in got] == [(1, 2, "a", "b")]
+
+
+def test_precedents_as_a_data_source(spark):
+    spark.dataSource.register(http.PrecedentSource)
+    got = spark.read.format("precedents").option("transport", "tests.test_operators.fake_register").option("delay", "0").load()
+    assert sorted(r[0] for r in got.collect()) == ["1", "3"]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
