@@ -115,64 +115,90 @@ def _postings(sets: DataFrame) -> DataFrame:
     return p.select("t", salt.alias("salt"), "salts", "s", "_id", "ln", "bits", "size", "pos")
 
 
-def may_match(a: dict[str, np.ndarray], b: dict[str, np.ndarray], percent: int) -> np.ndarray:
-    """Length, positional, prefix and bitmap filters, for the columns of two postings of one list.
+def wanted_overlap(sa: np.ndarray, sb: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words that sets of two sizes must share, and how many of them in their prefixes.
 
-    Beyond the prefix that ends first nothing is shared but what the other set still has, so prefixes
-    must share what is missing then. Every bit in which their bitmaps differ is a word not shared.
+    Beyond the prefix that ends first nothing is shared but what the other set still has.
     """
-    sa, sb = a["size"], b["size"]
     need = (percent * (sa + sb) + 99 + percent) // (100 + percent)
+    return need, need - np.maximum(-(-percent * sa // 100), -(-percent * sb // 100)) + 1
+
+
+def may_match(a: dict[str, np.ndarray], b: dict[str, np.ndarray], percent: int) -> np.ndarray:
+    """Length and bitmap filters: every bit in which the bitmaps of two prefixes differ is a word not shared."""
+    sa, sb = a["size"], b["size"]
     ok = 100 * np.minimum(sa, sb) >= percent * np.maximum(sa, sb)
-    ok &= 1 + np.minimum(sa - a["pos"] - 1, sb - b["pos"] - 1) >= need
     at = np.flatnonzero(ok)
     if len(at):
-        sa, sb, need = sa[at], sb[at], need[at]
-        ra, rb = -(-percent * sa // 100) - 1, -(-percent * sb // 100) - 1
+        sa, sb = sa[at], sb[at]
+        prefixes = sa + sb + 2 + percent * -sa // 100 + percent * -sb // 100
         apart = np.bitwise_count(a["bits"][at] ^ b["bits"][at]).astype(np.int64)
-        ok[at] = sa - ra + sb - rb - apart >= 2 * (need - np.maximum(ra, rb))
+        ok[at] = prefixes - apart >= 2 * wanted_overlap(sa, sb, percent)[1]
     return ok
 
 
 def _met(posts: DataFrame, percent: int, neighbours: int) -> DataFrame:
-    """Pairs (a, b) of sets that are close in a list and may match; and (t) of lists that hold more."""
+    """Pairs (a, b) of sets that meet in lists and may match; and (t) of lists that are longer than what meets.
+
+    A posting meets those shortly before it and the first of its list, for the first of a group of
+    edited lines is often what they were edited from. In the list of its first shared word a pair passes
+    the positional filter, and it meets in as many lists as its prefixes share words, unless it is too
+    far apart in some: those lists are long, and joined later.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["t", "salt", "s", "size", "pos", "bits"]
         held = {c: np.zeros(0, dtype=np.int64) for c in names}
+        head: dict[str, int] | None = None  # the first of the list that the last batch ended in
         for batch in batches:
             new = {c: batch.column(c).to_numpy().astype(np.int64) for c in names}
             old = len(held["t"])
             x = {c: np.concatenate([held[c], new[c]]) for c in names}
-            a, b = [], []
             n = len(x["t"])
+            out: list[tuple[np.ndarray, ...]] = []
+
+            def keep(a: dict[str, np.ndarray], b: dict[str, np.ndarray], out=out) -> None:
+                ok = may_match(a, b, percent)
+                a, b = {c: v[ok] for c, v in a.items()}, {c: v[ok] for c, v in b.items()}
+                need, early = wanted_overlap(a["size"], b["size"], percent)
+                left = 1 + np.minimum(a["size"] - a["pos"] - 1, b["size"] - b["pos"] - 1)
+                out.append((a["s"], b["s"], early, left >= need))
+
             for lag in range(1, neighbours + 1):
                 here = np.arange(max(lag, old), n)
                 here = here[(x["t"][here] == x["t"][here - lag]) & (x["salt"][here] == x["salt"][here - lag])]
                 if not len(here):
                     break
-                p, q = here - lag, here
-                ok = may_match({c: x[c][p] for c in names[3:]}, {c: x[c][q] for c in names[3:]}, percent)
-                a.append(x["s"][p[ok]])
-                b.append(x["s"][q[ok]])
+                keep({c: x[c][here - lag] for c in names}, {c: x[c][here] for c in names})
             far = np.arange(max(neighbours + 1, old), n)
-            more = np.unique(np.concatenate([x["t"][far[x["t"][far] == x["t"][far - neighbours - 1]]], new["t"][new["salt"] > 0]]))
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0) if a else np.zeros((0, 2), dtype=np.int64)
+            far = far[(x["t"][far] == x["t"][far - neighbours - 1]) & (x["salt"][far] == x["salt"][far - neighbours - 1])]
+            begins = np.ones(len(new["t"]), dtype=bool)
+            begins[1:] = (new["t"][1:] != new["t"][:-1]) | (new["salt"][1:] != new["salt"][:-1])
+            begins[0] = head is None or (head["t"], head["salt"]) != (new["t"][0], new["salt"][0])
+            first = np.maximum.accumulate(np.where(begins, np.arange(len(begins)), -1))
+            own = first[far - old]
+            heads = {c: np.where(own < 0, head[c] if head else 0, new[c][own]) for c in names}
+            keep(heads, {c: x[c][far] for c in names})
+            more = np.unique(np.concatenate([x["t"][far], new["t"][new["salt"] > 0]]))
+            found = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([pa.array(pairs[:, 0]), pa.nulls(len(more), pa.int64())]), pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(more), pa.int64())]),
-                 pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(more)])],
-                ["a", "b", "t"],
-            )
+                [pa.concat_arrays([c, pa.nulls(len(more), c.type)]) for c in found] + [pa.concat_arrays([pa.nulls(len(found[0]), pa.int64()), pa.array(more)])],
+                ["a", "b", "early", "left", "t"],
+            )
+            if first[-1] >= 0:
+                head = {c: int(new[c][first[-1]]) for c in names}
             held = {c: x[c][max(0, n - neighbours - 1) :] for c in names}
 
     lists = posts.repartition("t", "salt").sortWithinPartitions("t", "salt", "_id", "ln", "s").select("t", "salt", "s", "size", "pos", "bits")
-    return lists.mapInArrow(run, "a long, b long, t long")
+    rows = lists.mapInArrow(run, "a long, b long, early long, left boolean, t long")
+    met = rows.groupBy("a", "b", "t").agg(F.count(F.lit(1)).alias("n"), F.max("early").alias("early"), F.max("left").alias("left"))
+    return met.where("t IS NOT NULL OR (left AND n >= early)").select("a", "b", "t")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) of sets, those whose words reach the similarity, as the digests of the later set.
 
-    Only the lines in question are read again, each at its set's first place; words are compared as text.
+    Only the lines in question are read again, each at its set's first place; each pair is compared once.
     """
     ids = checkpointed(pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct())
     few = ids.count() <= BROADCAST_ROWS
@@ -182,7 +208,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int)
     found = docs.join(F.broadcast(wanted) if few else wanted, F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_k") == F.col("_wk")))
     cut = found.select("_id", "_want", F.split(F.coalesce("_text", F.lit("")), "\n").alias("_l"))
     cut = cut.select("_id", F.explode_outer(F.transform("_want", lambda w: F.struct(w["s"].alias("s"), w["s2"].alias("s2"), w["ln"].alias("ln"), F.get("_l", w["ln"]).alias("line")))).alias("w"))
-    line = F.array_distinct(F.array_remove(F.split(F.col("w.line"), _SPACE), ""))
+    line = F.array_distinct(F.transform(F.array_remove(F.split(F.col("w.line"), _SPACE), ""), lambda w: F.xxhash64(w)))
     cut = cut.select("w.s", "w.s2", F.struct("_id", "w.ln").alias("place"), line.alias("words"))
     cut = stored(cut)
     side = lambda k: cut.select(F.col("s").alias(k), F.struct("place", "s", "s2").alias(f"f{k}"), F.col("words").alias(f"w{k}"))
@@ -196,6 +222,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int)
 def _rest(sets: DataFrame, long: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
     """Pairs of the sets without an earlier match and all sets of their long lists that may match.
 
+    A long list need not be that of the first word that a pair shares, so positions decide nothing here.
     A set that still looks for a match goes to every salt of its list.
     """
     few = long.count() <= BROADCAST_ROWS
@@ -210,7 +237,7 @@ def _rest(sets: DataFrame, long: DataFrame, gone: DataFrame, percent: int) -> Da
 
 
 def _may_match(percent: int, a: str, b: str) -> Column:
-    """``may_match`` for two structs of a row."""
+    """``may_match`` for two structs of a row, as a condition."""
     sa, sb = F.col(f"{a}.size"), F.col(f"{b}.size")
     total = percent * (sa + sb) + (99 + percent)
     need = F.floor((total - F.pmod(total, F.lit(100 + percent))) / (100 + percent))
@@ -218,7 +245,6 @@ def _may_match(percent: int, a: str, b: str) -> Column:
     shared = sa - after(sa) + sb - after(sb) - F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
     return (
         (100 * F.least(sa, sb) >= percent * F.greatest(sa, sb))
-        & (1 + F.least(sa - F.col(f"{a}.pos") - 1, sb - F.col(f"{b}.pos") - 1) >= need)
         & (shared >= 2 * (need - F.greatest(after(sa), after(sb))))
     )
 
@@ -230,10 +256,10 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     (id, line number), has a set whose Jaccard similarity with its own is at least ``percent``.
 
     Lines with equal sets go on as one, by 128-bit digests. Each set posts its rarest words; within a
-    word's list, in corpus order, a set is held against the ``neighbours`` before it. Of longer (or
+    word's list, in corpus order, a set is held against the ``neighbours`` before it and the first. Of longer (or
     salted) lists, the sets without an earlier match by then are joined with all others, salt by salt.
     So groups of alike lines are not paired among themselves, and no match is missed. What passes the
-    filters is verified as text.
+    filters is verified on 64-bit hashes of words.
 
     Lines without words stay. Null text is the empty text, with one line. Rows with a null id come
     before all others; rows that repeat an id are one text's lines at equal places, and lines with
@@ -245,10 +271,11 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     sketch = docs.sparkSession.sparkContext.broadcast(rarity.summed(_counts(docs, bits), bits))
     lines = stored(_described(docs, sketch, percent))
     place = F.min(F.struct("_id", "ln", "_k")).alias("first")
-    firsts = stored(lines.groupBy("s", "s2").agg(place, F.count(F.lit(1)).alias("n")).select("s", "s2", "first.*", "n"))
     rest = [F.first(c).alias(c) for c in ("size", "bits", "prefix", "salts")]
-    sets = lines.groupBy("s", "s2").agg(place, *rest).select("s", "s2", "first.*", "size", "bits", "prefix", "salts")
-    met = stored(_met(_postings(sets), percent, neighbours).distinct())
+    sets = lines.groupBy("s", "s2").agg(place, F.count(F.lit(1)).alias("n"), *rest)
+    sets = stored(sets.select("s", "s2", "first.*", "n", "size", "bits", "prefix", "salts"))
+    firsts = sets.select("s", "s2", "_id", "ln", "_k", "n")
+    met = stored(_met(_postings(sets), percent, neighbours))
     gone = checkpointed(_verified(met.where("t IS NULL").select("a", "b"), firsts, docs, percent))
     long = checkpointed(met.where("t IS NOT NULL").select("t").distinct())
     if not long.isEmpty():

@@ -103,7 +103,7 @@ class Sketch:
 
 def summed(parts: DataFrame, bits: int) -> Sketch:
     """The sketch of all tasks' (chunk, counts)."""
-    spread = parts.select("chunk", "counts").repartition(CHUNKS * 4).mapInArrow(_added, "chunk int, counts binary")
+    spread = parts.select("chunk", "counts").repartition(CHUNKS).mapInArrow(_added, "chunk int, counts binary")
     rows = spread.repartition(CHUNKS, "chunk").mapInArrow(_levelled, "chunk int, counts binary").collect()
     level = np.zeros((CHUNKS, (1 << bits) // CHUNKS), dtype=np.uint8)
     grams = np.zeros((CHUNKS, (1 << GRAM_BITS) // CHUNKS), dtype=np.uint32)
