@@ -240,3 +240,56 @@ def statute_search(spark, sf):
     q = _sessions(spark, sf).select(F.col("question_id").alias("query_id"), "query")
     laws, articles = http.statutes(q, f"{__name__}.register_of_laws")
     return retrieval.api_chunks(laws, articles, per_law=C.DEFAULT.retrieve_api_articles).select("query_id", "chunk_id", "text")
+
+
+@register(f"WITH {_BASE}, {_API} SELECT query_id, count(*) AS n_chunks, string_agg(DISTINCT law_name, '|' ORDER BY law_name) AS laws FROM ac GROUP BY query_id")
+def retrieval_summary(spark, sf):
+    return retrieval.summary(_api(spark, sf)).select("query_id", "n_chunks", F.array_join("laws", "|").alias("laws"))
+
+
+@register(f"WITH {_ANSWERS} SELECT question_id, left(coalesce(nullif(answer, ''), 'fallback of ' || question_id), 500) AS answer FROM an WHERE variant_idx = 0")
+def answer_fallback(spark, sf):
+    own = _answers(spark, sf).where("variant_idx = 0")
+    return own.select("question_id", reply.reply_text(F.lit("asked"), F.col("answer"), F.concat(F.lit("fallback of "), "question_id")).alias("answer"))
+
+
+def fixture_client():
+    """A model that fails on questions whose number ends in 7, whoever asks."""
+
+    def ask(messages):
+        said = messages[-1]["content"]
+        if said.rstrip().split(" ")[-1].endswith("7"):
+            raise OSError("no answer")
+        return f"{messages[0]['content']}: {said}"
+
+    return ask
+
+
+_CLIENT = f"{__name__}.fixture_client"
+
+
+@register("SELECT doc_id AS question_id, 0 AS variant_idx, CASE WHEN doc_id % 10 != 7 THEN 'rules: question ' || doc_id END AS answer FROM documents")
+def model_replies(spark, sf):
+    s = _sessions(spark, sf)
+    m = F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("system", F.lit("rules")), ("user", F.col("query")))])
+    return http.complete(s.select("question_id", F.lit(0).alias("variant_idx"), m.alias("messages")), _CLIENT, backoff=0.0, strict=False)
+
+
+@register("SELECT doc_id AS question_id, CASE WHEN doc_id % 10 != 7 THEN 'draw: see: question ' || doc_id END AS prompt FROM documents")
+def image_prompts(spark, sf):
+    return http.image_prompts(_sessions(spark, sf).select("question_id", F.col("query").alias("text")), _CLIENT, ("see", "draw"), backoff=0.0)
+
+
+@register("SELECT p_name AS name, p_brand AS display_name FROM part WHERE p_size % 3 = 0")
+def model_catalogue(spark, sf):
+    methods = F.when(F.col("p_size") % 3 == 0, F.array(F.lit("embedContent"), F.lit("generateContent"))).otherwise(F.array(F.lit("embedContent")))
+    return http.usable_models(table(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("display_name"), methods.alias("methods")))
+
+
+@register("SELECT conv_id || '-' || turn AS request_id, text AS image FROM conversations WHERE turn % 4 != 3 AND text != ''")
+def image_parts(spark, sf):
+    part = lambda x, d: F.struct(x.alias("text"), d.alias("inline_data"))
+    none, data = F.lit(None).cast("string"), F.base64(F.encode("text", "utf-8"))
+    parts = F.when(F.col("turn") % 4 == 3, F.array(part(F.lit("sorry"), none))).otherwise(F.array(part(F.lit("here"), none), part(none, data), part(none, F.base64(F.lit("second").cast("binary")))))
+    t = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), parts.alias("parts"))
+    return http.images(t).select("request_id", F.decode("image", "utf-8").alias("image"))

@@ -180,8 +180,15 @@ def api_chunks(laws: DataFrame, articles: DataFrame, config: Config = DEFAULT, p
     )
 
 
-def with_api(hits: DataFrame, api: DataFrame, config: Config = DEFAULT) -> DataFrame:  # J4
-    """Hits and statute rows together: dedup again, order again, cap the total."""
+def summary(api: DataFrame) -> DataFrame:  # A6, A7
+    """query_id, n_chunks, laws: how many statute rows a query has, and of which laws (distinct, sorted)."""
+    return api.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.array_sort(F.collect_set(F.col("metadata")["law_name"])).alias("laws"))
+
+
+def with_api(hits: DataFrame, api: DataFrame | None, config: Config = DEFAULT) -> DataFrame:  # J4, S9
+    """Hits and statute rows together: dedup again, order again, cap the total. No register (None): hits alone."""
+    if api is None:
+        return hits
     columns = ["query_id", "chunk_id", "text", "score", "source_type", "metadata"]
     both = hits.select(*columns, F.lit(0).alias("branch_order"), F.col("position").alias("branch_rank")).unionByName(
         api.select(*columns, F.lit(1).alias("branch_order"), "branch_rank")
@@ -192,9 +199,7 @@ def with_api(hits: DataFrame, api: DataFrame, config: Config = DEFAULT) -> DataF
 
 def search_only(queries: DataFrame, chunks: DataFrame, n: int = 5, config: Config = DEFAULT, api: DataFrame | None = None) -> DataFrame:  # C11
     """Labelled hits; ``api`` (of ``api_chunks``) adds statute rows. Queries are embedded from their expanded texts."""
-    hits = retrieve(queries, chunks, config=config, n=n)
-    if api is not None:
-        hits = with_api(hits, api, config)
+    hits = with_api(retrieve(queries, chunks, config=config, n=n), api, config)
     label = short_label(F.col("source_type"), lambda k: F.col("metadata")[k])
     return hits.select(
         "query_id", F.col("position").alias("rank"), "score", "source_type", label.alias("label"), text.preview(F.col("text"), config.preview_chars).alias("preview")

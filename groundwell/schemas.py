@@ -2,16 +2,4 @@
 
 from __future__ import annotations
 
-CHUNK = "chunk_id string, text string, score double, source_type string, metadata map<string,string>"
-MESSAGE = "role string, content string"
-SPECIFICITY = (
-    "score int, entities string, legal_category string, legal_issue string, missing_elements array<string>, "
-    "followup_question string, is_sufficient boolean, partial_mode boolean"
-)
-CONSISTENCY = "median_f1 double, all_scores array<double>, passed boolean"
-CITATIONS = "found array<string>, missing array<string>, corrections array<struct<wrong:string,right:string>>"
 WEBHOOK = "userRequest struct<utterance:string,callbackUrl:string>"
-METADATA_KEYS = [
-    "source_type", "section_type", "doc_id", "law_name", "article_id", "part", "section_label",
-    "case_number", "court", "decision_date", "law_id",
-]

@@ -137,9 +137,11 @@ def statutes(queries: DataFrame, transport: str, display: int = 2) -> tuple[Data
     return l, ids.mapInArrow(articles, "law_id string, ord int, no string, title string, content string")
 
 
-def complete(prompts: DataFrame, client: str, retries: int = 2, backoff: float = 1.0) -> DataFrame:  # L1, S10
+def complete(prompts: DataFrame, client: str, retries: int = 2, backoff: float = 1.0, strict: bool = True) -> DataFrame:  # L1, S10, C6
     """question_id, variant_idx, answer; the caller stores the result once, for retried tasks would ask again.
 
+    A prompt that still fails after the retries fails the job, or has a null answer if not ``strict``.
+
     ``client`` names a factory of callables from a list of messages to a text, made once per task.
     """
 
@@ -154,7 +156,10 @@ def complete(prompts: DataFrame, client: str, retries: int = 2, backoff: float =
                         break
                     except Exception:
                         if attempt == retries:
-                            raise
+                            if strict:
+                                raise
+                            out.append(None)
+                            break
                         time.sleep(backoff * 2**attempt)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["question_id", "variant_idx", "answer"])
 
@@ -167,5 +172,24 @@ def usable_models(catalogue: DataFrame, method: str = "generateContent") -> Data
 
 
 def images(replies: DataFrame) -> DataFrame:  # S13
-    """request_id, image (binary): base64 texts decoded, keyed by request so that none overwrites another."""
-    return replies.select("request_id", F.try_to_binary("inline_data", F.lit("base64")).alias("image")).where("image IS NOT NULL")
+    """request_id, image (binary) from (request_id, parts: array of text and inline_data).
+
+    The first part with data counts; base64 is decoded, and what is none, or no reply, gives no row.
+    Images are keyed by request, so that none overwrites another.
+    """
+    data = F.get(F.filter("parts", lambda p: F.coalesce(p["inline_data"], F.lit("")) != ""), F.lit(0))["inline_data"]
+    return replies.select("request_id", F.try_to_binary(data, F.lit("base64")).alias("image")).where("image IS NOT NULL")
+
+
+def image_prompts(requests: DataFrame, client: str, systems: tuple[str, str], retries: int = 0, backoff: float = 1.0) -> DataFrame:  # L7
+    """question_id, prompt: what a first model says of the text, put to a second one; null if either fails.
+
+    requests: question_id, text.
+    """
+    message = lambda role, x: F.struct(F.lit(role).alias("role"), x.alias("content"))
+    asked = lambda rows, system, x: rows.select(
+        "question_id", F.lit(0).alias("variant_idx"), F.when(x.isNotNull(), F.array(message("system", F.lit(system)), message("user", x))).alias("messages")
+    )
+    first = complete(asked(requests, systems[0], F.col("text")), client, retries, backoff, strict=False)
+    second = complete(asked(first, systems[1], F.col("answer")), client, retries, backoff, strict=False)
+    return requests.select("question_id").join(second.select("question_id", F.col("answer").alias("prompt")), "question_id", "left")
