@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -451,10 +455,16 @@ def _replayed(spark, sf):
     return stream.option("pathGlobFilter", "conversations.parquet").parquet(sf)
 
 
-def _drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def _drained(stream: DataFrame, mode: str) -> DataFrame:
+    from .streaming.front import drained
+
+    spark = stream.sparkSession
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="stream-")
+    return drained(stream, f"{folder}/stream-{uuid.uuid4().hex}", mode)
 
 
 @register("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'image' ELSE 'text' END AS route FROM conversations")
@@ -464,7 +474,7 @@ def stream_route(spark, sf):
     said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("만화로 "), "text")).otherwise(F.col("text"))
     body = F.to_json(F.struct(F.struct(said.alias("utterance")).alias("userRequest")))
     s = _replayed(spark, sf).select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), body.alias("body"))
-    out = _drained(routed(s), "stream_route_out", "append")
+    out = _drained(routed(s), "append")
     ids = F.split("request_id", "-")
     return out.select(F.get(ids, F.lit(0)).cast("long").alias("conv_id"), F.get(ids, F.lit(1)).cast("long").alias("turn"), "route")
 
@@ -473,5 +483,5 @@ def stream_route(spark, sf):
 def stream_session(spark, sf):
     from .streaming.front import sessions
 
-    out = _drained(sessions(_replayed(spark, sf), cap=4), "stream_session_out", "update")
+    out = _drained(sessions(_replayed(spark, sf), cap=4), "update")
     return out.groupBy("conv_id").agg(F.max("n_seen").alias("n_seen"), F.max("n_kept").alias("n_kept"))

@@ -36,6 +36,20 @@ def sessions(turns: DataFrame, cap: int = DEFAULT.history_cap) -> DataFrame:  #
     )
 
 
+def drained(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """All that a stream gives until its source is read, as a table in ``folder``, which all machines share.
+
+    Each batch is a folder of its own, written whole again if it is repeated after a failure.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+
+
 def deliver(post: Callable[[str, str], None]) -> Callable[[DataFrame, int], None]:  # S12
     """A foreachBatch sink that posts replies from the tasks and drops what fails.
 
