@@ -132,7 +132,8 @@ def may_match(a: dict[str, np.ndarray], b: dict[str, np.ndarray], percent: int)
     if len(at):
         sa, sb = sa[at], sb[at]
         prefixes = sa + sb + 2 + percent * -sa // 100 + percent * -sb // 100
-        apart = np.bitwise_count(a["bits"][at] ^ b["bits"][at]).astype(np.int64)
+        # Of a negative number the bits of its absolute value would be counted.
+        apart = np.bitwise_count((a["bits"][at] ^ b["bits"][at]).view(np.uint64)).astype(np.int64)
         ok[at] = prefixes - apart >= 2 * wanted_overlap(sa, sb, percent)[1]
     return ok
 
