@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import WS, checkpointed, private_names
+from .runtime import WS, checkpointed, free_name, private_names
 
 #: Digest groups are first merged within this many salts, so that one text held by a third of all
 #: rows is spread over as many tasks.
@@ -94,6 +94,24 @@ def exact_groups(
     )
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged."""
-    return exact_groups(docs, id_col, text_col, carry=tuple(docs.columns)).where("kept").select("row.*")
+#: Digests of repeated texts are broadcast up to this many (16 MB), else joined by a shuffle.
+BROADCAST_DIGESTS = 1_000_000
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns unchanged; ``exact_groups`` says which.
+
+    64-bit digests are counted first. A digest that occurs once is a text that occurs once: such rows
+    stay where they are. Only rows whose digest repeats go through the three stages, which compare
+    whole texts, so digests decide nothing but which rows need no comparing.
+    """
+    private_names(docs, id_col, text_col)
+    name = free_name(docs, "_digest64")
+    rows = docs.withColumn(name, F.xxhash64(normalised(F.col(text_col))))
+    often = checkpointed(rows.groupBy(name).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(name))
+    if often.count() <= broadcast_digests:
+        often = F.broadcast(often)
+    alone = rows.join(often, name, "left_anti").select(*docs.columns)
+    again = rows.join(often, name, "left_semi").select(*docs.columns)
+    kept = exact_groups(again, id_col, text_col, carry=tuple(docs.columns)).where("kept")
+    return alone.unionByName(kept.select("row.*"))
