@@ -232,11 +232,11 @@ def _base(h: DataFrame) -> DataFrame:
     return h.withColumn("_repeats", _repeat_words(F.col("_words")))
 
 
-def _base_failed() -> Column:
-    return (F.col("_n") < MIN_WORDS) | (100 * F.col("_repeats") > 50 * F.col("_n"))
+def _base_failed(min_words: int = MIN_WORDS) -> Column:
+    return (F.col("_n") < min_words) | (100 * F.col("_repeats") > 50 * F.col("_n"))
 
 
-def _verdicts(h: DataFrame, refs: DataFrame) -> DataFrame:
+def _verdicts(h: DataFrame, refs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # The references are a table of one short row a language (and script).
     h = h.join(F.broadcast(refs), "_lang", "left")
     h = h.select(
@@ -246,7 +246,7 @@ def _verdicts(h: DataFrame, refs: DataFrame) -> DataFrame:
         F.get("_classes", F.lit(SYMBOLS)).alias("n_symbols"),
         F.col("_dups").alias("n_dup_lines"),
         F.col("_repeats").alias("n_repeat_words"),
-        _base_failed().alias("base_failed"),
+        _base_failed(min_words).alias("base_failed"),
         F.when(
             (F.col("_chars") >= MIN_CHARS_FOR_CLASSES) & (F.col("_ref_n") >= MIN_REFERENCE_TEXTS),
             js_distance(F.col("_classes"), F.col("_ref_classes")),
@@ -280,9 +280,18 @@ def judged(
     return _verdicts(h, _references(h))
 
 
-def kept_rows(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", source_col: str | None = "source") -> DataFrame:
+#: Texts of fewer than MIN_WORDS words that ``kept_rows`` does not reject for that may have one symbol to so many words.
+WORDS_TO_A_SYMBOL = 10
+
+
+def kept_rows(
+    docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", source_col: str | None = "source", min_words: int = MIN_WORDS
+) -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged. Texts are read twice and never shuffled.
 
+    Texts of fewer than ``min_words`` words go. Where that is less than MIN_WORDS, the short texts that
+    are left are mostly too short for histograms, so those with more than a symbol to ten words go too.
+
     Unlike ``judged``, whose SQL fixes plain means, rows are held against references that no single
     source can move; without ``source_col`` all rows are one source. Texts of other languages than those
     with word lists are held against texts of their own language and script only; where there are too few,
@@ -294,4 +303,6 @@ def kept_rows(docs: DataFrame, text_col: str = "text", lang_col: str | None = "l
     h = h.withColumn("_lang", _reference_key(lang, F.col("_text")))
     source = F.col("row")[source_col].cast("string") if source_col else F.lit("")
     refs = _robust_references(h.withColumn("_source", F.coalesce(source, F.lit("")))).where(F.col("_ref_n") >= MIN_REFERENCE_TEXTS)
-    return _verdicts(h, refs).where("kept").select("row.*")
+    v = _verdicts(h, refs, min_words)
+    littered = (F.col("n_words") < MIN_WORDS) & (WORDS_TO_A_SYMBOL * F.col("n_symbols") > F.col("n_words"))
+    return v.where(F.col("kept") & ~littered).select("row.*")
