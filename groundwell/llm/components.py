@@ -32,3 +32,15 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         before = now
+
+
+def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) after more links (a, b): only the roots that they tie together are contracted again."""
+    if roots is None:
+        return checkpointed(connected(links))
+    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    ends = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    moved = checkpointed(connected(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))))
+    new = moved.select(F.col("node").alias("root"), F.col("root").alias("_new"))
+    old = roots.join(new, "root", "left").select("node", F.coalesce("_new", "root").alias("root"))
+    return checkpointed(old.unionByName(moved.join(roots.select("node"), "node", "left_anti")))

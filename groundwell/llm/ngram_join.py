@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import rarity
-from .components import connected
+from .components import joined
 from .runtime import checkpointed, free_name, private_names, stored
 from .textbytes import buffers, shingles, slices
 
@@ -117,18 +117,33 @@ def _postings(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
     return docs.select("_text").mapInArrow(run, "sh long, salt int, salts int, fp binary, size int, pos int")
 
 
-def _may_match(percent: int) -> Column:
-    """Length, prefix and positional filters for postings with the suffixes _a and _b."""
-    sa, sb = F.col("size_a").cast("long"), F.col("size_b").cast("long")
-    small, large = F.least(sa, sb), F.greatest(sa, sb)
+def _sizes() -> tuple[Column, Column]:
+    return F.col("size_a").cast("long"), F.col("size_b").cast("long")
+
+
+def _near_in_size(percent: int) -> Column:
+    sa, sb = _sizes()
+    return 100 * F.least(sa, sb) >= percent * F.greatest(sa, sb)
+
+
+def _in_place(percent: int) -> Column:
+    """Prefix and positional filters, for the first n-gram that the prefixes of two sets share."""
+    sa, sb = _sizes()
+    small = F.least(sa, sb)
     at = F.when(sa <= sb, F.col("pos_a")).otherwise(F.col("pos_b"))
     # Against sets at least as large, the smaller set needs the shorter prefix.
     short = small - _least_overlap(small, small, percent) + 1
-    return (
-        (100 * small >= percent * large)
-        & (at < short)
-        & (1 + F.least(sa - F.col("pos_a") - 1, sb - F.col("pos_b") - 1) >= _least_overlap(sa, sb, percent))
-    )
+    return (at < short) & (1 + F.least(sa - F.col("pos_a") - 1, sb - F.col("pos_b") - 1) >= _least_overlap(sa, sb, percent))
+
+
+def _shared_prefix(percent: int) -> Column:
+    """How many n-grams the prefixes of two sets must share.
+
+    Beyond the prefix that ends first nothing is shared but what the other set still has.
+    """
+    sa, sb = _sizes()
+    upto = lambda s: F.floor((percent * s + 99) / 100)
+    return _least_overlap(sa, sb, percent) - F.greatest(upto(sa), upto(sb)) + 1
 
 
 def _stars(posts: DataFrame, percent: int) -> DataFrame:
@@ -145,7 +160,7 @@ def _stars(posts: DataFrame, percent: int) -> DataFrame:
         F.col("_h.fp").alias("a"), F.col("fp").alias("b"), F.col("_h.size").alias("size_a"), F.col("_h.pos").alias("pos_a"),
         F.col("size").alias("size_b"), F.col("pos").alias("pos_b"),
     )
-    met = p.where(_may_match(percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"))
+    met = p.where(_near_in_size(percent) & _in_place(percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"))
     nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("_n"), "a"))
     met = met.withColumn("_nth", nth).where(F.col("_nth") <= HEADS)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -210,7 +225,7 @@ def near_duplicates(
     2. Each set emits its rarest shingles, a shingle being as rare as its rarest word; sets are compared with the heads of their shingles' lists
        and links are contracted, in a fixed number of rounds of a few pairs a set.
     3. Lists that still hold several components are joined on the shingle, across components only,
-       under the same filters. So no link between different texts is lost, while the members of one
+       under the same filters; pairs whose prefixes share too little go before texts are read. So no link between different texts is lost, while the members of one
        group are not paired with each other.
 
     Null text counts as empty: no shingles, linked with nothing, its own component. Texts of fewer
@@ -236,11 +251,11 @@ def near_duplicates(
     live = stored(fresh.withColumn("_shared", neighbours | (F.col("salt") > 0)).where("_shared").drop("_shared"))
     weights = live.groupBy("fp").agg(F.count(F.lit(1)).alias("weight"))
     live = live.join(weights, "fp")
-    post, roots, links, tested = live.withColumn("root", F.col("fp")), None, None, None
+    post, roots, tested = live.withColumn("root", F.col("fp")), None, None
 
     def verified(pairs: DataFrame) -> bool:
         """Takes the pairs not yet tested; true if they bring new links."""
-        nonlocal tested, links, roots
+        nonlocal tested, roots
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = checkpointed(pairs)
@@ -250,8 +265,7 @@ def near_duplicates(
         found = checkpointed(_verified(pairs, docs, nodes, n, percent))
         if found.isEmpty():
             return False
-        links = found if links is None else links.unionByName(found)
-        roots = connected(links)
+        roots = joined(roots, found)
         return True
 
     def mixed() -> DataFrame:
@@ -270,8 +284,12 @@ def near_duplicates(
     everywhere = F.when(F.col("salts") > 1, F.sequence(F.lit(1), F.col("salts"))).otherwise(F.array(F.lit(0)))
     x = post.select("sh", F.explode(everywhere).alias("salt"), *[F.col(c).alias(f"{c}_a") for c in ("fp", "size", "pos", "root")])
     y = post.select("sh", "salt", *[F.col(c).alias(f"{c}_b") for c in ("fp", "size", "pos", "root")])
-    across = x.join(y, ["sh", "salt"]).where("root_a != root_b AND fp_a < fp_b")
-    verified(across.where(_may_match(percent)).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct())
+    across = x.join(y, ["sh", "salt"]).where("root_a != root_b AND fp_a < fp_b").where(_near_in_size(percent))
+    # All lists that hold both sets of such a pair are here, so they tell how much its prefixes share.
+    across = across.groupBy(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).agg(
+        F.count(F.lit(1)).alias("_n"), F.max(_in_place(percent)).alias("_in"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b")
+    )
+    verified(across.where(F.col("_in") & (F.col("_n") >= _shared_prefix(percent))).select("a", "b"))
     if roots is None:
         roots = nodes.limit(0).select(F.col("fp").alias("node"), F.col("fp").alias("root"))
     label = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn(
