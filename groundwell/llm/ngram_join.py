@@ -21,6 +21,8 @@ BROADCAST_IDS = 1_000_000
 #: Heads of lists that a set is compared with in a round, and rounds before the join.
 HEADS = 2
 ROUNDS = 2
+#: Pairs across components that the join may have for each set before the best of them go first.
+PAIRS_A_SET = 2
 #: Texts holding one n-gram are dealt to one task up to about this many, then salted.
 LIST_SIZE = 20_000
 
@@ -280,16 +282,32 @@ def near_duplicates(
         if not verified(_stars(post, percent)):
             break
         post = mixed()
-    # One side of a salted list goes to all of its salts, so that no task has the whole list.
-    everywhere = F.when(F.col("salts") > 1, F.sequence(F.lit(1), F.col("salts"))).otherwise(F.array(F.lit(0)))
-    x = post.select("sh", F.explode(everywhere).alias("salt"), *[F.col(c).alias(f"{c}_a") for c in ("fp", "size", "pos", "root")])
-    y = post.select("sh", "salt", *[F.col(c).alias(f"{c}_b") for c in ("fp", "size", "pos", "root")])
-    across = x.join(y, ["sh", "salt"]).where("root_a != root_b AND fp_a < fp_b").where(_near_in_size(percent))
-    # All lists that hold both sets of such a pair are here, so they tell how much its prefixes share.
-    across = across.groupBy(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).agg(
-        F.count(F.lit(1)).alias("_n"), F.max(_in_place(percent)).alias("_in"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b")
-    )
-    verified(across.where(F.col("_in") & (F.col("_n") >= _shared_prefix(percent))).select("a", "b"))
+    def across(post: DataFrame) -> DataFrame:
+        """(a, b, _n): pairs of different components that may match, and how many lists hold both."""
+        # One side of a salted list goes to all of its salts, so that no task has the whole list.
+        everywhere = F.when(F.col("salts") > 1, F.sequence(F.lit(1), F.col("salts"))).otherwise(F.array(F.lit(0)))
+        x = post.select("sh", F.explode(everywhere).alias("salt"), *[F.col(c).alias(f"{c}_a") for c in ("fp", "size", "pos", "root")])
+        y = post.select("sh", "salt", *[F.col(c).alias(f"{c}_b") for c in ("fp", "size", "pos", "root")])
+        p = x.join(y, ["sh", "salt"]).where("root_a != root_b AND fp_a < fp_b").where(_near_in_size(percent))
+        # All lists that hold both sets of such a pair are here, so they tell how much its prefixes share.
+        p = p.groupBy(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).agg(
+            F.count(F.lit(1)).alias("_n"), F.max(_in_place(percent)).alias("_in"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b")
+        )
+        p = p.where(F.col("_in") & (F.col("_n") >= _shared_prefix(percent))).select("a", "b", "_n")
+        return checkpointed(p if tested is None else p.join(tested, ["a", "b"], "left_anti"))
+
+    pairs, some = across(post), PAIRS_A_SET * nodes.count()
+    for _ in range(ROUNDS):
+        if pairs.count() <= some:
+            break
+        # Too many for one go: first those that share most, for what they link need not be compared further.
+        nth = lambda c, d: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("_n"), d))
+        best = pairs.withColumn("_a", nth("a", "b")).withColumn("_b", nth("b", "a")).where(F.least("_a", "_b") <= HEADS)
+        if not verified(best.select("a", "b")):
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            break
+        pairs = across(mixed())
+    verified(pairs.select("a", "b"))
     if roots is None:
         roots = nodes.limit(0).select(F.col("fp").alias("node"), F.col("fp").alias("root"))
     label = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn(
