@@ -190,9 +190,11 @@ def test_sketch_keeps_its_precision_as_the_corpus_grows(spark):
             assert least.min() <= np.median(least) and (sketch.gram_lists(h) < ngram_join.LIST_SIZE).all()
 
 
-def test_salted_lists_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("many", [0, 2])
+def test_salted_lists_lose_no_link(spark, monkeypatch, many):
     monkeypatch.setattr(ngram_join, "LIST_SIZE", 2)
     monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(ngram_join, "PAIRS_A_SET", many)
     texts = edited(11)
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [(r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(d, 3, 70).orderBy("doc_id").collect()]
