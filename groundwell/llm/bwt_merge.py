@@ -29,6 +29,8 @@ def stable_order(symbols: np.ndarray) -> np.ndarray:
     two different symbols agree in the bits that are left, they are sorted in full.
     """
     n = len(symbols)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
     bits = np.uint64(max(n - 1, 1).bit_length())
     key = (symbols >> bits << bits) | np.arange(n, dtype=np.uint64)
     key.sort()
@@ -39,26 +41,26 @@ def stable_order(symbols: np.ndarray) -> np.ndarray:
     return order
 
 
-def shard(data: np.ndarray, ends: np.ndarray, block: int, depth: int, seed: int) -> Shard:
+def shard(data: np.ndarray, ends: np.ndarray, block: int, depth: int) -> Shard:
     """``data`` holds strings end to end. Suffixes are sorted by their first ``depth`` blocks.
 
-    Positions with less than a block left have symbols of their own, so nothing matches across ends.
+    Only places with a whole block of their string left have a symbol and a suffix. What a suffix reads
+    beyond the last of them begins its string again; such suffixes are too short to be asked for.
     """
-    n = len(data)
     starts = np.concatenate([[0], ends[:-1]])
-    which = np.repeat(np.arange(len(ends)), ends - starts)
-    place = np.arange(n)
-    end, start = ends[which], starts[which]
-    whole = place + block <= end
-    symbol = mix(np.uint64(seed) + (place + 1).astype(np.uint64))
-    symbol[whole] = span_hash(prefix_hash(data), place[whole], place[whole] + block)
-    last = end - 1 - (end - 1 - place) % block
-    before = np.where(place - block >= start, place - block, last)
-    order = place
+    size = np.maximum(ends - starts - block + 1, 0)
+    first = np.cumsum(size) - size
+    inside = np.arange(int(size.sum())) - np.repeat(first, size)
+    place = np.repeat(starts, size) + inside
+    symbol = span_hash(prefix_hash(data), place, place + block)
+    rest, count = inside % block, np.repeat(size, size)
+    last = rest + (count - 1 - rest) // block * block
+    before = np.arange(len(place)) - inside + np.where(inside >= block, inside - block, last)
+    order = np.arange(len(place))
     for _ in range(depth):
         order = before[order]
         order = order[stable_order(symbol[order])]
-    return Shard(order, symbol[before[order]])
+    return Shard(place[order], symbol[before[order]])
 
 
 def interleave(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import bwt_merge
 from .runtime import checkpointed, private_names, stored
@@ -16,14 +17,15 @@ from .textbytes import buffers, mix, prefix_hash, slices, span_hash
 
 LENGTH = 200
 #: Anchors are the least hashes of GRAM-byte strings among those of each window of LENGTH bytes.
-GRAM = 64
+GRAM = 104
 REACH = LENGTH - GRAM  # windows that hold an anchor begin at most this far before it
 BLOCK = 100
 #: Snippets of one anchor merged by one task; more of them go by window digests instead.
 GROUP = 1000
 SHARD_BYTES = 1 << 17
 CHUNK_BYTES = 1 << 20
-BROADCAST_IDS = 1_000_000
+#: Rows of two numbers that are broadcast at most (some 25 MB).
+BROADCAST_IDS = 500_000
 
 
 def _sliding(x: np.ndarray, width: int, low: bool) -> np.ndarray:
@@ -152,7 +154,7 @@ def _decided(snippets: DataFrame) -> DataFrame:
             stop = max(int(np.searchsorted(ends, at + SHARD_BYTES, side="right")), begin + 1)
             stop = min(stop, len(rows))
             upto = int(ends[stop - 1])
-            shards.append(bwt_merge.shard(data[at:upto], ends[begin:stop] - at, BLOCK, LENGTH // BLOCK, seed=at << 1))
+            shards.append(bwt_merge.shard(data[at:upto], ends[begin:stop] - at, BLOCK, LENGTH // BLOCK))
             offsets.append(at)
             at, begin = upto, stop
         which = np.repeat(np.arange(len(rows)), lengths)
@@ -247,9 +249,11 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     private_names(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
+    whole_number = isinstance(docs.schema[id_col].dataType, IntegralType)
+    number = F.col(id_col).cast("long") if whole_number else F.xxhash64(id_col)  # with _k it tells rows apart
     rows = docs.select(
         F.col(id_col).alias("_real"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("_id"),
+        F.coalesce(number, F.lit(-1)).alias("_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
     ).withColumn("_k", F.xxhash64("_real", "_text"))
     occ = _occurrences(rows)
@@ -258,7 +262,9 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same = occ.groupBy("h", "fp").agg(F.count(F.lit(1)).alias("_c"), F.min("_k").alias("_rep"))
     same = checkpointed(same)
     kinds = same.groupBy("h").agg(F.count(F.lit(1)).alias("_kinds"))
-    occ = occ.join(same, ["h", "fp"]).join(kinds, "h")
+    # Occurrences meet both counts by (h, fp): a frequent anchor is dealt out by its kinds.
+    same = checkpointed(same.join(kinds, "h"))
+    occ = occ.join(same, ["h", "fp"])
     occ = stored(
         occ.select(
             "_id", "_k", "pos", "h",
