@@ -139,12 +139,12 @@ def may_match(a: dict[str, np.ndarray], b: dict[str, np.ndarray], percent: int)
 
 
 def _met(posts: DataFrame, percent: int, neighbours: int) -> DataFrame:
-    """Pairs (a, b) of sets that meet in lists and may match; and (t) of lists that are longer than what meets.
+    """Pairs (a, b, n, early) of sets that meet in n lists and may match; and (t) of lists longer than what meets.
 
     A posting meets those shortly before it and the first of its list, for the first of a group of
     edited lines is often what they were edited from. In the list of its first shared word a pair passes
     the positional filter, and it meets in as many lists as its prefixes share words, unless it is too
-    far apart in some: those lists are long, and joined later.
+    far apart in some, which are long.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +193,7 @@ def _met(posts: DataFrame, percent: int, neighbours: int) -> DataFrame:
     lists = posts.repartition("t", "salt").sortWithinPartitions("t", "salt", "_id", "ln", "s").select("t", "salt", "s", "size", "pos", "bits")
     rows = lists.mapInArrow(run, "a long, b long, early long, left boolean, t long")
     met = rows.groupBy("a", "b", "t").agg(F.count(F.lit(1)).alias("n"), F.max("early").alias("early"), F.max("left").alias("left"))
-    return met.where("t IS NOT NULL OR (left AND n >= early)").select("a", "b", "t")
+    return met.where("t IS NOT NULL OR left")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -220,14 +220,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int)
     return both.select(later.alias("l")).select("l.s", "l.s2").distinct()
 
 
-def _rest(sets: DataFrame, long: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
+def _rest(posts: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
     """Pairs of the sets without an earlier match and all sets of their long lists that may match.
 
-    A long list need not be that of the first word that a pair shares, so positions decide nothing here.
     A set that still looks for a match goes to every salt of its list.
     """
-    few = long.count() <= BROADCAST_ROWS
-    posts = stored(_postings(sets).join(F.broadcast(long) if few else long, "t", "left_semi"))
     member = F.struct("s", "bits", "size", "pos", F.struct("_id", "ln").alias("place"))
     x = posts.select("t", "salt", member.alias("x"))
     y = posts.join(gone.select("s").distinct(), "s", "left_anti").select("t", "salts", member.alias("y"))
@@ -238,7 +235,7 @@ def _rest(sets: DataFrame, long: DataFrame, gone: DataFrame, percent: int) -> Da
 
 
 def _may_match(percent: int, a: str, b: str) -> Column:
-    """``may_match`` for two structs of a row, as a condition."""
+    """``may_match`` and the positional filter for two structs of a row, as a condition."""
     sa, sb = F.col(f"{a}.size"), F.col(f"{b}.size")
     total = percent * (sa + sb) + (99 + percent)
     need = F.floor((total - F.pmod(total, F.lit(100 + percent))) / (100 + percent))
@@ -246,6 +243,7 @@ def _may_match(percent: int, a: str, b: str) -> Column:
     shared = sa - after(sa) + sb - after(sb) - F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
     return (
         (100 * F.least(sa, sb) >= percent * F.greatest(sa, sb))
+        & (1 + F.least(sa - F.col(f"{a}.pos") - 1, sb - F.col(f"{b}.pos") - 1) >= need)
         & (shared >= 2 * (need - F.greatest(after(sa), after(sb))))
     )
 
@@ -277,10 +275,17 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     sets = stored(sets.select("s", "s2", "first.*", "n", "size", "bits", "prefix", "salts"))
     firsts = sets.select("s", "s2", "_id", "ln", "_k", "n")
     met = stored(_met(_postings(sets), percent, neighbours))
-    gone = checkpointed(_verified(met.where("t IS NULL").select("a", "b"), firsts, docs, percent))
     long = checkpointed(met.where("t IS NOT NULL").select("t").distinct())
+    few = long.count() <= BROADCAST_ROWS
+    posts = stored(_postings(sets).join(F.broadcast(long) if few else long, "t", "left_semi"))
+    # Pairs that meet in too few lists cannot match, unless both are in long lists and may have met there.
+    pairs, apart = met.where("t IS NULL").select("a", "b", "n", "early"), posts.select("s").distinct()
+    close = pairs.where("n >= early").select("a", "b")
+    maybe = pairs.where("n < early").select("a", "b").join(apart.withColumnRenamed("s", "a"), "a", "left_semi")
+    maybe = maybe.join(apart.withColumnRenamed("s", "b"), "b", "left_semi").select("a", "b")
+    gone = checkpointed(_verified(checkpointed(close.unionByName(maybe)), firsts, docs, percent))
     if not long.isEmpty():
-        more = _verified(_rest(sets, long, gone, percent), firsts, docs, percent)
+        more = _verified(_rest(posts, gone, percent), firsts, docs, percent)
         gone = checkpointed(gone.unionByName(more).distinct())
     # A line goes with its set, or as a repeat of its set's first line.
     marks = firsts.join(gone.withColumn("_dup", F.lit(True)), ["s", "s2"], "left").where("_dup OR n > 1")
