@@ -300,7 +300,7 @@ def citation_verify(spark, sf):
 @register(f"WITH {_VERIFY} SELECT answer_id, CASE WHEN max(CASE WHEN NOT ok AND hit IS NOT NULL THEN 1 ELSE 0 END) = 1 THEN replace('see ' || max(CASE WHEN ord = 0 THEN citation END) || '!', max(CASE WHEN NOT ok AND hit IS NOT NULL THEN citation END), max(CASE WHEN NOT ok AND hit IS NOT NULL THEN string_split(hit, chr(10))[1] END)) ELSE 'see ' || max(CASE WHEN ord = 0 THEN citation END) || '!' END AS answer FROM v GROUP BY answer_id")
 def apply_corrections(spark, sf):
     own = _cited(spark, sf).select(F.col("o_orderkey").alias("answer_id"), F.concat(F.lit("see "), F.get("c", F.lit(0)), F.lit("!")).alias("a"))
-    j = own.join(_checked(spark, sf), "answer_id")
+    j = own.join(_checked(spark, sf), "answer_id", "left")
     return j.select("answer_id", citations.corrected(F.col("a"), F.col("corrections")).alias("answer"))
 
 
