@@ -18,7 +18,7 @@ def nearest(citations: DataFrame, chunks: DataFrame) -> DataFrame:  # J5
     """citation, dist, text: the nearest statute of each citation (citation, embedding), asked once."""
     asked = citations.select("citation", "embedding").dropDuplicates(["citation"]).withColumn("query_id", F.xxhash64("citation"))
     found = knn(asked, chunks, 1, "statute").select("query_id", "chunk_key", "dist")
-    texts = chunks.select("chunk_key", "text").join(F.broadcast(found), "chunk_key")  # a row a citation of a stated set
+    texts = chunks.select("chunk_key", "text").join(found, "chunk_key")
     return asked.select("query_id", "citation").join(texts, "query_id").select("citation", "dist", "text")
 
 

@@ -2,102 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import storage
 from ..config import DEFAULT, Config
 from ..functions import text
+from . import vector_blocks
 
-#: Query vectors of one block are broadcast; more queries take more blocks over the same chunks.
-BLOCK_QUERIES = 4096
-#: Distances held at a time (8 MB and a few copies).
-TILE = 1 << 20
 FILTERED = ("statute", "manual")
 DEFAULT_SOURCES = ("verdict", "statute", "manual")
 
 
-def usable(name: str) -> Column:
-    """Whether there is a vector without nulls."""
-    return (F.size(name) > 0) & ~F.exists(name, lambda x: x.isNull())
-
-
-def _tiles(batch: pa.RecordBatch, queries: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose distances to all queries number about TILE."""
-    step = max(1, TILE // max(queries, 1))
-    for at in range(0, len(batch), step):
-        yield batch.slice(at, step)
-
-
-def _topk(chunks: DataFrame, names: list, vectors: np.ndarray, k: int, metric: str) -> DataFrame:
-    shared = chunks.sparkSession.sparkContext.broadcast(vectors)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
-        norm = np.sqrt((q * q).sum(axis=1))
-        ids = np.zeros((len(q), 0), dtype=np.int64)
-        dist = np.zeros((len(q), 0))
-        for part in (p for batch in batches for p in _tiles(batch, len(q))):
-            lists = part.column(1)
-            c = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
-            products = q @ c.T
-            if metric == "cosine":
-                d = 1 - products / (norm[:, None] * np.sqrt((c * c).sum(axis=1)) + 1e-9)
-            else:
-                d = (q * q).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * products
-            own = np.broadcast_to(part.column(0).to_numpy(), d.shape)
-            ids, dist = np.hstack([ids, own]), np.hstack([dist, d])
-            if ids.shape[1] > k:
-                order = np.lexsort((ids, dist), axis=1)[:, :k]
-                ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
-        if ids.shape[1]:
-            at = np.repeat(np.arange(len(q)), ids.shape[1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at.astype(np.int64)), pa.array(ids.ravel()), pa.array(dist.ravel())], ["_q", "chunk_key", "dist"]
-            )
-
-    found = chunks.select("chunk_key", "embedding").mapInArrow(run, "_q long, chunk_key long, dist double")
-    table = chunks.sparkSession.createDataFrame(list(enumerate(names)), "_q long, query_id long")
-    return found.join(F.broadcast(table), "_q").select("query_id", "chunk_key", "dist")  # a block of names
+def topk(queries: DataFrame, chunks: DataFrame, k: int, branches: list[str | None], metric: str = "cosine") -> DataFrame:  # J1, J3
+    """query_id, branch (its place), chunk_key, dist, rank: exact neighbours of each query in each branch, ties by key.
 
+    A branch is a source type, or None for all chunks; all branches are served by one pass over the chunks.
+    Queries (query_id, embedding; one vector an id) are packed into blocks that meet blocks of chunks,
+    so neither goes through the driver. Distances count to 12 digits. Null and empty vectors, and those
+    that hold nulls, are nobody's neighbours and have none; vectors of several lengths fail the job.
+    """
+    asked = storage.stored(queries.where(vector_blocks.usable("embedding")).select("query_id", "embedding").dropDuplicates(["query_id"]))
+    numbers = asked.agg(F.sum(F.size("embedding"))).first()[0] or 0
+    filters = sorted({b for b in branches if b is not None})
+    code = vector_blocks.codes(F.col("source_type"), filters) if filters else F.lit(vector_blocks.OTHER)
+    rows = asked.repartition(-(-numbers // vector_blocks.QUERY_BLOCK) or 1, "query_id")
+    q = vector_blocks.packed(rows.select(F.lit(0).alias("cell"), F.col("query_id").alias("key"), F.lit(0).alias("code"), F.col("embedding").alias("vector")), vector_blocks.QUERY_BLOCK)
+    pool = chunks.where(vector_blocks.usable("embedding"))
+    c = vector_blocks.packed(pool.select(F.lit(0).alias("cell"), F.col("chunk_key").alias("key"), code.alias("code"), F.col("embedding").alias("vector")), vector_blocks.CHUNK_BLOCK)
+    return vector_blocks.met(q, c, k, [None if b is None else filters.index(b) for b in branches], metric, numbers)
 
-def knn(queries: DataFrame, chunks: DataFrame, k: int, source_type: str | None = None, metric: str = "cosine") -> DataFrame:  # J1
-    """(query_id, chunk_key, dist, rank): exact neighbours of each query, ties by key.
 
-    Every task keeps k candidates a query, so that little is shuffled however many chunks there are.
-    Queries (query_id, embedding) are a stated set; they are taken in blocks of ``BLOCK_QUERIES``.
-    Null and empty vectors, and those that hold nulls, are nobody's neighbours and have none; vectors of
-    other lengths than a query's fail the job.
-    """
-    pool = chunks if source_type is None else chunks.where(F.col("source_type") == source_type)
-    pool, queries = pool.where(usable("embedding")), queries.where(usable("embedding"))
-    rows = queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator()
-    parts: list[DataFrame] = []
-    names, vectors = [], []
-
-    def flush() -> None:
-        if names:
-            parts.append(_topk(pool, list(names), np.array(vectors, dtype=np.float64), k, metric))
-            names.clear()
-            vectors.clear()
-
-    for r in rows:
-        names.append(r["query_id"])
-        vectors.append(r["embedding"])
-        if len(names) == BLOCK_QUERIES:
-            flush()
-    flush()
-    if not parts:
-        return queries.sparkSession.createDataFrame([], "query_id long, chunk_key long, dist double, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "chunk_key"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+def knn(queries: DataFrame, chunks: DataFrame, k: int, source_type: str | None = None, metric: str = "cosine") -> DataFrame:  # J1
+    """(query_id, chunk_key, dist, rank): ``topk`` of one branch."""
+    return topk(queries, chunks, k, [source_type], metric).drop("branch")
 
 
 def source_of(branch: Column, meta_source: Column, section_type: Column) -> Column:  # P3
@@ -135,11 +74,10 @@ def retrieve(
     Statute and manual branches are filtered by source; any other name searches everything.
     """
     n = config.hits_per_source if n is None else n
-    hits = None
-    for i, branch in enumerate(sources or DEFAULT_SOURCES):
-        found = knn(queries, chunks, n, branch if branch in FILTERED else None, metric)
-        found = found.select("query_id", "chunk_key", "dist", F.col("rank").alias("branch_rank"), F.lit(branch).alias("branch"), F.lit(i).alias("branch_order"))
-        hits = found if hits is None else hits.unionByName(found)
+    names = list(sources or DEFAULT_SOURCES)
+    found = topk(queries, chunks, n, [b if b in FILTERED else None for b in names], metric)
+    branch = F.get(F.array(*[F.lit(b) for b in names]), F.col("branch"))
+    hits = found.select("query_id", "chunk_key", "dist", F.col("rank").alias("branch_rank"), branch.alias("branch"), F.col("branch").alias("branch_order"))
     own = "metadata" in chunks.columns
     hits = hits.join(chunks.drop("embedding"), "chunk_key")
     meta = (lambda k: F.col("metadata")[k]) if own else (lambda k: F.lit(None).cast("string"))
