@@ -8,140 +8,218 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import config as C
+from . import storage
 from .functions import scores, text
 from .operators import citations, consistency, context, dialogue, reply, retrieval
-from .plans import pipeline
-from .queries import _API, _BASE, _BRANCHES, _LABEL, _RULES, _api, _requests, _SAID, chunks, questions, register, table
+from .plans import answers, pipeline
+from .queries import _API, _BASE, _BRANCHES, _COS, _LABEL, _RULES, _SAID, _api, _requests, chunks, register, table
 from .sources import http
 
 SYSTEMS = ("rules of the original", "rules of the variants")
 _ASK = "'[참고자료]' || chr(10) || context || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '[상담 질문]' || chr(10) || query || chr(10) || chr(10) || '위 참고자료를 바탕으로 지정된 답변 형식에 따라 답변해 주세요.'"
+_ZERO = "k % 5 = 2"
+#: Sessions: every third is asked again, and every other of those does not answer.
 _SESSIONS = """
-n AS (SELECT doc_id AS question_id, 'question ' || doc_id AS query, doc_id % 2 = 0 AS partial_mode, doc_id FROM documents),
-cx AS (SELECT doc_id AS question_id, left(text, 60) AS context FROM documents WHERE doc_id % 9 != 8 AND text IS NOT NULL),
-qs AS (SELECT question_id, 0 AS variant_idx, query FROM n UNION ALL SELECT question_id, i, 'variant ' || i || ' of ' || question_id FROM n, (VALUES (1), (2), (3)) t(i)),
+n AS (SELECT doc_id AS question_id, doc_id // 100 AS k FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id % 100 = 0),
+se AS (SELECT question_id, k, 'question ' || question_id || CASE WHEN k % 4 = 1 THEN ' 딥페이크' ELSE '' END AS first,
+         'question ' || question_id || CASE WHEN k % 4 = 1 THEN ' 딥페이크' ELSE '' END || CASE WHEN k % 6 = 0 THEN ' more ' || question_id || ' again' ELSE '' END AS query,
+         k % 6 = 3 AS partial_mode, CASE WHEN k % 6 = 0 THEN 4 ELSE 3 + k % 3 END AS score FROM n)"""
+#: The first branches of ``_BASE`` over the questions of the sessions; an expanded question has the next vector, some have none.
+_SEARCHED = _BRANCHES.replace(_BASE, _BASE.replace(
+    "q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0)",
+    _SESSIONS + f""",
+q AS (SELECT question_id AS query_id, CASE WHEN {_ZERO} THEN list_transform(embedding, lambda x: 0::FLOAT) ELSE embedding END AS embedding
+      FROM se JOIN embeddings ON vec_id = question_id + CASE WHEN k % 4 = 1 THEN 1 ELSE 0 END)""",
+)).replace("{n}", "3") + "," + _API + f""",
+mm AS (SELECT query_id, score, source_type, text, {_LABEL} AS label, chunk_key::VARCHAR || '_' || (r - 1) AS chunk_id,
+         CASE WHEN source_type IN ('statute', 'manual') THEN {_LABEL} ELSE '[판결문] court 2024 선고 case ' || chunk_key || ' [' || source || ']' END AS head, 0 AS o, position AS p FROM h WHERE position <= 9
+       UNION ALL SELECT query_id, score, source_type, text, '', chunk_id, '[Open API] ' || law_name || ' ' || art, 1, r FROM ac WHERE (query_id // 100) % 5 != 2),
+mn AS (SELECT *, row_number() OVER (PARTITION BY query_id, left(text, 100) ORDER BY o, p) AS f FROM mm),
+mk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o, p) AS place FROM mn WHERE f = 1),
+mo AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE source_type WHEN 'statute' THEN 0 WHEN 'law_api' THEN 1 WHEN 'verdict' THEN 2 WHEN 'manual' THEN 3 ELSE 4 END, place) AS i FROM mk WHERE place <= 11),
+mx AS (SELECT query_id, string_agg('[출처 ' || i || '] ' || head || ' (유사도: ' || printf('%.2f', score) || ')' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) AS t,
+         string_agg(chunk_id, '|' ORDER BY place) AS used FROM mo GROUP BY query_id),
+cx AS (SELECT query_id AS question_id, used, CASE WHEN length(t) > 8000 THEN left(t, 8000) || chr(10) || chr(10) || '[... 컨텍스트 일부 생략 ...]' ELSE t END AS context FROM mx),
+qs AS (SELECT question_id, k, 0 AS variant_idx, query FROM se UNION ALL SELECT question_id, k, i, 'variant ' || i || ' of ' || question_id FROM se, range(1, 11) t(i)),
 pr AS (SELECT qs.*, context FROM qs LEFT JOIN cx USING (question_id))"""
 
 
-def _sessions(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select(F.col("doc_id").alias("question_id"), F.concat(F.lit("question "), "doc_id").alias("query"), (F.col("doc_id") % 2 == 0).alias("partial_mode"))
+def _turns(spark, sf):
+    """Sessions of the stated questions: what was said and the model's judgement of it."""
+    d = table(spark, sf, "documents").where("doc_id % 100 = 0").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
+    k = F.expr("doc_id div 100")
+    said = lambda turn, x, score: F.struct(F.lit(turn).alias("turn"), x.alias("text"), score.alias("score"))
+    first = F.concat(F.lit("question "), "doc_id", F.when(k % 4 == 1, " 딥페이크").otherwise(""))
+    again = F.when(k % 3 == 0, said(1, F.when(k % 2 == 0, F.concat(F.lit("more "), "doc_id")).otherwise(""), F.lit(2).cast("long")))
+    last = F.when(k % 6 == 0, said(2, F.lit("again"), F.lit(4).cast("long")))
+    t = d.select(F.col("doc_id").alias("session_id"), F.explode(F.array_compact(F.array(said(0, first, 3 + k % 3), again, last))).alias("t"))
+    judged = F.to_json(F.struct(F.col("t.score").alias("score"), F.lit("노동").alias("legal_category"), F.array(F.lit("a")).alias("missing_elements")))
+    return t.select("session_id", "t.turn", "t.text", judged.alias("reply"))
 
 
-def _variants(spark, sf):
-    listed = F.array(*[F.concat(F.lit(f"variant {i} of "), "question_id") for i in (1, 2, 3)])
-    made = F.to_json(F.struct(listed.alias("questions")))
-    return _sessions(spark, sf).select("question_id", dialogue.variants(made).alias("questions"))
+def _similar(questions):
+    listed = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.concat(F.lit("variant "), i.cast("string"), F.lit(" of "), F.col("question_id").cast("string")))
+    return questions.select("question_id", F.to_json(F.struct(listed.alias("questions"))).alias("reply"))
 
 
-def _contexts(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 9 != 8 AND text IS NOT NULL")
-    return d.select(F.col("doc_id").alias("query_id"), F.left("text", F.lit(60)).alias("context"))
+def _embed(spark, sf):
+    """The embedding model of the fixture takes the vector that a text's number names, the next one for expanded questions."""
 
+    def run(texts):
+        asks = F.startswith("text", F.lit("question"))
+        number = F.regexp_extract("text", r"(\d+)", 1).cast("long")
+        named = texts.select("id", asks.alias("asks"), number.alias("n"), (number + F.when(asks & F.contains("text", F.lit("특례법")), 1).otherwise(0)).alias("vec_id"))
+        vectors = named.join(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")
+        none = F.transform("embedding", lambda x: F.lit(0).cast("float"))
+        return vectors.select("id", F.when(F.col("asks") & (F.expr("n div 100") % 5 == 2), none).otherwise(F.col("embedding")).alias("embedding"))
 
-def _queries(spark, sf):
-    s, v = _sessions(spark, sf), _variants(spark, sf)
-    return s.select("question_id", F.lit(0).alias("variant_idx"), "query").unionByName(
-        v.select("question_id", F.posexplode("questions").alias("_i", "query")).select("question_id", (F.col("_i") + 1).alias("variant_idx"), "query")
-    )
+    return run
 
 
-@register(f"WITH {_SESSIONS} SELECT question_id, variant_idx, CASE WHEN context IS NOT NULL THEN CASE variant_idx WHEN 0 THEN '{SYSTEMS[0]}' ELSE '{SYSTEMS[1]}' END END AS system, CASE WHEN context IS NOT NULL THEN {_ASK} END AS ask, CASE WHEN context IS NULL AND variant_idx = 0 THEN '{C.NO_HITS_PARALLEL}' END AS answer FROM pr")
-def variant_prompts(spark, sf):
-    p = pipeline.prompts(_queries(spark, sf), _contexts(spark, sf), *SYSTEMS)
-    return p.select("question_id", "variant_idx", F.get("messages", F.lit(0))["content"].alias("system"), F.get("messages", F.lit(1))["content"].alias("ask"), "answer")
+def _replies(prompts):
+    """The model of the fixture: cites two articles and tells how long its prompt was; some variants answer nothing, blanks or not at all."""
+    k, v = F.expr("question_id div 100"), F.col("variant_idx")
+    article = lambda m: F.pmod(k * m, F.lit(400)).cast("string")
+    said = F.concat(
+        F.lit("(1) 쟁점\n답 형법 제"), article(37), F.lit("조, 근로기준법 제"), article(91), F.lit("조 "), v.cast("string"),
+        F.repeat(F.lit(" 판단"), F.pmod(k + v, F.lit(3)).cast("int")), F.lit("\n(4) 유의 "), F.length(F.get("messages", F.lit(1))["content"]).cast("string"),
+    )
+    some = F.when(F.pmod(k + v, F.lit(7)) == 6, "").when(F.pmod(k + v, F.lit(13)) == 12, " \n ").otherwise(said)
+    return prompts.where(F.pmod(k + v, F.lit(11)) != 10).select("question_id", "variant_idx", some.alias("answer"))
 
 
-@register(f"WITH {_SESSIONS} SELECT question_id, CASE WHEN context IS NOT NULL THEN {_ASK} END AS ask, CASE WHEN context IS NULL THEN '{C.NO_HITS_SINGLE}' END AS answer FROM pr WHERE variant_idx = 0")
-def single_path(spark, sf):
-    p = pipeline.single(_sessions(spark, sf).select("question_id", "query"), _contexts(spark, sf), SYSTEMS[0])
-    return p.select("question_id", F.get("messages", F.lit(1))["content"].alias("ask"), "answer")
+def _metrics(pairs):
+    """Scores of the fixture: lengths of cores, and numbers of question and variant; every sixth question lacks one."""
+    k, v = F.expr("question_id div 100"), F.col("variant_idx")
+    steady = k % 6 == 5
+    a, b = F.length("reference_core"), F.length("answer_core")
+    token = F.when(steady, 0.8).otherwise(F.floor(F.least(a, b) * 25 / F.greatest(a, b)) / 25)
+    near = F.when(~(steady & (v == 3)), (15 + F.pmod(k + v * 3, F.lit(11))) / 25)
+    said = F.when(steady, "0.80").when(k % 4 == 3, "0.04").otherwise(F.concat(F.lit("점수: "), ((10 + F.pmod(k * 7 + v, F.lit(16))) / 25).cast("decimal(3,2)").cast("string")))
+    judged = consistency.judge_scores(pairs.select("question_id", "variant_idx", said.alias("reply")))
+    return pairs.select("question_id", "variant_idx", token.alias("token"), near.alias("embedding")).join(judged, ["question_id", "variant_idx"])
 
 
-def _replies(prompts):
-    """The model of the fixture: cites two articles by id; some variants answer nothing or not at all."""
-    q, v = F.col("question_id"), F.col("variant_idx")
-    said = F.concat(F.lit("답 형법 제"), F.pmod(q, F.lit(400)).cast("string"), F.lit("조, 근로기준법 제"), F.pmod(q * 3, F.lit(400)).cast("string"), F.lit("조 "), v.cast("string"))
-    return prompts.where(F.pmod(q + v, F.lit(11)) != 10).select("question_id", "variant_idx", F.when(F.pmod(q + v, F.lit(7)) == 6, "").otherwise(said).alias("answer"))
+def _models(spark, sf):
+    return pipeline.Models(_similar, _embed(spark, sf), _replies, _metrics)
 
 
-_ANSWERS = _SESSIONS + """,
-an AS (SELECT question_id, variant_idx, CASE WHEN context IS NULL THEN CASE WHEN variant_idx = 0 THEN '""" + C.NO_HITS_PARALLEL + """' END WHEN (question_id + variant_idx) % 11 = 10 THEN NULL WHEN (question_id + variant_idx) % 7 = 6 THEN ''
-         ELSE '답 형법 제' || (question_id % 400) || '조, 근로기준법 제' || (question_id * 3 % 400) || '조 ' || variant_idx END AS answer FROM pr),
-og AS (SELECT question_id, answer AS reference FROM an WHERE variant_idx = 0 AND answer != ''),
-pa AS (SELECT question_id, variant_idx, reference, answer FROM an JOIN og USING (question_id) WHERE variant_idx > 0 AND answer != '')"""
+def _statute_rows(spark, sf):
+    return _api(spark, sf).where(F.expr("query_id div 100") % 5 != 2)
 
 
-def _answers(spark, sf):
-    asked = pipeline.prompts(_queries(spark, sf), _contexts(spark, sf), *SYSTEMS)
-    return pipeline.answered(asked, _replies(asked.where("messages IS NOT NULL")))
+def _questions(spark, sf):
+    return pipeline.asked(_turns(spark, sf))
 
 
-@register(f"WITH {_ANSWERS} SELECT question_id, variant_idx, reference, answer FROM pa")
-def answer_pairs(spark, sf):
-    return consistency.pairs(_answers(spark, sf))
+def _contexts(spark, sf):
+    return context.contexts(pipeline.searched(_questions(spark, sf), chunks(spark, sf), _embed(spark, sf), _statute_rows(spark, sf)))
 
 
-@register(f"WITH {_ANSWERS}, lo AS (SELECT question_id, variant_idx, repeat(reference, 40) AS reference, repeat(answer, 40) AS answer, row_number() OVER (PARTITION BY question_id ORDER BY variant_idx) AS n FROM pa) SELECT question_id, variant_idx, left(reference, 600) AS reference, left(answer, 600) AS answer FROM lo WHERE n <= 2")
-def judge_inputs(spark, sf):
-    long = consistency.pairs(_answers(spark, sf)).select("question_id", "variant_idx", F.repeat("reference", F.lit(40)).alias("reference"), F.repeat("answer", F.lit(40)).alias("answer"))
-    return consistency.judge_inputs(long, C.Config(judged_pairs=2))
+def _prompts(spark, sf):
+    s = _questions(spark, sf)
+    v = _similar(s).select("question_id", F.posexplode(dialogue.variants(F.col("reply"))).alias("_i", "query"))
+    q = s.select("question_id", F.lit(0).alias("variant_idx"), "query").unionByName(v.select("question_id", (F.col("_i") + 1).alias("variant_idx"), "query"))
+    return storage.stored(pipeline.prompts(q, _contexts(spark, sf), *SYSTEMS))
 
 
-def _metrics(pairs):
-    """Scores of the fixture: by question, the same for all its pairs."""
-    s = F.when(F.pmod("question_id", F.lit(5)) == 3, 0.5).otherwise(0.9)
-    return pairs.select("question_id", "variant_idx", s.alias("token"), s.alias("embedding"), s.alias("judge"))
+@register(f"WITH {_SESSIONS} SELECT question_id, first, query, partial_mode, score::INTEGER AS score, '노동' AS legal_category FROM se")
+def asked_questions(spark, sf):
+    return _questions(spark, sf).select("question_id", "first", "query", "partial_mode", "specificity.score", "specificity.legal_category")
 
 
-def _statutes(spark, sf):
-    """Statutes with two-dimensional vectors, near to the citations of small numbers."""
-    p = table(spark, sf, "part")
-    angle = F.col("p_partkey") / 100
-    return p.select(
-        F.col("p_partkey").alias("chunk_key"), F.array(F.cos(angle).cast("float"), F.sin(angle).cast("float")).alias("embedding"),
-        F.concat("p_name", F.lit("\n"), "p_brand").alias("text"), F.when(F.col("p_partkey") % 2 == 0, "statute").otherwise("manual").alias("source_type"),
-    ).where("chunk_key <= 100")
+@register(f"WITH {_SEARCHED} SELECT question_id, variant_idx, CASE WHEN context IS NOT NULL THEN CASE variant_idx WHEN 0 THEN '{SYSTEMS[0]}' ELSE '{SYSTEMS[1]}' END END AS system, CASE WHEN context IS NOT NULL THEN {_ASK} END AS ask, CASE WHEN context IS NULL AND variant_idx = 0 THEN '{C.NO_HITS_PARALLEL}' END AS answer FROM pr")
+def variant_prompts(spark, sf):
+    p = _prompts(spark, sf)
+    return p.select("question_id", "variant_idx", F.get("messages", F.lit(0))["content"].alias("system"), F.get("messages", F.lit(1))["content"].alias("ask"), "answer")
 
 
-def _embedded(cited):
-    angle = F.regexp_extract("citation", r"제(\d+)조", 1).cast("double") / 100
-    return cited.select("citation", F.array(F.cos(angle), F.sin(angle)).alias("embedding"))
+_SAID_TO = f"""CASE WHEN (k + variant_idx) % 11 = 10 THEN NULL WHEN (k + variant_idx) % 7 = 6 THEN '' WHEN (k + variant_idx) % 13 = 12 THEN ' ' || chr(10) || ' '
+  ELSE '(1) 쟁점' || chr(10) || core || chr(10) || '(4) 유의 ' || length({_ASK}) END"""
+_CORE = "'답 형법 제' || (k * 37 % 400) || '조, 근로기준법 제' || (k * 91 % 400) || '조 ' || variant_idx || repeat(' 판단', ((k + variant_idx) % 3)::INT)"
 
 
-def _nearest(spark, sf):
-    return lambda cited: citations.nearest(_embedded(cited), _statutes(spark, sf))
+@register(f"WITH {_SEARCHED}, sa AS (SELECT *, {_CORE} AS core FROM pr WHERE variant_idx = 0) SELECT question_id, CASE WHEN context IS NOT NULL THEN {_ASK} END AS ask, CASE WHEN context IS NULL THEN '{C.NO_HITS_SINGLE}' ELSE {_SAID_TO} END AS answer FROM sa")
+def single_path(spark, sf):
+    """One question without variants, from its words to its answer."""
+    p = pipeline.single_answered(_questions(spark, sf).select("question_id", "query"), _contexts(spark, sf), SYSTEMS[0], _replies, storage.fresh(spark, "answers"))
+    return p.select("question_id", F.get("messages", F.lit(1))["content"].alias("ask"), "answer")
+
+
+@register("SELECT conv_id * 1000 + turn AS question_id, 'rules' AS system, text AS ask, CASE WHEN (conv_id * 1000 + turn) // 100 % 11 != 10 THEN length(text) END AS n FROM conversations")
+def ungrounded_prompts(spark, sf):
+    """Questions that are put to a model without references, and the length that its answer tells."""
+    q = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("query"))
+    made = storage.stored(pipeline.ungrounded(q, "rules"))
+    tell = lambda p: p.where(F.expr("question_id div 100") % 11 != 10).select("question_id", "variant_idx", F.length(F.get("messages", F.lit(1))["content"]).cast("string").alias("answer"))
+    said = answers.answered(made, tell, storage.fresh(spark, "answers"))
+    j = made.drop("answer").join(said, ["question_id", "variant_idx"])
+    part = lambda i: F.get("messages", F.lit(i))["content"]
+    return j.select("question_id", part(0).alias("system"), part(1).alias("ask"), F.col("answer").cast("long").alias("n"))
+
+
+_ANSWERS = _SEARCHED + f""",
+an AS (SELECT question_id, k, variant_idx, core, CASE WHEN context IS NULL THEN CASE WHEN variant_idx = 0 THEN '{C.NO_HITS_PARALLEL}' END ELSE {_SAID_TO} END AS answer FROM (SELECT *, {_CORE} AS core FROM pr)),
+og AS (SELECT question_id, k, answer AS reference, core AS reference_core FROM an WHERE variant_idx = 0 AND answer != ''),
+pa AS (SELECT question_id, og.k, variant_idx, reference, answer, CASE WHEN trim(reference) = chr(10) THEN '' ELSE reference_core END AS reference_core, core AS answer_core
+       FROM an JOIN og USING (question_id) WHERE variant_idx > 0 AND trim(replace(answer, chr(10), ' ')) != '')"""
+
+
+def _answers(spark, sf):
+    made = _prompts(spark, sf)
+    return storage.stored(pipeline.answered(made, answers.answered(made, _replies, storage.fresh(spark, "answers"))))
+
+
+@register(f"WITH {_ANSWERS} SELECT question_id, variant_idx, reference, answer, reference_core, answer_core FROM pa")
+def answer_pairs(spark, sf):
+    return consistency.cores(consistency.pairs(_answers(spark, sf)))
+
+
+@register(f"WITH {_ANSWERS}, lo AS (SELECT question_id, variant_idx, repeat(reference, 20) AS reference, repeat(answer, 20) AS answer, row_number() OVER (PARTITION BY question_id ORDER BY variant_idx) AS n FROM pa) SELECT question_id, variant_idx, left(reference, 600) AS reference, left(answer, 600) AS answer FROM lo WHERE n <= 5")
+def judge_inputs(spark, sf):
+    long = consistency.pairs(_answers(spark, sf)).select("question_id", "variant_idx", F.repeat("reference", F.lit(20)).alias("reference"), F.repeat("answer", F.lit(20)).alias("answer"))
+    return consistency.judge_inputs(long)
 
 
 _LAWS = ["근로기준법"]
-#: The nearest even number up to 100 (ties to the smaller), and its cosine.
-_NEAR = """
-ci AS (SELECT question_id, i AS ord, CASE i WHEN 0 THEN '형법 제' || (question_id % 400) || '조' ELSE '근로기준법 제' || (question_id * 3 % 400) || '조' END AS citation,
-         CASE i WHEN 0 THEN question_id % 400 ELSE question_id * 3 % 400 END AS num FROM og, (VALUES (0), (1)) t(i) WHERE reference LIKE '답 %'),
-st AS (SELECT p_partkey AS k, cos(p_partkey / 100.0)::FLOAT::DOUBLE AS x, sin(p_partkey / 100.0)::FLOAT::DOUBLE AS y, p_name || chr(10) || p_brand AS text FROM part WHERE p_partkey <= 100 AND p_partkey % 2 = 0),
-nd AS (SELECT num, k, text, 1 - (cos(num / 100.0) * x + sin(num / 100.0) * y) / (sqrt(cos(num / 100.0) * cos(num / 100.0) + sin(num / 100.0) * sin(num / 100.0)) * sqrt(x * x + y * y) + 1e-9) AS dist FROM (SELECT DISTINCT num FROM ci), st),
-nn AS (SELECT num, arg_min(text, (dist, k)) AS text, min(dist) AS dist FROM nd GROUP BY num),
-ck AS (SELECT question_id, ord, citation, text, round(1 - dist, 4) >= 0.7 OR ord = 1 AS ok FROM ci JOIN nn USING (num))"""
+#: The nearest statute of a citation's vector; citations whose number names no vector have none.
+_CITED_BY = """
+ci AS (SELECT question_id, i AS ord, CASE i WHEN 0 THEN '형법 제' || (k * 37 % 400) || '조' ELSE '근로기준법 제' || (k * 91 % 400) || '조' END AS citation, CASE i WHEN 0 THEN k * 37 % 400 ELSE k * 91 % 400 END AS num
+       FROM (SELECT DISTINCT question_id, k, reference FROM {given}) o, (VALUES (0), (1)) t(i) WHERE reference LIKE '(1)%' ),
+nq AS (SELECT DISTINCT num, e.embedding FROM ci JOIN embeddings e ON e.vec_id = num),
+nd AS (SELECT num, c.chunk_key, c.text, """ + _COS.replace("q.embedding", "nq.embedding") + """ AS dist FROM nq, c WHERE c.source_type = 'statute'),
+nn AS (SELECT num, arg_min(text, (dist, chunk_key)) AS text, min(dist) AS dist FROM nd GROUP BY num)"""
 
 
-@register(f"WITH {_ANSWERS}, {_NEAR} SELECT citation, round(1 - any_value(dist), 4) AS score FROM ci JOIN nn USING (num) GROUP BY citation")
+@register(f"WITH {_ANSWERS}, {_CITED_BY.format(given='og')} SELECT citation, round(1 - any_value(dist), 4) AS score FROM ci JOIN nn USING (num) GROUP BY citation")
 def citation_nearest(spark, sf):
     original = _answers(spark, sf).where("variant_idx = 0")
     cited = original.select(F.explode(text.citations(F.col("answer"))).alias("citation")).distinct()
-    return _nearest(spark, sf)(cited).select("citation", scores.similarity(F.col("dist")).alias("score"))
+    vectors = _embed(spark, sf)(cited.select(F.xxhash64("citation").alias("id"), F.col("citation").alias("text")))
+    named = cited.withColumn("id", F.xxhash64("citation")).join(vectors, "id").select("citation", "embedding")
+    return citations.nearest(named, chunks(spark, sf)).select("citation", scores.similarity(F.col("dist")).alias("score"))
 
 
 def _full(spark, sf):
     laws = spark.createDataFrame([(x,) for x in _LAWS], "law_name string")
-    return pipeline.full(_sessions(spark, sf), _variants(spark, sf), _contexts(spark, sf), _replies, _metrics, _nearest(spark, sf), laws, SYSTEMS)
-
-
-_FULL = f"""WITH {_ANSWERS}, {_NEAR},
-gr AS (SELECT question_id, CASE WHEN question_id % 5 = 3 THEN 0.5 ELSE 0.9 END AS s, count(*) AS n FROM pa GROUP BY question_id),
+    return pipeline.full(_turns(spark, sf), chunks(spark, sf), _models(spark, sf), laws, SYSTEMS, storage.fresh(spark, "answers"), _statute_rows(spark, sf))
+
+
+_FULL = f"""WITH {_ANSWERS},
+me AS (SELECT question_id, k, variant_idx, CASE WHEN k % 6 = 5 THEN 0.8 ELSE floor(least(length(reference_core), length(answer_core)) * 25 / greatest(length(reference_core), length(answer_core))) / 25 END::DOUBLE AS token,
+         CASE WHEN NOT (k % 6 = 5 AND variant_idx = 3) THEN (15 + (k + variant_idx * 3) % 11) / 25 END::DOUBLE AS near,
+         CASE WHEN k % 6 = 5 THEN 0.8 WHEN k % 4 = 3 THEN 0.04 ELSE (10 + (k * 7 + variant_idx) % 16) / 25 END::DOUBLE AS said, row_number() OVER (PARTITION BY question_id ORDER BY variant_idx) AS nth FROM pa),
+mj AS (SELECT *, CASE WHEN nth <= 5 THEN round(said, 4) ELSE round(avg(CASE WHEN nth <= 5 THEN round(said, 4) END) OVER (PARTITION BY question_id), 4) END AS judge,
+         count(near) OVER (PARTITION BY question_id) = count(*) OVER (PARTITION BY question_id) AS whole FROM me),
+ms AS (SELECT question_id, round(CASE WHEN whole THEN 0.25 * token + 0.4 * near + 0.35 * judge ELSE 0.25 / 0.6 * token + 0.35 / 0.6 * judge END, 4) AS s FROM mj),
+gr AS (SELECT question_id, round(median(s), 4) AS s, count(*) AS n FROM ms GROUP BY question_id),
+ok AS (SELECT og.* FROM og JOIN gr USING (question_id) WHERE s >= 0.75),
+{_CITED_BY.format(given="ok")},
+ck AS (SELECT question_id, ord, citation, text, coalesce(round(1 - dist, 4) >= 0.7, FALSE) OR ord = 1 AS ok FROM ci LEFT JOIN nn USING (num)),
 cc AS (SELECT question_id, coalesce(string_agg(citation, '|' ORDER BY ord) FILTER (ok), '') AS found, coalesce(string_agg(citation, '|' ORDER BY ord) FILTER (NOT ok), '') AS missing,
-         max(CASE WHEN NOT ok THEN citation END) AS wrong, max(CASE WHEN NOT ok THEN string_split(text, chr(10))[1] END) AS good FROM ck GROUP BY question_id),
-st2 AS (SELECT n.question_id, reference, n.partial_mode, coalesce(gr.s, 0.0)::DOUBLE AS median_f1, coalesce(gr.s, 0.0) >= 0.75 AS passed, coalesce(gr.n, 0) AS n_scores, found, missing, wrong, good
-        FROM n LEFT JOIN og USING (question_id) LEFT JOIN gr USING (question_id) LEFT JOIN cc USING (question_id)),
+         max(CASE WHEN NOT ok AND text IS NOT NULL THEN citation END) AS wrong, max(CASE WHEN NOT ok AND text IS NOT NULL THEN string_split(left(text, 200), chr(10))[1] END) AS good FROM ck GROUP BY question_id),
+st2 AS (SELECT se.question_id, se.k, first, query, score, reference, se.partial_mode, coalesce(gr.s, 0.0)::DOUBLE AS median_f1, coalesce(gr.s, 0.0) >= 0.75 AS passed, coalesce(gr.n, 0) AS n_scores, found, missing, wrong, good, context, used
+        FROM se LEFT JOIN og USING (question_id) LEFT JOIN gr USING (question_id) LEFT JOIN cc USING (question_id) LEFT JOIN cx USING (question_id)),
 fu AS (SELECT *, CASE WHEN reference IS NULL THEN 'no_rag_result' WHEN NOT passed THEN 'hallucination_detected' WHEN partial_mode THEN 'partial_mode' ELSE 'success' END AS status FROM st2)"""
 
 
@@ -153,22 +231,21 @@ def full_pipeline(spark, sf):
     return r.select("question_id", "status", "final_answer", "median_f1", F.size("all_scores").cast("long").alias("n_scores"), joined("found"), joined("missing"))
 
 
-@register(_FULL + """ SELECT question_id, status, 'question ' || question_id AS query, status != 'no_rag_result' AS has_rag, status != 'no_rag_result' AS has_consistency, status IN ('success', 'partial_mode') AS has_citations,
-CASE WHEN status IN ('success', 'partial_mode') AND wrong IS NOT NULL THEN wrong END AS wrong, CASE WHEN status != 'no_rag_result' THEN median_f1 END AS median_f1, CASE WHEN status != 'no_rag_result' THEN reference END AS initial_answer FROM fu""")
+@register(_FULL + f""" SELECT question_id, status, first AS query, score::INTEGER AS score, partial_mode, status != 'no_rag_result' AS has_rag, status != 'no_rag_result' AS has_consistency, status IN ('success', 'partial_mode') AS has_citations,
+CASE WHEN status IN ('success', 'partial_mode') THEN wrong END AS wrong, CASE WHEN status != 'no_rag_result' THEN median_f1 END AS median_f1, CASE WHEN status != 'no_rag_result' THEN reference END AS initial_answer,
+CASE WHEN status != 'no_rag_result' THEN coalesce(context, '') END AS context, CASE WHEN status != 'no_rag_result' AND context IS NOT NULL THEN {_ASK} END AS ask, CASE WHEN status != 'no_rag_result' THEN coalesce(used, '') END AS chunks FROM fu""")
 def result_layout(spark, sf):
-    none = lambda kind: F.lit(None).cast(kind)
-    body = pipeline.layout(
-        _full(spark, sf), F.struct(F.lit(3).alias("score"), F.lit("{}").alias("entities")), none("string"),
-        none("array<struct<role:string,content:string>>"), none("array<struct<chunk_id:string,text:string,score:double,source_type:string,metadata:map<string,string>>>"),
-    )
-    j = _full(spark, sf).select("question_id", body.alias("j"))
+    """The JSON of every result, read again: context, prompt and chunks of the original are the chain's own."""
+    j = _full(spark, sf).transform(lambda r: r.select("question_id", pipeline.layout(r).alias("j")))
     at = lambda p: F.get_json_object("j", p)
     has = lambda k: F.array_contains(F.json_object_keys("j"), k)
     wrong = F.get(F.json_object_keys(at("$.citation_check.corrections")), F.lit(0))
+    used = F.from_json(at("$.original_rag.retrieved_chunks"), "array<struct<chunk_id:string>>")
     return j.select(
-        "question_id", at("$.status").alias("status"), at("$.query").alias("query"), has("original_rag").alias("has_rag"), has("consistency").alias("has_consistency"),
-        (has("citation_check") & has("ner_check")).alias("has_citations"), wrong.alias("wrong"), at("$.consistency.median_f1").cast("double").alias("median_f1"),
-        at("$.original_rag.initial_answer").alias("initial_answer"),
+        "question_id", at("$.status").alias("status"), at("$.query").alias("query"), at("$.specificity.score").cast("int").alias("score"), at("$.specificity.partial_mode").cast("boolean").alias("partial_mode"),
+        has("original_rag").alias("has_rag"), has("consistency").alias("has_consistency"), (has("citation_check") & has("ner_check")).alias("has_citations"), wrong.alias("wrong"),
+        at("$.consistency.median_f1").cast("double").alias("median_f1"), at("$.original_rag.initial_answer").alias("initial_answer"), at("$.original_rag.context_text").alias("context"),
+        at("$.original_rag.prompt_messages[1].content").alias("ask"), F.array_join(F.transform(used, lambda c: c["chunk_id"]), "|").alias("chunks"),
     )
 
 
@@ -221,6 +298,11 @@ def envelopes(spark, sf):
     )
 
 
+def _named(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("question_id"), F.concat(F.lit("question "), "doc_id").alias("query"))
+
+
 def register_of_laws(kind, query):
     """A register for the fixture: laws by the question's number, some without rows, one at a time or in a list."""
     if kind == "laws":
@@ -237,7 +319,7 @@ def register_of_laws(kind, query):
 l AS (SELECT query_id, i, (query_id % 50 + i)::VARCHAR AS law FROM n, (VALUES (0), (1)) t(i) WHERE i = 0 OR query_id % 2 = 0)
 SELECT query_id, 'api_' || law || '_' || a AS chunk_id, '【law ' || law || '】 제' || a || '조' || CASE WHEN a % 2 = 1 THEN ' (t)' ELSE '' END || chr(10) || 'content ' || law AS text FROM l, (VALUES (1), (2)) t(a)""")
 def statute_search(spark, sf):
-    q = _sessions(spark, sf).select(F.col("question_id").alias("query_id"), "query")
+    q = _named(spark, sf).select(F.col("question_id").alias("query_id"), "query")
     laws, articles = http.statutes(q, f"{__name__}.register_of_laws")
     return retrieval.api_chunks(laws, articles, per_law=C.DEFAULT.retrieve_api_articles).select("query_id", "chunk_id", "text")
 
@@ -270,14 +352,14 @@ _CLIENT = f"{__name__}.fixture_client"
 
 @register("SELECT doc_id AS question_id, 0 AS variant_idx, CASE WHEN doc_id % 10 != 7 THEN 'rules: question ' || doc_id END AS answer FROM documents")
 def model_replies(spark, sf):
-    s = _sessions(spark, sf)
+    s = _named(spark, sf)
     m = F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("system", F.lit("rules")), ("user", F.col("query")))])
     return http.complete(s.select("question_id", F.lit(0).alias("variant_idx"), m.alias("messages")), _CLIENT, backoff=0.0, strict=False)
 
 
 @register("SELECT doc_id AS question_id, CASE WHEN doc_id % 10 != 7 THEN 'draw: see: question ' || doc_id END AS prompt FROM documents")
 def image_prompts(spark, sf):
-    return http.image_prompts(_sessions(spark, sf).select("question_id", F.col("query").alias("text")), _CLIENT, ("see", "draw"), backoff=0.0)
+    return http.image_prompts(_named(spark, sf).select("question_id", F.col("query").alias("text")), _CLIENT, ("see", "draw"), backoff=0.0)
 
 
 @register("SELECT p_name AS name, p_brand AS display_name FROM part WHERE p_size % 3 = 0")

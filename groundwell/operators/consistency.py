@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import DEFAULT, Config
-from ..functions import scores
+from ..functions import scores, text
 
 METRICS = ("token", "embedding", "judge")
 
@@ -23,11 +23,17 @@ def judge_scores(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:  # L4
 def pairs(answers: DataFrame) -> DataFrame:  # P28, L9
     """question_id, variant_idx, reference, answer: each variant's answer beside the original's (variant 0).
 
-    Null and empty answers are left out, so a question may have fewer pairs, or none.
+    Null answers, an empty original and blank variants are left out, so a question may have fewer pairs, or none.
     """
-    there = answers.where(F.coalesce("answer", F.lit("")) != "")
-    original = there.where("variant_idx = 0").select("question_id", F.col("answer").alias("reference"))
-    return there.where("variant_idx > 0").join(original, "question_id").select("question_id", "variant_idx", "reference", "answer")
+    original = answers.where("variant_idx = 0").where(F.coalesce("answer", F.lit("")) != "").select("question_id", F.col("answer").alias("reference"))
+    others = answers.where("variant_idx > 0").where(text.strip(F.coalesce("answer", F.lit(""))) != "")
+    return others.join(original, "question_id").select("question_id", "variant_idx", "reference", "answer")
+
+
+def cores(pairs: DataFrame) -> DataFrame:  # P10
+    """Pairs with the cores of both texts, as token and embedding scores read them; judges read the texts themselves."""
+    core = lambda c: text.core_text(F.col(c)).alias(f"{c}_core")
+    return pairs.select("*", core("reference"), core("answer"))
 
 
 def judge_inputs(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:  # L4
@@ -41,7 +47,7 @@ def ensemble(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:  # A1, A3
     """question_id, median_f1, all_scores, passed from pairs (question_id, variant_idx, token, embedding, judge).
 
     A metric counts for a question only if every pair has it; weights are normalised over those. If
-    none counts the question passes with 1.
+    none counts the question passes with 1 and has no scores.
     """
     by = Window.partitionBy("question_id")
     there = {m: F.count(m).over(by) == F.count(F.lit(1)).over(by) for m in METRICS}
@@ -51,7 +57,8 @@ def ensemble(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:  # A1, A3
     terms = [F.when(F.col(f"_{m}"), F.lit(config.weights[m]) / F.col("_total") * F.col(m)).otherwise(F.lit(0.0)) for m in METRICS]
     score = F.when(F.col("_total") > 0, F.round(sum(terms, F.lit(0.0)), 4)).otherwise(F.lit(1.0))
     p = p.withColumn("_score", score)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("variant_idx", "_score"))), lambda x: x["_score"])
+    scored = F.when(F.col("_total") > 0, F.struct("variant_idx", "_score"))
+    listed = F.transform(F.array_sort(F.collect_list(scored)), lambda x: x["_score"])
     out = p.groupBy("question_id").agg(F.round(F.median("_score"), 4).alias("median_f1"), listed.alias("all_scores"))
     return out.withColumn("passed", F.col("median_f1") >= config.consistency_threshold)
 

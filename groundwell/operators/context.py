@@ -30,6 +30,10 @@ def contexts(hits: DataFrame, config: Config = DEFAULT) -> DataFrame:  # A5, O2,
     w = Window.partitionBy("query_id").orderBy(order, "position")
     rows = hits.withColumn("_n", F.row_number().over(w))
     rows = rows.withColumn("_part", formatted(F.col("source_type"), lambda k: F.col("metadata")[k], F.col("score"), F.col("text"), F.col("_n")))
+    # Only parts that begin inside the cut, or whose separator does, are gathered; one more character tells that there is a cut.
+    before = F.sum(F.length("_part") + len(SEPARATOR)).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") <= config.context_chars + len(SEPARATOR))
+    rows = rows.withColumn("_part", F.left("_part", F.lit(config.context_chars + 1)))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("_n", "_part"))), lambda x: x["_part"])
     return rows.groupBy("query_id").agg(text.truncated(F.array_join(parts, SEPARATOR), config.context_chars).alias("context"))
 
@@ -39,3 +43,8 @@ def messages(system: Column, context: Column, query: Column) -> Column:  # P9
     return F.array(
         F.struct(F.lit("system").alias("role"), system.alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content"))
     )
+
+
+def plain_messages(system: Column, query: Column) -> Column:  # L9
+    """A prompt without references."""
+    return F.array(F.struct(F.lit("system").alias("role"), system.alias("content")), F.struct(F.lit("user").alias("role"), query.alias("content")))

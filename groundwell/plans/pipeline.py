@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import config as C
+from .. import storage
 from ..functions import text
-from ..operators import citations, consistency, context
+from ..operators import citations, consistency, context, dialogue, retrieval
+from .answers import answered as stored_answers
 
 
 def status(original_answer: Column, passed: Column, partial: Column) -> Column:  # C3
@@ -41,11 +45,24 @@ def prompts(questions: DataFrame, contexts: DataFrame, system: str, variant_syst
     )
 
 
+def ungrounded(questions: DataFrame, system: str) -> DataFrame:  # L9
+    """question_id, variant_idx, query, messages, answer of questions that are put to a model without references."""
+    q = questions.withColumn("messages", context.plain_messages(F.lit(system), F.col("query"))).withColumn("answer", F.lit(None).cast("string"))
+    return q.select("question_id", F.lit(0).alias("variant_idx"), "query", "messages", "answer")
+
+
 def single(questions: DataFrame, contexts: DataFrame, system: str) -> DataFrame:  # C9
     """The path of one question without variants: its prompt, or the apology of this path."""
     return prompts(questions.withColumn("variant_idx", F.lit(0)), contexts, system, system, C.NO_HITS_SINGLE).drop("variant_idx")
 
 
+def single_answered(questions: DataFrame, contexts: DataFrame, system: str, complete: Callable[[DataFrame], DataFrame], table: str) -> DataFrame:  # C9
+    """question_id, query, messages, answer: the same path to its end; the model is asked for what the answer table lacks."""
+    made = storage.stored(single(questions, contexts, system).withColumn("variant_idx", F.lit(0)))
+    said = answered(made, stored_answers(made, complete, table))
+    return made.drop("answer").join(said, ["question_id", "variant_idx"]).drop("variant_idx")
+
+
 def answered(prompts: DataFrame, replies: DataFrame) -> DataFrame:  # L1, C6
     """question_id, variant_idx, answer: the model's replies, apologies where there was no prompt.
 
@@ -62,8 +79,13 @@ def results(questions: DataFrame, answers: DataFrame, pairs: DataFrame, checked:
     questions: question_id, partial_mode; answers: question_id, variant_idx, answer; pairs: metric
     scores; checked: answer_id, found, missing, corrections.
     """
+    return settled(questions, answers, consistency.ensemble(pairs), checked)
+
+
+def settled(questions: DataFrame, answers: DataFrame, ensembles: DataFrame, checked: DataFrame) -> DataFrame:  # C8
+    """``results`` from scores that are there already (of ``consistency.ensemble``)."""
     original = answers.where("variant_idx = 0").select("question_id", "answer")
-    scored = consistency.all_questions(questions, consistency.ensemble(pairs))
+    scored = consistency.all_questions(questions, ensembles)
     j = questions.join(original, "question_id", "left").join(scored, "question_id")
     j = j.join(checked.withColumnRenamed("answer_id", "question_id"), "question_id", "left")
     state = status(F.col("answer"), F.col("passed"), F.col("partial_mode"))
@@ -74,45 +96,107 @@ def results(questions: DataFrame, answers: DataFrame, pairs: DataFrame, checked:
     )
 
 
+@dataclass(frozen=True)
+class Models:
+    """What models do in the chain, each from a table to a table, never called twice for one row.
+
+    variants: (question_id, query) to (question_id, reply), a reply that lists similar questions.
+    embed: (id, text) to (id, embedding); texts without a vector are left out. complete: (question_id,
+    variant_idx, messages) to (question_id, variant_idx, answer). metrics: pairs (question_id, variant_idx,
+    reference, answer, reference_core, answer_core) to (question_id, variant_idx, token, embedding, judge).
+    """
+
+    variants: Callable[[DataFrame], DataFrame]
+    embed: Callable[[DataFrame], DataFrame]
+    complete: Callable[[DataFrame], DataFrame]
+    metrics: Callable[[DataFrame], DataFrame]
+
+
+def asked(turns: DataFrame, config: C.Config = C.DEFAULT) -> DataFrame:  # C1, P14
+    """question_id, first, query, partial_mode, specificity from turns (session_id, turn, text, reply).
+
+    ``first`` is what was asked first, ``query`` what re-asking made of it, ``specificity`` the last check that
+    the session came to, parsed from its reply.
+    """
+    t = turns.withColumn("_s", dialogue.specificity(F.col("reply"), config)).withColumn("score", F.col("_s.score"))
+    loop = dialogue.session_loop(t.select("session_id", "turn", "text", "score"), config)
+    # An unanswered re-ask has no check: the one before it stands.
+    nth = F.row_number().over(Window.partitionBy("session_id").orderBy("turn"))
+    said = t.withColumn("_nth", nth).join(loop.select("session_id", F.col("checks").alias("_n")), "session_id").where(F.col("_nth") <= F.col("_n"))
+    first = F.min_by("text", "turn").alias("first")
+    last = said.groupBy("session_id").agg(first, F.max_by("_s", "turn").alias("specificity"))
+    return loop.join(last, "session_id").select(F.col("session_id").alias("question_id"), "first", F.col("question").alias("query"), "partial_mode", "specificity")
+
+
+def searched(questions: DataFrame, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], api: DataFrame | None = None, config: C.Config = C.DEFAULT) -> DataFrame:  # C8, C9
+    """Hits of every question (question_id, query): expanded, embedded, searched, merged with statute rows, stored once."""
+    texts = questions.select(F.col("question_id").alias("id"), text.expand_query(F.col("query")).alias("text"))
+    vectors = embed(texts).select(F.col("id").alias("query_id"), "embedding")
+    return storage.stored(retrieval.with_api(retrieval.retrieve(vectors, chunks, config=config), api, config))
+
+
 def full(
-    sessions: DataFrame, variants: DataFrame, contexts: DataFrame, replies: Callable[[DataFrame], DataFrame], metrics: Callable[[DataFrame], DataFrame],
-    nearest: Callable[[DataFrame], DataFrame], laws: DataFrame, systems: tuple[str, str],
+    turns: DataFrame, chunks: DataFrame, models: Models, laws: DataFrame, systems: tuple[str, str], table: str, api: DataFrame | None = None, config: C.Config = C.DEFAULT
 ) -> DataFrame:  # C8
-    """The whole chain: prompts, replies, consistency, citations, corrections, status.
+    """The whole chain from turns (session_id, turn, text, reply) to results, a row a session.
+
+    Specificity and re-asking, similar questions, one search of the original question, prompts of all variants
+    over its context, answers, consistency, the gate, citations of what passed, corrections, status. ``table``
+    is the folder of the answer table: models are asked for what it lacks, every later stage reads
+    it. ``laws`` confirms citations by name; ``api`` holds statute rows by query_id. A question without hits
+    ends with an apology, which has no variants and so does not pass.
 
-    sessions: question_id, query, partial_mode (of ``dialogue.session_loop``). variants: question_id,
-    questions (of ``dialogue.variants``). contexts: query_id, context. The three callables hold what
-    models do: prompts to replies, pairs to metric scores, distinct citations to their nearest statutes.
-    A question whose context is missing ends like any other, with the apology for its answer.
+    Besides the columns of ``results``: first, specificity, context, messages and chunks of the original.
     """
-    queries = sessions.select("question_id", F.lit(0).alias("variant_idx"), "query").unionByName(
-        variants.select("question_id", F.posexplode("questions").alias("_i", "query")).select("question_id", (F.col("_i") + 1).alias("variant_idx"), "query")
-    )
-    asked = prompts(queries, contexts, *systems)
-    answers = answered(asked, replies(asked.where("messages IS NOT NULL")))
-    original = answers.where("variant_idx = 0").where(F.coalesce("answer", F.lit("")) != "")
+    questions = storage.stored(asked(turns, config))
+    listed = models.variants(questions.select("question_id", "query")).select("question_id", dialogue.variants(F.col("reply"), config.variants).alias("questions"))
+    similar = listed.select("question_id", F.posexplode("questions").alias("_i", "query")).select("question_id", (F.col("_i") + 1).alias("variant_idx"), "query")
+    hits = searched(questions, chunks, models.embed, api, config)
+    contexts = context.contexts(hits, config)
+    made = storage.stored(prompts(questions.select("question_id", F.lit(0).alias("variant_idx"), "query").unionByName(similar), contexts, *systems))
+    answers = storage.stored(answered(made, stored_answers(made, models.complete, table)))
+    scored = storage.stored(consistency.ensemble(models.metrics(consistency.cores(consistency.pairs(answers))), config))
+    passed = scored.where("passed").select("question_id")
+    original = answers.where("variant_idx = 0").where(F.coalesce("answer", F.lit("")) != "").join(passed, "question_id", "left_semi")
     cited = original.select(F.col("question_id").alias("answer_id"), F.posexplode(text.citations(F.col("answer"))).alias("ord", "citation"))
-    checked = citations.verified(cited, nearest(cited.select("citation").distinct()), laws)
-    return results(sessions, answers, metrics(consistency.pairs(answers)), checked)
+    vectors = models.embed(cited.select(F.col("citation").alias("text"), F.xxhash64("citation").alias("id")).distinct())
+    named = cited.select("citation").distinct().join(vectors.withColumnRenamed("id", "_id"), F.xxhash64("citation") == F.col("_id")).select("citation", "embedding")
+    checked = citations.verified(cited, citations.nearest(named, chunks), laws, config)
+    r = settled(questions, answers, scored, checked)
+    shown = made.where("variant_idx = 0").select("question_id", "messages").join(contexts.withColumnRenamed("query_id", "question_id"), "question_id", "left")
+    shown = shown.join(_chunks(hits), "question_id", "left")
+    return r.join(questions.select("question_id", "first", "specificity", "partial_mode"), "question_id").join(shown, "question_id", "left")
+
+
+def _chunks(hits: DataFrame) -> DataFrame:
+    """question_id and its hits in their order; a hit's metadata is a map and so is kept beside what is sorted."""
+    rows = F.collect_list(F.struct("position", F.struct("chunk_id", "text", "score", "source_type", "metadata").alias("c")))
+    by_place = F.array_sort(rows, lambda a, b: a["position"] - b["position"])
+    return hits.groupBy(F.col("query_id").alias("question_id")).agg(F.transform(by_place, lambda x: x["c"]).alias("chunks"))
 
 
-def layout(r: DataFrame, specificity: Column, contexts: Column, messages: Column, chunks: Column) -> Column:  # P23
+def layout(r: DataFrame) -> Column:  # P23
     """The JSON of a result of ``full``: sections that its status did not reach are left out."""
     reached = F.col("status") != "no_rag_result"
     passed = F.col("status").isin("success", "partial_mode")
+    s = F.col("specificity")
+    named = [s[x].alias(x) for x in ("score", "entities", "legal_category", "legal_issue", "missing_elements", "is_sufficient")]
+    none = F.array().cast("array<string>")
     sections = {
-        "specificity": specificity,
+        "specificity": F.when(s.isNotNull(), F.struct(*named, F.col("partial_mode"))),
         "original_rag": F.when(reached, F.struct(
-            F.col("query"), F.col("answer").alias("initial_answer"), contexts.alias("context_text"), messages.alias("prompt_messages"), chunks.alias("retrieved_chunks"),
+            F.col("query"), F.col("answer").alias("initial_answer"), F.coalesce("context", F.lit("")).alias("context_text"),
+            F.coalesce("messages", F.array().cast(r.schema["messages"].dataType)).alias("prompt_messages"),
+            F.coalesce("chunks", F.array().cast(r.schema["chunks"].dataType)).alias("retrieved_chunks"),
         )),
         "consistency": F.when(reached, F.struct("median_f1", "all_scores", "passed")),
         "citation_check": F.when(passed, F.struct(
-            F.coalesce("found", F.array().cast("array<string>")).alias("found"), F.coalesce("missing", F.array().cast("array<string>")).alias("missing"),
+            F.coalesce("found", none).alias("found"), F.coalesce("missing", none).alias("missing"),
             F.map_from_entries(F.coalesce("corrections", F.array().cast("array<struct<wrong:string,right:string>>"))).alias("corrections"),
         )),
         "ner_check": F.when(passed, F.struct(citations.entity_check()["corrections"].alias("corrections"), citations.entity_check()["is_stub"].alias("is_stub"))),
     }
-    return result_json(F.struct("query", "final_answer", "status"), sections)
+    return result_json(F.struct(F.col("first").alias("query"), "final_answer", "status"), sections)
 
 
 def result_json(top: Column, sections: dict[str, Column]) -> Column:  # P23

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import config as C
+from . import storage
 from .functions import scores, text
-from .operators import citations, consistency, context, dialogue, reply, retrieval
+from .operators import citations, consistency, context, dialogue, reply, retrieval, vector_index
 from .plans import pipeline
 
 QUERIES: dict = {}
@@ -90,6 +87,23 @@ def knn_threshold(spark, sf):
     return found.select("query_id", "chunk_key", scores.similarity(F.col("dist")).alias("score")).where(F.col("score") >= C.DEFAULT.score_threshold)
 
 
+@register()
+def knn_approximate(spark, sf):
+    """The ten nearest in the lists that an inverted file searches, by their true distances; ``knn_index_recall`` holds it against ``knn_topk``."""
+    index = vector_index.built(chunks(spark, sf))
+    return vector_index.search(index, questions(spark, sf), 10).select("query_id", "chunk_key", "rank", scores.similarity(F.col("dist")).alias("score"))
+
+
+@register(f"WITH {_BASE}, b AS (SELECT query_id, chunk_key FROM d), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_key) AS n FROM b) SELECT count(*) AS n_exact, TRUE AS recalled, (SELECT count(*) FROM c) AS n_indexed FROM r WHERE n <= 10")
+def knn_index_recall(spark, sf):
+    """Whether the index holds every chunk and finds nine in ten of the ten nearest."""
+    c, q = chunks(spark, sf), questions(spark, sf)
+    index = vector_index.built(c)
+    r = vector_index.recall(vector_index.search(index, q, 10), retrieval.topk(q, c, 10, [None]))
+    n = index.blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_indexed"))
+    return r.select("n_exact", (F.col("n_found") >= 0.9 * F.col("n_exact")).alias("recalled")).join(n)
+
+
 @register("WITH " + _BRANCHES.replace("{n}", "3") + " SELECT query_id, chunk_key::VARCHAR || '_' || (r - 1) AS chunk_id, source_type, score, CAST(position AS INT) AS position FROM h WHERE position <= 9")
 def retrieve_merge(spark, sf):
     return retrieval.retrieve(questions(spark, sf), chunks(spark, sf)).select("query_id", "chunk_id", "source_type", "score", "position")
@@ -458,13 +472,7 @@ def _replayed(spark, sf):
 def _drained(stream: DataFrame, mode: str) -> DataFrame:
     from .streaming.front import drained
 
-    spark = stream.sparkSession
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="stream-")
-    return drained(stream, f"{folder}/stream-{uuid.uuid4().hex}", mode)
+    return drained(stream, storage.fresh(stream.sparkSession, "stream"), mode)
 
 
 @register("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'image' ELSE 'text' END AS route FROM conversations")

@@ -156,15 +156,6 @@ def test_vectors_that_cannot_be_compared_are_left_out(spark):
     assert got == [(1, 1), (1, 5), (5, 5), (5, 1)]
 
 
-def test_tiles_do_not_change_neighbours(spark, monkeypatch):
-    c = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(90)], "chunk_key long, embedding array<double>")
-    q = c.where("chunk_key < 5").select(F.col("chunk_key").alias("query_id"), "embedding")
-    whole = retrieval.knn(q, c, 4).orderBy("query_id", "rank").collect()
-    batch = retrieval.pa.RecordBatch.from_arrays([retrieval.pa.array(range(90))], ["x"])
-    monkeypatch.setattr(retrieval, "TILE", 40)
-    assert [len(t) for t in retrieval._tiles(batch, 5)] == [8] * 11 + [2] and len(whole) == 20
-
-
 def test_history_stands_between_rules_and_question(spark):
     message = lambda r, c: F.struct(F.lit(r).alias("role"), F.lit(c).alias("content"))
     own = F.array(message("system", "s"), message("user", "q"))
@@ -182,7 +173,7 @@ def test_a_blank_reply_is_a_reply(spark):
 
 
 def test_empty_answers_make_no_pair(spark):
-    rows = [(1, 0, "a"), (1, 1, ""), (1, 2, "b"), (1, 3, None), (2, 0, ""), (2, 1, "c"), (3, 1, "d")]
+    rows = [(1, 0, "a"), (1, 1, ""), (1, 2, "b"), (1, 3, None), (1, 4, "  "), (1, 5, "\n"), (1, 6, "\u00a0\x1c"), (2, 0, ""), (2, 1, "c"), (3, 1, "d")]
     got = consistency.pairs(spark.createDataFrame(rows, "question_id long, variant_idx int, answer string")).collect()
     assert [(r["question_id"], r["variant_idx"], r["reference"], r["answer"]) for r in got] == [(1, 2, "a", "b")]
 
