@@ -37,6 +37,11 @@ def envelope(outputs: Column) -> Column:  # P21
     return F.concat(F.lit('{"version":"2.0","template":{"outputs":['), F.array_join(outputs, ","), F.lit("]}}"))
 
 
+def with_key(payload: Column, key: Column) -> Column:  # S12
+    """A payload (a JSON object) with a key by which its receiver tells repeats."""
+    return F.regexp_replace(payload, F.lit(r"^\s*\{"), F.concat(F.lit('{"idempotencyKey":"'), key, F.lit('",')))
+
+
 def simple_text(x: Column) -> Column:
     return F.struct(F.struct(x.alias("text")).alias("simpleText"))
 

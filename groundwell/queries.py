@@ -487,9 +487,24 @@ def stream_route(spark, sf):
     return out.select(F.get(ids, F.lit(0)).cast("long").alias("conv_id"), F.get(ids, F.lit(1)).cast("long").alias("turn"), "route")
 
 
-@register("SELECT conv_id, count(*) AS n_seen, least(count(*), 4) AS n_kept FROM conversations GROUP BY conv_id")
+@register("SELECT conv_id, count(*) AS n_seen, least(count(*), 4) AS n_kept, string_agg(role || ':' || text, '|' ORDER BY turn) FILTER (n <= 4) AS last FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) GROUP BY conv_id")
 def stream_session(spark, sf):
-    from .streaming.front import sessions
+    from .streaming.state import sessions
 
-    out = _drained(sessions(_replayed(spark, sf), cap=4), "update")
-    return out.groupBy("conv_id").agg(F.max("n_seen").alias("n_seen"), F.max("n_kept").alias("n_kept"))
+    out = _drained(sessions(_replayed(spark, sf), cap=4), "update").groupBy("conv_id").agg(F.max("n_seen").alias("n_seen"), F.max_by("kept", "n_seen").alias("kept"))
+    last = F.array_join(F.transform("kept", lambda m: F.concat(m["role"], F.lit(":"), m["text"])), "|")
+    return out.select("conv_id", "n_seen", F.size("kept").cast("long").alias("n_kept"), last.alias("last"))
+
+
+#: Sessions of the fixture begin an hour apart; the last one may still be open when the stream is read.
+_CLOSED = _LOOP.replace(" FROM v WHERE", ", max(turn) AS last_turn, arg_max(e OR score >= 4, turn) AS done FROM v WHERE")
+
+
+@register("WITH l AS (" + _CLOSED + ") SELECT session_id, question, checks, partial_mode, NOT done AND last_turn < 5 AS timed_out FROM l WHERE done OR last_turn = 5 OR session_id < (SELECT max(conv_id) FROM conversations)")
+def stream_session_loop(spark, sf):
+    from .streaming.state import session_loop
+
+    body = F.when((F.col("turn") > 0) & ((F.col("conv_id") + F.col("turn")) % 5 == 0), "").otherwise(F.col("text"))
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 3600 + F.least(F.col("turn"), F.lit(20)) * 60)
+    s = _replayed(spark, sf).select(F.col("conv_id").alias("session_id"), "turn", body.alias("text"), ((F.col("conv_id") * 3 + F.col("turn")) % 6).alias("score"), at.alias("at"))
+    return _drained(session_loop(s), "append").select("session_id", "question", "checks", "partial_mode", "timed_out")

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import importlib
 import json
+import queue
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .. import storage
 from ..config import PRECEDENT_FIELDS, PRECEDENT_KEYS, SUPREME_COURT
 
 
@@ -23,6 +26,26 @@ def call(name: str) -> Callable:
     return getattr(importlib.import_module(module), attribute)
 
 
+def within(seconds: float, f: Callable, *args):
+    """What ``f`` gives, or TimeoutError. The thread of a call that is given up goes on by itself."""
+    out: queue.SimpleQueue = queue.SimpleQueue()
+
+    def run() -> None:
+        try:
+            out.put((True, f(*args)))
+        except BaseException as e:
+            out.put((False, e))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        ok, value = out.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"no answer within {seconds} s") from None
+    if not ok:
+        raise value
+    return value
+
+
 def as_list(value) -> list:
     """The registers send a lone row in place of a list of one."""
     return value if isinstance(value, list) else [value] if isinstance(value, dict) else []
@@ -102,23 +125,29 @@ def articles_of(body: str) -> list[dict]:  # S6
     return as_list(inner.get("조문단위", []))
 
 
-def statutes(queries: DataFrame, transport: str, display: int = 2) -> tuple[DataFrame, DataFrame]:  # S5, S6, S9
+#: Seconds that a register of statutes may take to answer.
+STATUTE_TIMEOUT = 10.0
+
+
+def statutes(queries: DataFrame, transport: str, display: int = 2, timeout: float = STATUTE_TIMEOUT) -> tuple[DataFrame, DataFrame]:  # S5, S6, S9
     """laws (query_id, ord, law_id, law_name) and articles (law_id, ord, no, title, content).
 
-    Failures are empty results. Each task opens its own transport.
+    Each text is looked up once, whoever asks, and each law that is found once: the answers are
+    stored, so later stages do not ask again. Failures and late answers are empty results. Each task opens its
+    own transport.
     """
 
     def laws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fetch = call(transport)
         for batch in batches:
             out = []
-            for q, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for q in batch.column(0).to_pylist():
                 try:
-                    found = laws_of(fetch("laws", {"query": text, "display": display}))[:display]
+                    found = laws_of(within(timeout, fetch, "laws", {"query": q, "display": display}))[:display]
                 except Exception:
                     found = []
                 out += [(q, i, str(r.get("법령ID", "")), str(r.get("법령명한글", r.get("법령명", "")))) for i, r in enumerate(found)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.string(), pa.string()))], ["query_id", "ord", "law_id", "law_name"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))], ["query", "ord", "law_id", "law_name"])
 
     def articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fetch = call(transport)
@@ -126,15 +155,17 @@ def statutes(queries: DataFrame, transport: str, display: int = 2) -> tuple[Data
             out = []
             for law in batch.column(0).to_pylist():
                 try:
-                    found = articles_of(fetch("articles", {"ID": law}))
+                    found = articles_of(within(timeout, fetch, "articles", {"ID": law}))
                 except Exception:
                     found = []
                 out += [(law, i, str(r.get("조번호", "")), str(r.get("조제목", "")), str(r.get("조문내용", ""))) for i, r in enumerate(found)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()))], ["law_id", "ord", "no", "title", "content"])
 
-    l = queries.select("query_id", "query").mapInArrow(laws, "query_id long, ord int, law_id string, law_name string")
-    ids = l.where("law_id != ''").select("law_id").distinct()
-    return l, ids.mapInArrow(articles, "law_id string, ord int, no string, title string, content string")
+    asked = queries.where("query IS NOT NULL").select("query").distinct()
+    found = storage.stored(asked.mapInArrow(laws, "query string, ord int, law_id string, law_name string"))
+    ids = found.where("law_id != ''").select("law_id").distinct()
+    texts = storage.stored(ids.mapInArrow(articles, "law_id string, ord int, no string, title string, content string"))
+    return queries.select("query_id", "query").join(found, "query").select("query_id", "ord", "law_id", "law_name"), texts
 
 
 def complete(prompts: DataFrame, client: str, retries: int = 2, backoff: float = 1.0, strict: bool = True) -> DataFrame:  # L1, S10, C6

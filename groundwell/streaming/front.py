@@ -1,16 +1,16 @@
-"""The chat front end as a stream: parse, route, reply; session state with a cap."""
+"""The chat front end as a stream: parse, route, deliver."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..config import DEFAULT
+from .. import storage
 from ..operators import reply
+from ..sources.http import call, within
 
 
 def routed(requests: DataFrame) -> DataFrame:  # S11, P17, P27
@@ -19,23 +19,6 @@ def routed(requests: DataFrame) -> DataFrame:  # S11, P17, P27
     return r.select("*", reply.route(F.col("utterance")).alias("route"), reply.acknowledgement(F.col("utterance"), F.col("callback_url")).alias("ack"))
 
 
-def sessions(turns: DataFrame, cap: int = DEFAULT.history_cap) -> DataFrame:  # W3, C12
-    """conv_id, n_seen, kept (JSON of the last texts) after each trigger, from (conv_id, turn, role, text)."""
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen, texts = state.get if state.exists else (0, [])
-        texts = list(texts)
-        rows = pd.concat(list(frames)).sort_values("turn")
-        seen += len(rows)
-        texts = (texts + rows["text"].fillna("").tolist())[-cap:]
-        state.update((seen, texts))
-        yield pd.DataFrame({"conv_id": [key[0]], "n_seen": [seen], "n_kept": [len(texts)]})
-
-    return turns.groupBy("conv_id").applyInPandasWithState(
-        update, "conv_id long, n_seen long, n_kept long", "n long, texts array<string>", "update", GroupStateTimeout.NoTimeout
-    )
-
-
 def drained(stream: DataFrame, folder: str, mode: str) -> DataFrame:
     """All that a stream gives until its source is read, as a table in ``folder``, which all machines share.
 
@@ -50,20 +33,40 @@ def drained(stream: DataFrame, folder: str, mode: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).option("basePath", f"{folder}/out").parquet(f"{folder}/out")
 
 
-def deliver(post: Callable[[str, str], None]) -> Callable[[DataFrame, int], None]:  # S12
-    """A foreachBatch sink that posts replies from the tasks and drops what fails.
+SENT = "request_id string, key string, sent boolean, why string"
 
-    Batches can be repeated after a failure: receivers tell repeats by the request id in the reply.
+
+def deliver(post: str, table: str, timeout: float = 30.0) -> Callable[[DataFrame, int], None]:  # S12
+    """A foreachBatch sink that posts replies (request_id, callback_url, payload) from the tasks.
+
+    ``post`` names a callable of url, payload and key. The key is a digest of request and payload; the payload
+    carries it too (``idempotencyKey``), so that receivers can tell repeats. What was posted is kept in
+    ``table``, failures with their reason: a batch that is repeated sends nothing that the table holds, so a
+    reply goes out once, and what fails is dropped, not tried again. Only a crash between the posts
+    of a batch and their record sends these again, under the same keys. Rows without an address are left
+    out; repeated rows are sent once.
     """
 
-    def batch(rows: DataFrame, _: int) -> None:
-        def send(part: Iterator) -> None:
-            for r in part:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to = call(post)
+        for batch in batches:
+            why: list[str | None] = []
+            for url, payload, key in zip(*(batch.column(i).to_pylist() for i in (2, 3, 1)), strict=True):
                 try:
-                    post(r["callback_url"], r["payload"])
-                except Exception as e:  # at most once for each batch, as documented
-                    print(f"reply {r['request_id']} dropped: {e}")
+                    within(timeout, to, url, payload, key)
+                    why.append(None)
+                except Exception as e:
+                    why.append(f"{type(e).__name__}: {e}")
+            sent = pa.array([w is None for w in why], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sent, pa.array(why, pa.string())], ["request_id", "key", "sent", "why"])
 
-        rows.where("callback_url IS NOT NULL").foreachPartition(send)
+    def batch(rows: DataFrame, _: int) -> None:
+        spark = rows.sparkSession
+        own = rows.where("callback_url IS NOT NULL").select(F.col("request_id").cast("string").alias("request_id"), "callback_url", "payload")
+        keyed = own.withColumn("key", F.sha2(F.concat_ws("\x00", "request_id", "payload"), 256)).dropDuplicates(["key"])
+        if storage.exists(spark, table):
+            keyed = keyed.join(spark.read.schema(SENT).parquet(table).select("key"), "key", "left_anti")
+        named = keyed.select("request_id", "key", "callback_url", reply.with_key(F.col("payload"), F.col("key")).alias("payload"))
+        named.mapInArrow(send, SENT).write.mode("append").parquet(table)
 
     return batch
