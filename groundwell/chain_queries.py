@@ -12,6 +12,7 @@ from . import storage
 from .functions import scores, text
 from .operators import citations, consistency, context, dialogue, reply, retrieval
 from .plans import answers, pipeline
+from .plans.counts import Counts
 from .queries import _API, _BASE, _BRANCHES, _COS, _LABEL, _RULES, _SAID, _api, _requests, chunks, register, table
 from .sources import http
 
@@ -284,7 +285,7 @@ def search_expanded(spark, sf):
 _ACK = json.dumps({"version": "2.0", "useCallback": True, "data": {"text": C.WAIT_ANSWER}}, ensure_ascii=False, separators=(",", ":"))
 
 
-@register(f"SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN '{C.WAIT_ANSWER}' END AS ack, CASE WHEN conv_id % 2 = 1 THEN role END AS direct, CASE WHEN turn % 3 = 0 AND turn % 2 = 0 OR turn % 3 = 1 AND turn % 2 = 0 AND regexp_matches({_SAID}, '{'|'.join(C.IMAGE_WORDS)}') THEN '{C.CARD[0]}' END AS card, role AS bubble FROM conversations")
+@register(f"SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN '{C.WAIT_ANSWER}' END AS ack, CASE WHEN conv_id % 2 = 1 THEN role END AS direct, CASE WHEN turn % 3 = 0 AND turn % 2 = 0 OR turn % 3 = 1 AND turn % 2 = 0 AND regexp_matches({_SAID}, '{'|'.join(C.IMAGE_WORDS)}') THEN '{C.CARD[0]}' END AS card, CASE WHEN turn % 3 = 0 AND turn % 2 = 0 OR turn % 3 = 1 AND turn % 2 = 0 AND regexp_matches({_SAID}, '{'|'.join(C.IMAGE_WORDS)}') THEN 'http://image?v=1' END AS picture, role AS bubble FROM conversations")
 def envelopes(spark, sf):
     said = F.when(F.col("turn") % 3 == 0, F.concat("r.utterance", F.lit(" 그림"))).otherwise(F.col("r.utterance"))
     t = _requests(spark, sf).join(table(spark, sf, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"])
@@ -294,7 +295,8 @@ def envelopes(spark, sf):
     bubbles = lambda p: F.coalesce(F.get_json_object(body, f"$.template.outputs[1]{p}"), F.get_json_object(body, f"$.template.outputs[0]{p}"))
     return t.select(
         "conv_id", "turn", F.get_json_object(ack, "$.data.text").alias("ack"), F.get_json_object(ack, "$.template.outputs[0].simpleText.text").alias("direct"),
-        F.get_json_object(body, "$.template.outputs[0].basicCard.title").alias("card"), bubbles(".simpleText.text").alias("bubble"),
+        F.get_json_object(body, "$.template.outputs[0].basicCard.title").alias("card"),
+        F.get_json_object(body, "$.template.outputs[0].basicCard.thumbnail.imageUrl").alias("picture"), bubbles(".simpleText.text").alias("bubble"),
     )
 
 
@@ -362,6 +364,19 @@ def image_prompts(spark, sf):
     return http.image_prompts(_named(spark, sf).select("question_id", F.col("query").alias("text")), _CLIENT, ("see", "draw"), backoff=0.0)
 
 
+@register(_FULL + """ SELECT stage, name, value::BIGINT AS value FROM (
+SELECT 'questions' AS stage, 'rows' AS name, (SELECT count(*) FROM se) AS value UNION ALL SELECT 'questions', 'partial', (SELECT count(*) FROM se WHERE partial_mode)
+UNION ALL SELECT 'hits', 'rows', (SELECT count(*) FROM mo) UNION ALL SELECT 'hits', 'from_' || s, (SELECT count(*) FROM mo WHERE source_type = s) FROM (VALUES ('statute'), ('law_api'), ('verdict'), ('manual')) t(s)
+UNION ALL SELECT 'prompts', 'rows', (SELECT count(*) FROM pr) UNION ALL SELECT 'prompts', 'asked', (SELECT count(context) FROM pr) UNION ALL SELECT 'prompts', 'apologies', (SELECT count(*) FROM pr WHERE context IS NULL AND variant_idx = 0)
+UNION ALL SELECT 'answers', 'rows', (SELECT count(*) FROM an) UNION ALL SELECT 'answers', 'missing', (SELECT count(*) FROM an WHERE answer IS NULL)
+UNION ALL SELECT 'scored', 'rows', (SELECT count(*) FROM gr) UNION ALL SELECT 'scored', 'passed', (SELECT count(*) FROM gr WHERE s >= 0.75))""")
+def run_counts(spark, sf):
+    """What each stage of the chain has seen, observed as it ran."""
+    counts, laws = Counts(), spark.createDataFrame([(x,) for x in _LAWS], "law_name string")
+    r = pipeline.full(_turns(spark, sf), chunks(spark, sf), _models(spark, sf), laws, SYSTEMS, storage.fresh(spark, "answers"), _statute_rows(spark, sf), counts=counts)
+    return counts.table(r)
+
+
 @register("SELECT p_name AS name, p_brand AS display_name FROM part WHERE p_size % 3 = 0")
 def model_catalogue(spark, sf):
     methods = F.when(F.col("p_size") % 3 == 0, F.array(F.lit("embedContent"), F.lit("generateContent"))).otherwise(F.array(F.lit("embedContent")))

@@ -58,7 +58,7 @@ def image_url(prompt: Column, key: Column) -> Column:  # P20
     """The seed follows from the request's key, so that a retried task builds the same address."""
     quoted = F.replace(F.replace(F.replace(F.url_encode(prompt), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/")), F.lit("%7E"), F.lit("~"))
     quoted = F.replace(quoted, F.lit("*"), F.lit("%2A"))
-    seed = F.pmod(F.xxhash64(key), F.lit(1000)) + 1
+    seed = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % 1000 + 1
     return F.concat(F.lit(IMAGE_URL[0]), quoted, F.lit(IMAGE_URL[1]), seed.cast("string"))
 
 

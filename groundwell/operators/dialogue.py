@@ -44,6 +44,17 @@ def specificity(reply: Column, config: Config = DEFAULT) -> Column:  # P14
     )
 
 
+def set_aside(turns: DataFrame, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:  # P14
+    """(sound, bad): turns (session_id, turn, reply) of sessions whose checks all have scores, and the turns without one.
+
+    A score that is no number, or null, is an error of the model. Its session is not answered by guess:
+    it goes as a whole, and the bad rows come with what was replied.
+    """
+    bad = turns.where(specificity(F.col("reply"), config)["bad_score"])
+    ids = bad.select(F.col("session_id").alias("_bad")).distinct()
+    return turns.join(ids, F.col("session_id").eqNullSafe(F.col("_bad")), "left_anti"), bad
+
+
 def reask_text(followup: Column, category: Column, n: Column, config: Config = DEFAULT) -> Column:  # C2
     return F.when(F.length(followup) >= config.followup_loop_chars, followup).otherwise(reask(category, n))
 

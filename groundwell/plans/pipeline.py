@@ -14,6 +14,7 @@ from .. import storage
 from ..functions import text
 from ..operators import citations, consistency, context, dialogue, retrieval
 from .answers import answered as stored_answers
+from .counts import Counts
 
 
 def status(original_answer: Column, passed: Column, partial: Column) -> Column:  # C3
@@ -128,15 +129,18 @@ def asked(turns: DataFrame, config: C.Config = C.DEFAULT) -> DataFrame:  # C1, P
     return loop.join(last, "session_id").select(F.col("session_id").alias("question_id"), "first", F.col("question").alias("query"), "partial_mode", "specificity")
 
 
-def searched(questions: DataFrame, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], api: DataFrame | None = None, config: C.Config = C.DEFAULT) -> DataFrame:  # C8, C9
+def searched(questions: DataFrame, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], api: DataFrame | None = None, config: C.Config = C.DEFAULT, counts: Counts | None = None) -> DataFrame:  # C8, C9
     """Hits of every question (question_id, query): expanded, embedded, searched, merged with statute rows, stored once."""
     texts = questions.select(F.col("question_id").alias("id"), text.expand_query(F.col("query")).alias("text"))
     vectors = embed(texts).select(F.col("id").alias("query_id"), "embedding")
-    return storage.stored(retrieval.with_api(retrieval.retrieve(vectors, chunks, config=config), api, config))
+    hits = retrieval.with_api(retrieval.retrieve(vectors, chunks, config=config), api, config)
+    kinds = {f"from_{k}": F.count_if(F.col("source_type") == k) for k in context.AUTHORITY}
+    return storage.stored(hits if counts is None else counts.watched("hits", hits, **kinds))
 
 
 def full(
-    turns: DataFrame, chunks: DataFrame, models: Models, laws: DataFrame, systems: tuple[str, str], table: str, api: DataFrame | None = None, config: C.Config = C.DEFAULT
+    turns: DataFrame, chunks: DataFrame, models: Models, laws: DataFrame, systems: tuple[str, str], table: str, api: DataFrame | None = None, config: C.Config = C.DEFAULT,
+    bad: str | None = None, counts: Counts | None = None,
 ) -> DataFrame:  # C8
     """The whole chain from turns (session_id, turn, text, reply) to results, a row a session.
 
@@ -146,16 +150,25 @@ def full(
     it. ``laws`` confirms citations by name; ``api`` holds statute rows by query_id. A question without hits
     ends with an apology, which has no variants and so does not pass.
 
+    Sessions with a check that has no readable score are set aside; with ``bad`` their bad turns are
+    added to the table in that folder. ``counts`` gathers what each stage has seen.
+
     Besides the columns of ``results``: first, specificity, context, messages and chunks of the original.
     """
-    questions = storage.stored(asked(turns, config))
+    counts = Counts() if counts is None else counts
+    sound, unreadable = dialogue.set_aside(turns, config)
+    if bad is not None:
+        counts.watched("bad turns", unreadable).write.mode("append").parquet(bad)
+    questions = storage.stored(counts.watched("questions", asked(sound, config), partial=F.count_if("partial_mode")))
     listed = models.variants(questions.select("question_id", "query")).select("question_id", dialogue.variants(F.col("reply"), config.variants).alias("questions"))
     similar = listed.select("question_id", F.posexplode("questions").alias("_i", "query")).select("question_id", (F.col("_i") + 1).alias("variant_idx"), "query")
-    hits = searched(questions, chunks, models.embed, api, config)
+    hits = searched(questions, chunks, models.embed, api, config, counts)
     contexts = context.contexts(hits, config)
-    made = storage.stored(prompts(questions.select("question_id", F.lit(0).alias("variant_idx"), "query").unionByName(similar), contexts, *systems))
-    answers = storage.stored(answered(made, stored_answers(made, models.complete, table)))
-    scored = storage.stored(consistency.ensemble(models.metrics(consistency.cores(consistency.pairs(answers))), config))
+    all_prompts = prompts(questions.select("question_id", F.lit(0).alias("variant_idx"), "query").unionByName(similar), contexts, *systems)
+    made = storage.stored(counts.watched("prompts", all_prompts, asked=F.count("messages"), apologies=F.count("answer")))
+    answers = storage.stored(counts.watched("answers", answered(made, stored_answers(made, models.complete, table)), missing=F.count_if(F.col("answer").isNull())))
+    scores = consistency.ensemble(models.metrics(consistency.cores(consistency.pairs(answers))), config)
+    scored = storage.stored(counts.watched("scored", scores, passed=F.count_if("passed")))
     passed = scored.where("passed").select("question_id")
     original = answers.where("variant_idx = 0").where(F.coalesce("answer", F.lit("")) != "").join(passed, "question_id", "left_semi")
     cited = original.select(F.col("question_id").alias("answer_id"), F.posexplode(text.citations(F.col("answer"))).alias("ord", "citation"))

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from . import config as C
 from . import storage
-from .functions import scores, text
+from .functions import laws as law_names
+from .functions import rules, scores, text
 from .operators import citations, consistency, context, dialogue, reply, retrieval, vector_index
 from .plans import pipeline
 
@@ -446,18 +447,87 @@ def reply_text(spark, sf):
     return _requests(spark, sf).select("conv_id", "turn", reply.reply_text(u, text.without_markdown(u)).alias("reply"))
 
 
-@register("SELECT conv_id, turn, 'https://image.pollinations.ai/prompt/' || role || '%20' || conv_id || '%2C%20x/y%3F' || '?width=800&height=400&nologo=true&seed=' AS url FROM conversations")
+@register("SELECT conv_id, turn, 'https://image.pollinations.ai/prompt/' || role || '%20' || conv_id || '%2C%20x/y%3F' || '?width=800&height=400&nologo=true&seed=' || (('0x' || md5(conv_id::VARCHAR)[1:8])::BIGINT % 1000 + 1) AS url FROM conversations")
 def image_url(spark, sf):
     p = F.concat("role", F.lit(" "), F.col("conv_id").cast("string"), F.lit(", x/y?"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace(text.image_url(p, F.col("conv_id")), r"seed=\d+$", "seed=").alias("url"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.image_url(p, F.col("conv_id")).alias("url"))
 
 
-@register("SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'help' WHEN role = 'user' THEN 'reset' ELSE 'ask' END AS command FROM conversations")
+#: Words of every command, some in other letters and with blanks, and what no command is.
+_COMMANDS = [(f" {w.upper()}\n" if i % 2 else w, name) for name, words in C.COMMANDS.items() for i, w in enumerate(words)] + [("question", "ask"), (" \n", "empty"), ("helps", "ask")]
+
+
+@register("SELECT conv_id, turn, [" + ", ".join(f"'{name}'" for _, name in _COMMANDS) + f"][(conv_id * 7 + turn) % {len(_COMMANDS)} + 1] AS command FROM conversations")
 def session_command(spark, sf):
-    said = F.when(F.col("role") == "system", " HELP ").when(F.col("role") == "user", "초기화").otherwise("question")
+    said = F.get(F.array(*[F.lit(w) for w, _ in _COMMANDS]), F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(_COMMANDS))).cast("int"))
     return table(spark, sf, "conversations").select("conv_id", "turn", dialogue.command(said).alias("command"))
 
 
+#: Rules of the large set: pairs of the longer words of documents, the first of them by their digests.
+_MANY = 5000
+_MANY_RULES = rf"""w AS (SELECT w, row_number() OVER (ORDER BY md5(w), w) - 1 AS n FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}')) AS w FROM documents) QUALIFY n < {2 * _MANY}),
+r AS (SELECT n // 2 AS i, list(w ORDER BY n) AS ws FROM w GROUP BY n // 2)"""
+
+
+@register(f"WITH {_MANY_RULES}, h AS (SELECT doc_id, i FROM documents, r WHERE contains(text, ws[1]) OR contains(text, coalesce(ws[2], ws[1]))), e AS (SELECT doc_id, count(*) AS n, string_agg('rule ' || i, ' ' ORDER BY i) AS e FROM h GROUP BY doc_id) SELECT doc_id, coalesce(n, 0) AS n_rules, sha256(CASE WHEN n IS NULL THEN text ELSE trim(text || ' ' || e) END) AS query_sha256 FROM documents LEFT JOIN e USING (doc_id)")
+def expand_query_thousands(spark, sf):
+    """Five thousand rules over all documents."""
+    d = table(spark, sf, "documents")
+    words = d.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("w")).distinct()
+    listed = [r["w"] for r in words.orderBy(F.md5("w"), "w").limit(2 * _MANY).collect()]  # the size of the rule set
+    made = [("|".join(listed[i : i + 2]), f"rule {i // 2}") for i in range(0, len(listed), 2)]
+    q = d.select("doc_id", "text", rules.expand_query(F.col("text"), made).alias("q"))
+    n = F.regexp_count(F.substr("q", F.length("text") + 1), F.lit("rule "))
+    return q.select("doc_id", n.cast("long").alias("n_rules"), F.sha2("q", 256).alias("query_sha256"))
+
+
+#: Names of a register of laws, of several words too.
+_NAMES = ["형법", "근로기준법", "성폭력범죄의 처벌 등에 관한 특례법"]
+_BY_NAME = "SELECT o_orderkey, i AS ord, CASE i WHEN 0 THEN '형법 제' || a || '조' WHEN 1 THEN '성폭력범죄의 처벌 등에 관한 특례법 제' || b || '조의2' WHEN 2 THEN '근로기준법 제' || a || '조' ELSE '근로기준법 제' || b || '조 제1항' END AS citation FROM (SELECT o_orderkey, o_orderkey % 400 AS a, o_orderkey * 3 % 400 AS b FROM orders), range(0, 4) t(i)"
+
+
+def _by_name(spark, sf):
+    n = lambda k: F.pmod(F.col("o_orderkey") * k, F.lit(400)).cast("string")
+    body = F.concat(F.lit("「형법」 제"), n(1), F.lit("조와 군형법 제9조, 성폭력범죄의 처벌 등에 관한 특례법 제"), n(3), F.lit("조의2 및 근로기준법 제"), n(1), F.lit("조, 제"), n(3), F.lit("조 제1항"))
+    return table(spark, sf, "orders").select("o_orderkey", body.alias("body"), law_names.cited(body, _NAMES).alias("c"))
+
+
+@register(_BY_NAME)
+def citation_names(spark, sf):
+    """Quoted names, names of several words, and articles that share a name: the opt-in form of ``citation_extract``."""
+    return _by_name(spark, sf).select("o_orderkey", F.posexplode("c").alias("ord", "x")).select("o_orderkey", F.col("ord").cast("long").alias("ord"), "x.citation")
+
+
+@register("SELECT o_orderkey, '형법 제' || b || '조와 군형법 제9조, 성폭력범죄의 처벌 등에 관한 특례법 제' || b || '조의2 및 근로기준법 제' || a || '조, <>' AS answer FROM (SELECT o_orderkey, o_orderkey % 400 AS a, o_orderkey * 3 % 400 AS b FROM orders)")
+def corrections_at_once(spark, sf):
+    """The first citation takes the number of the last, and the last goes: neither sees what the other has put in."""
+    b = F.regexp_extract(F.element_at("c", -1)["article"], r"제(\d+)", 1)
+    span = lambda x, right: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), right.alias("right"))
+    spans = F.array(span(F.element_at("c", -1), F.lit("<>\nmore")), span(F.get("c", F.lit(0)), F.concat(F.lit("형법 제"), b, F.lit("조"))))
+    return _by_name(spark, sf).select("o_orderkey", law_names.corrected_at(F.col("body"), spans).alias("answer"))
+
+
+@register("SELECT event_id FROM events WHERE event_id % 5 IN (1, 3)")
+def specificity_set_aside(spark, sf):
+    """Checks whose score is no number or null: what a run puts into the table of bad rows."""
+    k = F.pmod("event_id", F.lit(5))
+    body = F.when(k == 0, F.lit("broken")).when(k == 1, '{"score": "high"}').when(k == 2, '{"score": "4"}').when(k == 3, '{"score": null}').otherwise("{}")
+    turns = table(spark, sf, "events").select(F.col("event_id").alias("session_id"), F.lit(0).alias("turn"), body.alias("reply"))
+    return dialogue.set_aside(turns)[1].select(F.col("session_id").alias("event_id"))
+
+
+@register("""WITH p AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, text FROM documents),
+x AS (SELECT source, string_agg('[출처 ' || n || '] [판결문] 선고  [] (유사도: 0.50)' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) AS t FROM p GROUP BY source)
+SELECT source, CASE WHEN length(t) > 8000 THEN left(t, 8000) || chr(10) || chr(10) || '[... 컨텍스트 일부 생략 ...]' ELSE t END AS context FROM x""")
+def context_bounded(spark, sf):
+    """Contexts of all texts of a source: only what is printed is gathered."""
+    hits = table(spark, sf, "documents").select(
+        F.col("source").alias("query_id"), F.col("doc_id").alias("position"), F.lit("verdict").alias("source_type"), F.lit(0.5).alias("score"), "text",
+        F.create_map(F.lit("court"), F.lit("")).alias("metadata"),
+    )
+    return context.contexts(hits).withColumnRenamed("query_id", "source")
+
+
 def _replayed(spark, sf):
     folder, schema = f"{sf}/conversations.parquet", table(spark, sf, "conversations").schema
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

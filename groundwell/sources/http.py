@@ -10,17 +10,25 @@ import json
 import queue
 import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyarrow.fs import FileSystem
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 from .. import storage
 from ..config import PRECEDENT_FIELDS, PRECEDENT_KEYS, SUPREME_COURT
 
 
+#: Seconds that a register of statutes may take to answer.
+STATUTE_TIMEOUT = 10.0
+
+
 def call(name: str) -> Callable:
     module, _, attribute = name.rpartition(".")
     return getattr(importlib.import_module(module), attribute)
@@ -112,7 +120,150 @@ def supreme(rows: DataFrame) -> DataFrame:  # P25
 
 
 def append_jsonl(rows: DataFrame, path: str, distinct: bool = False) -> None:  # S4
-    (rows.dropDuplicates([PRECEDENT_FIELDS[0]]) if distinct else rows).write.mode("append").json(path)
+    """Rows as JSON lines after those that ``path`` holds. With ``distinct`` no id comes twice, also not in later runs."""
+    if distinct:
+        key = PRECEDENT_FIELDS[0]
+        rows = rows.dropDuplicates([key])
+        if storage.exists(rows.sparkSession, path):
+            there = rows.sparkSession.read.schema(f"`{key}` string").json(path).select(key)
+            rows = storage.stored(rows.join(there, key, "left_anti").select(*rows.columns))
+    rows.write.mode("append").json(path)
+
+
+class Keys(InputPartition):
+    def __init__(self, values: list[str]) -> None:
+        self.values = values
+
+
+class StatuteReader(DataSourceReader):  # S5, S6
+    """Answers of a register for the keys that a filter names, a partition for each ``block`` of them."""
+
+    def __init__(self, options: dict) -> None:
+        self.transport = options["transport"]
+        self.display = int(options.get("display", 5))
+        self.block = int(options.get("block", 100))
+        self.timeout = float(options.get("timeout", STATUTE_TIMEOUT))
+        self.keys: list[str] | None = None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            own = getattr(f, "attribute", None) == (self.key,)
+            if own and isinstance(f, EqualTo | In):
+                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.keys = sorted(v for v in (values if self.keys is None else values & set(self.keys)) if v is not None)
+            else:
+                yield f
+
+    def partitions(self) -> list[InputPartition]:
+        if self.keys is None:
+            raise ValueError(f"a register answers questions: filter by {self.key} (and set spark.sql.python.filterPushdown.enabled)")
+        return [Keys(self.keys[i : i + self.block]) for i in range(0, len(self.keys), self.block)] or [Keys([])]
+
+    def read(self, partition: Keys) -> Iterator[tuple]:
+        fetch = call(self.transport)
+        for key in partition.values:
+            try:
+                rows = self.asked(fetch, key)
+            except Exception:  # failures and late answers are empty results
+                rows = []
+            yield from rows
+
+
+class LawReader(StatuteReader):
+    key = "query"
+
+    def asked(self, fetch: Callable, key: str) -> list[tuple]:
+        found = laws_of(within(self.timeout, fetch, "laws", {"query": key, "display": self.display}))[: self.display]
+        return [(key, i, str(r.get("법령ID", "")), str(r.get("법령명한글", r.get("법령명", "")))) for i, r in enumerate(found)]
+
+
+class ArticleReader(StatuteReader):
+    key = "law_id"
+
+    def asked(self, fetch: Callable, key: str) -> list[tuple]:
+        found = articles_of(within(self.timeout, fetch, "articles", {"ID": key}))
+        return [(key, i, str(r.get("조번호", "")), str(r.get("조제목", "")), str(r.get("조문내용", ""))) for i, r in enumerate(found)]
+
+
+class LawSource(DataSource):  # S5
+    """``spark.read.format("laws").option("transport", ...).load().where("query IN (...)")``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "laws"
+
+    def schema(self) -> str:
+        return "query string, ord int, law_id string, law_name string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return LawReader(self.options)
+
+
+class ArticleSource(DataSource):  # S6
+    """``spark.read.format("articles").option("transport", ...).load().where("law_id IN (...)")``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "articles"
+
+    def schema(self) -> str:
+        return "law_id string, ord int, no string, title string, content string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return ArticleReader(self.options)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    names: list[str]
+
+
+class ImageWriter(DataSourceWriter):  # S13
+    """A file a request: written beside its place under a name of the attempt, then renamed."""
+
+    def __init__(self, path: str, suffix: str) -> None:
+        self.path, self.suffix = path, suffix
+
+    def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
+        system, root = FileSystem.from_uri(self.path)
+        attempt = f"{root}/_attempts/{uuid.uuid4().hex}"
+        system.create_dir(attempt, recursive=True)
+        names = []
+        for r in rows:
+            name = quote(str(r["request_id"]), safe="") + self.suffix
+            with system.open_output_stream(f"{attempt}/{name}") as out:
+                out.write(bytes(r["image"]))
+            system.move(f"{attempt}/{name}", f"{root}/{name}")
+            names.append(name)
+        system.delete_dir(attempt)
+        return Written(names)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, root = FileSystem.from_uri(self.path)
+        if system.get_file_info(f"{root}/_attempts").type.name == "Directory":
+            system.delete_dir(f"{root}/_attempts")  # what attempts that failed have left
+        with system.open_output_stream(f"{root}/_SUCCESS"):
+            pass
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, root = FileSystem.from_uri(self.path)
+        if system.get_file_info(f"{root}/_attempts").type.name == "Directory":
+            system.delete_dir(f"{root}/_attempts")
+
+
+class ImageSink(DataSource):  # S13
+    """``images(...).write.format("images").option("path", uri).mode("append").save()``: request_id and image to files.
+
+    Tasks that are tried again write the same names, so that each request has one file and
+    no reader sees half of one. ``path`` is a URI of a file system that pyarrow knows.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "images"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return ImageWriter(self.options["path"], self.options.get("suffix", ".png"))
 
 
 def laws_of(body: str) -> list[dict]:  # S5
@@ -125,10 +276,6 @@ def articles_of(body: str) -> list[dict]:  # S6
     return as_list(inner.get("조문단위", []))
 
 
-#: Seconds that a register of statutes may take to answer.
-STATUTE_TIMEOUT = 10.0
-
-
 def statutes(queries: DataFrame, transport: str, display: int = 2, timeout: float = STATUTE_TIMEOUT) -> tuple[DataFrame, DataFrame]:  # S5, S6, S9
     """laws (query_id, ord, law_id, law_name) and articles (law_id, ord, no, title, content).
 
