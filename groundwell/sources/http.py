@@ -72,21 +72,31 @@ def detail_row(body: dict) -> tuple | None:  # S2
     return tuple(str(inner.get(PRECEDENT_KEYS.get(f, f), "")) for f in PRECEDENT_FIELDS)
 
 
-class PrecedentReader(DataSourceReader):  # S3
-    """One partition: the register is asked slowly and in order, and the first empty page ends it."""
+class Pages(InputPartition):
+    def __init__(self, numbers: list[int]) -> None:
+        self.numbers = numbers
+
+
+class PrecedentReader(DataSourceReader):  # S1, S3
+    """By default one partition: the register is asked slowly and in order, and the first empty page ends it.
+
+    With ``parallel`` each page is a partition, and an empty page ends only itself.
+    """
 
     def __init__(self, options: dict) -> None:
         self.fetch = options["transport"]
         self.query = options.get("query", "")
         self.pages = int(options.get("pages", 3))
         self.delay = float(options.get("delay", 0.2))
+        self.parallel = str(options.get("parallel", "false")).lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
+        numbers = list(range(1, self.pages + 1))
+        return [Pages([n]) for n in numbers] if self.parallel else [Pages(numbers)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: Pages) -> Iterator[tuple]:
         fetch = call(self.fetch)
-        for page in range(1, self.pages + 1):
+        for page in partition.numbers:
             try:
                 ids = listing_ids(fetch("list", {"query": self.query, "page": page}))
             except Exception:  # an errored page reads as an empty one

@@ -6,8 +6,14 @@ import re
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 
+_kept: ContextVar[list[str] | None] = ContextVar("kept", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; a folder of our own only where none is named and one machine runs all."""
@@ -22,7 +28,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh(spark: SparkSession, kind: str) -> str:
-    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    """A new name in the shared folder."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    if (kept := _kept.get()) is not None:
+        kept.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stored in here is deleted at the end: results must be written by then. Threads and tasks do not share it."""
+    paths: list[str] = []
+    token = _kept.set(paths)
+    try:
+        yield
+    finally:
+        _kept.reset(token)
+        for path in paths:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -178,6 +178,13 @@ def test_empty_answers_make_no_pair(spark):
     assert [(r["question_id"], r["variant_idx"], r["reference"], r["answer"]) for r in got] == [(1, 2, "a", "b")]
 
 
+def test_pages_can_be_partitions(spark):
+    spark.dataSource.register(http.PrecedentSource)
+    options = {"transport": "tests.test_operators.fake_register", "delay": "0", "parallel": "true", "pages": "3"}
+    got = spark.read.format("precedents").options(**options).load()
+    assert got.rdd.getNumPartitions() == 3 and sorted(r[0] for r in got.collect()) == ["1", "3"]
+
+
 def test_precedents_as_a_data_source(spark):
     spark.dataSource.register(http.PrecedentSource)
     got = spark.read.format("precedents").option("transport", "tests.test_operators.fake_register").option("delay", "0").load()

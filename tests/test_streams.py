@@ -168,3 +168,11 @@ def test_calls_that_take_too_long_are_given_up():
 def test_tables_in_the_shared_folder(spark):
     t = storage.stored(spark.range(3))
     assert t.count() == 3 and storage.exists(spark, t.inputFiles()[0]) and not storage.exists(spark, storage.fresh(spark, "none"))
+    with storage.scratch(spark):
+        inner = storage.stored(spark.range(4))
+        with storage.scratch(spark):
+            deeper = storage.stored(inner)
+            assert deeper.count() == 4
+        assert inner.count() == 4 and not storage.exists(spark, deeper.inputFiles()[0])
+        path = inner.inputFiles()[0]
+    assert not storage.exists(spark, path) and t.count() == 3
