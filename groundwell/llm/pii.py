@@ -35,6 +35,18 @@ SYLLABLES = {
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
+# Words that are no names though they may begin with a capital, as at the beginning of a sentence.
+NO_NAMES = """
+The An This That These Those He She It We They You His Her Its Our Their My Your And But Or So Then There Here However Therefore
+When While If As At By For From In Of On To With Without After Before Because Since Although Not No Yes Is Are Was Were Has Have Had
+Who What Which Where Why How Street Avenue Road Square Monday Tuesday Wednesday Thursday Friday Saturday Sunday
+Der Die Das Ein Eine Einen Einem Einer Er Sie Es Wir Ihr Ich Du Am Im Zum Zur Vom Beim An Auf Aus Bei Bis Durch Für Gegen Mit Nach Ohne Seit Um Unter
+Von Vor Während Wegen Zu Zwischen Und Oder Aber Denn Doch Dann Da Als Wenn Weil Dass Ob Auch Noch Nur Schon Sehr Nicht Kein Keine Heute Gestern
+Straße Strasse Platz Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag
+Il Elle On Nous Vous Ils Elles Je Ce Cette Ces Et Mais Ou Donc Car Si Quand Dans Sur Sous Avec Sans Pour Par Chez Après Avant Rue
+Él Ella Ellos Ellas Nosotros Pero Cuando En Con Sin Por Para Desde Hasta Sobre Calle
+""".split()
+_NO_NAME = rf"(?!(?:{'|'.join(sorted(set(NO_NAMES)))})(?![\p{{L}}\p{{M}}'’]))"
 # A capitalised word (no "'s" at its end) or an initial before another; and small words inside a name.
 # Possessive repeats of groups take no stack, so names and secrets need no upper bound.
 _WORD = r"\p{Lu}(?:(?:[\p{L}\p{M}]|['’](?=\p{L})(?![sS](?!\p{L})))++|\.(?= \p{Lu}))"
@@ -49,7 +61,7 @@ PATTERNS = {
     "phone": r"(?<![\d(])(?:\+\d{1,3}[ \-]?)?(?:\(\d{2,4}\)[ \-]?\d{3,4}[ \-]\d{3,4}|\d{3}[ \-]\d{3}[ \-]\d{4})(?!\d)|(?<!\d)\+\d{1,3}(?:[ \-]?\d{2,4}){3,5}(?!\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\d])(?<!\d[ \-])\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?!\d)|(?<!\d)\d{13,19}(?!\d)",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_WORD}(?:[ \-]{_PARTICLES}{_WORD})*+",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_NO_NAME}{_WORD}(?:[ \-]{_PARTICLES}{_NO_NAME}{_WORD})*+",
 }
 COMBINED = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must hold for any pattern to match: most texts end here.

@@ -602,6 +602,29 @@ def test_whole_entities_are_replaced(spark):
     assert pii.anonymised(plain, "k").first()["n_entities"] == 0
 
 
+def test_names_end_before_words_that_are_no_names(spark):
+    rows = [
+        ("Herr Muller kam", "Muller", "Herr {} kam"), ("Herr Muller Am Montag kam er", "Muller", "Herr {} Am Montag kam er"), ("Frau Weber Die Rechnung", "Weber", "Frau {} Die Rechnung"),
+        ("Mr Smith However he", "Smith", "Mr {} However he"), ("Dr Brown Street 5", "Brown", "Dr {} Street 5"), ("Monsieur Petit Dans la rue", "Petit", "Monsieur {} Dans la rue"),
+        ("Señora Ruiz Cuando vino", "Ruiz", "Señora {} Cuando vino"), ("Mr. John A. Smith Then", "John A. Smith", "Mr. {} Then"), ("Frau von der Heide Und dann", None, None),
+        ("Miss The train", None, "Miss The train"), ("Herr Dieter Amsel Erben", "Dieter Amsel Erben", "Herr {}"),
+    ]
+    d = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.anonymised(d, "k").collect()}
+    new = {}
+    for i, (_, name, around) in enumerate(rows):
+        if around is None:
+            continue
+        if name is None:
+            assert got[i] == around
+            continue
+        before, after = around.split("{}")
+        assert got[i].startswith(before) and got[i].endswith(after) and name not in got[i]
+        new.setdefault(name, set()).add(got[i][len(before) : len(got[i]) - len(after)])
+    # One person, whatever follows the name.
+    assert all(len(x) == 1 for x in new.values())
+
+
 @pytest.mark.parametrize("literal", [0, 100_000])
 def test_names_are_settled_without_their_titles(spark, literal):
     r = random.Random(12)
