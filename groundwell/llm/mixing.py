@@ -137,11 +137,18 @@ def scheduled(
 
 
 def placed(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """All rows of ``docs`` in the order of the mix, with ``slot`` and ``place``, which keep that order in files."""
-    if clash := {"slot", "place"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"docs already has {sorted(clash)}")
+    """All rows of ``docs`` in the order of the mix, with ``slot`` and ``place``, which keep that order in files.
+
+    Columns of ``docs`` with these names are kept under longer ones (``slot_``).
+    """
+    named = {c: c for c in docs.columns}
+    for c in docs.columns:
+        if c.lower() in ("slot", "place"):
+            named[c] = c + "_"
+            while named[c].lower() in {x.lower() for x in [*docs.columns, *[v for k, v in named.items() if k != c]]}:
+                named[c] += "_"
     out = _in_order(docs, weights, block_rows, id_col, source_col)
-    return out.select(*[F.col(c if c == id_col else f"_c_{c}").alias(c) for c in docs.columns], "slot", "place")
+    return out.select(*[F.col(c if c == id_col else f"_c_{c}").alias(named[c]) for c in docs.columns], "slot", "place")
 
 
 def mixed(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:

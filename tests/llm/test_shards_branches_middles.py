@@ -267,3 +267,34 @@ def test_random_merges(spark):
     rows = [(i, "\n".join(rng.choice("ab") * rng.randrange(3) for _ in range(rng.randrange(12))), rng.choice(["", "en"]), rng.choice(["", "s"])) for i in range(500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     assert sorted((tuple(r) for r in coded(docs).drop("conflicts").collect()), key=repr) == merged(rows)
+
+
+# The pipeline on odd tables
+
+
+@pytest.fixture(scope="module")
+def pipeline_cases(spark, tmp_path_factory):
+    """Odd rows with every column that a stage makes for itself, and no rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, slot long, Place string, ids string, kept string, row string, h string, _id string"
+    tail = (1, 5, "p", "i", "k", "r", "h", "x")
+    words = " ".join(f"word{i} stands here" for i in range(40))
+    rows = [
+        (1, words, "en", "s", *tail), (1, words, "en", "s", *tail), (2, None, None, None, *(None,) * 8), (3, "", "en", "s", *tail), (4, " \t\n", "xx", "t", *tail),
+        (5, words + " and more", "en", None, *tail), (6, "x" * 20_000, "de", "s", *tail), (7, "漢字🙂▁ é", "fr", "s", *tail), (None, words + " of nobody", "en", "s", *tail), (8, f"{words}  ", "en", "t", *tail),
+        (9, "word " * 30_000, "en", "s", *tail),
+    ]
+    folder = tmp_path_factory.mktemp("odd")
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/some/documents.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/none/documents.parquet")
+    return folder
+
+
+def test_the_pipeline_on_odd_empty_and_clashing_tables(spark, pipeline_cases):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, f"{pipeline_cases}/some").collect()
+    ids = [r["doc_id"] for r in got]
+    # Of equal and near texts (1, 8; 5 and nobody's are near them) one stays; texts without words go.
+    assert ids.count(1) == 1 and not set(ids) & {2, 3, 4, 8} and len(ids) == len({(r["slot"], r["place"]) for r in got})
+    assert all(r["ids"] for r in got)
+    assert corpus_pipeline.run(spark, f"{pipeline_cases}/none").count() == 0
