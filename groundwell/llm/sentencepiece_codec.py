@@ -434,7 +434,10 @@ def encoded(
 
 
 def decoded(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """id, text for every row of ids; null ids decode to the empty text."""
+    """id, text for every row of ids; null ids decode to the empty text.
+
+    Repeated rows are decoded each by itself, no rows give none; other columns are ignored, so clashing names do no harm.
+    """
     private_names(rows, id_col, ids_col)
     kind = rows.schema[id_col].dataType.simpleString()
 
@@ -457,7 +460,7 @@ def checked(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
 
     The ids are decoded again in the batches where they are made. ``ids_sha256`` is over the ids as
     little-endian 32-bit integers; round_trip says that decoding gives the text back (with U+2581 as a
-    space; null as the empty text).
+    space; null as the empty text). Repeated rows give equal rows, no rows give none; other columns are ignored.
     """
     private_names(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()

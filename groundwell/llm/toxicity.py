@@ -132,7 +132,11 @@ def fit_chain(sets: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) ->
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Word sets, labels and folds of the bounded sample; a fold is a residue of the id's digest."""
+    """Word sets, labels and folds of the bounded sample; a fold is a residue of the id's digest.
+
+    Ids that come more than once, in labels or documents, give a row for each meeting; all of them share a fold.
+    Labels without a document, and null ids, give none.
+    """
     kinds = [c.cast("double").alias(f"y{i}") for i, c in enumerate(categories.values())]
     chosen = (
         labels.where(F.col(id_col).isNotNull())
