@@ -31,6 +31,17 @@ def _fingerprint(h: np.ndarray) -> bytes:
     return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
 
+#: Words of a set's parity sketch: 1024 bits, 128 bytes a distinct set.
+SKETCH_WORDS = 16
+
+
+def parities(h: np.ndarray) -> np.ndarray:
+    """For each bit whether an odd number of the set's ids falls on it: sets that differ in d ids differ in d bits at most."""
+    at = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int64)
+    odd = np.bincount(at, minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sets(batch_column: pa.Array, n: int, level: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row, its set, with ``level`` the least of its n-grams' words) of an Arrow column, a slice of about a megabyte at a time."""
     raw, offsets = buffers(batch_column)
@@ -42,7 +53,7 @@ def _sets(batch_column: pa.Array, n: int, level: Callable[[np.ndarray], np.ndarr
 
 
 def _describe(docs: DataFrame, n: int, bits: int) -> DataFrame:
-    """One row per text: _id, n, fp; and rows of sketch counters (chunk, counts) per task."""
+    """One row per text: _id, n, fp, bits; and rows of sketch counters (chunk, counts) per task."""
     kind = docs.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +62,7 @@ def _describe(docs: DataFrame, n: int, bits: int) -> DataFrame:
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            sizes, prints = [], []
+            sizes, prints, bitmaps = [], [], []
             last = None
             for _, h, w in _sets(batch.column(1), n):
                 if w is not last:  # all words of a slice, copies included
@@ -59,23 +70,24 @@ def _describe(docs: DataFrame, n: int, bits: int) -> DataFrame:
                     last = w
                 sizes.append(len(h))
                 prints.append(_fingerprint(h) if len(h) else None)
+                bitmaps.append(parities(h) if len(h) else None)
                 if len(h) and prints[-1] not in seen:
                     seen.add(prints[-1])
                     np.add.at(grams, rarity.counter(h, rarity.GRAM_BITS), 1)
             empty = len(batch)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.nulls(empty, pa.int32()), pa.nulls(empty, pa.binary())],
-                ["_id", "n", "fp", "chunk", "counts"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bitmaps, pa.list_(pa.int64())), pa.nulls(empty, pa.int32()), pa.nulls(empty, pa.binary())],
+                ["_id", "n", "fp", "bits", "chunk", "counts"],
             )
         if seen:
             numbers, blobs = rarity.chunks(words, grams)
             k = len(numbers)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())],
-                ["_id", "n", "fp", "chunk", "counts"],
+                [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())],
+                ["_id", "n", "fp", "bits", "chunk", "counts"],
             )
 
-    return docs.mapInArrow(run, f"_id {kind}, n long, fp binary, chunk int, counts binary")
+    return docs.mapInArrow(run, f"_id {kind}, n long, fp binary, bits array<long>, chunk int, counts binary")
 
 
 def _least_overlap(a: Column, b: Column, percent: int) -> Column:
@@ -138,6 +150,16 @@ def _in_place(percent: int) -> Column:
     return (at < short) & (1 + F.least(sa - F.col("pos_a") - 1, sb - F.col("pos_b") - 1) >= _least_overlap(sa, sb, percent))
 
 
+def _side_by_side(percent: int) -> Column:
+    """Positional filter for any n-gram that two sets share: at most the shorter part before it and the shorter part after it are shared too.
+
+    A pair that reaches the similarity passes with each n-gram, so what fails need not be counted.
+    """
+    sa, sb = _sizes()
+    before, after = F.least("pos_a", "pos_b"), F.least(sa - F.col("pos_a") - 1, sb - F.col("pos_b") - 1)
+    return before + 1 + after >= _least_overlap(sa, sb, percent)
+
+
 def _shared_prefix(percent: int) -> Column:
     """How many n-grams the prefixes of two sets must share.
 
@@ -181,6 +203,14 @@ def overlap_possible(a: np.ndarray, b: np.ndarray, need: int, depth: int = 3) ->
     return bound(a, b, depth) >= need
 
 
+def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches differ in no more bits than similar sets can differ in ids."""
+    side = lambda x: nodes.select(F.col("fp").alias(x), F.col("n").alias(f"_n_{x}"), F.col("bits").alias(f"_bits_{x}"))
+    apart = F.aggregate(F.zip_with("_bits_a", "_bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    most = F.col("_n_a") + F.col("_n_b") - 2 * _least_overlap(F.col("_n_a"), F.col("_n_b"), percent)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= most).select(*pairs.columns)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of fingerprints whose texts' sets reach the similarity; each is compared once."""
     p = pairs.join(nodes.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(
@@ -227,7 +257,7 @@ def near_duplicates(
     2. Each set emits its rarest shingles, a shingle being as rare as its rarest word; sets are compared with the heads of their shingles' lists
        and links are contracted, in a fixed number of rounds of a few pairs a set.
     3. Lists that still hold several components are joined on the shingle, across components only,
-       under the same filters; pairs whose prefixes share too little go before texts are read. So no link between different texts is lost, while the members of one
+       under the same filters; pairs whose prefixes share too little, or whose parity sketches differ too much, go before texts are read. So no link between different texts is lost, while the members of one
        group are not paired with each other.
 
     Null text counts as empty: no shingles, linked with nothing, its own component. Texts of fewer
@@ -241,9 +271,8 @@ def near_duplicates(
     bits = rarity.sketch_bits(docs)
     described = checkpointed(_describe(docs, n, bits))
     info = described.where("chunk IS NULL").select("_id", "n", "fp")
-    nodes = checkpointed(
-        info.where("fp IS NOT NULL AND _id IS NOT NULL").groupBy("fp").agg(F.min("_id").alias("rep"))
-    )
+    sets = described.where("chunk IS NULL AND fp IS NOT NULL AND _id IS NOT NULL").groupBy("fp")
+    nodes = checkpointed(sets.agg(F.min("_id").alias("rep"), F.min("n").alias("n"), F.min("bits").alias("bits")))
     sketch = spark.sparkContext.broadcast(rarity.summed(described.where("chunk IS NOT NULL"), bits))
     posts = _postings(docs.where("_id IS NOT NULL"), n, percent, sketch).repartition("sh", "salt")
     by = Window.partitionBy("sh", "salt").orderBy("size", "fp")
@@ -279,7 +308,7 @@ def near_duplicates(
         return stored(p.join(several.select("sh"), "sh", "left_semi"))
 
     for _ in range(ROUNDS):
-        if not verified(_stars(post, percent)):
+        if not verified(_plausible(_stars(post, percent), nodes, percent)):
             break
         post = mixed()
     def across(post: DataFrame) -> DataFrame:
@@ -288,12 +317,13 @@ def near_duplicates(
         everywhere = F.when(F.col("salts") > 1, F.sequence(F.lit(1), F.col("salts"))).otherwise(F.array(F.lit(0)))
         x = post.select("sh", F.explode(everywhere).alias("salt"), *[F.col(c).alias(f"{c}_a") for c in ("fp", "size", "pos", "root")])
         y = post.select("sh", "salt", *[F.col(c).alias(f"{c}_b") for c in ("fp", "size", "pos", "root")])
-        p = x.join(y, ["sh", "salt"]).where("root_a != root_b AND fp_a < fp_b").where(_near_in_size(percent))
+        p = x.join(y, ["sh", "salt"]).where("root_a != root_b AND fp_a < fp_b").where(_near_in_size(percent) & _side_by_side(percent))
         # All lists that hold both sets of such a pair are here, so they tell how much its prefixes share.
         p = p.groupBy(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).agg(
             F.count(F.lit(1)).alias("_n"), F.max(_in_place(percent)).alias("_in"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b")
         )
         p = p.where(F.col("_in") & (F.col("_n") >= _shared_prefix(percent))).select("a", "b", "_n")
+        p = _plausible(p, nodes, percent)
         return checkpointed(p if tested is None else p.join(tested, ["a", "b"], "left_anti"))
 
     pairs, some = across(post), PAIRS_A_SET * nodes.count()

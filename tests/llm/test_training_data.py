@@ -221,6 +221,18 @@ def brute_lines(rows):
     return expected
 
 
+def test_sketches_differ_in_no_more_bits_than_sets_in_ids(spark):
+    rng = np.random.default_rng(8)
+    apart = lambda a, b: sum(int(x).bit_count() for x in (ngram_join.parities(a) ^ ngram_join.parities(b)).view(np.uint64))
+    for size in (1, 5, 80, 3000):
+        a = rng.integers(0, 2**63, size, dtype=np.uint64)
+        for new in (0, 1, size // 2, size):
+            b = np.concatenate([a[new:], rng.integers(0, 2**63, new, dtype=np.uint64)])
+            assert apart(a, b) <= len(np.setxor1d(a, b)) and (new or not apart(a, b))
+    far = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    assert apart(far, rng.integers(0, 2**63, 300, dtype=np.uint64)) > 2 * 300 - 2 * (85 * 600 + 184) // 185
+
+
 @pytest.mark.parametrize(("neighbours", "salted", "broadcast"), [(24, 20_000, 500_000), (1, 2, 500_000), (2, 20_000, 0)])
 def test_lines(spark, monkeypatch, neighbours, salted, broadcast):
     monkeypatch.setattr(line_dedup, "LIST_SIZE", salted)
