@@ -160,6 +160,19 @@ def _side_by_side(percent: int) -> Column:
     return before + 1 + after >= _least_overlap(sa, sb, percent)
 
 
+def _folded(bits: Column, half: int) -> Column:
+    """One word for half of a sketch: folding parities by xor gives a smaller sketch of the same kind."""
+    size = SKETCH_WORDS // 2
+    return F.aggregate(F.slice(bits, 1 + half * size, size), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+
+
+def _sketches_near(percent: int) -> Column:
+    """Whether folded sketches differ in no more bits than similar sets can differ in ids."""
+    sa, sb = _sizes()
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in ("low", "high")), F.lit(0))
+    return apart <= sa + sb - 2 * _least_overlap(sa, sb, percent)
+
+
 def _shared_prefix(percent: int) -> Column:
     """How many n-grams the prefixes of two sets must share.
 
@@ -315,9 +328,12 @@ def near_duplicates(
         """(a, b, _n): pairs of different components that may match, and how many lists hold both."""
         # One side of a salted list goes to all of its salts, so that no task has the whole list.
         everywhere = F.when(F.col("salts") > 1, F.sequence(F.lit(1), F.col("salts"))).otherwise(F.array(F.lit(0)))
-        x = post.select("sh", F.explode(everywhere).alias("salt"), *[F.col(c).alias(f"{c}_a") for c in ("fp", "size", "pos", "root")])
-        y = post.select("sh", "salt", *[F.col(c).alias(f"{c}_b") for c in ("fp", "size", "pos", "root")])
-        p = x.join(y, ["sh", "salt"]).where("root_a != root_b AND fp_a < fp_b").where(_near_in_size(percent) & _side_by_side(percent))
+        own = ("fp", "size", "pos", "root", "low", "high")
+        # Only the lists that are left to join carry sketches.
+        post = post.join(nodes.select("fp", _folded(F.col("bits"), 0).alias("low"), _folded(F.col("bits"), 1).alias("high")), "fp")
+        x = post.select("sh", F.explode(everywhere).alias("salt"), *[F.col(c).alias(f"{c}_a") for c in own])
+        y = post.select("sh", "salt", *[F.col(c).alias(f"{c}_b") for c in own])
+        p = x.join(y, ["sh", "salt"]).where("root_a != root_b AND fp_a < fp_b").where(_near_in_size(percent) & _side_by_side(percent) & _sketches_near(percent))
         # All lists that hold both sets of such a pair are here, so they tell how much its prefixes share.
         p = p.groupBy(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).agg(
             F.count(F.lit(1)).alias("_n"), F.max(_in_place(percent)).alias("_in"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b")
