@@ -19,7 +19,12 @@ def formatted(source: Column, meta, score: Column, body: Column, n: Column) -> C
         F.concat(part("court"), F.lit(" "), part("decision_date"), F.lit(" 선고 "), part("case_number"), F.lit(" ["), part("section_type"), F.lit("]"))
     )
     head = F.when(source.isin("statute", "law_api", "manual"), short_label(source, meta)).otherwise(F.concat(F.lit("[판결문] "), header))
-    return F.concat(F.lit("[출처 "), n.cast("string"), F.lit("] "), head, F.lit(" (유사도: "), F.format_string("%.2f", score), F.lit(")\n"), body)
+    return F.concat(F.lit("[출처 "), n.cast("string"), F.lit("] "), head, F.lit(" (유사도: "), printed(score), F.lit(")\n"), body)
+
+
+def printed(score: Column) -> Column:
+    """A score to two digits as C and Python print it: by its exact value, where ``format_string`` rounds its shortest decimals up."""
+    return F.coalesce(F.call_function("format_number", score.cast("double"), F.lit("0.00")), F.lit("null"))
 
 
 def contexts(hits: DataFrame, config: Config = DEFAULT) -> DataFrame:  # A5, O2, P8

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundwell.functions import scores, text
-from groundwell.operators import citations, consistency, dialogue, reply, retrieval
+from groundwell.operators import citations, consistency, context, dialogue, reply, retrieval
 from groundwell.plans import pipeline
 from groundwell.sources import http
 
@@ -196,3 +196,12 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["query_id", "rank", "score", "source_type", "label", "preview"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_scores_in_contexts_are_printed_by_their_exact_value(spark):
+    scores_ = [i / 10000 for i in range(-10000, 10001, 5)] + [1234.565]
+    d = spark.createDataFrame([(1, i, x, "t", "verdict", {"court": ""}) for i, x in enumerate([0.345, 0.125])], "query_id int, position int, score double, text string, source_type string, metadata map<string,string>")
+    shown = context.contexts(d).first()["context"]
+    assert "(유사도: 0.34)" in shown and "(유사도: 0.12)" in shown  # 0.345 lies below its decimals, 0.125 is a tie
+    got = spark.createDataFrame([(x,) for x in scores_], "s double").select("s", context.printed(F.col("s")).alias("p")).collect()
+    assert [r["p"] for r in got] == [f"{r['s']:.2f}" for r in got]
