@@ -28,9 +28,9 @@ def topk(queries: DataFrame, chunks: DataFrame, k: int, branches: list[str | Non
     filters = sorted({b for b in branches if b is not None})
     code = vector_blocks.codes(F.col("source_type"), filters) if filters else F.lit(vector_blocks.OTHER)
     rows = asked.repartition(-(-numbers // vector_blocks.QUERY_BLOCK) or 1, "query_id")
-    q = vector_blocks.packed(rows.select(F.lit(0).alias("cell"), F.col("query_id").alias("key"), F.lit(0).alias("code"), F.col("embedding").alias("vector")), vector_blocks.QUERY_BLOCK)
+    q = vector_blocks.packed(rows.select(F.col("query_id").alias("key"), F.lit(0).alias("code"), F.col("embedding").alias("vector")), vector_blocks.QUERY_BLOCK)
     pool = chunks.where(vector_blocks.usable("embedding"))
-    c = vector_blocks.packed(pool.select(F.lit(0).alias("cell"), F.col("chunk_key").alias("key"), code.alias("code"), F.col("embedding").alias("vector")), vector_blocks.CHUNK_BLOCK)
+    c = vector_blocks.packed(pool.select(F.col("chunk_key").alias("key"), code.alias("code"), F.col("embedding").alias("vector")), vector_blocks.CHUNK_BLOCK)
     return vector_blocks.met(q, c, k, [None if b is None else filters.index(b) for b in branches], metric, numbers)
 
 

@@ -75,11 +75,12 @@ def _lists(centroids: np.ndarray, probes: int, metric: str):
     return lists
 
 
-def _blocks(rows: DataFrame, centroids: np.ndarray, probes: int, metric: str, key: str, code: Column, numbers: int, salts: int) -> DataFrame:
-    near = _lists(centroids, probes, metric)(F.col("embedding"))
-    dealt = rows.select(F.explode(near).alias("cell"), F.col(key).alias("key"), code.alias("code"), F.col("embedding").alias("vector"))
-    dealt = dealt.repartition("cell", F.pmod(F.xxhash64("key"), F.lit(salts))).sortWithinPartitions("cell")
-    return vb.packed(dealt, numbers)
+def _blocks(rows: DataFrame, centroids: np.ndarray, probes: int, metric: str, key: str, code: Column, numbers: int, parts: int | None = None) -> DataFrame:
+    """Blocks of vectors and their nearest lists: one of a chunk, which are sorted by it; those that a query searches, in ``parts`` partitions."""
+    near = rows.select(F.col(key).alias("key"), code.alias("code"), F.col("embedding").alias("vector"), _lists(centroids, probes, metric)(F.col("embedding")).alias("lists"))
+    own, salt = F.get("lists", F.lit(0)), F.pmod(F.xxhash64("key"), F.lit(SALTS))
+    dealt = near.repartition(own, salt) if parts is None else near.repartition(parts, own, salt)
+    return vb.packed(dealt.sortWithinPartitions(own), numbers, 0 if parts is None else len(centroids))
 
 
 def built(
@@ -104,7 +105,7 @@ def built(
 
 def _indexed(index: Index, pool: DataFrame) -> DataFrame:
     code = vb.codes(F.col("source_type"), list(index.filters)) if index.filters else F.lit(vb.OTHER)
-    return _blocks(pool, index.centroids, 1, index.metric, "chunk_key", code, vb.CHUNK_BLOCK, SALTS)
+    return _blocks(pool, index.centroids, 1, index.metric, "chunk_key", code, vb.CHUNK_BLOCK)
 
 
 def extended(index: Index, chunks: DataFrame) -> Index:
@@ -122,8 +123,8 @@ def search(index: Index, queries: DataFrame, k: int, branches: tuple[str | None,
     if not len(index.centroids):
         return vb.met(queries.sparkSession.createDataFrame([], vb.BLOCK), index.blocks, k, [None], index.metric, 0)
     probes = min(probes or index.probes, len(index.centroids))
-    numbers = (asked.agg(F.sum(F.size("embedding"))).first()[0] or 0) * probes
-    q = _blocks(asked, index.centroids, probes, index.metric, "query_id", F.lit(0), vb.QUERY_BLOCK, 1)
+    numbers = asked.agg(F.sum(F.size("embedding"))).first()[0] or 0
+    q = _blocks(asked, index.centroids, probes, index.metric, "query_id", F.lit(0), vb.QUERY_BLOCK, -(-numbers // vb.QUERY_BLOCK) or 1)
     places = [None if b is None else index.filters.index(b) for b in branches]
     return vb.met(q, index.blocks, k, places, index.metric, numbers)
 
