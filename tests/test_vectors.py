@@ -1,6 +1,9 @@
 """Block search against brute force, and the inverted file against exact search."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +123,44 @@ def test_recall_on_the_given_vectors(spark):
     found = vector_index.search(vector_index.built(e), q, 10)
     r = vector_index.recall(found, retrieval.topk(q, e, 10, [None])).first()
     assert r["n_found"] >= 0.9 * r["n_exact"] > 0
+
+
+@pytest.mark.parametrize("broadcast", [False, True])
+def test_a_query_is_sent_once_however_many_lists_it_searches(spark, crowd, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(vector_blocks.met, "__defaults__", (0,))
+    monkeypatch.setattr(vector_blocks, "QUERY_BLOCK", 16 * 50)
+    sent = []
+    met = vector_blocks.met
+    monkeypatch.setattr(vector_blocks, "met", lambda q, *more: sent.append(q) or met(q, *more))
+    own_vectors = crowd[:4000]  # without the copies, whose lists are ties
+    c = table(spark, own_vectors)
+    q = asked(c, 17)
+    index = vector_index.built(c, sample=1000)
+    found = {n: vector_index.search(index, q, 5, probes=n) for n in (1, 20)}
+    assert [x.agg(F.sum("n")).first()[0] for x in sent] == [q.count()] * 2
+    # Each of its lists is searched, and no other.
+    v = own_vectors.astype(np.float64)
+    v /= np.sqrt((v * v).sum(axis=1, keepdims=True)) + 1e-9
+    to = ((v[:, None, :] - index.centroids) ** 2).sum(axis=2)
+    own = to.argmin(axis=1)
+    for n, rows in found.items():
+        got = {}
+        for r in rows.collect():
+            got.setdefault(r["query_id"], []).append(r["dist"])
+        for i, dist in got.items():
+            near = np.isin(own, np.argsort(to[i], kind="stable")[:n])
+            assert np.allclose(sorted(dist), np.sort(1 - v[near] @ v[i])[:5], atol=1e-6)
+
+
+def test_memory_of_a_pair_of_blocks_is_bounded():
+    rng, q_n, c_n = np.random.default_rng(2), 1024, 8192
+    q, c = rng.normal(size=(q_n, 16)).astype(np.float32), rng.normal(size=(c_n, 16)).astype(np.float32)
+    keys = np.arange(c_n, dtype=np.int64)
+    row = [16, q_n, keys[:q_n].tobytes(), q.tobytes(), None, 16, c_n, keys.tobytes(), np.zeros(c_n, np.uint8).tobytes(), c.tobytes(), None]
+    batch = pa.RecordBatch.from_arrays([pa.array([x]) for x in row], [str(i) for i in range(len(row))])
+    tracemalloc.start()
+    found = list(vector_blocks._compared(5, [None, 0], "cosine")(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(x) for x in found) == 2 * 5 * q_n and peak < 48 << 20  # all distances at once are 64 MB
