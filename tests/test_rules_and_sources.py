@@ -3,8 +3,10 @@
 import json
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +191,16 @@ def test_sessions_with_unreadable_scores_are_set_aside(spark, tmp_path):
     assert r.count() == 2 and sorted(x["reply"] for x in spark.read.parquet(path).collect()) == ['{"score": "high"}', '{"score": null}']
     seen = counts.get()
     assert seen["bad turns"]["rows"] == 2 and seen["questions"]["rows"] == 2 and seen["answers"]["rows"] == seen["prompts"]["rows"] == 22
+
+
+def test_memory_of_expansion_does_not_follow_the_batch(spark):
+    own = rules.Rules([("word1|word2", "one"), ("other", "two")])
+    texts = pa.array([f"word{i % 7} " + "some text " * 200 for i in range(8000)] + [None])
+    tracemalloc.start()
+    n = sum(len(x) for x in rules.expansions(iter([texts]), own))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(texts) and peak < 4 << 20  # the strings of the batch are 16 MB, and those that come of them too
+    d = spark.range(3000).selectExpr("id", "'word' || (id % 7) AS q", "'other' || id AS r").repartition(2)
+    got = d.select("id", *[rules.expand_query(F.col(c), own.rules).alias(c) for c in ("q", "r")]).collect()
+    assert sorted(tuple(r) for r in got) == [(i, f"word{i % 7}" + (" one" if i % 7 in (1, 2) else ""), f"other{i} two") for i in range(3000)]
