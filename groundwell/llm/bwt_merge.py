@@ -31,12 +31,16 @@ def stable_order(symbols: np.ndarray) -> np.ndarray:
     n = len(symbols)
     if not n:
         return np.zeros(0, dtype=np.int64)
-    bits = np.uint64(max(n - 1, 1).bit_length())
-    key = (symbols >> bits << bits) | np.arange(n, dtype=np.uint64)
+    low = (np.uint64(1) << np.uint64(max(n - 1, 1).bit_length())) - np.uint64(1)
+    key = symbols & ~low
+    key |= np.arange(n, dtype=np.uint64)
     key.sort()
-    order = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    key &= low
+    order = key.view(np.int64)
     s = symbols[order]
-    if (((s[1:] ^ s[:-1]) >> bits == 0) & (s[1:] != s[:-1])).any():
+    apart = s[1:] ^ s[:-1]
+    apart -= np.uint64(1)  # equal ones go round to the greatest
+    if len(apart) and apart.min() < low:
         return np.argsort(symbols, kind="stable")
     return order
 
@@ -56,9 +60,9 @@ def shard(data: np.ndarray, ends: np.ndarray, block: int, depth: int) -> Shard:
     rest, count = inside % block, np.repeat(size, size)
     last = rest + (count - 1 - rest) // block * block
     before = np.arange(len(place)) - inside + np.where(inside >= block, inside - block, last)
-    order = np.arange(len(place))
-    for _ in range(depth):
-        order = before[order]
+    order = before
+    for i in range(depth):
+        order = before[order] if i else order
         order = order[stable_order(symbol[order])]
     return Shard(place[order], symbol[before[order]])
 
@@ -75,8 +79,11 @@ def interleave(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]
     symbols = np.concatenate([s.transform for s in shards])
     interval = np.zeros(len(z), dtype=np.int64)
     c = np.empty_like(symbols)
-    for _ in range(depth):
-        c[np.argsort(z, kind="stable")] = symbols
+    for i in range(depth):
+        if i:
+            c[np.argsort(z, kind="stable")] = symbols
+        else:
+            c[:] = symbols  # shards lie one after the other
         step = stable_order(c)
         z, s, old = z[step], c[step], interval[step]
         together = np.zeros(len(z), dtype=bool)

@@ -13,13 +13,15 @@ from pyspark.sql.types import IntegralType
 
 from . import bwt_merge
 from .runtime import checkpointed, private_names, stored
-from .textbytes import buffers, mix, prefix_hash, slices, span_hash
+from .textbytes import buffers, gram_hashes, mix, prefix_hash, slices, span_hash
 
 LENGTH = 200
 #: Anchors are the least hashes of GRAM-byte strings among those of each window of LENGTH bytes.
 GRAM = 104
 REACH = LENGTH - GRAM  # windows that hold an anchor begin at most this far before it
 BLOCK = 100
+#: A window reaches this far beyond its anchor's gram on one side at least.
+SIDE = REACH // 2
 #: Snippets of one anchor merged by one task; more of them go by window digests instead.
 GROUP = 1000
 SHARD_BYTES = 1 << 17
@@ -39,6 +41,16 @@ def _sliding(x: np.ndarray, width: int, low: bool) -> np.ndarray:
     return x
 
 
+def _places(cs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a text's anchors and hashes of their grams."""
+    h = gram_hashes(cs, GRAM)
+    least = _sliding(h, REACH + 1, True)
+    edge = np.zeros(REACH, dtype=np.uint64)
+    greatest = _sliding(np.concatenate([edge, least, edge]), REACH + 1, False)
+    place = np.flatnonzero(greatest == h)
+    return place, h[place]
+
+
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places, hashes of their grams and of their snippets, for a text of at least LENGTH bytes.
 
@@ -47,14 +59,9 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     cs = prefix_hash(data)
     n = len(data)
-    at = np.arange(n - GRAM + 1)
-    h = span_hash(cs, at, at + GRAM)
-    least = _sliding(h, REACH + 1, True)
-    edge = np.zeros(REACH, dtype=np.uint64)
-    greatest = _sliding(np.concatenate([edge, least, edge]), REACH + 1, False)
-    place = np.flatnonzero(greatest == h)
+    place, h = _places(cs)
     start, end = np.maximum(place - REACH, 0), np.minimum(place + LENGTH, n)
-    return place, h[place], span_hash(cs, start, end) ^ mix((place - start).astype(np.uint64))
+    return place, h, span_hash(cs, start, end) ^ mix((place - start).astype(np.uint64))
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -64,6 +71,27 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield k, raw[offsets[k] : offsets[k + 1]]
 
 
+def _grams(rows: DataFrame) -> DataFrame:
+    """Hashes of all anchors' grams alone: what is counted first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[np.ndarray] = []
+            size = 0
+            for _, data in _texts(batch.column(0)):
+                if len(data) < LENGTH:
+                    continue
+                out.append(_places(prefix_hash(data))[1].view(np.int64))
+                size += len(out[-1])
+                if size > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], ["h"])
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], ["h"])
+
+    return rows.select("_text").mapInArrow(run, "h long")
+
+
 def _occurrences(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +151,7 @@ def _snippets(rows: DataFrame, asked: DataFrame) -> DataFrame:
                     pos, start = a["pos"], max(a["pos"] - REACH, 0)
                     end = min(pos + LENGTH, len(raw))
                     if not a["crowded"]:
-                        out.append((a["h"], ids[k], keys[k], start, a["known"], raw[start:end], None, None))
+                        out.append((a["h"], ids[k], keys[k], start, a["known"], raw[start:end], None, pos))
                         continue
                     cs = prefix_hash(data) if cs is None else cs
                     p = np.arange(start, end - LENGTH + 1)
@@ -138,6 +166,21 @@ def _snippets(rows: DataFrame, asked: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, _SNIPPET)
 
 
+def _sharing(rows: list[dict]) -> list[dict]:
+    """Snippets that agree with another of their anchor in the SIDE bytes before or after the gram; no others share a window."""
+    seen: dict[tuple, int] = {}
+    sides = []
+    for r in rows:
+        at, b = r["pos"] - r["start"], r["bytes"]
+        left = (r["h"], 0, b[at - SIDE : at]) if at >= SIDE else None
+        right = (r["h"], 1, b[at + GRAM : at + GRAM + SIDE]) if len(b) >= at + GRAM + SIDE else None
+        sides.append((left, right))
+        for x in (left, right):
+            if x is not None:
+                seen[x] = seen.get(x, 0) + 1
+    return [r for r, (left, right) in zip(rows, sides, strict=True) if seen.get(left, 0) > 1 or seen.get(right, 0) > 1]
+
+
 def _decided(snippets: DataFrame) -> DataFrame:
     """Spans of the snippets' windows that occur elsewhere, found by merging shard transforms.
 
@@ -146,6 +189,10 @@ def _decided(snippets: DataFrame) -> DataFrame:
 
     def chunk_spans(rows: list[dict]) -> pa.RecordBatch:
         names = ["_id", "_k", "start", "end"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        rows = _sharing(rows)
+        if not rows:
+            return pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names)
         shards, offsets, at, begin = [], [], 0, 0
         lengths = np.array([len(r["bytes"]) for r in rows])
         ends = np.cumsum(lengths)
@@ -177,7 +224,6 @@ def _decided(snippets: DataFrame) -> DataFrame:
                 # runs of window starts no further apart than a window cover everything between
                 out.append((r["_id"], r["_k"], int(absolute[found[i]]), int(absolute[found[j]]) + LENGTH))
         cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +239,7 @@ def _decided(snippets: DataFrame) -> DataFrame:
         if held:
             yield chunk_spans(held)
 
-    source = snippets.where("bytes IS NOT NULL").select("h", "_id", "_k", "start", "known", "bytes")
+    source = snippets.where("bytes IS NOT NULL").select("h", "_id", "_k", "start", "known", "bytes", "pos")
     source = source.repartition("h").sortWithinPartitions("h")
     return source.mapInArrow(run, "_id long, _k long, start int, end int")
 
@@ -257,7 +303,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
     ).withColumn("_k", F.xxhash64("_real", "_text"))
     occ = _occurrences(rows)
-    often = occ.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h")
+    often = _grams(rows).groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h")
     occ = stored(occ.join(often, "h"))
     same = occ.groupBy("h", "fp").agg(F.count(F.lit(1)).alias("_c"), F.min("_k").alias("_rep"))
     same = checkpointed(same)

@@ -36,9 +36,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +80,15 @@ def span_hash(cs: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((cs[end] - cs[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
+def gram_hashes(cs: np.ndarray, width: int) -> np.ndarray:
+    """``span_hash`` of all strings of one width, in the order of their places."""
+    _, inverse = _powers(len(cs))
+    h = cs[width:] - cs[:-width]
+    h *= inverse[: len(h)]
+    h += np.uint64(width)
+    return mix(h)
+
+
 LETTERS = np.zeros(256, dtype=bool)
 LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 

@@ -658,3 +658,16 @@ def test_names_are_settled_without_their_titles(spark, literal):
     assert len(set(new.values())) == len(new)
     assert not set(new.values()) & set(families) and not {x.split()[-1] for x in new.values()} & set(families)
     assert all(v.split()[-1] == new[k.split()[-1]] for k, v in new.items())
+
+
+def test_snippets_without_a_shared_side_are_not_merged():
+    from groundwell.llm import substring_dedup as own
+
+    rng = np.random.default_rng(3)
+    gram = rng.bytes(own.GRAM)
+    beside = lambda n, left, right: [dict(h=1, _id=n, _k=n, pos=own.REACH, start=0, known=False, bytes=left + gram + right)]
+    left, right = rng.bytes(own.REACH), rng.bytes(own.REACH)
+    rows = beside(1, left, right) + beside(2, left, rng.bytes(96)) + beside(3, rng.bytes(96), right) + beside(4, rng.bytes(96), rng.bytes(96))
+    half = beside(5, rng.bytes(48) + left[48:], right[:48] + rng.bytes(48))  # shares one window of 200 bytes with the first
+    assert [r["_id"] for r in own._sharing(rows + half)] == [1, 2, 3, 5]
+    assert own._sharing(beside(6, left, right)) == []
