@@ -111,7 +111,7 @@ def _postings(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
                     continue
                 seen.add(fp)
                 length = size - -(-percent * size // 100) + 1
-                order = np.argsort(common, kind="stable")[:length]  # ties by id: h is ascending
+                order = np.argsort(counted.order(h, common), kind="stable")[:length]  # ties by id: h is ascending
                 # 0 for a list that one task takes whole, else one of the salts of a long list
                 salts = np.ceil(np.minimum(counted.gram_lists(h[order]), counted.word_lists(common[order])) / LIST_SIZE).astype(np.int64)
                 salt = np.where(salts > 1, int.from_bytes(fp[:4], "little") % salts + 1, 0)
@@ -183,6 +183,13 @@ def _shared_prefix(percent: int) -> Column:
     return _least_overlap(sa, sb, percent) - F.greatest(upto(sa), upto(sb)) + 1
 
 
+def _enough_left(percent: int) -> Column:
+    """Whether the lists that two sets are still in before and after a shared n-gram can hold what their prefixes must share."""
+    before = F.least("rank_a", "rank_b")
+    after = F.least(F.col("of_a") - F.col("rank_a"), F.col("of_b") - F.col("rank_b"))
+    return before + after >= _shared_prefix(percent)
+
+
 def _stars(posts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of each set with the head of its lists, where their components differ.
 
@@ -328,12 +335,14 @@ def near_duplicates(
         """(a, b, _n): pairs of different components that may match, and how many lists hold both."""
         # One side of a salted list goes to all of its salts, so that no task has the whole list.
         everywhere = F.when(F.col("salts") > 1, F.sequence(F.lit(1), F.col("salts"))).otherwise(F.array(F.lit(0)))
-        own = ("fp", "size", "pos", "root", "low", "high")
+        own = ("fp", "size", "pos", "root", "low", "high", "rank", "of")
         # Only the lists that are left to join carry sketches.
         post = post.join(nodes.select("fp", _folded(F.col("bits"), 0).alias("low"), _folded(F.col("bits"), 1).alias("high")), "fp")
+        by = Window.partitionBy("fp")
+        post = post.withColumn("rank", F.row_number().over(by.orderBy("pos"))).withColumn("of", F.count(F.lit(1)).over(by) + 1)
         x = post.select("sh", F.explode(everywhere).alias("salt"), *[F.col(c).alias(f"{c}_a") for c in own])
         y = post.select("sh", "salt", *[F.col(c).alias(f"{c}_b") for c in own])
-        p = x.join(y, ["sh", "salt"]).where("root_a != root_b AND fp_a < fp_b").where(_near_in_size(percent) & _side_by_side(percent) & _sketches_near(percent))
+        p = x.join(y, ["sh", "salt"]).where("root_a != root_b AND fp_a < fp_b").where(_near_in_size(percent) & _side_by_side(percent) & _enough_left(percent) & _sketches_near(percent))
         # All lists that hold both sets of such a pair are here, so they tell how much its prefixes share.
         p = p.groupBy(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).agg(
             F.count(F.lit(1)).alias("_n"), F.max(_in_place(percent)).alias("_in"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b")

@@ -671,3 +671,14 @@ def test_snippets_without_a_shared_side_are_not_merged():
     half = beside(5, rng.bytes(48) + left[48:], right[:48] + rng.bytes(48))  # shares one window of 200 bytes with the first
     assert [r["_id"] for r in own._sharing(rows + half)] == [1, 2, 3, 5]
     assert own._sharing(beside(6, left, right)) == []
+
+
+def test_passages_that_many_texts_hold_stay_out_of_prefixes(spark):
+    r = random.Random(5)
+    passage = " ".join(f"rare{i}" for i in range(20))
+    texts = [f"{passage} " + " ".join(f"w{r.randrange(40)}" for _ in range(100)) for _ in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string")
+    bits = rarity.sketch_bits(d)
+    sketch = spark.sparkContext.broadcast(rarity.summed(ngram_join._describe(d, 4, bits).where("chunk IS NOT NULL"), bits))
+    lists = ngram_join._postings(d, 4, 85, sketch).groupBy("sh").count()
+    assert lists.agg(F.max("count")).first()[0] < 10
