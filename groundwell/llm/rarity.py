@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +81,7 @@ def levels(counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Sketch:
-    """Levels of words, counters of n-grams, and the means of both."""
+    """Levels of words and counters of n-grams."""
 
     level: np.ndarray
     grams: np.ndarray
@@ -89,6 +90,11 @@ class Sketch:
     def bits(self) -> int:
         return len(self.level).bit_length() - 1
 
+    @cached_property
+    def mean(self) -> float:
+        """What a counter of n-grams holds on average; summed once, for there are millions of counters to a text's few n-grams."""
+        return self.grams.mean(dtype=np.float64)
+
     def common(self, words: np.ndarray) -> np.ndarray:
         """Levels of words, to order them by: 0 for words that the corpus has once."""
         return self.level[counter(words, self.bits)]
@@ -99,14 +105,12 @@ class Sketch:
 
     def gram_lists(self, grams: np.ndarray) -> np.ndarray:
         """Texts that hold an n-gram, less what its counter holds of others on average."""
-        mean = self.grams.mean(dtype=np.float64)
-        return np.maximum(self.grams[counter(grams, GRAM_BITS)] - mean, 1)
+        return np.maximum(self.grams[counter(grams, GRAM_BITS)] - self.mean, 1)
 
     def order(self, grams: np.ndarray, level: np.ndarray) -> np.ndarray:
         """Numbers to order n-grams by: those of passages that many texts hold come last, however rare their words."""
         more = self.gram_lists(grams)
-        mean = self.grams.mean(dtype=np.float64)
-        doublings = np.where(more >= 2 + SURE * np.sqrt(mean), np.floor(np.log2(more)), 0)
+        doublings = np.where(more >= 2 + SURE * np.sqrt(self.mean), np.floor(np.log2(more)), 0)
         return doublings.astype(np.uint16) * np.uint16(256) + level
 
 

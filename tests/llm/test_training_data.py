@@ -682,3 +682,22 @@ def test_passages_that_many_texts_hold_stay_out_of_prefixes(spark):
     sketch = spark.sparkContext.broadcast(rarity.summed(ngram_join._describe(d, 4, bits).where("chunk IS NOT NULL"), bits))
     lists = ngram_join._postings(d, 4, 85, sketch).groupBy("sh").count()
     assert lists.agg(F.max("count")).first()[0] < 10
+
+
+def test_counters_of_ngrams_are_summed_once_for_all_texts():
+    class Counters(np.ndarray):
+        sums = 0
+
+        def mean(self, *args, **kwargs):
+            Counters.sums += 1
+            return super().mean(*args, **kwargs)
+
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 9, 1 << rarity.GRAM_BITS).astype(np.uint32)
+    sketch = rarity.Sketch(np.zeros(1 << rarity.LEAST_BITS, dtype=np.uint8), counts.view(Counters))
+    for _ in range(5):
+        grams = rng.integers(0, 2**63, 50).astype(np.uint64)
+        lists = np.maximum(counts[rarity.counter(grams, rarity.GRAM_BITS)] - counts.mean(dtype=np.float64), 1)
+        assert (np.asarray(sketch.gram_lists(grams)) == lists).all()
+        sketch.order(grams, sketch.common(grams))
+    assert Counters.sums == 1
