@@ -61,9 +61,9 @@ def _counts(docs: DataFrame, bits: int) -> DataFrame:
 def _described(docs: DataFrame, sketch, percent: int) -> DataFrame:
     """(_id, ln, _k, s, s2, size, bits, prefix, salts) of every line with a word.
 
-    s and s2 are digests of its set. prefix holds its rarest words, as many as prefix filtering needs,
-    with nulls for words that the whole corpus has once, which are in no other line; bits is a bitmap of
-    all of them; salts are there for words with long lists.
+    s and s2 are digests of its set. prefix holds its rarest words, as many as prefix filtering needs, without
+    those that the whole corpus has once, which come first and are in no other line; bits is a bitmap of
+    them; salts are there for words with long lists.
     """
     kind = docs.schema["_id"].dataType.simpleString()
 
@@ -89,11 +89,14 @@ def _described(docs: DataFrame, sketch, percent: int) -> DataFrame:
                 ends = np.cumsum(length)
                 spot = np.repeat(at - ends + length, length) + np.arange(ends[-1])
                 word, lev = h[spot], level[spot]
-                bits = np.bitwise_or.reduceat(np.uint64(1) << (word & np.uint64(63)), ends - length)
-                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                prefix = pa.ListArray.from_arrays(offsets, pa.array(word.view(np.int64), mask=lev == 0))
+                again = lev > 0
+                bits = np.bitwise_or.reduceat(np.where(again, np.uint64(1) << (word & np.uint64(63)), np.uint64(0)), ends - length)
                 salt = np.ceil(counted.word_lists(lev) / LIST_SIZE).astype(np.int32)
                 several = np.maximum.reduceat(salt, ends - length) > 1
+                length = np.add.reduceat(again.astype(np.int64), ends - length)
+                ends, salt = np.cumsum(length), salt[again]
+                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                prefix = pa.ListArray.from_arrays(offsets, pa.array(word[again].view(np.int64)))
                 salts = pa.array([salt[e - n : e].tolist() if x else None for e, n, x in zip(ends, length, several, strict=True)], pa.list_(pa.int32()))
                 row = line[at]
                 yield pa.RecordBatch.from_arrays(
@@ -105,14 +108,18 @@ def _described(docs: DataFrame, sketch, percent: int) -> DataFrame:
     return docs.select("_id", "_text", "_k").mapInArrow(run, f"_id {kind}, ln int, _k long, s long, s2 long, size int, bits long, prefix array<long>, salts array<int>")
 
 
-def _postings(sets: DataFrame) -> DataFrame:
-    """(t, salt, salts, s, _id, ln, bits, size, pos) for the words of prefixes."""
+def _postings(sets: DataFrame, percent: int) -> DataFrame:
+    """(t, salt, salts, s, _id, ln, bits, size, at) for the words of prefixes.
+
+    at is a word's place in its set, times 2 ** 32, plus its rank among those that other lines may hold.
+    """
     # Not the plain explode: it would add a filter on the array that makes it once more.
-    p = sets.select("s", "_id", "ln", "bits", "size", "salts", F.posexplode_outer("prefix").alias("pos", "t")).where("t IS NOT NULL")
-    salts = F.coalesce(F.get("salts", F.col("pos")), F.lit(1))
-    p = p.withColumn("salts", salts)
+    p = sets.select("s", "_id", "ln", "bits", "size", "salts", F.size("prefix").alias("of"), F.posexplode_outer("prefix").alias("rank", "t")).where("t IS NOT NULL")
+    salts = F.coalesce(F.get("salts", F.col("rank")), F.lit(1))
+    size = F.col("size").cast("long")
+    p = p.withColumn("salts", salts).withColumn("pos", size - F.ceil(percent * size / 100) + 1 - F.col("of") + F.col("rank"))
     salt = F.when(F.col("salts") > 1, F.pmod("s", F.col("salts")) + 1).otherwise(F.lit(0)).cast("int")
-    return p.select("t", salt.alias("salt"), "salts", "s", "_id", "ln", "bits", "size", "pos")
+    return p.select("t", salt.alias("salt"), "salts", "s", "_id", "ln", "bits", "size", (F.shiftleft("pos", 32) + F.col("rank")).alias("at"))
 
 
 def wanted_overlap(sa: np.ndarray, sb: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,16 +132,26 @@ def wanted_overlap(sa: np.ndarray, sb: np.ndarray, percent: int) -> tuple[np.nda
 
 
 def may_match(a: dict[str, np.ndarray], b: dict[str, np.ndarray], percent: int) -> np.ndarray:
-    """Length and bitmap filters: every bit in which the bitmaps of two prefixes differ is a word not shared."""
+    """Length, positional and bitmap filters for sets that meet in the list of a word.
+
+    Before the word they share at most the shorter part, after it too, of their prefixes as of all their words.
+    Every bit in which the bitmaps of two prefixes differ is a word not shared. Similar sets pass in
+    every list in which they meet, so what fails need not be counted.
+    """
     sa, sb = a["size"], b["size"]
     ok = 100 * np.minimum(sa, sb) >= percent * np.maximum(sa, sb)
     at = np.flatnonzero(ok)
     if len(at):
-        sa, sb = sa[at], sb[at]
-        prefixes = sa + sb + 2 + percent * -sa // 100 + percent * -sb // 100
+        a, b = {c: v[at] for c, v in a.items()}, {c: v[at] for c, v in b.items()}
+        need, early = wanted_overlap(a["size"], b["size"], percent)
+        upto = 1 + np.minimum(a["rank"], b["rank"])
+        most = upto + np.minimum(a["size"] - a["pos"], b["size"] - b["pos"]) - 1 >= need
+        # Words of the prefixes after this one.
+        ra, rb = (x["size"] - -(-percent * x["size"] // 100) - x["pos"] for x in (a, b))
+        most &= upto + np.minimum(ra, rb) >= early
         # Of a negative number the bits of its absolute value would be counted.
-        apart = np.bitwise_count((a["bits"][at] ^ b["bits"][at]).view(np.uint64)).astype(np.int64)
-        ok[at] = prefixes - apart >= 2 * wanted_overlap(sa, sb, percent)[1]
+        apart = np.bitwise_count((a["bits"] ^ b["bits"]).view(np.uint64)).astype(np.int64)
+        ok[at] = most & (a["rank"] + ra + b["rank"] + rb + 2 - apart >= 2 * early)
     return ok
 
 
@@ -148,11 +165,13 @@ def _met(posts: DataFrame, percent: int, neighbours: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["t", "salt", "s", "size", "pos", "bits"]
+        names = ["t", "salt", "s", "size", "pos", "rank", "bits"]
         held = {c: np.zeros(0, dtype=np.int64) for c in names}
         head: dict[str, int] | None = None  # the first of the list that the last batch ended in
         for batch in batches:
-            new = {c: batch.column(c).to_numpy().astype(np.int64) for c in names}
+            new = {c: batch.column(c).to_numpy().astype(np.int64) for c in batch.schema.names}
+            at = new.pop("at")
+            new["pos"], new["rank"] = at >> 32, at & 0xFFFFFFFF
             old = len(held["t"])
             x = {c: np.concatenate([held[c], new[c]]) for c in names}
             n = len(x["t"])
@@ -190,7 +209,7 @@ def _met(posts: DataFrame, percent: int, neighbours: int) -> DataFrame:
                 head = {c: int(new[c][first[-1]]) for c in names}
             held = {c: x[c][max(0, n - neighbours - 1) :] for c in names}
 
-    lists = posts.repartition("t", "salt").sortWithinPartitions("t", "salt", "_id", "ln", "s").select("t", "salt", "s", "size", "pos", "bits")
+    lists = posts.repartition("t", "salt").sortWithinPartitions("t", "salt", "_id", "ln", "s").select("t", "salt", "s", "size", "at", "bits")
     rows = lists.mapInArrow(run, "a long, b long, early long, left boolean, t long")
     met = rows.groupBy("a", "b", "t").agg(F.count(F.lit(1)).alias("n"), F.max("early").alias("early"), F.max("left").alias("left"))
     return met.where("t IS NOT NULL OR left")
@@ -225,7 +244,7 @@ def _rest(posts: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
 
     A set that still looks for a match goes to every salt of its list.
     """
-    member = F.struct("s", "bits", "size", "pos", F.struct("_id", "ln").alias("place"))
+    member = F.struct("s", "bits", "size", "at", F.struct("_id", "ln").alias("place"))
     x = posts.select("t", "salt", member.alias("x"))
     y = posts.join(gone.select("s").distinct(), "s", "left_anti").select("t", "salts", member.alias("y"))
     everywhere = F.when(F.col("salts") > 1, F.sequence(F.lit(1), F.col("salts"))).otherwise(F.array(F.lit(0)))
@@ -235,15 +254,19 @@ def _rest(posts: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
 
 
 def _may_match(percent: int, a: str, b: str) -> Column:
-    """``may_match`` and the positional filter for two structs of a row, as a condition."""
+    """``may_match`` and the positional filter of a first shared word for two structs of a row, as a condition."""
     sa, sb = F.col(f"{a}.size"), F.col(f"{b}.size")
     total = percent * (sa + sb) + (99 + percent)
     need = F.floor((total - F.pmod(total, F.lit(100 + percent))) / (100 + percent))
     after = lambda size: F.ceil(percent * size / 100).cast("int") - 1
-    shared = sa - after(sa) + sb - after(sb) - F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    at_a, at_b = (F.shiftright(F.col(f"{x}.at"), 32) for x in (a, b))
+    rank_a, rank_b = (F.col(f"{x}.at").bitwiseAND(0xFFFFFFFF) for x in (a, b))
+    ra, rb = sa - after(sa) - 1 - at_a, sb - after(sb) - 1 - at_b
+    shared = rank_a + ra + rank_b + rb + 2 - F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
     return (
         (100 * F.least(sa, sb) >= percent * F.greatest(sa, sb))
-        & (1 + F.least(sa - F.col(f"{a}.pos") - 1, sb - F.col(f"{b}.pos") - 1) >= need)
+        & (1 + F.least(sa - at_a - 1, sb - at_b - 1) >= need)
+        & (1 + F.least(rank_a, rank_b) + F.least(ra, rb) >= need - F.greatest(after(sa), after(sb)))
         & (shared >= 2 * (need - F.greatest(after(sa), after(sb))))
     )
 
@@ -274,10 +297,10 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     sets = lines.groupBy("s", "s2").agg(place, F.count(F.lit(1)).alias("n"), *rest)
     sets = stored(sets.select("s", "s2", "first.*", "n", "size", "bits", "prefix", "salts"))
     firsts = sets.select("s", "s2", "_id", "ln", "_k", "n")
-    met = stored(_met(_postings(sets), percent, neighbours))
+    met = stored(_met(_postings(sets, percent), percent, neighbours))
     long = checkpointed(met.where("t IS NOT NULL").select("t").distinct())
     few = long.count() <= BROADCAST_ROWS
-    posts = stored(_postings(sets).join(F.broadcast(long) if few else long, "t", "left_semi"))
+    posts = stored(_postings(sets, percent).join(F.broadcast(long) if few else long, "t", "left_semi"))
     # Pairs that meet in too few lists cannot match, unless both are in long lists and may have met there.
     pairs, apart = met.where("t IS NULL").select("a", "b", "n", "early"), posts.select("s").distinct()
     close = pairs.where("n >= early").select("a", "b")

@@ -701,3 +701,32 @@ def test_counters_of_ngrams_are_summed_once_for_all_texts():
         assert (np.asarray(sketch.gram_lists(grams)) == lists).all()
         sketch.order(grams, sketch.common(grams))
     assert Counters.sums == 1
+
+
+def test_lines_that_meet_too_late_are_not_paired():
+    # Of 20 words need 18 be shared, three of them in prefixes of five; the last word of a prefix is one.
+    side = lambda pos, rank, bits: {c: np.array([v]) for c, v in {"size": 20, "pos": pos, "rank": rank, "bits": bits}.items()}
+    match = lambda a, b: bool(line_dedup.may_match(side(*a), side(*b), 80)[0])
+    assert match((2, 2, 0b11111), (2, 2, 0b11111))
+    assert not match((4, 4, 0b11111), (0, 0, 0b11111))  # nothing of one prefix before it, nothing of the other after it
+    assert not match((4, 1, 0b11), (4, 1, 0b11))  # words that no other line has are not shared
+    # Sets that reach the similarity pass in every list in which they meet.
+    r = random.Random(4)
+    for _ in range(300):
+        a = sorted(r.sample(range(1000), r.randint(5, 40)))
+        b = sorted(set(r.sample(a, len(a) - r.randint(0, 2))) | set(r.sample(range(1000), r.randint(0, 2))))
+        if 100 * len(set(a) & set(b)) < 80 * len(set(a) | set(b)):
+            continue
+        again = set(a) & set(b)  # the others are in no other line
+        prefix = {k: x[: len(x) - -(-80 * len(x) // 100) + 1] for k, x in (("a", a), ("b", b))}
+        own = {k: [w for w in x if w in again or r.random() < 0.5] for k, x in prefix.items()}
+        for w in set(own["a"]) & set(own["b"]):
+            x, y = (
+                {"size": np.array([len(v)]), "pos": np.array([v.index(w)]), "bits": np.array([sum({1 << u % 63 for u in own[k]})])}
+                for k, v in (("a", a), ("b", b))
+            )
+            # Ranks are counted from the end of the prefix, as if words of one line came first.
+            for k, side_ in (("a", x), ("b", y)):
+                side_["pos"] = np.array([len(prefix[k]) - len(own[k]) + own[k].index(w)])
+                side_["rank"] = np.array([own[k].index(w)])
+            assert line_dedup.may_match(x, y, 80).all()
