@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rarity
-from .runtime import checkpointed, free_name, private_names, stored
+from .runtime import checkpointed, deleted, free_name, private_names, shuffles_freed, stored, stored_at
 from .textbytes import buffers, mix, prefix_hash, slices, span_hash, words
 
 PERCENT = 80
@@ -23,9 +23,12 @@ NEIGHBOURS = 24
 LIST_SIZE = 20_000
 #: Rows of ids or lists that are broadcast at most.
 BROADCAST_ROWS = 500_000
+#: Up to so many words a set's bitmap is of all its words; a larger one's, which would tell nothing, of its prefix.
+WHOLE = 96
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -61,9 +64,10 @@ def _counts(docs: DataFrame, bits: int) -> DataFrame:
 def _described(docs: DataFrame, sketch, percent: int) -> DataFrame:
     """(_id, ln, _k, s, s2, size, bits, prefix, salts) of every line with a word.
 
-    s and s2 are digests of its set. prefix holds its rarest words, as many as prefix filtering needs, without
-    those that the whole corpus has once, which come first and are in no other line; bits is a bitmap of
-    them; salts are there for words with long lists.
+    s and s2 are digests of its set. prefix holds 32 bits of its rarest words, as many as prefix filtering needs,
+    without those that the whole corpus has once, which come first and are in no other line. bits is their bitmap, or
+    that of words which it has at a bit in odd number, for sets of up to ``WHOLE``; salts are there for words with
+    long lists.
     """
     kind = docs.schema["_id"].dataType.simpleString()
 
@@ -91,12 +95,13 @@ def _described(docs: DataFrame, sketch, percent: int) -> DataFrame:
                 word, lev = h[spot], level[spot]
                 again = lev > 0
                 bits = np.bitwise_or.reduceat(np.where(again, np.uint64(1) << (word & np.uint64(63)), np.uint64(0)), ends - length)
+                bits = np.where(size <= WHOLE, np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), at), bits)
                 salt = np.ceil(counted.word_lists(lev) / LIST_SIZE).astype(np.int32)
                 several = np.maximum.reduceat(salt, ends - length) > 1
                 length = np.add.reduceat(again.astype(np.int64), ends - length)
                 ends, salt = np.cumsum(length), salt[again]
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                prefix = pa.ListArray.from_arrays(offsets, pa.array(word[again].view(np.int64)))
+                prefix = pa.ListArray.from_arrays(offsets, pa.array((word[again] & _LOW).astype(np.uint32).view(np.int32)))
                 salts = pa.array([salt[e - n : e].tolist() if x else None for e, n, x in zip(ends, length, several, strict=True)], pa.list_(pa.int32()))
                 row = line[at]
                 yield pa.RecordBatch.from_arrays(
@@ -105,7 +110,7 @@ def _described(docs: DataFrame, sketch, percent: int) -> DataFrame:
                     ["_id", "ln", "_k", "s", "s2", "size", "bits", "prefix", "salts"],
                 )
 
-    return docs.select("_id", "_text", "_k").mapInArrow(run, f"_id {kind}, ln int, _k long, s long, s2 long, size int, bits long, prefix array<long>, salts array<int>")
+    return docs.select("_id", "_text", "_k").mapInArrow(run, f"_id {kind}, ln int, _k long, s long, s2 long, size int, bits long, prefix array<int>, salts array<int>")
 
 
 def _postings(sets: DataFrame, percent: int) -> DataFrame:
@@ -155,6 +160,19 @@ def may_match(a: dict[str, np.ndarray], b: dict[str, np.ndarray], percent: int)
     return ok
 
 
+def alike(a: dict[str, np.ndarray], b: dict[str, np.ndarray], percent: int) -> np.ndarray:
+    """``may_match`` with the bitmap that both sets have.
+
+    Where two bitmaps of all words differ is a word that one set has and the other has not, and similar sets have
+    few of these.
+    """
+    large = (a["size"] > WHOLE) & (b["size"] > WHOLE)
+    ok = may_match(a | {"bits": np.where(large, a["bits"], 0)}, b | {"bits": np.where(large, b["bits"], 0)}, percent)
+    whole = (a["size"] <= WHOLE) & (b["size"] <= WHOLE)
+    apart = np.bitwise_count((a["bits"] ^ b["bits"]).view(np.uint64)).astype(np.int64)
+    return ok & (~whole | (apart <= a["size"] + b["size"] - 2 * wanted_overlap(a["size"], b["size"], percent)[0]))
+
+
 def _met(posts: DataFrame, percent: int, neighbours: int) -> DataFrame:
     """Pairs (a, b, n, early) of sets that meet in n lists and may match; and (t) of lists longer than what meets.
 
@@ -178,7 +196,7 @@ def _met(posts: DataFrame, percent: int, neighbours: int) -> DataFrame:
             out: list[tuple[np.ndarray, ...]] = []
 
             def keep(a: dict[str, np.ndarray], b: dict[str, np.ndarray], out=out) -> None:
-                ok = may_match(a, b, percent)
+                ok = alike(a, b, percent)
                 a, b = {c: v[ok] for c, v in a.items()}, {c: v[ok] for c, v in b.items()}
                 need, early = wanted_overlap(a["size"], b["size"], percent)
                 left = 1 + np.minimum(a["size"] - a["pos"] - 1, b["size"] - b["pos"] - 1)
@@ -202,7 +220,7 @@ def _met(posts: DataFrame, percent: int, neighbours: int) -> DataFrame:
             more = np.unique(np.concatenate([x["t"][far], new["t"][new["salt"] > 0]]))
             found = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([c, pa.nulls(len(more), c.type)]) for c in found] + [pa.concat_arrays([pa.nulls(len(found[0]), pa.int64()), pa.array(more)])],
+                [pa.concat_arrays([c, pa.nulls(len(more), c.type)]) for c in found] + [pa.concat_arrays([pa.nulls(len(found[0]), pa.int32()), pa.array(more.astype(np.int32))])],
                 ["a", "b", "early", "left", "t"],
             )
             if first[-1] >= 0:
@@ -210,7 +228,7 @@ def _met(posts: DataFrame, percent: int, neighbours: int) -> DataFrame:
             held = {c: x[c][max(0, n - neighbours - 1) :] for c in names}
 
     lists = posts.repartition("t", "salt").sortWithinPartitions("t", "salt", "_id", "ln", "s").select("t", "salt", "s", "size", "at", "bits")
-    rows = lists.mapInArrow(run, "a long, b long, early long, left boolean, t long")
+    rows = lists.mapInArrow(run, "a long, b long, early long, left boolean, t int")
     met = rows.groupBy("a", "b", "t").agg(F.count(F.lit(1)).alias("n"), F.max("early").alias("early"), F.max("left").alias("left"))
     return met.where("t IS NOT NULL OR left")
 
@@ -230,13 +248,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int)
     cut = cut.select("_id", F.explode_outer(F.transform("_want", lambda w: F.struct(w["s"].alias("s"), w["s2"].alias("s2"), w["ln"].alias("ln"), F.get("_l", w["ln"]).alias("line")))).alias("w"))
     line = F.array_distinct(F.transform(F.array_remove(F.split(F.col("w.line"), _SPACE), ""), lambda w: F.xxhash64(w)))
     cut = cut.select("w.s", "w.s2", F.struct("_id", "w.ln").alias("place"), line.alias("words"))
-    cut = stored(cut)
+    cut, path = stored_at(cut)
     side = lambda k: cut.select(F.col("s").alias(k), F.struct("place", "s", "s2").alias(f"f{k}"), F.col("words").alias(f"w{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.col("fa.place") != F.col("fb.place"))
     both = both.select("fa", "fb", F.size("wa").alias("na"), F.size("wb").alias("nb"), F.size(F.array_intersect("wa", "wb")).alias("o"))
     both = both.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o")))
     later = F.when(F.col("fa")["place"] > F.col("fb")["place"], F.col("fa")).otherwise(F.col("fb"))
-    return both.select(later.alias("l")).select("l.s", "l.s2").distinct()
+    found = checkpointed(both.select(later.alias("l")).select("l.s", "l.s2").distinct())
+    deleted(docs.sparkSession, path)
+    return found
 
 
 def _rest(posts: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
@@ -244,33 +264,68 @@ def _rest(posts: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
 
     A set that still looks for a match goes to every salt of its list.
     """
-    member = F.struct("s", "bits", "size", "at", F.struct("_id", "ln").alias("place"))
+    pos, size = F.shiftright("at", 32).cast("int"), F.col("size")
+    left = (size - F.ceil(percent * size / 100) - pos).cast("int")  # words of the prefix after this one
+    member = F.struct("s", "bits", "size", pos.alias("pos"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("rank"), left.alias("left"), F.struct("_id", "ln").alias("place"))
     x = posts.select("t", "salt", member.alias("x"))
-    y = posts.join(gone.select("s").distinct(), "s", "left_anti").select("t", "salts", member.alias("y"))
+    done = gone.select("s").distinct()
+    done = F.broadcast(done) if done.count() <= BROADCAST_ROWS else done
+    y = posts.join(done, "s", "left_anti").select("t", "salts", member.alias("y"))
     everywhere = F.when(F.col("salts") > 1, F.sequence(F.lit(1), F.col("salts"))).otherwise(F.array(F.lit(0)))
     y = y.select("t", "y", F.explode(everywhere).alias("salt"))
-    pairs = y.join(x, ["t", "salt"]).where((F.col("x.place") < F.col("y.place")) & _may_match(percent, "x", "y"))
+    pairs = y.join(x, ["t", "salt"]).where(_alike(percent, "x", "y") & (F.col("x.place") < F.col("y.place")))
     return checkpointed(pairs.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct())
 
 
-def _may_match(percent: int, a: str, b: str) -> Column:
-    """``may_match`` and the positional filter of a first shared word for two structs of a row, as a condition."""
-    sa, sb = F.col(f"{a}.size"), F.col(f"{b}.size")
-    total = percent * (sa + sb) + (99 + percent)
-    need = F.floor((total - F.pmod(total, F.lit(100 + percent))) / (100 + percent))
-    after = lambda size: F.ceil(percent * size / 100).cast("int") - 1
-    at_a, at_b = (F.shiftright(F.col(f"{x}.at"), 32) for x in (a, b))
-    rank_a, rank_b = (F.col(f"{x}.at").bitwiseAND(0xFFFFFFFF) for x in (a, b))
-    ra, rb = sa - after(sa) - 1 - at_a, sb - after(sb) - 1 - at_b
-    shared = rank_a + ra + rank_b + rb + 2 - F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+def _alike(percent: int, a: str, b: str) -> Column:
+    """``alike`` and the positional filter of a first shared word for two structs of a row, as a condition.
+
+    Written without divisions and with the filter that most pairs fail first, for it is asked of every pair of a list.
+    """
+    field = lambda name: (F.col(f"{a}.{name}"), F.col(f"{b}.{name}"))
+    (sa, sb), (pos_a, pos_b), (rank_a, rank_b), (ra, rb) = field("size"), field("pos"), field("rank"), field("left")
+    sa, sb = sa.cast("long"), sb.cast("long")
+    wanted = lambda shared: (100 + percent) * shared >= percent * (sa + sb)
+    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    after = F.greatest(sa - pos_a - ra, sb - pos_b - rb) - 1
     return (
         (100 * F.least(sa, sb) >= percent * F.greatest(sa, sb))
-        & (1 + F.least(sa - at_a - 1, sb - at_b - 1) >= need)
-        & (1 + F.least(rank_a, rank_b) + F.least(ra, rb) >= need - F.greatest(after(sa), after(sb)))
-        & (shared >= 2 * (need - F.greatest(after(sa), after(sb))))
+        & (((sa > WHOLE) | (sb > WHOLE)) | ((100 + percent) * apart <= (100 - percent) * (sa + sb)))
+        & wanted(F.least(sa - pos_a, sb - pos_b))
+        & wanted(1 + F.least(rank_a, rank_b) + F.least(ra, rb) + after)
+        & (((sa <= WHOLE) | (sb <= WHOLE)) | wanted(F.shiftright(rank_a + ra + rank_b + rb + 2 - apart, 1) + after))
     )
 
 
+def _dropped_sets(docs: DataFrame, percent: int, neighbours: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines with their sets; sets with their first places and numbers of lines; and sets like an earlier one."""
+    spark, bits = docs.sparkSession, rarity.sketch_bits(docs)
+    sketch = spark.sparkContext.broadcast(rarity.summed(_counts(docs, bits), bits))
+    lines = stored(_described(docs, sketch, percent))
+    place = F.min(F.struct("_id", "ln", "_k")).alias("first")
+    rest = [F.first(c).alias(c) for c in ("size", "bits", "prefix", "salts")]
+    sets = lines.groupBy("s", "s2").agg(place, F.count(F.lit(1)).alias("n"), *rest)
+    sets = stored(sets.select("s", "s2", "first.*", "n", "size", "bits", "prefix", "salts"))
+    firsts = sets.select("s", "s2", "_id", "ln", "_k", "n")
+    met, met_at = stored_at(_met(_postings(sets, percent), percent, neighbours))
+    long = checkpointed(met.where("t IS NOT NULL").select("t").distinct())
+    few = long.count() <= BROADCAST_ROWS
+    posts, posts_at = stored_at(_postings(sets, percent).join(F.broadcast(long) if few else long, "t", "left_semi"))
+    # Pairs that meet in too few lists cannot match, unless both are in long lists and may have met there.
+    pairs, apart = met.where("t IS NULL").select("a", "b", "n", "early"), posts.select("s").distinct()
+    close = pairs.where("n >= early").select("a", "b")
+    maybe = pairs.where("n < early").select("a", "b").join(apart.withColumnRenamed("s", "a"), "a", "left_semi")
+    maybe = maybe.join(apart.withColumnRenamed("s", "b"), "b", "left_semi").select("a", "b")
+    close = checkpointed(close.unionByName(maybe))
+    deleted(spark, met_at)
+    gone = _verified(close, firsts, docs, percent)
+    more = None if long.isEmpty() else _rest(posts, gone, percent)
+    deleted(spark, posts_at)
+    if more is not None:
+        gone = checkpointed(gone.unionByName(_verified(more, firsts, docs, percent)).distinct())
+    return lines, firsts, gone
+
+
 def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", neighbours: int = NEIGHBOURS) -> DataFrame:
     """id, n_lines, n_removed, removed (line numbers from 0) for every id.
 
@@ -289,27 +344,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     """
     private_names(docs, id_col, text_col)
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_k", F.xxhash64("_text"))
-    bits = rarity.sketch_bits(docs)
-    sketch = docs.sparkSession.sparkContext.broadcast(rarity.summed(_counts(docs, bits), bits))
-    lines = stored(_described(docs, sketch, percent))
-    place = F.min(F.struct("_id", "ln", "_k")).alias("first")
-    rest = [F.first(c).alias(c) for c in ("size", "bits", "prefix", "salts")]
-    sets = lines.groupBy("s", "s2").agg(place, F.count(F.lit(1)).alias("n"), *rest)
-    sets = stored(sets.select("s", "s2", "first.*", "n", "size", "bits", "prefix", "salts"))
-    firsts = sets.select("s", "s2", "_id", "ln", "_k", "n")
-    met = stored(_met(_postings(sets, percent), percent, neighbours))
-    long = checkpointed(met.where("t IS NOT NULL").select("t").distinct())
-    few = long.count() <= BROADCAST_ROWS
-    posts = stored(_postings(sets, percent).join(F.broadcast(long) if few else long, "t", "left_semi"))
-    # Pairs that meet in too few lists cannot match, unless both are in long lists and may have met there.
-    pairs, apart = met.where("t IS NULL").select("a", "b", "n", "early"), posts.select("s").distinct()
-    close = pairs.where("n >= early").select("a", "b")
-    maybe = pairs.where("n < early").select("a", "b").join(apart.withColumnRenamed("s", "a"), "a", "left_semi")
-    maybe = maybe.join(apart.withColumnRenamed("s", "b"), "b", "left_semi").select("a", "b")
-    gone = checkpointed(_verified(checkpointed(close.unionByName(maybe)), firsts, docs, percent))
-    if not long.isEmpty():
-        more = _verified(_rest(posts, gone, percent), firsts, docs, percent)
-        gone = checkpointed(gone.unionByName(more).distinct())
+    with shuffles_freed(docs.sparkSession):
+        lines, firsts, gone = _dropped_sets(docs, percent, neighbours)
     # A line goes with its set, or as a repeat of its set's first line.
     marks = firsts.join(gone.withColumn("_dup", F.lit(True)), ["s", "s2"], "left").where("_dup OR n > 1")
     marks = marks.select("s", "s2", "_dup", F.col("_id").alias("_fid"), F.col("ln").alias("_fln"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 
 import duckdb
 import numpy as np
@@ -730,3 +731,80 @@ def test_lines_that_meet_too_late_are_not_paired():
                 side_["pos"] = np.array([len(prefix[k]) - len(own[k]) + own[k].index(w)])
                 side_["rank"] = np.array([own[k].index(w)])
             assert line_dedup.may_match(x, y, 80).all()
+
+
+def test_lines_leave_no_shuffle_files_behind(spark):
+    """Files of one step went on taking disk in all later ones."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    blocks = lambda: {x for x in manager.getAllBlocks().mkString(" ").split() if x.startswith("shuffle_")}
+    before, name = blocks(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name)
+    rows = [(i, "\n".join(edited(i)[:3])) for i in range(8)]
+    out = line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    for _ in range(50):  # they are removed in the background
+        if not blocks() - before:
+            break
+        time.sleep(0.1)
+    assert not blocks() - before and spark.conf.get(name) == setting
+    assert {x["doc_id"]: x["removed"] for x in out.collect()} == brute_lines(rows)
+
+
+def long_lines(seed):
+    """Lines about as long as the largest sets whose bitmaps are of all words, edited about as much as may be."""
+    r, lines = random.Random(seed), []
+    for _ in range(20):
+        base = r.sample(range(3000), r.choice([8, 30, 85, 96, 97, 110, 150]))
+        for _ in range(r.randint(1, 5)):
+            new = {r.randrange(len(base)): r.randrange(3000) for _ in range(int(len(base) * r.choice([0, 0.05, 0.1, 0.11, 0.13, 0.3])))}
+            lines.append(" ".join(f"w{new.get(i, w)}" for i, w in enumerate(base)) + " hot" * r.randint(0, 1))
+    r.shuffle(lines)
+    return lines
+
+
+@pytest.mark.parametrize("neighbours", [1, 24])
+def test_long_lines(spark, neighbours):
+    lines = long_lines(3)
+    rows = [(i, "\n".join(lines[i * 4 : i * 4 + 4])) for i in range(len(lines) // 4)]
+    got = {x["doc_id"]: x["removed"] for x in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"), neighbours=neighbours).collect()}
+    assert got == brute_lines(rows)
+
+
+def test_bitmaps_of_whole_lines_part_pairs_before_they_are_verified(spark):
+    """Pairs that share a prefix and little else were read again and joined with their words."""
+    r = random.Random(6)
+
+    def sides(a, b):
+        sets = [sorted(a), sorted(b)]
+        prefix = [x[: len(x) - -(-80 * len(x) // 100) + 1] for x in sets]
+        first = next((w for w in prefix[0] if w in prefix[1]), None)
+        if first is None:
+            return None
+        bitmap = lambda x, p: sum(1 << k for k in range(64) if sum(w % 64 == k for w in x) % 2) if len(x) <= line_dedup.WHOLE else sum({1 << w % 64 for w in p})
+        out = []
+        for x, p in zip(sets, prefix, strict=True):
+            bits = int(np.uint64(bitmap(x, p)).view(np.int64))
+            out.append({"size": len(x), "pos": p.index(first), "rank": p.index(first), "bits": bits, "left": len(p) - 1 - p.index(first)})
+        return out
+
+    pairs, alike = [], []
+    for _ in range(400):
+        a = r.sample(range(5000), r.choice([5, 20, 60, 94, 98, 140]))
+        keep = len(a) - int(len(a) * r.choice([0, 0.05, 0.1, 0.11]))
+        b = a[:keep] + r.sample(range(5000, 9000), r.randint(0, len(a) - keep))
+        if (x := sides(a, b)) and 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b)):
+            pairs.append(x)
+            alike.append(True)
+    for _ in range(100):  # the same twelve rarest words, the others new
+        start = list(range(12))
+        pairs.append(sides(start + r.sample(range(100, 5000), 48), start + r.sample(range(100, 5000), 48)))
+        alike.append(False)
+    assert sum(alike) > 100
+    arrays = [{c: np.array([p[i][c] for p in pairs]) for c in ("size", "pos", "rank", "bits")} for i in (0, 1)]
+    got = line_dedup.alike(*arrays, 80)
+    kind = "struct<size:int,pos:int,rank:int,bits:long,left:int>"
+    order = ["size", "pos", "rank", "bits", "left"]
+    d = spark.createDataFrame([(i, *(tuple(x[c] for c in order) for x in p)) for i, p in enumerate(pairs)], f"i int, x {kind}, y {kind}")
+    same = [x[1] for x in d.select("i", line_dedup._alike(80, "x", "y").alias("ok")).orderBy("i").collect()]
+    for ok in (got, same):
+        assert all(o for o, is_alike in zip(ok, alike, strict=True) if is_alike)
+        assert sum(bool(o) for o, is_alike in zip(ok, alike, strict=True) if not is_alike) <= 5
