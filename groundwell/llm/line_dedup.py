@@ -18,13 +18,13 @@ from .textbytes import buffers, mix, prefix_hash, slices, span_hash, words
 
 PERCENT = 80
 #: A posting meets this many before it in its list in one pass; longer lists are joined for the rest.
-NEIGHBOURS = 24
+NEIGHBOURS = 128
 #: Lines holding one word in their prefix are dealt to one task up to about this many, then salted.
 LIST_SIZE = 20_000
 #: Rows of ids or lists that are broadcast at most.
 BROADCAST_ROWS = 500_000
 #: Up to so many words a set's bitmap is of all its words; a larger one's, which would tell nothing, of its prefix.
-WHOLE = 96
+WHOLE = 200
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
@@ -62,12 +62,12 @@ def _counts(docs: DataFrame, bits: int) -> DataFrame:
 
 
 def _described(docs: DataFrame, sketch, percent: int) -> DataFrame:
-    """(_id, ln, _k, s, s2, size, bits, prefix, salts) of every line with a word.
+    """(_id, ln, _k, s, s2, size, bits, more, prefix, salts) of every line with a word.
 
     s and s2 are digests of its set. prefix holds 32 bits of its rarest words, as many as prefix filtering needs,
-    without those that the whole corpus has once, which come first and are in no other line. bits is their bitmap, or
-    that of words which it has at a bit in odd number, for sets of up to ``WHOLE``; salts are there for words with
-    long lists.
+    without those that the whole corpus has once, which come first and are in no other line. bits is their bitmap. For
+    sets of up to ``WHOLE``, bits and more have a bit where an odd number of its words fall. salts are there for words
+    with long lists.
     """
     kind = docs.schema["_id"].dataType.simpleString()
 
@@ -95,7 +95,9 @@ def _described(docs: DataFrame, sketch, percent: int) -> DataFrame:
                 word, lev = h[spot], level[spot]
                 again = lev > 0
                 bits = np.bitwise_or.reduceat(np.where(again, np.uint64(1) << (word & np.uint64(63)), np.uint64(0)), ends - length)
-                bits = np.where(size <= WHOLE, np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), at), bits)
+                spot, upper = np.uint64(1) << (h & np.uint64(63)), (h & np.uint64(64)) > 0
+                bits = np.where(size <= WHOLE, np.bitwise_xor.reduceat(np.where(upper, np.uint64(0), spot), at), bits)
+                more = np.where(size <= WHOLE, np.bitwise_xor.reduceat(np.where(upper, spot, np.uint64(0)), at), np.uint64(0))
                 salt = np.ceil(counted.word_lists(lev) / LIST_SIZE).astype(np.int32)
                 several = np.maximum.reduceat(salt, ends - length) > 1
                 length = np.add.reduceat(again.astype(np.int64), ends - length)
@@ -106,25 +108,26 @@ def _described(docs: DataFrame, sketch, percent: int) -> DataFrame:
                 row = line[at]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(i + text[row])), pa.array(number[row].astype(np.int32)), batch.column(2).take(pa.array(i + text[row])), pa.array(s.view(np.int64)), pa.array(s2.view(np.int64)),
-                     pa.array(size.astype(np.int32)), pa.array(bits.view(np.int64)), prefix, salts],
-                    ["_id", "ln", "_k", "s", "s2", "size", "bits", "prefix", "salts"],
+                     pa.array(size.astype(np.int32)), pa.array(bits.view(np.int64)), pa.array(more.view(np.int64)), prefix, salts],
+                    ["_id", "ln", "_k", "s", "s2", "size", "bits", "more", "prefix", "salts"],
                 )
 
-    return docs.select("_id", "_text", "_k").mapInArrow(run, f"_id {kind}, ln int, _k long, s long, s2 long, size int, bits long, prefix array<int>, salts array<int>")
+    return docs.select("_id", "_text", "_k").mapInArrow(run, f"_id {kind}, ln int, _k long, s long, s2 long, size int, bits long, more long, prefix array<int>, salts array<int>")
 
 
 def _postings(sets: DataFrame, percent: int) -> DataFrame:
-    """(t, salt, salts, s, _id, ln, bits, size, at) for the words of prefixes.
+    """(salt, salts, size, ln, at, s, bits, more, _id, t) for the words of prefixes.
 
     at is a word's place in its set, times 2 ** 32, plus its rank among those that other lines may hold.
     """
     # Not the plain explode: it would add a filter on the array that makes it once more.
-    p = sets.select("s", "_id", "ln", "bits", "size", "salts", F.size("prefix").alias("of"), F.posexplode_outer("prefix").alias("rank", "t")).where("t IS NOT NULL")
+    p = sets.select("s", "_id", "ln", "bits", "more", "size", "salts", F.size("prefix").alias("of"), F.posexplode_outer("prefix").alias("rank", "t")).where("t IS NOT NULL")
     salts = F.coalesce(F.get("salts", F.col("rank")), F.lit(1))
     size = F.col("size").cast("long")
     p = p.withColumn("salts", salts).withColumn("pos", size - F.ceil(percent * size / 100) + 1 - F.col("of") + F.col("rank"))
     salt = F.when(F.col("salts") > 1, F.pmod("s", F.col("salts")) + 1).otherwise(F.lit(0)).cast("int")
-    return p.select("t", salt.alias("salt"), "salts", "s", "_id", "ln", "bits", "size", (F.shiftleft("pos", 32) + F.col("rank")).alias("at"))
+    # Columns of small numbers stand together, and so do those of hashes: that packs better.
+    return p.select(salt.alias("salt"), "salts", "size", "ln", (F.shiftleft("pos", 32) + F.col("rank")).alias("at"), "s", "bits", "more", "_id", "t")
 
 
 def wanted_overlap(sa: np.ndarray, sb: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,6 +163,10 @@ def may_match(a: dict[str, np.ndarray], b: dict[str, np.ndarray], percent: int)
     return ok
 
 
+def bits_apart(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
+    return sum(np.bitwise_count((a[c] ^ b[c]).view(np.uint64)).astype(np.int64) for c in ("bits", "more") if c in a)
+
+
 def alike(a: dict[str, np.ndarray], b: dict[str, np.ndarray], percent: int) -> np.ndarray:
     """``may_match`` with the bitmap that both sets have.
 
@@ -169,7 +176,7 @@ def alike(a: dict[str, np.ndarray], b: dict[str, np.ndarray], percent: int) -> n
     large = (a["size"] > WHOLE) & (b["size"] > WHOLE)
     ok = may_match(a | {"bits": np.where(large, a["bits"], 0)}, b | {"bits": np.where(large, b["bits"], 0)}, percent)
     whole = (a["size"] <= WHOLE) & (b["size"] <= WHOLE)
-    apart = np.bitwise_count((a["bits"] ^ b["bits"]).view(np.uint64)).astype(np.int64)
+    apart = bits_apart(a, b)
     return ok & (~whole | (apart <= a["size"] + b["size"] - 2 * wanted_overlap(a["size"], b["size"], percent)[0]))
 
 
@@ -183,7 +190,7 @@ def _met(posts: DataFrame, percent: int, neighbours: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["t", "salt", "s", "size", "pos", "rank", "bits"]
+        names = ["t", "salt", "s", "size", "pos", "rank", "bits", "more"]
         held = {c: np.zeros(0, dtype=np.int64) for c in names}
         head: dict[str, int] | None = None  # the first of the list that the last batch ended in
         for batch in batches:
@@ -202,14 +209,26 @@ def _met(posts: DataFrame, percent: int, neighbours: int) -> DataFrame:
                 left = 1 + np.minimum(a["size"] - a["pos"] - 1, b["size"] - b["pos"] - 1)
                 out.append((a["s"], b["s"], early, left >= need))
 
+            # Members of a row's list that stand before it; rows with most of them come first.
+            opens = np.ones(n, dtype=bool)
+            opens[1:] = (x["t"][1:] != x["t"][:-1]) | (x["salt"][1:] != x["salt"][:-1])
+            before = np.arange(n) - np.maximum.accumulate(np.where(opens, np.arange(n), 0))
+            deep = old + np.argsort(-before[old:], kind="stable")
+            fewer = -before[deep]
+            at_lag: list[np.ndarray] = []
             for lag in range(1, neighbours + 1):
-                here = np.arange(max(lag, old), n)
-                here = here[(x["t"][here] == x["t"][here - lag]) & (x["salt"][here] == x["salt"][here - lag])]
+                here = deep[: np.searchsorted(fewer, -lag, side="right")]
                 if not len(here):
                     break
-                keep({c: x[c][here - lag] for c in names}, {c: x[c][here] for c in names})
-            far = np.arange(max(neighbours + 1, old), n)
-            far = far[(x["t"][far] == x["t"][far - neighbours - 1]) & (x["salt"][far] == x["salt"][far - neighbours - 1])]
+                # Most pairs go by size and bitmaps, before more of them is looked at.
+                sa, sb = x["size"][here - lag], x["size"][here]
+                apart = bits_apart(*({c: x[c][at] for c in ("bits", "more")} for at in (here - lag, here)))
+                ok = (100 * np.minimum(sa, sb) >= percent * np.maximum(sa, sb)) & ((np.maximum(sa, sb) > WHOLE) | ((100 + percent) * apart <= (100 - percent) * (sa + sb)))
+                at_lag.append(np.stack([here[ok] - lag, here[ok]]))
+            if at_lag:
+                left, right = np.concatenate(at_lag, axis=1)
+                keep({c: x[c][left] for c in names}, {c: x[c][right] for c in names})
+            far = np.sort(deep[: np.searchsorted(fewer, -neighbours - 1, side="right")])
             begins = np.ones(len(new["t"]), dtype=bool)
             begins[1:] = (new["t"][1:] != new["t"][:-1]) | (new["salt"][1:] != new["salt"][:-1])
             begins[0] = head is None or (head["t"], head["salt"]) != (new["t"][0], new["salt"][0])
@@ -227,7 +246,7 @@ def _met(posts: DataFrame, percent: int, neighbours: int) -> DataFrame:
                 head = {c: int(new[c][first[-1]]) for c in names}
             held = {c: x[c][max(0, n - neighbours - 1) :] for c in names}
 
-    lists = posts.repartition("t", "salt").sortWithinPartitions("t", "salt", "_id", "ln", "s").select("t", "salt", "s", "size", "at", "bits")
+    lists = posts.repartition("t", "salt").sortWithinPartitions("t", "salt", "_id", "ln", "s").select("t", "salt", "s", "size", "at", "bits", "more")
     rows = lists.mapInArrow(run, "a long, b long, early long, left boolean, t int")
     met = rows.groupBy("a", "b", "t").agg(F.count(F.lit(1)).alias("n"), F.max("early").alias("early"), F.max("left").alias("left"))
     return met.where("t IS NOT NULL OR left")
@@ -266,7 +285,7 @@ def _rest(posts: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
     """
     pos, size = F.shiftright("at", 32).cast("int"), F.col("size")
     left = (size - F.ceil(percent * size / 100) - pos).cast("int")  # words of the prefix after this one
-    member = F.struct("s", "bits", "size", pos.alias("pos"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("rank"), left.alias("left"), F.struct("_id", "ln").alias("place"))
+    member = F.struct("s", "bits", "more", "size", pos.alias("pos"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("rank"), left.alias("left"), F.struct("_id", "ln").alias("place"))
     x = posts.select("t", "salt", member.alias("x"))
     done = gone.select("s").distinct()
     done = F.broadcast(done) if done.count() <= BROADCAST_ROWS else done
@@ -286,7 +305,7 @@ def _alike(percent: int, a: str, b: str) -> Column:
     (sa, sb), (pos_a, pos_b), (rank_a, rank_b), (ra, rb) = field("size"), field("pos"), field("rank"), field("left")
     sa, sb = sa.cast("long"), sb.cast("long")
     wanted = lambda shared: (100 + percent) * shared >= percent * (sa + sb)
-    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    apart = sum(F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in ("bits", "more"))
     after = F.greatest(sa - pos_a - ra, sb - pos_b - rb) - 1
     return (
         (100 * F.least(sa, sb) >= percent * F.greatest(sa, sb))
@@ -303,10 +322,12 @@ def _dropped_sets(docs: DataFrame, percent: int, neighbours: int) -> tuple[DataF
     sketch = spark.sparkContext.broadcast(rarity.summed(_counts(docs, bits), bits))
     lines = stored(_described(docs, sketch, percent))
     place = F.min(F.struct("_id", "ln", "_k")).alias("first")
-    rest = [F.first(c).alias(c) for c in ("size", "bits", "prefix", "salts")]
+    rest = [F.first(c).alias(c) for c in ("size", "bits", "more", "prefix", "salts")]
     sets = lines.groupBy("s", "s2").agg(place, F.count(F.lit(1)).alias("n"), *rest)
-    sets = stored(sets.select("s", "s2", "first.*", "n", "size", "bits", "prefix", "salts"))
-    firsts = sets.select("s", "s2", "_id", "ln", "_k", "n")
+    # From here on s is a set's number, which takes less room in postings and pairs than a digest.
+    sets = sets.withColumnRenamed("s", "digest").withColumn("s", F.monotonically_increasing_id())
+    sets = stored(sets.select("s", "digest", "s2", "first.*", "n", "size", "bits", "more", "prefix", "salts"))
+    firsts = sets.select("s", "digest", "s2", "_id", "ln", "_k", "n")
     met, met_at = stored_at(_met(_postings(sets, percent), percent, neighbours))
     long = checkpointed(met.where("t IS NOT NULL").select("t").distinct())
     few = long.count() <= BROADCAST_ROWS
@@ -348,7 +369,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
         lines, firsts, gone = _dropped_sets(docs, percent, neighbours)
     # A line goes with its set, or as a repeat of its set's first line.
     marks = firsts.join(gone.withColumn("_dup", F.lit(True)), ["s", "s2"], "left").where("_dup OR n > 1")
-    marks = marks.select("s", "s2", "_dup", F.col("_id").alias("_fid"), F.col("ln").alias("_fln"))
+    marks = marks.select(F.col("digest").alias("s"), "s2", "_dup", F.col("_id").alias("_fid"), F.col("ln").alias("_fln"))
     places = lines.select("_id", "ln", "s", "s2").join(marks, ["s", "s2"])
     is_first = F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("ln") == F.col("_fln"))
     places = places.where(F.coalesce("_dup", F.lit(False)) | ~is_first)

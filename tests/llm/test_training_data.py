@@ -753,7 +753,7 @@ def long_lines(seed):
     """Lines about as long as the largest sets whose bitmaps are of all words, edited about as much as may be."""
     r, lines = random.Random(seed), []
     for _ in range(20):
-        base = r.sample(range(3000), r.choice([8, 30, 85, 96, 97, 110, 150]))
+        base = r.sample(range(3000), r.choice([8, 30, 85, 110, 150, 200, 201, 240]))
         for _ in range(r.randint(1, 5)):
             new = {r.randrange(len(base)): r.randrange(3000) for _ in range(int(len(base) * r.choice([0, 0.05, 0.1, 0.11, 0.13, 0.3])))}
             lines.append(" ".join(f"w{new.get(i, w)}" for i, w in enumerate(base)) + " hot" * r.randint(0, 1))
@@ -783,7 +783,7 @@ def test_bitmaps_of_whole_lines_part_pairs_before_they_are_verified(spark):
         out = []
         for x, p in zip(sets, prefix, strict=True):
             bits = int(np.uint64(bitmap(x, p)).view(np.int64))
-            out.append({"size": len(x), "pos": p.index(first), "rank": p.index(first), "bits": bits, "left": len(p) - 1 - p.index(first)})
+            out.append({"size": len(x), "pos": p.index(first), "rank": p.index(first), "bits": bits, "more": 0, "left": len(p) - 1 - p.index(first)})
         return out
 
     pairs, alike = [], []
@@ -801,8 +801,8 @@ def test_bitmaps_of_whole_lines_part_pairs_before_they_are_verified(spark):
     assert sum(alike) > 100
     arrays = [{c: np.array([p[i][c] for p in pairs]) for c in ("size", "pos", "rank", "bits")} for i in (0, 1)]
     got = line_dedup.alike(*arrays, 80)
-    kind = "struct<size:int,pos:int,rank:int,bits:long,left:int>"
-    order = ["size", "pos", "rank", "bits", "left"]
+    kind = "struct<size:int,pos:int,rank:int,bits:long,more:long,left:int>"
+    order = ["size", "pos", "rank", "bits", "more", "left"]
     d = spark.createDataFrame([(i, *(tuple(x[c] for c in order) for x in p)) for i, p in enumerate(pairs)], f"i int, x {kind}, y {kind}")
     same = [x[1] for x in d.select("i", line_dedup._alike(80, "x", "y").alias("ok")).orderBy("i").collect()]
     for ok in (got, same):
