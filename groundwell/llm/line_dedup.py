@@ -19,6 +19,8 @@ from .textbytes import buffers, mix, prefix_hash, slices, span_hash, words
 PERCENT = 80
 #: A posting meets this many before it in its list in one pass; longer lists are joined for the rest.
 NEIGHBOURS = 128
+#: Pairs that stand so near to each other in a list are verified first, and others only for sets still without a match.
+NEAR = 24
 #: Lines holding one word in their prefix are dealt to one task up to about this many, then salted.
 LIST_SIZE = 20_000
 #: Rows of ids or lists that are broadcast at most.
@@ -181,7 +183,7 @@ def alike(a: dict[str, np.ndarray], b: dict[str, np.ndarray], percent: int) -> n
 
 
 def _met(posts: DataFrame, percent: int, neighbours: int) -> DataFrame:
-    """Pairs (a, b, n, early) of sets that meet in n lists and may match; and (t) of lists longer than what meets.
+    """Pairs (a, b, n, early, near) of sets that meet in n lists and may match; and (t) of lists longer than what meets.
 
     A posting meets those shortly before it and the first of its list, for the first of a group of
     edited lines is often what they were edited from. In the list of its first shared word a pair passes
@@ -202,12 +204,12 @@ def _met(posts: DataFrame, percent: int, neighbours: int) -> DataFrame:
             n = len(x["t"])
             out: list[tuple[np.ndarray, ...]] = []
 
-            def keep(a: dict[str, np.ndarray], b: dict[str, np.ndarray], out=out) -> None:
+            def keep(a: dict[str, np.ndarray], b: dict[str, np.ndarray], near: np.ndarray, out=out) -> None:
                 ok = alike(a, b, percent)
                 a, b = {c: v[ok] for c, v in a.items()}, {c: v[ok] for c, v in b.items()}
                 need, early = wanted_overlap(a["size"], b["size"], percent)
                 left = 1 + np.minimum(a["size"] - a["pos"] - 1, b["size"] - b["pos"] - 1)
-                out.append((a["s"], b["s"], early, left >= need))
+                out.append((a["s"], b["s"], early, left >= need, near[ok]))
 
             # Members of a row's list that stand before it; rows with most of them come first.
             opens = np.ones(n, dtype=bool)
@@ -227,7 +229,7 @@ def _met(posts: DataFrame, percent: int, neighbours: int) -> DataFrame:
                 at_lag.append(np.stack([here[ok] - lag, here[ok]]))
             if at_lag:
                 left, right = np.concatenate(at_lag, axis=1)
-                keep({c: x[c][left] for c in names}, {c: x[c][right] for c in names})
+                keep({c: x[c][left] for c in names}, {c: x[c][right] for c in names}, right - left <= NEAR)
             far = np.sort(deep[: np.searchsorted(fewer, -neighbours - 1, side="right")])
             begins = np.ones(len(new["t"]), dtype=bool)
             begins[1:] = (new["t"][1:] != new["t"][:-1]) | (new["salt"][1:] != new["salt"][:-1])
@@ -235,20 +237,20 @@ def _met(posts: DataFrame, percent: int, neighbours: int) -> DataFrame:
             first = np.maximum.accumulate(np.where(begins, np.arange(len(begins)), -1))
             own = first[far - old]
             heads = {c: np.where(own < 0, head[c] if head else 0, new[c][own]) for c in names}
-            keep(heads, {c: x[c][far] for c in names})
+            keep(heads, {c: x[c][far] for c in names}, np.ones(len(far), dtype=bool))
             more = np.unique(np.concatenate([x["t"][far], new["t"][new["salt"] > 0]]))
             found = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([c, pa.nulls(len(more), c.type)]) for c in found] + [pa.concat_arrays([pa.nulls(len(found[0]), pa.int32()), pa.array(more.astype(np.int32))])],
-                ["a", "b", "early", "left", "t"],
+                ["a", "b", "early", "left", "near", "t"],
             )
             if first[-1] >= 0:
                 head = {c: int(new[c][first[-1]]) for c in names}
             held = {c: x[c][max(0, n - neighbours - 1) :] for c in names}
 
     lists = posts.repartition("t", "salt").sortWithinPartitions("t", "salt", "_id", "ln", "s").select("t", "salt", "s", "size", "at", "bits", "more")
-    rows = lists.mapInArrow(run, "a long, b long, early long, left boolean, t int")
-    met = rows.groupBy("a", "b", "t").agg(F.count(F.lit(1)).alias("n"), F.max("early").alias("early"), F.max("left").alias("left"))
+    rows = lists.mapInArrow(run, "a long, b long, early long, left boolean, near boolean, t int")
+    met = rows.groupBy("a", "b", "t").agg(F.count(F.lit(1)).alias("n"), F.max("early").alias("early"), F.max("left").alias("left"), F.max("near").alias("near"))
     return met.where("t IS NOT NULL OR left")
 
 
@@ -333,13 +335,17 @@ def _dropped_sets(docs: DataFrame, percent: int, neighbours: int) -> tuple[DataF
     few = long.count() <= BROADCAST_ROWS
     posts, posts_at = stored_at(_postings(sets, percent).join(F.broadcast(long) if few else long, "t", "left_semi"))
     # Pairs that meet in too few lists cannot match, unless both are in long lists and may have met there.
-    pairs, apart = met.where("t IS NULL").select("a", "b", "n", "early"), posts.select("s").distinct()
-    close = pairs.where("n >= early").select("a", "b")
-    maybe = pairs.where("n < early").select("a", "b").join(apart.withColumnRenamed("s", "a"), "a", "left_semi")
-    maybe = maybe.join(apart.withColumnRenamed("s", "b"), "b", "left_semi").select("a", "b")
+    pairs, apart = met.where("t IS NULL").select("a", "b", "n", "early", "near"), posts.select("s").distinct()
+    close = pairs.where("n >= early").select("a", "b", "near")
+    maybe = pairs.where("n < early").select("a", "b", "near").join(apart.withColumnRenamed("s", "a"), "a", "left_semi")
+    maybe = maybe.join(apart.withColumnRenamed("s", "b"), "b", "left_semi").select("a", "b", "near")
     close = checkpointed(close.unionByName(maybe))
     deleted(spark, met_at)
-    gone = _verified(close, firsts, docs, percent)
+    gone = _verified(close.where("near").select("a", "b"), firsts, docs, percent)
+    found = gone.select(F.col("s").alias("b")).distinct()
+    others = checkpointed(close.where("NOT near").join(found, "b", "left_anti").select("a", "b"))
+    if not others.isEmpty():
+        gone = checkpointed(gone.unionByName(_verified(others, firsts, docs, percent)).distinct())
     more = None if long.isEmpty() else _rest(posts, gone, percent)
     deleted(spark, posts_at)
     if more is not None:

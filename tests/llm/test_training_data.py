@@ -808,3 +808,12 @@ def test_bitmaps_of_whole_lines_part_pairs_before_they_are_verified(spark):
     for ok in (got, same):
         assert all(o for o, is_alike in zip(ok, alike, strict=True) if is_alike)
         assert sum(bool(o) for o, is_alike in zip(ok, alike, strict=True) if not is_alike) <= 5
+
+
+def test_copies_of_a_line_are_not_verified_among_themselves(spark, monkeypatch):
+    verified, counts = line_dedup._verified, []
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *args: (counts.append(pairs.count()), verified(pairs, *args))[1])
+    rows = [(i, "one two three four five six seven eight nine ten " + f"n{i}") for i in range(100)]
+    got = {x["doc_id"]: x["removed"] for x in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows)
+    assert sum(counts) <= 100 * (line_dedup.NEAR + 1)
